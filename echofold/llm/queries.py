@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm import bpe
+from echofold.llm import bpe, simhash, warc
+from echofold.llm.storage import scratch
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,5 +29,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
+    rows = warc.transactions(warc.read(spark, path, payloads=False))
+    return rows.select(
+        F.col("metadata.key").cast("long").alias("page_id"), F.col("metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").cast("long").alias("refers_to")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {}
