@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm import bpe, simhash, warc
+from echofold.llm import ann, bpe, decontam, html_extract, langid, licenses, linededup, simhash, toxicity, warc
 from echofold.llm.storage import scratch
 
 
@@ -29,10 +29,41 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_boilerplate(table(spark, sf_dir, "documents"), dropped="n_dropped").select("doc_id", "text", "n_dropped")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.names_of(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
@@ -42,5 +73,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op6_simhash": op6_simhash, "op10_warc": op10_warc}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe, "op2_html": op2_html, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_line_dedup": op5_line_dedup,
+    "op6_simhash": op6_simhash, "op7_license": op7_license, "op8_decontamination": op8_decontamination, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc,
+}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.ORACLE_SQL, "op7_license": licenses.ORACLE_SQL}
