@@ -53,6 +53,8 @@ def key_links(keys: DataFrame, bar: float, exhaustive: bool) -> DataFrame:
     if exhaustive:
         if keys.limit(EXHAUSTIVE_KEYS + 1).count() > EXHAUSTIVE_KEYS:
             raise ValueError(f"exhaustive clustering takes {EXHAUSTIVE_KEYS} keys at most")
+        # before its prefix boost a score is at least this, and it is the mean of 1, 1 and the lengths' ratio at most
+        share = max(0.0, 3 * (bar - 0.4) / 0.6 - 2 - 1e-9)
         held = keys.sparkSession.sparkContext.broadcast(sorted(r.key for r in keys.collect()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +62,7 @@ def key_links(keys: DataFrame, bar: float, exhaustive: bool) -> DataFrame:
             size = np.array([len(x) for x in every])
             for batch in batches:
                 for key in batch.column(0).to_pylist():
-                    # three shares of matches average to the score before its prefix boost, so lengths can't differ by more
-                    near = np.flatnonzero((np.minimum(size, len(key)) * 2 >= np.maximum(size, len(key))) & (np.array(every, object) > key))
+                    near = np.flatnonzero((np.minimum(size, len(key)) >= share * np.maximum(size, len(key))) & (np.array(every, object) > key))
                     scores = jaro_winkler([key] * len(near), [every[k] for k in near])
                     hits = [every[k] for k in near[scores >= bar]]
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(hits), pa.string()), pa.array(hits, pa.string())], ["a", "b"])
