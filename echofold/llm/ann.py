@@ -26,12 +26,12 @@ from pyspark.sql import Window
 from echofold.llm.storage import settled
 
 SAMPLE = 8192
-PART_ROWS = 2000
+PART_ROWS = 8192
 LEAST_PARTS, MOST_PARTS = 8, 4096
 DEGREE = 16
 HIDDEN = 96
 EPOCHS = 30
-TARGET = 0.97
+TARGET = 0.93
 CELL_ROWS = 20_000
 QUERIES_AT_ONCE = 128
 
