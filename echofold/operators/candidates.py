@@ -16,7 +16,11 @@ from echofold.model import THRESHOLDS, Thresholds
 
 def _keys(parts: list[tuple[str, Column]]) -> Column:
     """struct(kind, key) of arrays of keys, one after the other."""
-    return F.concat(*[F.transform(values, lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("key"))) for kind, values in parts])
+
+    def tagged(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+
+    return F.concat(*[tagged(*part) for part in parts])
 
 
 def index_keys(coins: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def arrival_trigrams(observations: DataFrame, thresholds: Thresholds = THRESHOLD
     of the first name and the first symbol came, else of the first row."""
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.col(seq)))
     at = observations.groupBy("mint").agg(F.coalesce(F.greatest(first("name"), first("symbol")), F.min(seq)).alias("_at"))
-    rows = observations.join(at, (observations["mint"] == at["mint"]) & (observations[seq] == at["_at"])).select(observations["mint"], "name", "symbol")
+    at = at.withColumnRenamed("mint", "_mint")
+    rows = observations.join(at, (F.col("mint") == F.col("_mint")) & (F.col(seq) == F.col("_at"))).select("mint", "name", "symbol")
     return with_norms(rows, thresholds).select("mint", "trigrams")
 
 

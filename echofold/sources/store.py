@@ -1,6 +1,6 @@
 """The record table as versioned Parquet snapshots: a new version is whole before the pointer names it.
 
-A version is a folder; `_CURRENT` below the table names the one to read, and is replaced by a rename through Hadoop's
+A version is a folder; `CURRENT` below the table names the one to read, and is replaced by a rename through Hadoop's
 file system, so readers see the old table or the new one and a failed write leaves the old one in place.
 """
 
@@ -33,10 +33,10 @@ class CoinStore:
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> str | None:
-        at = self._Path(f"{self.path}/_CURRENT")
+        at = self._Path(f"{self.path}/CURRENT")
         if not self._fs.exists(at):
             return None
-        return self.spark.read.text(f"{self.path}/_CURRENT").first()[0]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def read(self) -> DataFrame:
         """The current rows; an unwritten store has none."""
@@ -49,7 +49,7 @@ class CoinStore:
         """Writes a new version and then points at it; rows may derive from the current version."""
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{version}")
-        held = self._Path(f"{self.path}/_NEXT-{version}")
+        held = self._Path(f"{self.path}/NEXT-{version}")
         out = self._fs.create(held, True)
         out.write(bytearray(version.encode()))
         out.close()
@@ -57,4 +57,4 @@ class CoinStore:
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
-        context.rename(held, self._Path(f"{self.path}/_CURRENT"), options)
+        context.rename(held, self._Path(f"{self.path}/CURRENT"), options)
