@@ -4,7 +4,7 @@ A text is its lower-cased words (runs of letters and numbers); a word is itself
 between word marks, hashed to BUCKETS, so a misspelling shares most of its vectors with the word. A text's vector is the
 mean of its subwords' vectors, and a linear softmax over it gives the two classes. Vectors and softmax are trained
 together with Adam on a bounded sample: at most SAMPLE rows without toxicity and half as many with it, those with the
-smallest hash of the key, in one task; its size does not grow with the table.
+smallest hash of the key. Their bags are made in parallel; one task fits on them, whose size does not grow with the table.
 
 Defined results: null text, and text without a word, has the score of the bias alone; with no labelled rows of both
 classes the score is 0 for all; label rows with a null key or label are not learned from; a key that repeats in the
@@ -36,6 +36,7 @@ BATCH = 64
 RATE = 0.02
 SCALE = 30.0
 SLICE_BYTES = 1 << 20
+TRAIN_SLICE_BYTES = 1 << 18
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +91,15 @@ def subwords(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found[order], np.searchsorted(rows[order], np.arange(n + 1))
 
 
+def packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, label, t as key, label and the row's bag: buckets (int32) and shares (float32) as binary."""
+    for part in slices(batches, "t", TRAIN_SLICE_BYTES):
+        bucket, share, at = bags(part.column(2))
+        offs = pa.py_buffer((at * 4).astype(np.int32))
+        own = [pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offs, pa.py_buffer(np.ascontiguousarray(x))]) for x in (bucket.astype(np.int32), share)]
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *own], ["key", "label", "bucket", "share"])
+
+
 def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct buckets of each row, their share of the row's subwords, and the rows' bounds."""
     flat, bounds, token, rows = words_of(column)
@@ -104,9 +114,9 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key % BUCKETS, (n / np.diff(per_row)[row]).astype(np.float32), at
 
 
-def fit(column: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+def fit(bag: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     """Vectors E (BUCKETS x DIM), softmax W (2 x DIM) and bias b (2)."""
-    bucket, share, at = bags(column)
+    bucket, share, at = bag
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     W = rng.normal(0, 0.5, (2, DIM)).astype(np.float32)
@@ -166,18 +176,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     taken = [known.where(F.col("label") == c).orderBy(F.xxhash64(F.col("key").cast("string"), F.lit(11)), "key").limit(sample // (1 + c)) for c in (0, 1)]
     rows = docs.select(docs[key].alias("key"), docs[text].alias("t")).join(F.broadcast(taken[0].union(taken[1])), "key")  # at most 1.5 * sample rows
     rows = rows.groupBy("key", "label").agg(F.min("t").alias("t"))
+    rows = rows.mapInArrow(packed_bags, f"key {docs.schema[key].dataType.simpleString()}, label int, bucket binary, share binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), pa.schema([("label", pa.int32()), ("t", pa.string())]))
-        y = held.column(0).to_numpy().astype(np.int64)
+        found = [(b.column(0).to_numpy(zero_copy_only=False), *utf8_view(b.column(1)), utf8_view(b.column(2))[0]) for b in batches]
+        y = np.concatenate([x[0] for x in found] or [np.zeros(0)]).astype(np.int64)
         if len(set(y.tolist())) < 2:
             return
         weight = np.array([counts[c] / max(1, (y == c).sum()) for c in (0, 1)])[y].astype(np.float32)
         out = io.BytesIO()
-        np.savez(out, **fit(held.column(1).combine_chunks(), y, weight))
+        count = np.concatenate([np.diff(x[2]) // 4 for x in found])
+        bag = np.concatenate([x[1].view(np.int32) for x in found]), np.concatenate([x[3].view(np.float32) for x in found]), np.concatenate([[0], np.cumsum(count)])
+        del found
+        np.savez(out, **fit(bag, y, weight))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    found = rows.repartition(1).sortWithinPartitions("key").select("label", "t").mapInArrow(run, "model binary").collect()  # one row
+    found = rows.repartition(1).sortWithinPartitions("key").select("label", "bucket", "share").mapInArrow(run, "model binary").collect()  # one row
     return dict(np.load(io.BytesIO(found[0].model))) if found else None
 
 
