@@ -59,12 +59,12 @@ def jaro_winkler(left: list[str], right: list[str], chunk: int = 8192) -> np.nda
 
 @F.pandas_udf(T.DoubleType())
 def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    ok = left.notna() & right.notna()
-    pairs = pd.MultiIndex.from_arrays([left[ok], right[ok]])
-    codes, distinct = pairs.factorize()
-    scores = jaro_winkler([x for x, _ in distinct], [y for _, y in distinct])
+    ok = (left.notna() & right.notna()).to_numpy()
+    pairs = list(zip(left[ok], right[ok], strict=True))
+    place = {pair: k for k, pair in enumerate(dict.fromkeys(pairs))}
+    scores = jaro_winkler([a for a, _ in place], [b for _, b in place])
     out = pd.Series(np.nan, index=left.index, dtype=float)
-    out[ok] = scores[codes] if len(distinct) else np.zeros(0)
+    out[ok] = scores[[place[p] for p in pairs]] if pairs else np.zeros(0)
     return out.astype(object).where(ok, None)
 
 
