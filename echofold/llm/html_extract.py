@@ -29,7 +29,7 @@ from echofold.llm.batches import slices
 from echofold.llm.html_pages import labelled_page
 
 TRAINING_PAGES = 240
-STEPS = 200
+STEPS = 300
 SLICE_BYTES = 1 << 20
 #: Fixed values of HTML: elements without content, elements whose content is raw, block-level elements, and implied ends.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,7 +231,7 @@ def labels_of(page: Page) -> np.ndarray:
     return out
 
 
-def train(sources: list[str], steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+def train(sources: list[str], steps: int = STEPS, rate: float = 0.15, decay: float = 1e-4) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Feature index, weights and edge potentials (3 x 2 x 2) that make the marked labels likeliest."""
     pages = [Page(s) for s in sources]
     index: dict[str, int] = {}

@@ -62,10 +62,10 @@ def labelled_page(seed: int) -> str:
     terse = r.random() < 0.35  # many paragraphs of a few words
     for _ in range(r.randint(6, 25) if terse else r.randint(1, 8)):
         inner.append(f"<p>{_text(r, 1, 4)}</p>" if terse and r.random() < 0.9 else _block(r))
-        inner += some(ADS, 0.08, prose) + some(SIDE, 0.05, _links) + some(FORMS, 0.03, field)
+        inner += some(ADS, 0.12, prose) + some(SIDE, 0.06, _links) + some(FORMS, 0.04, field)
     if r.random() < 0.3:
         inner = [f'<div class="{r.choice(["row", "inner", "wrap", "section"])}">' + "".join(inner) + "</div>"]
-    inner += some(COMMENTS, 0.1, prose)
+    inner += some(COMMENTS, 0.25, prose)
     main = _wrap(r.choice(MAIN), "".join(inner), 'data-main="1"')
     before = some(NOTICES, 0.3, prose) + some(LINKS, 0.8, _links) + some(ADS, 0.4, prose) + some(FORMS, 0.2, field)
     after = some(COMMENTS, 0.4, prose) + some(SIDE, 0.5, _links) + some(SIDE, 0.2, prose) + some(ADS, 0.3, prose) + some(FORMS, 0.15, field) + some(FOOTERS, 0.8, lambda r: _links(r) if r.random() < 0.5 else _text(r, 3, 20))
