@@ -228,8 +228,9 @@ class PairIndex:
             words.append(tokens.dictionary)
             codes.append(tokens.indices.to_numpy(zero_copy_only=False))
             bounds.append(np.searchsorted(begin, offs))
-        unified = pa.chunked_array(words, pa.binary()).dictionary_encode().unify_dictionaries()
-        distinct = unified.chunk(0).dictionary if unified.num_chunks else pa.array([], pa.binary())
+        unified = pa.concat_arrays(words).dictionary_encode()
+        distinct = unified.dictionary
+        places = np.split(unified.indices.to_numpy(zero_copy_only=False), np.cumsum([len(x) for x in words])[:-1])
         raw, offs = utf8_view(distinct)
         ids, first = self.encode_words(raw, offs)
         count = np.diff(first)
@@ -239,8 +240,8 @@ class PairIndex:
             if k >= 0:
                 first[k], count[k] = len(ids), 1
                 ids = np.append(ids, np.int32(i))
-        for own, code, bound in zip(unified.chunks, codes, bounds, strict=True):
-            code = own.indices.to_numpy(zero_copy_only=False)[code]
+        for own, code, bound in zip(places, codes, bounds, strict=True):
+            code = own[code]
             each = count[code]
             yield ids[spans(first[code], each)], np.concatenate([[0], np.cumsum(each)])[bound]
 

@@ -18,7 +18,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, key
 
 def docs_of(spark, texts):
     """Documents with nulls in other columns, and further columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, x, None, None if i % 2 else "h", None, "k", "t", "s", "f", "i") for i, x in texts], DOCS)
+    return spark.createDataFrame([(i, x, None, None if (i or 0) % 2 else "h", None, "k", "t", "s", "f", "i") for i, x in texts], DOCS)
 
 
 ODD = [(1, None), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (4, "A b C d e f"), (None, "a b c d e f"), (5, "\n\n"), (6, "x" * 300_000), (7, "word " * 60_000), (8, "É漢😀 <|endoftext|>")]
