@@ -65,12 +65,16 @@ def labelled_page(seed: int) -> str:
         inner += some(ADS, 0.12, prose) + some(SIDE, 0.06, _links) + some(FORMS, 0.04, field)
     if r.random() < 0.3:
         inner = [f'<div class="{r.choice(["row", "inner", "wrap", "section"])}">' + "".join(inner) + "</div>"]
-    inner += some(COMMENTS, 0.25, prose)
+    inner += some(COMMENTS, 0.25, prose) + some(FOOTERS, 0.08, lambda r: _text(r, 1, 12)) + some(LINKS, 0.05, _links)
     main = _wrap(r.choice(MAIN), "".join(inner), 'data-main="1"')
     before = some(NOTICES, 0.3, prose) + some(LINKS, 0.8, _links) + some(ADS, 0.4, prose) + some(FORMS, 0.2, field)
     after = some(COMMENTS, 0.4, prose) + some(SIDE, 0.5, _links) + some(SIDE, 0.2, prose) + some(ADS, 0.3, prose) + some(FORMS, 0.15, field) + some(FOOTERS, 0.8, lambda r: _links(r) if r.random() < 0.5 else _text(r, 3, 20))
     r.shuffle(before)
+    if r.random() < 0.3:  # little beside the article
+        before, after = before[:0], after[-1:]
     body = "".join([*before, main, *after])
     if r.random() < 0.3:
         body = f'<div class="{r.choice(["page", "container", "wrapper", "site"])}">{body}</div>'
+    if r.random() < 0.25:
+        return body
     return f"<html><head><title>{_text(r, 2, 6)}</title></head><body>{body}</body></html>"
