@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+BATCH_ROWS = 500
 
 
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,3 +63,26 @@ def sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, offs[full], axis=0)
     return out
+
+
+def release() -> None:
+    """Gives memory that Arrow and malloc hold for reuse back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow, with memory given back when a partition ends. Called on the driver, it also bounds the rows of
+    the session's Arrow batches to BATCH_ROWS, as 10,000 long texts at once are many times what a kernel holds."""
+    session = SparkSession.getActiveSession()
+    if session is not None and int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean_run

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from echofold.llm.batches import code_points, slices, spans, utf8_view
+from echofold.llm.batches import code_points, lean, slices, spans, utf8_view
 
-BLOCK_BYTES = 24 << 20
-SLICE_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 UNKNOWN = 255
 #: The white space of the pre-tokenizer's pattern, and its contractions.
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids", "decoded"][: len(columns)])
 
     schema = f"key {kind}, n_tokens long, ids binary" + ", decoded string" * decoded
-    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(lean(run), schema).withColumnRenamed("key", key)
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -305,4 +305,4 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             raw, offs = utf8_view(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), index.decode(np.frombuffer(raw.tobytes(), "<u4").astype(np.int32), offs // 4)], ["key", "decoded"])
 
-    return tokens.select(tokens[key].alias("key"), tokens[ids].alias("i")).mapInArrow(run, f"key {kind}, decoded string").withColumnRenamed("key", key)
+    return tokens.select(tokens[key].alias("key"), tokens[ids].alias("i")).mapInArrow(lean(run), f"key {kind}, decoded string").withColumnRenamed("key", key)

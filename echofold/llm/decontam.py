@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.batches import code_points, slices, spans, utf8_view
+from echofold.llm.batches import code_points, lean, slices, spans, utf8_view
 from echofold.llm.bpe import LETTER, NUMBER, char_classes
 
 Q = 8
@@ -188,7 +188,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                 kind = kind or (pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own.ids[at].tolist(), kind), pa.array(edits.astype(np.int32)), pa.array(1 - edits / own.size[at])], ["key", "item", "edits", "similarity"])
 
-        found = rows.mapInArrow(run, f"key {kinds[0]}, item {kinds[1]}, edits int, similarity double")
+        found = rows.mapInArrow(lean(run), f"key {kinds[0]}, item {kinds[1]}, edits int, similarity double")
         out = found if out is None else out.union(found)
     return out.withColumnsRenamed({"key": key, "item": item})
 
@@ -205,5 +205,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
                 clean[leaks(held.value, part.column(at))[0]] = False
                 yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

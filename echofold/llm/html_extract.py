@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from echofold.llm.batches import slices
+from echofold.llm.batches import lean, slices
 from echofold.llm.html_pages import labelled_page
 
 TRAINING_PAGES = 240
@@ -296,4 +296,4 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", model: t
             texts = extract_texts(part.column(1).to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["key", "text", "n_chars"])
 
-    return pages.select(pages[key].alias("key"), pages[html].alias("h")).mapInArrow(run, f"key {kind}, text string, n_chars long").withColumnRenamed("key", key)
+    return pages.select(pages[key].alias("key"), pages[html].alias("h")).mapInArrow(lean(run), f"key {kind}, text string, n_chars long").withColumnRenamed("key", key)

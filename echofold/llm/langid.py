@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.batches import code_points, slices, sums, utf8_view
+from echofold.llm.batches import code_points, lean, slices, sums, utf8_view
 from echofold.llm.bpe import LETTER, char_classes
 
 BUCKET_BITS = 15
@@ -96,7 +96,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in total], pa.binary())], ["lang", "counts"])
 
     total = np.zeros((len(names), BUCKETS), np.int64)
-    for r in taken.select("t", "lang").repartition(4).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for r in taken.select("t", "lang").repartition(4).mapInArrow(lean(count), "lang string, counts binary").toLocalIterator():
         total[at[r.lang]] += np.frombuffer(r.counts, np.int64)
     logs = np.log(total + SMOOTHING) - np.log((total + SMOOTHING).sum(axis=1, keepdims=True))
     prior = np.log(np.array([counts[x] for x in names]) / sum(counts.values()))
@@ -126,4 +126,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
                 prob[some] = 1 / np.exp(score[some] - score[some].max(axis=1, keepdims=True)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(prob)], ["key", "lang_pred", "score"])
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(lean(run), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)

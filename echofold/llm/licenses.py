@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.batches import slices
+from echofold.llm.batches import lean, slices
 
 GAP = 3
 SLICE_BYTES = 4 << 20
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             names = [licenses_of(x) if x else [] for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.string())), pa.array(names, pa.list_(pa.string()))], ["key", "sentences", "licenses"])
 
-    found = docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(run, f"key {kind}, sentences array<string>, licenses array<string>")
+    found = docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(lean(run), f"key {kind}, sentences array<string>, licenses array<string>")
     return found.withColumnRenamed("key", key)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.batches import slices, utf8_view
+from echofold.llm.batches import lean, slices, utf8_view
 from echofold.llm.components import components, hook
 from echofold.llm.storage import settled
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1)).view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(lean(run), f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 def trie_forest(unit: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def near_links(fps: DataFrame, fp: str = "fp", budget: int = BUDGET) -> DataFram
             yield links(held)
 
     unit = F.xxhash64("bucket", "part").alias("unit")
-    found = keyed.select(unit, "fp").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    found = keyed.select(unit, "fp").repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(run), "a long, b long")
     return found.where("a <> b")
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.batches import code_points, slices, spans, sums, utf8_view
+from echofold.llm.batches import code_points, lean, slices, spans, sums, utf8_view
 from echofold.llm.bpe import LETTER, NUMBER, char_classes
 
 BUCKET_BITS = 17
@@ -176,22 +176,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     taken = [known.where(F.col("label") == c).orderBy(F.xxhash64(F.col("key").cast("string"), F.lit(11)), "key").limit(sample // (1 + c)) for c in (0, 1)]
     rows = docs.select(docs[key].alias("key"), docs[text].alias("t")).join(F.broadcast(taken[0].union(taken[1])), "key")  # at most 1.5 * sample rows
     rows = rows.groupBy("key", "label").agg(F.min("t").alias("t"))
-    rows = rows.mapInArrow(packed_bags, f"key {docs.schema[key].dataType.simpleString()}, label int, bucket binary, share binary")
+    rows = rows.mapInArrow(lean(packed_bags), f"key {docs.schema[key].dataType.simpleString()}, label int, bucket binary, share binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(b.column(0).to_numpy(zero_copy_only=False), *utf8_view(b.column(1)), utf8_view(b.column(2))[0]) for b in batches]
-        y = np.concatenate([x[0] for x in found] or [np.zeros(0)]).astype(np.int64)
+        y, count, bucket, share = [], [], bytearray(), bytearray()  # grown in place, a batch at a time
+        for batch in batches:
+            raw, offs = utf8_view(batch.column(1))
+            y.append(batch.column(0).to_numpy(zero_copy_only=False))
+            count.append(np.diff(offs) // 4)
+            bucket += memoryview(raw)
+            share += memoryview(utf8_view(batch.column(2))[0])
+        y = np.concatenate([*y, np.zeros(0, np.int64)]).astype(np.int64)
         if len(set(y.tolist())) < 2:
             return
         weight = np.array([counts[c] / max(1, (y == c).sum()) for c in (0, 1)])[y].astype(np.float32)
         out = io.BytesIO()
-        count = np.concatenate([np.diff(x[2]) // 4 for x in found])
-        bag = np.concatenate([x[1].view(np.int32) for x in found]), np.concatenate([x[3].view(np.float32) for x in found]), np.concatenate([[0], np.cumsum(count)])
-        del found
+        bag = np.frombuffer(bucket, np.int32), np.frombuffer(share, np.float32), np.concatenate([[0], np.cumsum(np.concatenate(count))])
         np.savez(out, **fit(bag, y, weight))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    found = rows.repartition(1).sortWithinPartitions("key").select("label", "bucket", "share").mapInArrow(run, "model binary").collect()  # one row
+    found = rows.repartition(1).sortWithinPartitions("key").select("label", "bucket", "share").mapInArrow(lean(run), "model binary").collect()  # one row
     return dict(np.load(io.BytesIO(found[0].model))) if found else None
 
 
@@ -205,7 +209,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray] | None, key: str = "doc
             score = scores(part.column(1), held.value) if held.value else np.zeros(part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["key", "score"])
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(run, f"key {kind}, score double").select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(lean(run), f"key {kind}, score double").select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text") -> DataFrame:
@@ -217,4 +221,4 @@ def without_toxic(docs: DataFrame, model: dict[str, np.ndarray] | None, text: st
         for part in slices(batches, text, SLICE_BYTES):
             yield part.filter(pa.array(scores(part.column(at), held.value) < 0.5)) if held.value else part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

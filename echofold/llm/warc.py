@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echofold.llm.batches import lean
+
 ROWS_A_FILE = 1000
 VERSION = "WARC/1.1"
 BREAK = "\r\n"
@@ -140,7 +142,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], schema.names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def transactions(records: DataFrame) -> DataFrame:
