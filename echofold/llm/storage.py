@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_DIR = "echofold.shared.dir"  # remembers the folder chosen
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is set (local tests) a folder of this machine."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        held = found.get() if found.isDefined() else None
-    if not held:
-        held = "file://" + tempfile.mkdtemp(prefix="echofold-")
-        spark.conf.set("spark.checkpoint.dir", held)
+    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: on a cluster a folder in the
+    warehouse, and only with a local master one of this machine, removed at exit."""
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
+    if not held and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        folder = tempfile.mkdtemp(prefix="echofold-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        held = f"file://{folder}"
+    elif not held:
+        held = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_echofold"
+    spark.conf.set(OWN_DIR, held)
     return held
 
 
