@@ -6,7 +6,6 @@ of the graph of keys (a record ties its two keys together) are those of the reco
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,27 +16,21 @@ from pyspark.sql import functions as F
 from echofold.functions.similarity import jaro_winkler, similarity
 from echofold.functions.text import trigrams
 from echofold.model import THRESHOLDS, Thresholds
-from echofold.sources.store import shared_dir
+from echofold.sources.store import settled
 
 EXHAUSTIVE_KEYS = 20_000
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (its component's smallest node) of a column pair a, b: minimum labels over links, with labels of labels."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    both = settled(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         step = step.join(jump, step.root == jump._n, "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root"), "was")
-        step = written(step, "labels")
+        step = settled(step, "labels")
         labels = step.select("node", "root")
         if step.where("root <> was").isEmpty():
             return labels

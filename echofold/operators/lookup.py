@@ -11,6 +11,7 @@ from echofold.functions.text import with_norms
 from echofold.model import THRESHOLDS, Thresholds
 from echofold.operators.candidates import candidates
 from echofold.operators.merge import ran_evidence
+from echofold.sources.store import settled
 
 
 def corpus_age(started_at: Column, now: Column) -> Column:
@@ -27,13 +28,13 @@ def subjects_of(rows: DataFrame, coins: DataFrame, thresholds: Thresholds = THRE
     return own.join(coins.select("mint", "phash"), "mint", "left")
 
 
-def priors(subjects: DataFrame, coins: DataFrame, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
+def priors(subjects: DataFrame, coins: DataFrame, thresholds: Thresholds = THRESHOLDS, found: DataFrame | None = None) -> DataFrame:
     """A row for each subject and prior record, with its rank.
 
     Kept: text at the strict bar, or an image within the distance. matchedOn is what the strict bar recognised, else what
-    the looser bar did, then image. Both bars come from one score of each field pair.
+    the looser bar did, then image. Both bars come from one score of each field pair. found: candidates() of the same.
     """
-    found = candidates(subjects, coins, thresholds).select("subject", "capped", F.explode("mints").alias("mint"))
+    found = (candidates(subjects, coins, thresholds) if found is None else found).select("subject", "capped", F.explode("mints").alias("mint"))
     s = subjects.select(F.col("mint").alias("subject"), F.col("normName").alias("_name"), F.col("normSymbol").alias("_symbol"), F.col("phash").alias("_phash"))
     rows = found.join(coins, "mint").join(s, "subject")
     rows = rows.withColumn("_scores", pair_scores(F.col("normName"), F.col("normSymbol"), F.col("_name"), F.col("_symbol"), thresholds.narrative.min_length))
@@ -49,11 +50,11 @@ def priors(subjects: DataFrame, coins: DataFrame, thresholds: Thresholds = THRES
 
 def lookup(subjects: DataFrame, coins: DataFrame, started_at: int, now: int, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
     """One row per subject: ranCount, totalCount, capped, confident, corpusAgeMs."""
-    counts = priors(subjects, coins, thresholds).groupBy("subject").agg(F.count_if("ran").alias("ranCount"), F.count("*").alias("totalCount"))
-    capped = candidates(subjects, coins, thresholds).select("subject", "capped")
+    found = settled(candidates(subjects, coins, thresholds), "candidates")
+    counts = priors(subjects, coins, thresholds, found).groupBy("subject").agg(F.count_if("ran").alias("ranCount"), F.count("*").alias("totalCount"))
     age = corpus_age(F.lit(started_at).cast("long"), F.lit(now).cast("long"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return subjects.select(F.col("mint").alias("subject")).join(counts, "subject", "left").join(capped, "subject", "left").select(
+    return subjects.select(F.col("mint").alias("subject")).join(counts, "subject", "left").join(found.select("subject", "capped"), "subject", "left").select(
         F.col("subject").alias("mint"), zero("ranCount"), zero("totalCount"), F.coalesce("capped", F.lit(False)).alias("capped"), is_confident(age, thresholds).alias("confident"), age.alias("corpusAgeMs")
     )
 

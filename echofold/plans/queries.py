@@ -102,14 +102,15 @@ def str7_mth3(spark, sf):
     return B.hashes(spark, sf).select("vec_id", "phash", F.array_join(phash_bands(F.col("phash")), " ").alias("bands"))
 
 
-@query("JN2_band_join", f"""WITH {HASH}, band AS (SELECT vec_id, k, substr(phash, 4 * k + 1, 4) AS key FROM hash, range(0, 4) AS r(k)),
-pair AS (SELECT DISTINCT a.vec_id AS subject, b.vec_id AS vec_id FROM band a JOIN band b ON a.k = b.k AND a.key = b.key AND a.vec_id < b.vec_id)
-SELECT p.subject, p.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(x.bits[i] - y.bits[i]))) AS INT) AS distance FROM pair p JOIN hash x ON x.vec_id = p.subject JOIN hash y ON y.vec_id = p.vec_id""")
+@query("JN2_band_join", f"""WITH {HASH}, coin AS (SELECT CAST(vec_id AS VARCHAR) AS mint, vec_id, '' AS nn, '' AS ns, phash, bits FROM hash), ask AS (SELECT * FROM coin), {CANDIDATES}
+SELECT c.subject, c.mint, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(x.bits[i] - y.bits[i]))) AS INT) AS distance FROM cand c JOIN coin x ON x.mint = c.subject JOIN coin y ON y.mint = c.mint""")
 def jn2_mth4(spark, sf):
-    own = B.hashes(spark, sf).withColumn("band", F.explode(phash_bands(F.col("phash"))))
-    ask = own.select(F.col("vec_id").alias("subject"), F.col("phash").alias("_p"), "band")
-    pairs = ask.join(own, "band").where("subject < vec_id").select("subject", "vec_id", "_p", "phash").distinct()
-    return pairs.select("subject", "vec_id", images.hamming(F.col("_p"), F.col("phash")).alias("distance"))
+    """Hashes that share a band with each subject's, and their distance."""
+    none = F.array().cast("array<string>")
+    coins = B.hashes(spark, sf).select(F.col("vec_id").cast("string").alias("mint"), F.lit("").alias("normName"), F.lit("").alias("normSymbol"), none.alias("trigrams"), "phash", "vec_id")
+    found = candidates(coins, coins).select("subject", F.explode("mints").alias("mint"))
+    own = coins.select(F.col("mint").alias("subject"), F.col("phash").alias("_p"))
+    return found.join(coins.select("mint", "phash"), "mint").join(own, "subject").select("subject", "mint", images.hamming(F.col("_p"), F.col("phash")).alias("distance"))
 
 
 @query("AGG9_variance", "SELECT vec_id, round(list_var_pop(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 9) AS variance, list_sort(embedding[2:64])[32] AS middle FROM embeddings")
@@ -363,10 +364,18 @@ def asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query("JN1_exact_keys", f"WITH {RECORDS}, {ASK} SELECT a.mint, count(DISTINCT c.mint) AS others FROM ask a JOIN coin c ON c.mint <> a.mint AND ((length(a.nn) >= 3 AND a.nn IN (c.nn, c.ns)) OR (length(a.ns) >= 3 AND a.ns IN (c.nn, c.ns))) GROUP BY a.mint")
 def jn1_flt2_flt3(spark, sf):
+    """Counted, not listed: records with one of a subject's keys, less those with both, so no pair of a hot key is made."""
     ask, coins = asked(spark, sf)
-    keys = lambda rows, name: rows.select(F.col("mint").alias(name), F.explode(F.array_distinct(F.array("normName", "normSymbol"))).alias("key")).where(F.length("key") >= 3)
-    pairs = keys(ask, "mint").join(keys(coins, "other"), "key").where("mint <> other")
-    return pairs.groupBy("mint").agg(F.countDistinct("other").alias("others"))
+    least = THRESHOLDS.narrative.min_length
+    long = lambda c: F.when(F.length(c) >= least, F.col(c))
+    one = coins.select(F.explode(F.array_distinct(F.array_compact(F.array(long("normName"), long("normSymbol"))))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    two = coins.where((F.length("normName") >= least) & (F.length("normSymbol") >= least) & (F.col("normName") != F.col("normSymbol")))
+    two = two.groupBy(F.least("normName", "normSymbol").alias("lo"), F.greatest("normName", "normSymbol").alias("hi")).agg(F.count("*").alias("both"))
+    rows = ask.select("mint", long("normName").alias("a"), F.when(F.col("normSymbol") != F.col("normName"), long("normSymbol")).alias("b"))
+    rows = rows.join(one.select(F.col("key").alias("a"), F.col("n").alias("na")), "a", "left").join(one.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b", "left")
+    rows = rows.join(two, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")) & F.col("a").isNotNull() & F.col("b").isNotNull(), "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("mint", (n("na") + n("nb") - n("both") - 1).alias("others")).where("others > 0")
 
 
 CANDIDATE_ROWS = "SELECT subject AS mint, count(*) AS n, count(*) >= 200 AS capped, md5(string_agg(mint, ',' ORDER BY place)) AS listed FROM cand GROUP BY subject"

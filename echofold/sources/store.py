@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def settled(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back, so what follows reads it rather than making it again."""
+    path = f"{shared_dir(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 class CoinStore:
     """Snapshots of COIN rows at a path."""
 
