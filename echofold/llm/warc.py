@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm.batches import lean
+from echofold.llm.storage import settled
 
 ROWS_A_FILE = 1000
+BROADCAST_DIGESTS = 100_000
 VERSION = "WARC/1.1"
 BREAK = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -43,14 +45,16 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """Rows key, url, payload binary, payload_bytes, payload_digest, record_type, refers_to (the response's key, or null).
 
     Of equal payloads of least_bytes or more the smallest key is the response. The digest's groups are counted before
-    the shuffle; only digests that occur again are joined back.
+    the shuffle; only digests that occur again are joined back, broadcast while there are BROADCAST_DIGESTS or fewer, so
+    payloads are not shuffled; beyond that by a join whose hot digests Spark may split.
     """
     payload = F.coalesce(pages[html].cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(pages[key].alias("key"), F.coalesce(pages[url], F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
     again = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = again.select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "first")
-    out = rows.join(again, (rows.payload_digest == again.d) & (rows.payload_bytes == again.b), "left")
+    again = settled(again.select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "first"), "warc-again")
+    few = again.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    out = rows.join(F.broadcast(again) if few else again, (rows.payload_digest == again.d) & (rows.payload_bytes == again.b), "left")
     revisit = F.coalesce(F.col("first") != F.col("key"), F.col("first").isNotNull() & F.col("key").isNull())
     return out.select("key", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
