@@ -2,9 +2,10 @@
 
 A text is its lower-cased words (runs of letters and numbers); a word is itself and the 3- to 5-grams of its characters
 between word marks, hashed to BUCKETS, so a misspelling shares most of its vectors with the word. A text's vector is the
-mean of its subwords' vectors, and a linear softmax over it gives the two classes. Vectors and softmax are trained
-together with Adam on a bounded sample: at most SAMPLE rows without toxicity and half as many with it, those with the
-smallest hash of the key. Their bags are made in parallel; one task fits on them, whose size does not grow with the table.
+mean of its subwords' vectors and of PRIOR zero vectors, so that a few words alone don't tip it, and a linear softmax
+over it gives the two classes. Vectors and softmax are trained together with Adam on a bounded sample: at most SAMPLE
+rows without toxicity and half as many with it, those with the smallest hash of the key. Their bags are made in
+parallel; one task fits on them, whose size does not grow with the table.
 
 Defined results: null text, and text without a word, has the score of the bias alone; with no labelled rows of both
 classes the score is 0 for all; label rows with a null key or label are not learned from; a key that repeats in the
@@ -35,6 +36,7 @@ EPOCHS = 8
 BATCH = 64
 RATE = 0.02
 SCALE = 30.0
+PRIOR = 800
 SLICE_BYTES = 1 << 20
 TRAIN_SLICE_BYTES = 1 << 18
 
@@ -101,7 +103,7 @@ def packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct buckets of each row, their share of the row's subwords, and the rows' bounds."""
+    """Distinct buckets of each row, their weight (the share of the row's subwords and PRIOR), and the rows' bounds."""
     flat, bounds, token, rows = words_of(column)
     bucket, own = subwords(flat, bounds)
     count = np.diff(own)[token]
@@ -111,7 +113,7 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, n = np.unique(row * BUCKETS + all_buckets, return_counts=True)
     at = np.searchsorted(key, np.arange(len(rows)) * BUCKETS)
     row = key // BUCKETS
-    return key % BUCKETS, (n / np.diff(per_row)[row]).astype(np.float32), at
+    return key % BUCKETS, (n / (np.diff(per_row)[row] + PRIOR)).astype(np.float32), at
 
 
 def fit(bag: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
@@ -158,7 +160,7 @@ def scores(column: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
     bucket, own = subwords(flat, bounds)
     value, size = sums(worth[bucket], own), np.diff(own)
     n = sums(size[token], rows)
-    mean = np.divide(sums(value[token], rows), n, out=np.zeros(len(n)), where=n > 0)
+    mean = sums(value[token], rows) / (n + PRIOR)
     return 1 / (1 + np.exp(-(SCALE * mean + float(model["b"][1] - model["b"][0]))))
 
 

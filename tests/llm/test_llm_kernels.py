@@ -193,7 +193,7 @@ def test_subwords_of_a_misspelling():
     # of the grams of <idiot>, those without the changed letter are shared: <id, idi, <idi
     assert len(a & b) == 3 and len(a) == len(b) == 5 + 4 + 3 + 1
     ids, share, at = toxicity.bags(pa.array(["one two one", "", None, "x"], pa.string()))
-    assert [round(float(share[p:q].sum()), 5) for p, q in zip(at[:-1], at[1:], strict=True)] == [1, 0, 0, 1]
+    assert [round(float(share[p:q].sum()), 5) for p, q in zip(at[:-1], at[1:], strict=True)] == [round(n / (n + toxicity.PRIOR), 5) for n in (21, 0, 0, 2)]
 
 
 def test_toxicity_learns_what_it_can_see():
