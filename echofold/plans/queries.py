@@ -267,7 +267,7 @@ CAP = "CASE WHEN k % 5 = 0 THEN bal * 1000.0 WHEN k % 5 = 1 THEN bal * 1000.0 WH
 
 
 @query("PRJ6_cards", f"""WITH c AS (SELECT c_custkey AS k, CAST(abs(floor(c_acctbal)) AS BIGINT) AS bal, {address_sql('c_custkey')} AS m, c_name FROM customer)
-SELECT k AS page_id, m AS mint, CASE WHEN k % 6 <> 0 THEN m END AS attr_mint, CASE WHEN k % 3 <> 0 THEN c_name END AS name, 'T' || (k % 100) AS symbol, 'https://cdn.example/' || m || '.webp' AS imageUrl, {CAP} AS marketCapUsd, 12.0 AS volumeUsd,
+SELECT k AS page_id, m AS mint, CASE WHEN k % 6 <> 0 THEN m END AS attr_mint, CASE WHEN k % 3 <> 0 THEN c_name END AS name, 'T' || (k % 100) AS symbol, 'https://cdn.example/' || m || '.webp' AS imageUrl, {CAP} AS marketCapUsd, CAST(12 AS DOUBLE) AS volumeUsd,
 CASE WHEN k % 2 = 0 THEN (k % 60) * 60.0 ELSE CAST(k % 60 AS DOUBLE) END AS ageSeconds, CASE k % 4 WHEN 0 THEN 'new-pairs' WHEN 1 THEN 'final-stretch' WHEN 2 THEN 'migrated' ELSE 'other' END AS source FROM c WHERE k % 3 <> 0 OR k % 2 = 0""")
 def prj6_tok_src1(spark, sf):
     """Cards with a name, or with their age where the name would be."""
