@@ -62,14 +62,25 @@ def hash_pixels(rgba: Column, thresholds: Thresholds = THRESHOLDS) -> Column:
     return run(rgba)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hash_coefficients(block: Column) -> Column:
     """The hash of 64 coefficients in an array, by built-in functions alone."""
+
+    def median(rest: Column) -> Column:
+        middle = F.size(rest) / 2
+        return F.when(F.size(rest) % 2 == 1, F.get(rest, F.floor(middle).cast("int"))).otherwise((F.get(rest, (middle - 1).cast("int")) + F.get(rest, middle.cast("int"))) / 2)
+
+    def digits(bits: Column) -> Column:
+        return F.lower(F.concat(*[F.lpad(F.conv(bits.substr(16 * k + 1, 16), 2, 16), 4, "0") for k in range(4)]))
+
     values = F.transform(block, lambda x: x.cast("double"))
-    rest = F.array_sort(F.slice(values, 2, F.size(values) - 1))
-    middle = F.size(rest) / 2
-    median = F.when(F.size(rest) % 2 == 1, F.get(rest, F.floor(middle).cast("int"))).otherwise((F.get(rest, (middle - 1).cast("int")) + F.get(rest, middle.cast("int"))) / 2)
-    bits = F.array_join(F.transform(values, lambda x: F.when(x > median, "1").otherwise("0")), "")
-    return F.lower(F.concat(*[F.lpad(F.conv(bits.substr(16 * k + 1, 16), 2, 16), 4, "0") for k in range(4)]))
+    rest = F.array_sort(F.slice(values, 2, F.size(block) - 1))
+    bits = _bound(_bound(rest, median), lambda m: F.array_join(F.transform(values, lambda x: F.when(x > m, "1").otherwise("0")), ""))
+    return _bound(bits, digits)
 
 
 def hamming(a: Column, b: Column) -> Column:
