@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echofold.functions.similarity import jaro_winkler, similarity
+from echofold.functions.similarity import PREFIX, SCALE, _codes, jaro_winkler, similarity
 from echofold.functions.text import trigrams
 from echofold.model import THRESHOLDS, Thresholds
 from echofold.sources.store import settled
 
-EXHAUSTIVE_KEYS = 20_000
+BLOCK_KEYS, BLOCK_CHARS = 2048, 1 << 19
+BATCH_ROWS = 500
+BROADCAST_KEYS = 1_000_000
+LETTERS, TIMES = 40, 4
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,30 +40,123 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def shared_least(bar: float, prefix: int) -> float:
+    """m / na + m / nb is at least this where m characters match and a score with so long a prefix is bar or more."""
+    return 3 * (bar - prefix * SCALE) / (1 - prefix * SCALE) - 1 - 1e-9
+
+
+def bags(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of counts for each key, and the lengths. Products of rows are never below the number of characters in common."""
+    codes, size = _codes(keys)
+    codes = np.where(np.arange(codes.shape[1]) < size[:, None], codes.astype(np.int64), -1)
+    codes.sort(axis=1)
+    new = np.ones(codes.shape, bool)
+    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    place = np.arange(codes.shape[1])
+    nth = np.minimum(place - np.maximum.accumulate(np.where(new, place, 0), axis=1), TIMES - 1)
+    out = np.zeros((len(keys), LETTERS * TIMES), np.float32)
+    row, col = np.nonzero(codes >= 0)
+    np.add.at(out, (row, codes[row, col] % LETTERS + LETTERS * nth[row, col]), 1)
+    return out, size
+
+
+def near_pairs(left: list[str], right: list[str], bar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, j of all pairs of unlike keys that score bar or more; keys of a side begin with one character."""
+    most = PREFIX if left[0][:1] == right[0][:1] else 0
+    (x, na), (y, nb) = bags(left), bags(right)
+    common = x @ y.T + 0.5  # whole numbers
+    found = []
+    for n in np.unique(na):
+        rows = np.flatnonzero(na == n)
+        i, j = np.nonzero(common[rows] >= shared_least(bar, most) * n * nb / np.maximum(n + nb, 1) + 0.5 - 1e-3)
+        found.append((rows[i], j))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    if most:
+        heads = [np.array([[ord(c) for c in key[:PREFIX].ljust(PREFIX, side)] for key in keys]) for keys, side in ((left, "\0"), (right, "\1"))]
+        prefix = np.logical_and.accumulate(heads[0][i] == heads[1][j], axis=1).sum(axis=1)
+        least = np.array([shared_least(bar, p) for p in range(PREFIX + 1)])[prefix]
+        keep = common[i, j] - 0.5 + 1e-3 >= least * na[i] * nb[j] / np.maximum(na[i] + nb[j], 1)
+        i, j = i[keep], j[keep]
+    chunk = max(1, min(8192, (1 << 22) // max(1, int(max(na.max(), nb.max())))))
+    scores = [jaro_winkler([left[k] for k in i[at : at + chunk]], [right[k] for k in j[at : at + chunk]]) for at in range(0, len(i), chunk)]
+    keep = np.concatenate([np.zeros(0), *scores]) >= bar
+    return i[keep], j[keep]
+
+
+def spanning(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """As few links as span the components of links a-b."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out: tuple[list[str], list[str]] = ([], [])
+    for x, y in zip(a, b, strict=True):
+        if (p := root(x)) != (q := root(y)):
+            up[max(p, q)] = min(p, q)
+            out[0].append(x)
+            out[1].append(y)
+    return out
+
+
+def key_blocks(keys: DataFrame) -> DataFrame:
+    """least, most (lengths), first (character), keys: distinct keys of near lengths in blocks, in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"least": len(held[0]), "most": len(held[-1]), "first": held[0][:1], "keys": held}], pa.schema([("least", pa.int32()), ("most", pa.int32()), ("first", pa.string()), ("keys", pa.list_(pa.string()))]))
+
+        held: list[str] = []
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                if held and (len(held) >= BLOCK_KEYS or key[:1] != held[0][:1] or (len(held) + 1) * len(key) > BLOCK_CHARS):
+                    yield block(held)
+                    held = []
+                held.append(key)
+        if held:
+            yield block(held)
+
+    order = [F.substring("key", 1, 1), F.length("key"), F.col("key")]
+    return settled(keys.select("key").where("key IS NOT NULL").distinct().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "least int, most int, first string, keys array<string>"), "key-blocks")
+
+
 def key_links(keys: DataFrame, bar: float, exhaustive: bool) -> DataFrame:
-    """Links a, b of distinct keys (column key) that score bar or more.
+    """Links a, b of distinct keys (column key) that span the components of those that score bar or more.
 
-    exhaustive: all pairs, for EXHAUSTIVE_KEYS keys at most (checked); each task scores its keys against all, in blocks.
-    Else: pairs that share a trigram among the first max_candidates of its bucket.
+    exhaustive: any two keys are compared, at any number of keys. Blocks of keys meet each other once, and one product of
+    their letter counts bounds all their scores, so only pairs that can reach the bar are scored; no such pair is left out.
+    Else: pairs that share a trigram among the first max_candidates of its bucket, which loses links.
     """
     if exhaustive:
-        if keys.limit(EXHAUSTIVE_KEYS + 1).count() > EXHAUSTIVE_KEYS:
-            raise ValueError(f"exhaustive clustering takes {EXHAUSTIVE_KEYS} keys at most")
-        # before its prefix boost a score is at least this, and it is the mean of 1, 1 and the lengths' ratio at most
-        share = max(0.0, 3 * (bar - 0.4) / 0.6 - 2 - 1e-9)
-        held = keys.sparkSession.sparkContext.broadcast(sorted(r.key for r in keys.collect()))
+        conf = keys.sparkSession.conf
+        if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        blocks = key_blocks(keys)
+        count, total = blocks.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+        name = F.col("keys")[0]
+        x = blocks.select("least", "most", "first", name.alias("id"), F.col("keys").alias("left")).repartition(max(1, count), "id").alias("x")  # a number given is kept: small rows, much work
+        y = blocks.select("least", "most", "first", name.alias("id"), F.col("keys").alias("right"))
+        y = (F.broadcast(y) if total <= BROADCAST_KEYS else y).alias("y")
+        # of two blocks either is the left one, by a hash, so that tasks have like shares
+        once = F.expr("x.id = y.id OR (x.id < y.id) = (pmod(xxhash64(least(x.id, y.id), greatest(x.id, y.id)), 2) = 0)")
+        # the shorter length counts against the longer one: m is at most the shorter
+        share = F.when(F.col("x.first") == F.col("y.first"), max(0.0, shared_least(bar, PREFIX) - 1)).otherwise(max(0.0, shared_least(bar, 0) - 1))
+        meet = once & (F.col("x.most") >= share * F.col("y.least")) & (F.col("y.most") >= share * F.col("x.least"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            every = held.value
-            size = np.array([len(x) for x in every])
             for batch in batches:
-                for key in batch.column(0).to_pylist():
-                    near = np.flatnonzero((np.minimum(size, len(key)) >= share * np.maximum(size, len(key))) & (np.array(every, object) > key))
-                    scores = jaro_winkler([key] * len(near), [every[k] for k in near])
-                    hits = [every[k] for k in near[scores >= bar]]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(hits), pa.string()), pa.array(hits, pa.string())], ["a", "b"])
-
-        return keys.select("key").mapInArrow(run, "a string, b string")
+                for row in range(batch.num_rows):
+                    left, right = (batch.column(c)[row].as_py() for c in (0, 1))
+                    i, j = near_pairs(left, right, bar)
+                    if left[0] == right[0]:
+                        i, j = i[i < j], j[i < j]
+                    a, b = spanning([left[k] for k in i], [right[k] for k in j])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+        return x.join(y, meet).select("left", "right").mapInArrow(run, "a string, b string")
     grams = keys.select("key", F.explode(trigrams(F.col("key"))).alias("gram"))
     ranked = grams.withColumn("_n", F.row_number().over(Window.partitionBy("gram").orderBy("key"))).where(F.col("_n") <= THRESHOLDS.max_candidates + 1)
     lists = ranked.groupBy("gram").agg(F.collect_list("key").alias("others"))
@@ -68,9 +164,10 @@ def key_links(keys: DataFrame, bar: float, exhaustive: bool) -> DataFrame:
     return pairs.where(similarity(F.col("a"), F.col("b")) >= bar)
 
 
-def clusters(rows: DataFrame, thresholds: Thresholds = THRESHOLDS, bar: float | None = None, exhaustive: bool = False) -> DataFrame:
+def clusters(rows: DataFrame, thresholds: Thresholds = THRESHOLDS, bar: float | None = None, exhaustive: bool = True) -> DataFrame:
     """mint, cluster (the smallest mint of its component), for rows of mint, normName, normSymbol and perhaps uri.
 
+    exhaustive=False is for quick looks alone, as it loses links (see key_links).
     Keys under the least length link nothing; records of one non-empty uri are linked; unmatched records stay alone.
     """
     bar = thresholds.narrative.min_similarity if bar is None else bar

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -116,6 +117,27 @@ def test_clusters_edges(spark):
         assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
 
 
+def test_clusters_compare_all_keys(spark, monkeypatch):
+    """Against all pairs: keys past the first 201 of a trigram, and near keys without a trigram in common."""
+    from echofold.functions.similarity import jaro_winkler
+
+    monkeypatch.setattr(cluster, "BLOCK_KEYS", 64)
+    draw = random.Random(5)
+    names = sorted({"thu" + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 9))) for _ in range(500)})
+    names += ["zyxthuqjk", "zyxwthuqk", "abcdefgh", "abdcefhg", "ünïcode", "ünicode", "aaaaaaaaaaaa", "aaaaaaaaaaab", "aaaaaaaa"]
+    group = {n: n for n in names}
+    for i, a in enumerate(names):
+        for b in (b for b, score in zip(names[i + 1 :], jaro_winkler([a] * len(names[i + 1 :]), names[i + 1 :]), strict=True) if score >= 0.9):
+            lost, kept = sorted((group[a], group[b]), reverse=True)
+            group = {n: kept if g == lost else g for n, g in group.items()}
+    rows = spark.createDataFrame([(n, n, "") for n in names], "mint string, normName string, normSymbol string")
+    assert {r.mint: r.cluster for r in cluster.clusters(rows).collect()} == group and 20 < len(set(group.values())) < len(names)
+    assert group["abcdefgh"] == group["abdcefhg"]
+    monkeypatch.setattr(cluster, "BROADCAST_KEYS", 0)
+    assert {r.mint: r.cluster for r in cluster.clusters(rows).collect()} == group
+    assert cluster.clusters(rows.limit(0)).count() == 0
+
+
 def test_upkeep(spark):
     now = T0 + THRESHOLDS.retention_ms
     rows = coins(spark, [{"mint": "old", "lastSeen": T0 - 1}, {"mint": "edge", "lastSeen": T0}, {"mint": "ran", "lastSeen": T0 - 9, "ran": True}])
