@@ -271,7 +271,17 @@ SELECT k AS page_id, m AS mint, CASE WHEN k % 6 <> 0 THEN m END AS attr_mint, CA
 CASE WHEN k % 2 = 0 THEN (k % 60) * 60.0 ELSE CAST(k % 60 AS DOUBLE) END AS ageSeconds, CASE k % 4 WHEN 0 THEN 'new-pairs' WHEN 1 THEN 'final-stretch' WHEN 2 THEN 'migrated' ELSE 'other' END AS source FROM c WHERE k % 3 <> 0 OR k % 2 = 0""")
 def prj6_tok_src1(spark, sf):
     """Cards with a name, or with their age where the name would be."""
-    found = cards.cards(B.card_pages(spark, sf).where("page_id % 3 <> 0 OR page_id % 2 = 0")).withColumn("seenAt", F.col("pos"))
+    return card_rows(B.card_pages(spark, sf).where("page_id % 3 <> 0 OR page_id % 2 = 0"))
+
+
+@query("PRJ6_cards_all")
+def prj6_all(spark, sf):
+    """The same of all pages. Where no name comes before an age in pieces, its number is read as the name and the age is null, as in the reference."""
+    return card_rows(B.card_pages(spark, sf))
+
+
+def card_rows(pages: DataFrame) -> DataFrame:
+    found = cards.cards(pages).withColumn("seenAt", F.col("pos"))
     return observe.judged(found).select("page_id", "mint", F.col("attrMint").alias("attr_mint"), "name", "symbol", "imageUrl", "marketCapUsd", "volumeUsd", "ageSeconds", "source")
 
 

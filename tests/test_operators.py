@@ -186,6 +186,19 @@ def test_cards(spark):
     assert (c.volume, c.source, c.mintText) == (None, "other", None)
 
 
+def test_all_card_pages_are_read(spark):
+    """Cards without a name and with an age in pieces, too: the reference reads the age's number as the name and finds no age."""
+    from echofold.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.page_id: r for r in QUERIES["PRJ6_cards_all"](spark, sf).collect()}
+    known = {r.page_id: r for r in QUERIES["PRJ6_cards"](spark, sf).collect()}
+    every = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    assert set(got) == every and all(got[k] == r for k, r in known.items())
+    rest = every - set(known)
+    assert rest and all((got[k].name, got[k].ageSeconds, got[k].symbol) == (str(k % 60), None, f"T{k % 100}") for k in rest)
+
+
 def test_scrubber(spark):
     rows = spark.createDataFrame([(1, "<p>a</p><script>x()</script><img src='data:image/png;base64,AAAA'><svg><path/></svg>"), (2, "mail me@x.example api_key = 1")], "page_id long, html string")
     got = {r.page_id: r for r in cards.scrubbed(rows).collect()}
