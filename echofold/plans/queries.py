@@ -121,10 +121,12 @@ def agg9_agg10(spark, sf):
 
 @query("MTH2_pixel_hash")
 def mth2(spark, sf):
-    """Documents' bytes as 32 x 32 pictures through the pixel path: luma, gate, DCT, median bits."""
+    """Documents' bytes, to their end, as 32 x 32 pictures through the pixel path: luma, gate, DCT, median bits."""
     size = THRESHOLDS.sample_size**2 * 4
-    pixels = F.encode(F.rpad(F.substring("text", 1, size), size, "x"), "ISO-8859-1")
-    return B.table(spark, sf, "documents").select("doc_id", images.hash_pixels(pixels).alias("r")).select("doc_id", "r.hash", "r.failure", F.round("r.variance", 6).alias("variance"))
+    last = F.floor((F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)) - 1) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.rpad(F.substring("text", k * size + 1, F.lit(size)), size, "x"))
+    rows = B.table(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("picture", "part"))
+    return rows.select("doc_id", "picture", images.hash_pixels(F.encode("part", "ISO-8859-1")).alias("r")).select("doc_id", "picture", "r.hash", "r.failure", F.round("r.variance", 6).alias("variance"))
 
 
 # --- parsers and observations --------------------------------------------------------------------------------------
