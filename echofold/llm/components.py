@@ -1,7 +1,10 @@
 """Connected components of a link table, by alternating large-star and small-star steps over Spark.
 
 Each round settles its links in the shared folder, so lineage stays short and a lost executor costs one round at most.
-Before a round, each partition replaces its links by a spanning forest, so hubs and repeated links shrink early.
+Before a round, each partition replaces its links by a spanning forest, so hubs and repeated links shrink early. Once
+ONE_TASK links or fewer are left, which is some megabytes at most, one task ends the work.
+
+Defined results: a link with a null end is no link, nor is a loop; repeated links count once; no links give no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from echofold.llm.storage import settled
 
 FOREST_LINKS = 1 << 20
+ONE_TASK = 1 << 17
 
 
 def hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -65,6 +69,8 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node long, component long (its smallest node) for every node of links (a long, b long); a loop a = b is no link."""
     links = settled(links.where("a <> b").mapInArrow(_local, "a long, b long").distinct(), "links")
+    if links.count() <= ONE_TASK:
+        return _with_roots(links.repartition(1).mapInArrow(_local, "a long, b long"))
     state = None
     for _ in range(rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -80,4 +86,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return _with_roots(links)
+
+
+def _with_roots(links: DataFrame) -> DataFrame:
+    """node, component of links (member, smallest member), which the smallest members' own rows are added to."""
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -47,7 +47,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.linked_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,3 +241,46 @@ def test_ann_kernels():
     copies = np.repeat(X[:1], 50, axis=0).astype(float)
     q, x, s = ann.best_of(np.array([7]), X[:1].astype(float), np.arange(50)[::-1].copy(), copies, 20)
     assert x.tolist() == [j for j in range(21) if j != 7] and len(set(s.tolist())) == 1
+
+
+def plain_set(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_shingle_sets():
+    from echofold.llm import shingle_sets
+
+    texts = ["", None, "One", "one TWO", "a b c d e", "A b c d e f a b c d e", "É é x\x0by\x1cz  w v", " ".join(f"w{k % 7}" for k in range(500)), "one"]
+    code, at = shingle_sets.sets_of(pa.array(texts, pa.string()))
+    assert np.diff(at).tolist() == [len(plain_set(x)) for x in texts]
+    cls = shingle_sets.digests(code, at).tolist()
+    assert [cls[i] == cls[j] for i in range(len(texts)) for j in range(i)] == [plain_set(texts[i]) == plain_set(texts[j]) for i in range(len(texts)) for j in range(i)]
+    fp, keys = shingle_sets.fingerprints(code, at), shingle_sets.bands(code, at)
+    assert fp.shape == (len(texts), shingle_sets.FP_WORDS) and not fp[:2].any() and not keys[:2].any() and (keys[2] == keys[8]).all() and (fp[2] == fp[8]).all()
+
+
+def test_similar_sets_are_those_of_all_pairs():
+    from echofold.llm import shingle_sets
+
+    r = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randint(0, 500)}" for _ in range(r.randint(20, 80))]
+        for _ in range(r.randint(1, 8)):
+            own = list(base)
+            for _ in range(r.randint(0, 2)):
+                own[r.randrange(len(own))] = f"x{r.randint(0, 99)}"
+            texts.append(" ".join(own))
+    code, at = shingle_sets.sets_of(pa.array(texts))
+    fp = shingle_sets.fingerprints(code, at)
+    sets = [plain_set(x) for x in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    i, j = shingle_sets.similar(np.zeros(len(texts), int), fp, code, at, 0.8, 128)
+    assert roots(len(texts), zip(i.tolist(), j.tolist(), strict=True)) == roots(len(texts), near) and len(near) > 10
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in zip(i, j, strict=True))
+    side = np.arange(len(texts)) % 2
+    i, j = shingle_sets.similar(side, fp, code, at, 0.8, 128)
+    assert roots(len(texts), zip(i.tolist(), j.tolist(), strict=True)) == roots(len(texts), [(a, b) for a, b in near if side[a] != side[b]])
+    # the budget of bits that the stage allows loses none of these
+    assert max(np.bitwise_count(fp[a] ^ fp[b]).sum() for a, b in near) <= simhash.SET_BUDGET

@@ -275,3 +275,49 @@ def test_pipeline_stages_on_odd_rows(spark):
 
 def names_last():
     return corpus_pipeline.STAGES[-1][0]
+
+
+def plain_near_copies(rows, least=0.8):
+    """component_id by all pairs of five-word shingle sets."""
+    import re
+
+    sets = {}
+    for i, text in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            a, b = sets[i], sets[j]
+            if j < i and len(a) * least <= len(b) and len(b) * least <= len(a) and len(a & b) >= least * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_copies_are_all_pairs(spark, monkeypatch):
+    """The stage's form on a whole table, with hot buckets and groups cut in chunks, and with the joins of large tables."""
+    docs = queries.table(spark, SF, "documents")
+    want = plain_near_copies([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want and len(set(want.values())) < len(want)
+    base = [f"w{k}" for k in range(60)]
+    r = np.random.default_rng(3)
+    texts = [" ".join([*base[: int(k)], f"x{n}", *base[int(k) + 1 :]]) for n, k in enumerate(r.integers(0, 60, 60))] + [" ".join(f"y{n}{k}" for k in range(40)) for n in range(20)] + ["", None]
+    rows = docs_of(spark, list(enumerate(texts)))
+    want = plain_near_copies(list(enumerate(texts)))
+    for name, value in (("HOT_ROWS", 16), ("CHUNK_ROWS", 16), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr("echofold.llm.components.ONE_TASK", 0)
+    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(rows).collect()} == want
+    assert sorted(x.doc_id for x in simhash.keep_one(rows).collect()) == sorted(set(want.values())) and len(set(want.values())) < 40
+
+
+def test_components_over_rounds(spark, monkeypatch):
+    monkeypatch.setattr("echofold.llm.components.ONE_TASK", 0)
+    test_components_of_chains(spark)
