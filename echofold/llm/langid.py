@@ -69,7 +69,8 @@ def grams(text: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
+    """A null key is not held out."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:

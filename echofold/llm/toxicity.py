@@ -5,7 +5,9 @@ between word marks, hashed to BUCKETS, so a misspelling shares most of its vecto
 mean of its subwords' vectors and of PRIOR zero vectors, so that a few words alone don't tip it, and a linear softmax
 over it gives the two classes. Vectors and softmax are trained together with Adam on a bounded sample: at most SAMPLE
 rows without toxicity and half as many with it, those with the smallest hash of the key. Their bags are made in
-parallel; one task fits on them, whose size does not grow with the table.
+parallel; one task fits on them, whose size does not grow with the table. A small sample is passed over more often, so
+that about ROWS_SEEN rows are learned from in all. PRIOR, SCALE, RATE, DIM and ROWS_SEEN were chosen on an inner fold of the
+rows that may be learned from (crc32 mod 5 of 1, the others fitted on), never on held-out ones.
 
 Defined results: null text, and text without a word, has the score of the bias alone; with no labelled rows of both
 classes the score is 0 for all; label rows with a null key or label are not learned from; a key that repeats in the
@@ -32,10 +34,10 @@ BUCKETS = 1 << BUCKET_BITS
 ORDERS = (3, 4, 5)
 DIM = 4
 SAMPLE = 4000  # rows without toxicity; half as many with
-EPOCHS = 8
+ROWS_SEEN, MOST_EPOCHS = 72_000, 64
 BATCH = 64
-RATE = 0.02
-SCALE = 30.0
+RATE = 0.05
+SCALE = 15.0
 PRIOR = 800
 SLICE_BYTES = 1 << 20
 TRAIN_SLICE_BYTES = 1 << 18
@@ -126,7 +128,8 @@ def fit(bag: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, weig
     b = np.log(prior / prior.sum()).astype(np.float32)
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in (("E", E), ("W", W), ("b", b))}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = min(MOST_EPOCHS, -(-ROWS_SEEN // max(1, len(labels))))
+    for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
@@ -141,10 +144,10 @@ def fit(bag: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, weig
             p[np.arange(len(own)), labels[own]] -= 1
             g = (p * (weights[own] / weights[own].sum())[:, None]).astype(np.float32)
             back = g @ W
-            used, slot = np.unique(ids, return_inverse=True)
-            gE = np.stack([np.bincount(slot, weights=part * back[row, d], minlength=len(used)) for d in range(DIM)], axis=1).astype(np.float32) + np.float32(1e-6) * E[used]
+            used = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
+            gE = np.stack([np.bincount(ids, weights=part * back[row, d], minlength=BUCKETS)[used] for d in range(DIM)], axis=1).astype(np.float32) + np.float32(1e-6) * E[used]
             step += 1
-            rate = RATE * (1 - 0.9 * epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = RATE * (1 - 0.9 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for name, x, grad, rows in (("E", E, gE, used), ("W", W, g.T @ mean, slice(None)), ("b", b, g.sum(axis=0), slice(None))):
                 m, v = moments[name]
                 m[rows] = 0.9 * m[rows] + 0.1 * grad
@@ -165,7 +168,8 @@ def scores(column: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0
+    """A null key is not held out."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
