@@ -9,9 +9,10 @@ fitted by maximum likelihood on labelled pages, whose gradient needs the same ma
 Blocks: texts between two block-level tags; character references are decoded, white space in a block is one space, blocks
 are joined by one space. Script, style, template and head text, comments and markup are never text.
 
-Defined results: null, empty or text-free html gives ""; unclosed or stray tags follow the usual implied ends; a quote left
+Defined results: null, empty or text-free html gives ""; unclosed or stray tags follow the usual implied ends; elements
+opened within MAX_DEPTH others stay beside each other there, as in browsers; a quote left
 open in a tag ends with the tag; pages are independent, so repeated rows repeat their result; an empty table gives an
-empty table; other columns are not read. Whole pages are read, however long.
+empty table; other columns are not read. Whole pages are read, however long, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from echofold.llm.html_pages import labelled_page
 TRAINING_PAGES = 240
 STEPS = 300
 SLICE_BYTES = 1 << 20
+MAX_DEPTH = 512
 #: Fixed values of HTML: elements without content, elements whose content is raw, block-level elements, and implied ends.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template svg math".split())
@@ -53,6 +55,8 @@ class Page:
         self.text: list[str] = [""]
         self.block: list[int] = [0]
         stack, block, at, n = [0], 0, 0, len(source)
+        opened: dict[str, int] = {}  # elements on the stack, by tag
+        beyond: dict[str, int] = {}  # open elements that the stack's depth left out, by tag
         low = None
 
         def add(tag: str, words: tuple, mark: str, text: str) -> None:
@@ -63,11 +67,23 @@ class Page:
             self.text.append(text)
             self.block.append(block)
 
+        def push(tag: str) -> None:
+            if len(stack) > MAX_DEPTH:
+                beyond[tag] = beyond.get(tag, 0) + 1
+            else:
+                stack.append(len(self.tag) - 1)
+                opened[tag] = opened.get(tag, 0) + 1
+
         def pop_to(tags: set[str], scope: set[str]) -> None:
+            if not any(opened.get(t) for t in tags):
+                return
             for k in range(len(stack) - 1, 0, -1):
                 tag = self.tag[stack[k]]
                 if tag in tags:
+                    for x in stack[k:]:
+                        opened[self.tag[x]] -= 1
                     del stack[k:]
+                    beyond.clear()
                     return
                 if tag in scope:
                     return
@@ -103,17 +119,20 @@ class Page:
             end = source.find(">", first)
             if end < 0:
                 break
-            inside = source[first:end]
-            while (inside.count('"') % 2 or ("'" in inside and '"' not in inside and inside.count("'") % 2)) and "=" in inside:
+            double, single = source.count('"', first, end), source.count("'", first, end)
+            while (double % 2 or (single % 2 and not double)) and source.find("=", first, end) >= 0:
                 more = source.find(">", end + 1)
-                if more < 0 or "<" in source[end:more]:
+                if more < 0 or source.find("<", end, more) >= 0:
                     break
-                end, inside = more, source[first:more]
+                double, single, end = double + source.count('"', end, more), single + source.count("'", end, more), more
+            inside = source[first:end]
             at = end + 1
             if tag in BLOCK:
                 block += 1
             if closing:
-                if tag == "p":
+                if beyond.get(tag):
+                    beyond[tag] -= 1
+                elif tag == "p":
                     pop_to({"p"}, {"table", "td", "th", "body"})
                 elif tag not in VOID:
                     pop_to({tag}, {"td", "th", "table"} - {tag} if tag not in ("table", "tr", "tbody", "html", "body") else set())
@@ -145,7 +164,7 @@ class Page:
                 gt = -1 if end < 0 else source.find(">", end)
                 at = n if gt < 0 else gt + 1
             elif tag not in VOID and not inside.endswith("/") or tag in ("p", "div", "li"):
-                stack.append(len(self.tag) - 1)
+                push(tag)
 
 
 def features(page: Page) -> tuple[list[list[str]], np.ndarray]:
@@ -188,11 +207,10 @@ def forest_of(pages: list[tuple[list[list[str]], np.ndarray, list[int]]], index:
                     rows.append(base + k)
         base += len(up)
     parent = np.array(parent, np.int64)
-    depth = np.zeros(base, np.int64)
-    at = parent.copy()
-    while (live := at >= 0).any():
-        depth[live] += 1
-        at = np.where(live, parent[np.maximum(at, 0)], -1)
+    deep: list[int] = []
+    for p in parent.tolist():  # a parent comes before its children
+        deep.append(deep[p] + 1 if p >= 0 else 0)
+    depth = np.array(deep, np.int64)
     order = np.argsort(depth, kind="stable")
     edges = np.searchsorted(depth[order], np.arange(depth.max() + 2)) if base else np.zeros(1, int)
     return {"parent": parent, "levels": [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], "kind": np.concatenate(kinds) if kinds else np.zeros(0, np.int64), "col": np.array(cols, np.int64), "row": np.array(rows, np.int64), "n": base}
@@ -212,8 +230,7 @@ def sum_product(forest: dict, unary: np.ndarray, edge: np.ndarray) -> tuple[np.n
     for level in reversed(levels[1:]):
         m = _add(up[level, 0, None] + E[level, :, 0], up[level, 1, None] + E[level, :, 1])
         sent[level] = m
-        for s in (0, 1):
-            up[:, s] += np.bincount(parent[level], weights=m[:, s], minlength=n)
+        np.add.at(up, parent[level], m)
     belief = up.copy()
     pair = np.zeros((n, 2, 2))
     for level in levels[1:]:
@@ -286,14 +303,17 @@ def extract_texts(sources: list[str | None], model: tuple[dict[str, int], np.nda
     return [text_of(page, p) for page, p in zip(pages, marginals(pages, model), strict=True)] if pages else []
 
 
-def extract(pages: DataFrame, key: str = "page_id", html: str = "html", model: tuple | None = None) -> DataFrame:
-    """Per row: key, text string (the article's), n_chars long (its code points)."""
+def extract(pages: DataFrame, key: str = "page_id", html: str = "html", model: tuple | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: key, text string (the article's), n_chars long (its code points), and the columns named in also."""
     kind = pages.schema[key].dataType.simpleString()
+    more = [f"also{k}" for k in range(len(also))]
     held = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "h", SLICE_BYTES):
             texts = extract_texts(part.column(1).to_pylist(), held.value)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["key", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), *part.columns[2:]], ["key", "text", "n_chars", *more])
 
-    return pages.select(pages[key].alias("key"), pages[html].alias("h")).mapInArrow(lean(run), f"key {kind}, text string, n_chars long").withColumnRenamed("key", key)
+    schema = ", ".join(["key " + kind, "text string", "n_chars long", *(f"{m} {pages.schema[c].dataType.simpleString()}" for m, c in zip(more, also, strict=True))])
+    found = pages.select(pages[key].alias("key"), pages[html].alias("h"), *[pages[c].alias(m) for m, c in zip(more, also, strict=True)]).mapInArrow(lean(run), schema)
+    return found.withColumnsRenamed({"key": key} | dict(zip(more, also, strict=True)))

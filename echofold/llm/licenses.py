@@ -49,6 +49,19 @@ SENTENCES = {
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "gpl-received": ["You should have received a copy of the GNU General Public License along with this program"],
+    "gpl2-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl3-later": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "lgpl21-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl3-later": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "agpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "agpl3-named": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "epl2-terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib-named": ["SPDX-License-Identifier: Zlib"],
+    "cc0-waiver": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "SPDX-License-Identifier: CC0-1.0"],
+    "wtfpl": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "SPDX-License-Identifier: WTFPL"],
+    "boost-named": ["Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003", "SPDX-License-Identifier: BSL-1.0"],
     "mpl-terms": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
     "cc-by-named": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -62,6 +75,8 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]), ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-received"]), ("GPL-3.0-or-later", ["gpl-free"]),
     ("MIT", ["mit-named"]), ("Apache-2.0", ["apache-named"]), ("BSD-3-Clause", ["bsd-named"]), ("BSD-2-Clause", ["bsd2-named"]), ("ISC", ["isc-named"]), ("ISC", ["isc-grant"]),
+    ("GPL-2.0-or-later", ["gpl2-later"]), ("GPL-3.0-or-later", ["gpl3-later"]), ("LGPL-2.1-or-later", ["lgpl21-later"]), ("LGPL-3.0-or-later", ["lgpl3-later"]), ("AGPL-3.0-or-later", ["agpl3-later"]), ("AGPL-3.0-only", ["agpl3-named"]),
+    ("EPL-2.0", ["epl2-terms"]), ("Zlib", ["zlib-as-is", "zlib-grant"]), ("Zlib", ["zlib-grant"]), ("Zlib", ["zlib-named"]), ("CC0-1.0", ["cc0-waiver"]), ("WTFPL", ["wtfpl"]), ("BSL-1.0", ["boost-named"]),
     ("GPL-3.0-only", ["gpl3-named"]), ("GPL-2.0-only", ["gpl2-named"]), ("MPL-2.0", ["mpl-terms"]), ("Unlicense", ["unlicense"]),
     ("CC-BY-4.0", ["cc-by-named"]), ("CC-BY-SA-4.0", ["cc-by-sa-named"]), ("CC-BY-NC-4.0", ["cc-by-nc-named"]),
 ]
@@ -107,28 +122,41 @@ def sentence_ids(text: str) -> list[str]:
 
 
 def licenses_of(ids: list[str], gap: int = GAP) -> list[str]:
-    """Names of the licenses whose rules the identifiers meet, sorted."""
-    left, names = list(ids), set()
+    """Names of the licenses whose rules the identifiers meet, sorted.
+
+    Identifiers stand in a list that used ones are unlinked from, so each is met once for each rule, however many
+    there are.
+    """
+    n = len(ids)
+    after = list(range(1, n + 2))  # the next unused place after each; place 0 is before the first, n + 1 behind the last
+    names = set()
     for name, rule in sorted(RULES, key=lambda r: -len(r[1])):
-        k = 0
-        while k < len(left):
-            places = []
-            j = k
-            for want in rule:
-                reach = range(j, len(left) if not places else min(len(left), j + gap + 1))
-                hit = next((x for x in reach if left[x] == want), None)
-                if hit is None:
+        if not set(rule) <= set(ids):
+            continue
+        before, k = 0, after[0]
+        while k <= n:
+            if ids[k - 1] != rule[0]:
+                before, k = k, after[k]
+                continue
+            places, last, at = [(before, k)], k, after[k]
+            for want in rule[1:]:
+                for _ in range(gap + 1):
+                    if at > n or ids[at - 1] == want:
+                        break
+                    last, at = at, after[at]
+                else:
+                    at = n + 1
+                if at > n:
                     break
-                places.append(hit)
-                j = hit + 1
-            if not places:
-                break
-            if len(places) == len(rule):
-                names.add(name)
-                left = [x for i, x in enumerate(left) if i not in places]
-                k = places[0]
-            else:
-                k = places[0] + 1
+                places.append((last, at))
+                last, at = at, after[at]
+            if len(places) < len(rule):
+                before, k = k, after[k]
+                continue
+            names.add(name)
+            for left, own in reversed(places):
+                after[left] = after[own]
+            k = after[before]
     return sorted(names)
 
 

@@ -30,7 +30,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(table(spark, sf_dir, "pages"), also=("url",))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,9 @@ def test_license_rules():
     assert licenses.licenses_of(licenses.sentence_ids("x.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0. The end")) == ["CC-BY-NC-4.0", "MIT"]
     assert licenses.sentence_ids("we are licensed under the Apache License, Version 2.0 here") == [] and licenses.licenses_of(["mit-notice"]) == []
     assert licenses.licenses_of(["apache-named", "mit-named", "apache-comply"]) == ["Apache-2.0", "MIT"]
+    for name, rule in licenses.RULES:  # each rule's own text, its sentences wrapped over lines, states that license
+        text = "Notice\n\n" + ".\n".join(licenses.SENTENCES[k][0].replace(" or ", "\nor ") for k in rule) + ".\nThe end"
+        assert name in licenses.licenses_of(licenses.sentence_ids(text)), name
 
 
 def test_warc_parser_goes_by_length():
@@ -284,3 +287,46 @@ def test_similar_sets_are_those_of_all_pairs():
     assert roots(len(texts), zip(i.tolist(), j.tolist(), strict=True)) == roots(len(texts), [(a, b) for a, b in near if side[a] != side[b]])
     # the budget of bits that the stage allows loses none of these
     assert max(np.bitwise_count(fp[a] ^ fp[b]).sum() for a, b in near) <= simhash.SET_BUDGET
+
+
+def test_html_and_licenses_of_one_long_text():
+    """Time grows with the length: a megabyte of open elements, of stray ends, of an open quote, and of one notice."""
+    import time
+
+    model = html_extract.trained()
+    n = 1 << 20
+    began = time.perf_counter()
+    for page in ("<div>x" * (n // 6), "<div>x" + "</b>" * (n // 4), "<p>a" * (n // 4), '<a x="' + ">" * n, "<i>" * (n // 8) + "word " + "</i>" * (n // 8) + "<p>end of the text</p>"):
+        html_extract.extract_texts([page], model)
+    assert time.perf_counter() - began < 90
+    deep = html_extract.Page("<div>" * 600 + "in" + "</div>" * 600 + "<p>out</p>")
+    out = deep.text.index("out")
+    assert deep.parent[deep.parent[out]] == 0
+    began = time.perf_counter()
+    assert licenses.licenses_of(licenses.sentence_ids("MIT License\n" * (n // 12))) == ["MIT"]
+    assert time.perf_counter() - began < 20
+
+
+def plain_licenses(ids, gap):
+    left, names = list(ids), set()
+    for name, rule in sorted(licenses.RULES, key=lambda r: -len(r[1])):
+        k = 0
+        while k < len(left):
+            places = [k] if left[k] == rule[0] else []
+            for want in rule[1:] if places else []:
+                hit = [j for j in range(places[-1] + 1, min(len(left), places[-1] + gap + 2)) if left[j] == want]
+                if not hit:
+                    break
+                places.append(hit[0])
+            if places and len(places) == len(rule):
+                names.add(name)
+                left = [x for j, x in enumerate(left) if j not in places]
+            else:
+                k += 1
+    return sorted(names)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["mit-named", "mit-grant", "mit-notice", "as-is", "apache-named", "apache-comply", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "gpl-hope"]), max_size=14))
+def test_license_rules_are_a_plain_search(ids):
+    assert licenses.licenses_of(ids) == plain_licenses(ids, licenses.GAP)
