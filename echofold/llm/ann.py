@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by learned partitions, nearness being the largest inner product.
 
-On a bounded sample a neighbour graph is cut into balanced parts (recursive bisection: a principal direction's median,
-then swaps of equal numbers that gain the most edges); a small network learns, for each vector, in which parts its
-neighbours lie. It gives every row of the table its most probable part, and each query its `probes` most probable ones,
-in which all rows are ranked exactly in double precision. `probes` is the least number whose recall on held queries of
-the sample reaches TARGET. A part is ranked in cells of CELL_ROWS rows and CELL_ROWS queries at most (expected), so a hot
+On a bounded sample (SAMPLE_A_PART rows for each part, so at most MOST_PARTS times that) a neighbour graph is cut into
+balanced parts (recursive bisection: a principal direction's median, then swaps of equal numbers that gain the most
+edges); a small network learns, for each vector, in which parts its neighbours lie. It gives every row of the table its
+most probable part, and each query its `probes` most probable ones, in which all rows are ranked exactly in double
+precision. `probes` is the least number with which CALIBRATION rows' exact nearest neighbours in the whole table are
+found to a share of TARGET. A part is ranked in cells of CELL_ROWS rows and CELL_ROWS queries at most (expected), so a hot
 part is many tasks; each cell returns the k best of each query, which are merged.
 
 Defined results: a vector that is null, zero, of another size than most, or with a null or non-finite component takes no
@@ -25,9 +26,10 @@ from pyspark.sql import Window
 
 from echofold.llm.storage import settled
 
-SAMPLE = 8192
+LEAST_SAMPLE, SAMPLE_A_PART = 8192, 64
+CALIBRATION = 256
 PART_ROWS = 8192
-LEAST_PARTS, MOST_PARTS = 8, 4096
+LEAST_PARTS, MOST_PARTS = 8, 1024
 DEGREE = 16
 HIDDEN = 96
 EPOCHS = 30
@@ -126,8 +128,8 @@ class Router:
         return cls(*p)
 
 
-def learn(X: np.ndarray, parts: int, k: int) -> Router:
-    """A router fitted on sample X, its probes set for the k nearest."""
+def learn(X: np.ndarray, parts: int) -> Router:
+    """A router fitted on sample X; its probes search all parts until calibrated."""
     degree = min(DEGREE, len(X) - 1)
     near = graph(X, degree)
     part = partition(X, near, parts)
@@ -135,13 +137,37 @@ def learn(X: np.ndarray, parts: int, k: int) -> Router:
     np.add.at(target, (np.repeat(np.arange(len(X)), degree), part[near].ravel()), 1 / (degree + 1))
     np.add.at(target, (np.arange(len(X)), part), 1 / (degree + 1))
     router = Router.fit(X, target)
-    at = router.logits(X).argmax(axis=1)
-    held = np.arange(0, len(X), max(1, len(X) // 512))
-    s = X[held] @ X.T
-    s[np.arange(len(held)), held] = -np.inf
-    best = top(s, min(k, len(X) - 1))
-    rank = np.argsort(np.argsort(-router.logits(X[held]), axis=1, kind="stable"), axis=1, kind="stable")
-    needed = np.take_along_axis(rank, at[best], axis=1)
+    router.probes = parts
+    return router
+
+
+def calibrated(router: Router, routed: DataFrame, keys: np.ndarray, Q: np.ndarray, k: int) -> Router:
+    """router with the least probes that find TARGET of the k nearest of the rows Q (their keys: keys) in routed."""
+    spark, parts = routed.sparkSession, len(router.b)
+    held = spark.sparkContext.broadcast((keys, Q))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, Q = held.value
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)]
+        for batch in batches:
+            if batch.num_rows:
+                key, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+                q, x, score = best_of(np.arange(len(Q)), Q, key, matrix(batch.column(1)), k + 1, keys)
+                order = np.argsort(key, kind="stable")
+                new = [q, x, score, part[order][np.searchsorted(key[order], x)]]
+                kept = [np.concatenate(y) for y in zip(kept, new, strict=True)]
+                order = np.lexsort((kept[1], -kept[2], kept[0]))
+                kept = [y[order] for y in kept]
+                first = np.arange(len(order)) - np.searchsorted(kept[0], kept[0]) < k
+                kept = [y[first] for y in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], ["q", "x", "score", "part"])
+
+    found = routed.select("key", "v", "part").mapInArrow(nearest, "q long, x long, score double, part int")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "x"))).where(F.col("n") <= k).select("q", "part").toArrow()  # CALIBRATION * k rows at most
+    if not len(found):
+        return router
+    rank = np.argsort(np.argsort(-router.logits(Q), axis=1, kind="stable"), axis=1, kind="stable")
+    needed = rank[found["q"].to_numpy(), found["part"].to_numpy()]
     router.probes = next((p for p in range(1, parts) if (needed < p).mean() >= TARGET), parts)
     return router
 
@@ -157,13 +183,15 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(kind)
 
 
-def best_of(query: np.ndarray, Q: np.ndarray, key: np.ndarray, X: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, key, score) of each query's k nearest rows of other keys; scores don't depend on what else is ranked."""
+def best_of(query: np.ndarray, Q: np.ndarray, key: np.ndarray, X: np.ndarray, k: int, own_key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, key, score) of each query's k nearest rows of other keys; scores don't depend on what else is ranked.
+    own_key: the queries' keys, where query is not."""
+    own_keys = query if own_key is None else own_key
     out = []
     for a in range(0, len(Q), QUERIES_AT_ONCE):
         own, ids = Q[a : a + QUERIES_AT_ONCE], query[a : a + QUERIES_AT_ONCE]
         s = own @ X.T
-        s[ids[:, None] == key[None, :]] = -np.inf
+        s[own_keys[a : a + QUERIES_AT_ONCE, None] == key[None, :]] = -np.inf
         least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
         slack = 1e-9 * np.maximum(1, np.abs(least))
         row, col = np.nonzero((s >= np.where(np.isfinite(least), least - slack, -np.inf)[:, None]) & (s > -np.inf))
@@ -186,34 +214,39 @@ def search(rows: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", v
     own = own.where(F.size("v") == sizes[0].d)
     n = sizes[0].n
     parts = int(min(MOST_PARTS, max(LEAST_PARTS, 2 ** round(np.log2(max(1, n / PART_ROWS))))))
-    sample = own.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(SAMPLE).select("v").toArrow()
-    X = matrix(sample.column(0), np.float32)
-    router = learn(X, min(parts, 2 ** int(np.log2(len(X)))), k)
+    size = max(LEAST_SAMPLE, SAMPLE_A_PART * parts)
+    sample = own.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(size).select("key", "v").toArrow()
+    X = matrix(sample.column(1), np.float32)
+    router = learn(X, min(parts, 2 ** int(np.log2(len(X)))))
     held = rows.sparkSession.sparkContext.broadcast(router)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = held.value.logits(matrix(batch.column(1), np.float32))
-            first = z.argmax(axis=1)
-            probes = np.argsort(-z, axis=1, kind="stable")[:, : held.value.probes]
-            asks = batch.column(2).to_numpy(zero_copy_only=False)
-            lists = [x.tolist() if a else [] for x, a in zip(probes, asks, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(first, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["key", "v", "part", "probes"])
-
-    routed = settled(own.mapInArrow(route, f"key long, v {own.schema['v'].dataType.simpleString()}, part int, probes array<int>"), "ann-routed")
-    asked = routed.where(F.size("probes") > 0).select("key", "v", F.explode("probes").alias("part"))
-    count = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # MOST_PARTS rows at most
-    count_q = {r.part: r.n for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    pieces = lambda held: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, c in held.items() for x in (p, -(-c // CELL_ROWS))]), F.col("part")), F.lit(1))
-    if not count_q:
-        return rows.sparkSession.createDataFrame([], schema)
-    cells, cells_q = pieces(count), pieces(count_q)
+            if batch.num_rows:
+                part = held.value.logits(matrix(batch.column(1), np.float32)).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], ["key", "v", "asks", "part"])
+
+    vectors = own.schema["v"].dataType.simpleString()
+    routed = settled(own.mapInArrow(place, f"key long, v {vectors}, asks boolean, part int"), "ann-routed")
+    some = slice(0, None, max(1, len(X) // CALIBRATION))
+    router = calibrated(router, routed, sample.column(0).to_numpy()[some], matrix(sample.column(1))[some], k)
+    told = rows.sparkSession.sparkContext.broadcast(router)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                probes = np.argsort(-told.value.logits(matrix(batch.column(1), np.float32)), axis=1, kind="stable")[:, : told.value.probes]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(probes.astype(np.int32)), pa.list_(pa.int32()))], ["key", "v", "probes"])
+
+    asked = routed.where("asks").select("key", "v").mapInArrow(ask, f"key long, v {vectors}, probes array<int>")
+    asked = settled(asked.select("key", "v", F.explode("probes").alias("part")), "ann-asked")
+    cells = lambda frame, name: frame.groupBy("part").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
+    cut = F.broadcast(settled(cells(routed, "cells").join(cells(asked, "cells_q"), "part"), "ann-cells"))  # MOST_PARTS rows at most
     cell = lambda i, j: F.xxhash64("part", i, j)
     of = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), n).cast("int")
-    left = routed.select("key", "v", "part", of(17, cells).alias("i"), F.explode(F.sequence(F.lit(0), cells_q - 1)).alias("j")).select(cell("i", "j").alias("cell"), "key", "v")
-    right = asked.select("key", "v", "part", of(19, cells_q).alias("j"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("i")).select(cell("i", "j").alias("cell"), "key", "v")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = routed.join(cut, "part").select("key", "v", "part", of(17, F.col("cells")).alias("i"), every("cells_q").alias("j")).select(cell("i", "j").alias("cell"), "key", "v")
+    right = asked.join(cut, "part").select("key", "v", "part", of(19, F.col("cells_q")).alias("j"), every("cells").alias("i")).select(cell("i", "j").alias("cell"), "key", "v")
 
     def rank(index: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(index) or not len(asked):

@@ -1,11 +1,13 @@
 """Benchmark decontamination: documents that hold a benchmark item within EDITS of its length in edits.
 
 Texts are compared as symbols: lower-cased letters and numbers, each run of others one blank. An item of m symbols found
-with k edits shares at least m - Q + 1 - kQ of its q-grams with the document, on diagonals no more than k apart (the
-q-gram lemma). Shared q-grams are counted in overlapping bands of 2(k + 1) diagonals; bands that reach the bound are
-regions to verify, by alignment in the band with free ends in the document. The filter loses nothing; the alignment
-decides. The q-gram index of a block of items (BLOCK_SYMBOLS at most, expected) goes to the executors; a larger benchmark is more
-blocks, each a pass over the documents, so neither side is shuffled and no pair list is made.
+with k edits shares at least m - q + 1 - kq of its q-grams with the document, on diagonals no more than k apart (the
+q-gram lemma). q is Q, or SHORT_Q for items of so few symbols that Q grams would leave no bound (under Q (k + 1)); k is
+EDITS of m, rounded down, for every item. Shared q-grams are counted in overlapping bands of 2(k + 1) diagonals; bands
+that reach the bound are regions to verify, by alignment in the band with free ends in the document. The filter loses
+nothing; the alignment decides. The q-gram index of a block of items (BLOCK_SYMBOLS at most, expected) goes to the
+executors; a larger benchmark is more blocks, each a pass over the documents, so neither side is shuffled and no pair
+list is made. Where documents are filtered, each pass is settled before the next, so one block is held at a time.
 
 Defined results: items with fewer than MIN_WORDS words, or null, are not searched; null text holds no item; an item that
 occurs several times in a document is one row, with the fewest edits; repeated rows repeat their rows; equal items are rows
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from echofold.llm.batches import code_points, lean, slices, spans, utf8_view
 from echofold.llm.bpe import LETTER, NUMBER, char_classes
+from echofold.llm.storage import settled
 
-Q = 8
+Q, SHORT_Q = 8, 5
 EDITS = 0.1
 MIN_WORDS = 5
 BLOCK_SYMBOLS = 2_000_000
@@ -49,14 +52,46 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(word, cps, 32)[keep].astype(np.uint32), np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
-def qgrams(text: np.ndarray) -> np.ndarray:
-    """The Q = 8 symbols from each place as one integer, a byte for each; other symbols may share a byte, which only adds candidates."""
+def qgrams(text: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q symbols (8 at most) from each place as one integer, a byte for each; other symbols may share a byte, which only adds candidates."""
     w = ((text ^ (text >> 8)) & 0xFF).astype(np.uint64)
-    for shift in (1, 2, 4):
-        if len(w) <= shift:
-            return np.zeros(0, np.uint64)
-        w = w[:-shift] | (w[shift:] << np.uint64(8 * shift))
-    return w
+    n = len(w) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if q == 8:
+        for shift in (1, 2, 4):
+            w = w[:-shift] | (w[shift:] << np.uint64(8 * shift))
+        return w
+    out = w[:n].copy()
+    for k in range(1, q):
+        out |= w[k : k + n] << np.uint64(8 * k)
+    return out
+
+
+@dataclass
+class Grams:
+    """The q-grams of some items: each gram's postings, as item and place."""
+
+    q: int
+    gram: np.ndarray
+    at: np.ndarray  # bounds of each gram's postings
+    item: np.ndarray
+    place: np.ndarray
+    seen: np.ndarray  # a bit table of the grams
+
+    @classmethod
+    def of(cls, q: int, text: np.ndarray, use: np.ndarray, first: np.ndarray, size: np.ndarray) -> Grams:
+        count = size[use] - q + 1
+        start = spans(first[use], count)
+        item = np.repeat(use, count)
+        place = start - first[item] if len(start) else start
+        gram = qgrams(text, q)
+        gram = gram[start] if len(start) else gram[:0]
+        order = np.argsort(gram, kind="stable")
+        distinct, at = np.unique(gram[order], return_index=True)
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        seen[(distinct * _SPREAD) >> np.uint64(64 - FILTER_BITS)] = True
+        return cls(q, distinct, np.append(at, len(gram)), item[order], place[order], seen)
 
 
 @dataclass
@@ -68,11 +103,7 @@ class Items:
     first: np.ndarray
     size: np.ndarray
     edits: np.ndarray
-    gram: np.ndarray
-    at: np.ndarray  # bounds of each gram's postings
-    item: np.ndarray
-    place: np.ndarray
-    seen: np.ndarray  # a bit table of the grams
+    grams: list[Grams]
 
     @classmethod
     def of(cls, ids: list, texts: list[str]) -> Items:
@@ -81,20 +112,12 @@ class Items:
         first, size = bounds[:-1], np.diff(bounds)
         size = size - ((size > 0) & (text[np.maximum(bounds[1:] - 1, 0)] == 32) if len(text) else 0)
         words = blank[first + size] - blank[first] + 1
-        use = np.flatnonzero((words >= MIN_WORDS) & (size >= Q))
+        use = np.flatnonzero(words >= MIN_WORDS)  # so 9 symbols at least
         first, size = first[use], size[use]
-        gram = qgrams(text) if len(text) else np.zeros(0, np.uint64)
-        count = size - Q + 1
-        start = spans(first, count)
-        item = np.repeat(np.arange(len(use)), count)
-        gram = gram[start] if len(start) else gram[:0]
-        place = start - first[item] if len(start) else start
-        order = np.argsort(gram, kind="stable")
-        distinct, at = np.unique(gram[order], return_index=True)
-        seen = np.zeros(1 << FILTER_BITS, bool)
-        seen[(distinct * _SPREAD) >> np.uint64(64 - FILTER_BITS)] = True
-        edits = np.minimum((size * EDITS).astype(np.int64), (size - Q) // Q)
-        return cls(np.array(ids, object)[use], text, first, size, edits, distinct, np.append(at, len(gram)), item[order], place[order], seen)
+        edits = (size * EDITS).astype(np.int64)
+        short = size < Q * (edits + 1)
+        grams = [Grams.of(q, text, np.flatnonzero(own), first, size) for q, own in ((Q, ~short), (SHORT_Q, short)) if own.any()]
+        return cls(np.array(ids, object)[use], text, first, size, edits, grams)
 
 
 def align(items: Items, item: np.ndarray, text: np.ndarray, base: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
@@ -118,37 +141,42 @@ def align(items: Items, item: np.ndarray, text: np.ndarray, base: np.ndarray, lo
     return best
 
 
-def leaks(items: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, edits) for each text and each item that it holds."""
+def regions(items: Items, grams: Grams, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, band) of all bands of diagonals that hold the lemma's number of shared q-grams."""
     none = (np.zeros(0, np.int64),) * 3
-    text, bounds = symbols(column)
-    gram = qgrams(text)
-    if not len(items.gram) or not len(gram):
+    q, gram = grams.q, qgrams(text, grams.q)
+    if not len(grams.gram) or not len(gram):
         return none
-    near = np.flatnonzero(items.seen[(gram * _SPREAD) >> np.uint64(64 - FILTER_BITS)])
-    slot = np.searchsorted(items.gram, gram[near])
-    ok = items.gram[np.minimum(slot, len(items.gram) - 1)] == gram[near]
+    near = np.flatnonzero(grams.seen[(gram * _SPREAD) >> np.uint64(64 - FILTER_BITS)])
+    slot = np.searchsorted(grams.gram, gram[near])
+    ok = grams.gram[np.minimum(slot, len(grams.gram) - 1)] == gram[near]
     near, slot = near[ok], slot[ok]
     row = np.searchsorted(bounds, near, "right") - 1
-    ok = near + Q <= bounds[row + 1]
+    ok = near + q <= bounds[row + 1]
     near, slot, row = near[ok], slot[ok], row[ok]
-    count = items.at[slot + 1] - items.at[slot]
-    post = spans(items.at[slot], count)
+    count = grams.at[slot + 1] - grams.at[slot]
+    post = spans(grams.at[slot], count)
     near, row = np.repeat(near, count), np.repeat(row, count)
-    item = items.item[post]
-    diagonal = near - items.place[post] + int(items.size.max())  # not negative
-    step = items.edits[item] + 1
-    band = diagonal // step
+    item = grams.item[post]
+    diagonal = near - grams.place[post] + int(items.size.max())  # not negative
+    band = diagonal // (items.edits[item] + 1)
     n_items, n_bands = len(items.ids), int(band.max()) + 2 if len(band) else 2
     group = (row * n_items + item) * n_bands
     key, hits = np.unique(np.concatenate([group + band, (group + band - 1)[band > 0]]), return_counts=True)
     own, band = key // n_bands, key % n_bands
     row, item = own // n_items, own % n_items
-    size, edits = items.size[item], items.edits[item]
-    ok = hits >= size - Q + 1 - edits * Q
-    row, item, band, edits = row[ok], item[ok], band[ok], edits[ok]
+    ok = hits >= items.size[item] - q + 1 - items.edits[item] * q
+    return row[ok], item[ok], band[ok]
+
+
+def leaks(items: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, edits) for each text and each item that it holds."""
+    text, bounds = symbols(column)
+    found = [regions(items, grams, text, bounds) for grams in items.grams]
+    row, item, band = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     if not len(row):
-        return none
+        return (np.zeros(0, np.int64),) * 3
+    edits = items.edits[item]
     base = band * (edits + 1) - int(items.size.max()) - edits
     width = 4 * edits + 2
     order = np.argsort(items.size[item], kind="stable")
@@ -196,7 +224,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
     at = docs.columns.index(text)
-    for block in blocks(items):
+    for k, block in enumerate(blocks(items)):
+        if k:  # the pass before ends here
+            docs = settled(docs, "decontam")
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

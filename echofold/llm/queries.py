@@ -65,11 +65,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "warc")
-    warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
+    path, pages = scratch(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write(warc.captures(pages), path, pages.agg(F.max(F.octet_length("html"))).first()[0] or 0)
     rows = warc.transactions(warc.read(spark, path, payloads=False))
+    size = F.coalesce("response.payload_bytes", "metadata.payload_bytes")  # of a response as read back, of a revisit as noted
     return rows.select(
-        F.col("metadata.key").cast("long").alias("page_id"), F.col("metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").cast("long").alias("refers_to")
+        F.col("metadata.key").cast("long").alias("page_id"), size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"), F.col("response.refers_to").cast("long").alias("refers_to"),
     )
 
 
@@ -77,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_html": op2_html, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash, "op7_license": op7_license, "op8_decontamination": op8_decontamination, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.ORACLE_SQL, "op7_license": licenses.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.ORACLE_SQL, "op7_license": licenses.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}

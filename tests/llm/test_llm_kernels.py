@@ -113,13 +113,13 @@ def plain_symbols(text):
 def test_leaks_are_those_of_plain_alignment():
     r = random.Random(5)
     word = lambda: "".join(r.choices("abcde", k=r.randint(2, 6)))
-    items = [" ".join(word() for _ in range(r.randint(5, 30))) for _ in range(12)] + ["too short", None or "one two three four five"]
+    items = [" ".join(word() for _ in range(r.randint(5, 30))) for _ in range(12)] + [" ".join(r.choices("abcdefg", k=5) + ["xyzuvw"[: r.randint(1, 6)]]) + "q" * k for k in range(0, 18, 3)] + ["too short", None or "one two three four five"]
     texts = []
-    for _ in range(60):
+    for _ in range(140):
         text = " ".join(word() for _ in range(r.randint(0, 60)))
         if r.random() < 0.7:
             leak = list(r.choice(items))
-            for _ in range(r.randint(0, max(1, len(leak) // 8))):
+            for _ in range(r.randint(0, max(2, len(leak) // 8))):
                 k = r.randrange(len(leak) + 1)
                 leak[k : k + r.randint(0, 1)] = r.choice(["", "x", "Q", "!"])
             at = r.randint(0, len(text))
@@ -132,11 +132,12 @@ def test_leaks_are_those_of_plain_alignment():
     for i, text in enumerate(texts):
         for j, x in enumerate(items):
             x = plain_symbols(x)
-            if len(x.split()) >= decontam.MIN_WORDS and len(x) >= decontam.Q:
+            if len(x.split()) >= decontam.MIN_WORDS:
                 k = edits_within(x, plain_symbols(text))
-                if k <= min(int(len(x) * decontam.EDITS), (len(x) - decontam.Q) // decontam.Q):
+                if k <= int(len(x) * 0.1):  # a tenth of the item, whatever its length
                     want[i, j] = k
     assert got == want and len(got) > 15 and any(got.values())
+    assert any(c == int(len(plain_symbols(items[j])) * 0.1) > 0 and len(plain_symbols(items[j])) < 32 for (_, j), c in got.items())
 
 
 def test_html_model():

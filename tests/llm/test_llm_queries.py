@@ -395,3 +395,76 @@ def test_toxicity_scores_are_a_plain_forward_pass(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = toxicity.scored(docs, model).collect()
     assert len(got) == len(texts) and all(r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-6) and r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_decontamination_query_is_plain_alignment(spark):
+    """Every document of the table against every fifth item, by whole dynamic programming (a numpy row a step)."""
+    import re
+
+    plain = lambda text: " ".join(re.findall(r"[^\W_]+", (text or "").lower()))
+    docs = {r.doc_id: plain(r.text) for r in queries.table(spark, SF, "documents").collect()}
+    items = {r.item_id: plain(r.text) for r in queries.table(spark, SF, "benchmark").where("item_id % 5 = 0").collect()}
+    got = {(r.doc_id, r.item_id): r.edits for r in queries.op8_decontamination(spark, SF).collect() if r.item_id % 5 == 0}
+    joined = "\x00".join(docs.values())  # no symbol of an item, so no leak crosses two documents
+    text = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(x) + 1 for x in docs.values()])
+    owner = np.searchsorted(ends, np.arange(len(text)), "right")
+    want = {}
+    for j, item in items.items():
+        if len(item.split()) < decontam.MIN_WORDS:
+            continue
+        bound = int(len(item) * 0.1)
+        row = np.zeros(len(text) + 1, np.int32)
+        place = np.arange(len(text) + 1)
+        for c in np.frombuffer(item.encode("utf-32-le"), np.uint32):
+            new = np.concatenate([[row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (text != c))])
+            row = np.minimum.accumulate(new - place) + place
+        for k in np.flatnonzero(row[1:] <= bound):
+            pair = list(docs)[owner[k]], j
+            want[pair] = min(want.get(pair, 99), int(row[k + 1]))
+    assert got == want
+
+
+def test_warc_query_is_plain_digests(spark):
+    import base64
+
+    pages = sorted((r.page_id, (r.html or "").encode()) for r in queries.table(spark, SF, "pages").collect())
+    first = {}
+    for i, body in pages:
+        first.setdefault(body, i)
+    want = [(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first[b] == i else "revisit", None if first[b] == i else first[b]) for i, b in pages]
+    assert sorted(map(tuple, queries.op10_warc(spark, SF).collect())) == want
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    rows = spark.createDataFrame([(k, f"u{k % 7}", "x" * (40 * k)) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/warc"
+    warc.write(warc.captures(rows), f"file://{path}")
+    import gzip
+    from pathlib import Path
+
+    sizes = [[len(r["body"]) for r in warc.parse(gzip.decompress(f.read_bytes())) if r["fields"]["warc-type"] == "response"] for f in Path(path).glob("part-*")]
+    assert all(len(x) == 1 or sum(x) < 1000 + 150 * len(x) for x in sizes) and sum(map(len, sizes)) == 60 and max(map(len, sizes)) == 3
+    got = warc.transactions(warc.read(spark, f"file://{path}")).collect()
+    assert sorted((int(r.metadata.key), len(r.response.payload)) for r in got) == [(k, 40 * k) for k in range(60)]
+
+
+def test_ann_recall_over_many_parts(spark, monkeypatch):
+    """With 64 parts and cells that split, recall of the table's own nearest stays 0.9 or more."""
+    monkeypatch.setattr(ann, "PART_ROWS", 80)
+    monkeypatch.setattr(ann, "CELL_ROWS", 50)
+    monkeypatch.setattr(ann, "LEAST_SAMPLE", 2048)
+    monkeypatch.setattr(ann, "SAMPLE_A_PART", 32)
+    rows = queries.table(spark, "/root/testdata/sf0.1", "embeddings")
+    found = ann.search(rows, F.col("vec_id") % 20 == 0).toPandas()
+    data = rows.toPandas()
+    keys, X = data.vec_id.to_numpy(), np.stack(data.embedding).astype(float)
+    asks = np.flatnonzero(keys % 20 == 0)
+    scores = X[asks] @ X.T
+    scores[np.arange(len(asks)), asks] = -np.inf
+    best = keys[np.argsort(-scores, axis=1)[:, :20]]
+    got = found.groupby("query_id").vec_id.apply(set)
+    assert found.groupby("query_id").size().eq(20).all() and len(got) == len(asks)
+    assert np.mean([len(got[q] & set(x)) / 20 for q, x in zip(keys[asks], best, strict=True)]) >= 0.9
