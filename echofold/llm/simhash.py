@@ -49,6 +49,7 @@ SIMILARITY = 0.8
 SET_BUDGET = 34
 SET_BUDGETS = (8, 16, 24, SET_BUDGET)
 CHUNK_ROWS, CHUNK_BYTES = 8192, 32 << 20
+SMALL_CHUNK, SMALL_CHUNKS = 1024, 8  # smaller groups are cut too, in fewer chunks, so that several tasks share one
 BLOOM_BITS = 26
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit from the left, bits
 PAIRS = list(combinations(BLOCKS, 2))
@@ -270,7 +271,7 @@ def similar_links(sets: DataFrame, groups: DataFrame, least: float = SIMILARITY)
     sets = sets.join(groups, F.col("cls") == F.col("node")).dropDuplicates(["cls"]).select("cls", *FP, "shingles", "component")
     sets = settled(sets, "simhash-sets")
     size = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
+    chunks = F.greatest(F.least(F.ceil(F.col("n") / SMALL_CHUNK), F.lit(SMALL_CHUNKS)), F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
     large = settled(size.select(F.col("component").alias("_large"), chunks.alias("chunks")).where("chunks > 1"), "simhash-large")
     few = large.limit(BROADCAST_ROWS + 1).count()
     if few:
