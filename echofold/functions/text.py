@@ -55,7 +55,7 @@ def normalized(value: str, table: dict | None = None) -> str:
     if value.isascii():
         plain = re.sub(r"[^a-z0-9^`]+", " ", value.lower()).replace("^", "").replace("`", "")
     else:
-        plain = unicodedata.normalize("NFKD", value.lower()).translate(table or _table())
+        plain = unicodedata.normalize("NFKD", value.lower()).translate(_table() if table is None else table)
     return "".join(_FILLER.sub(" ", plain).split())
 
 

@@ -182,3 +182,9 @@ def clusters(rows: DataFrame, thresholds: Thresholds = THRESHOLDS, bar: float |
     first = labels.groupBy("root").agg(F.min("mint").alias("cluster"))
     named = labels.join(first, "root").select("mint", "cluster")
     return rows.select("mint").join(named, "mint", "left").select("mint", F.coalesce("cluster", "mint").alias("cluster"))
+
+
+def largest_first(found: DataFrame, order: DataFrame) -> DataFrame:
+    """cluster, n, first: clusters() rows by size, the largest first, ties by first appearance. order: mint, pos."""
+    sizes = found.join(order, "mint").groupBy("cluster").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return sizes.orderBy(F.desc("n"), "first")

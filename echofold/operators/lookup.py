@@ -23,9 +23,26 @@ def is_confident(age: Column, thresholds: Thresholds = THRESHOLDS) -> Column:
 
 
 def subjects_of(rows: DataFrame, coins: DataFrame, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
-    """Subjects (mint, name, symbol) with their norms and the hash stored under their own key."""
-    own = with_norms(rows.select("mint", "name", "symbol"), thresholds)
-    return own.join(coins.select("mint", "phash"), "mint", "left")
+    """Subjects (mint, name, symbol) with their norms and a hash: the one stored under their own key, unless rows bring
+    a column phash. A hash so given holds, a null too (no image); where rows also have a column phashGiven, only where
+    that is true."""
+    given = [c for c in ("phash", "phashGiven") if c in rows.columns]
+    own = with_norms(rows.select("mint", "name", "symbol", *[F.col(c).alias(f"_{c}") for c in given]), thresholds)
+    own = own.join(coins.select("mint", "phash"), "mint", "left")
+    if "phash" in given:
+        told = F.coalesce("_phashGiven", F.lit(False)) if "phashGiven" in given else F.lit(True)
+        own = own.withColumn("phash", F.when(told, F.col("_phash")).otherwise(F.col("phash")))
+    return own.drop("_phash", "_phashGiven")
+
+
+def on_cards(found: DataFrame, cards: DataFrame, order: str = "pos") -> DataFrame:
+    """found (mint, ...) joined to the cards now shown: of several cards of a mint the last; mints without one are left out.
+
+    Cards are reduced to one a mint before the shuffle, so a mint that is shown often is a row a task.
+    """
+    rest = [c for c in cards.columns if c != "mint"]
+    last = cards.groupBy("mint").agg(F.max_by(F.struct(*rest), order).alias("card"))
+    return found.join(last, "mint")
 
 
 def priors(subjects: DataFrame, coins: DataFrame, thresholds: Thresholds = THRESHOLDS, found: DataFrame | None = None) -> DataFrame:

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows of a file of fewer parts than cores, dealt over all cores; larger inputs stay as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def address(number: Column) -> Column:
     """A number as a whole address: 36 characters of the alphabet."""
     return F.concat(F.lit("M"), F.translate(F.lpad(number.cast("string"), 35, "1"), "0", "z"))
@@ -30,7 +36,7 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as COIN rows: the first line's first three words are the name, its fourth the symbol; hashes by number."""
     words = F.split(F.substring_index("text", "\n", 1), " ")
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("text"), "n_chars")).select(
         F.col("doc_id").cast("string").alias("mint"), F.array_join(F.slice(words, 1, 3), " ").alias("name"), F.get(words, F.lit(3)).alias("symbol"), F.lit(None).cast("string").alias("imageUrl"), (T0 + F.col("doc_id") * 1000).alias("firstSeen"), (T0 + F.col("doc_id") * 1000 + F.col("n_chars")).alias("lastSeen"),
         (F.col("n_chars") * 100.0).alias("peakMcUsd"), F.lit(None).cast("double").alias("peakVolUsd"), (F.col("doc_id") % 7 == 0).alias("sawMigrated"), F.lit(1).cast("long").alias("sightings"), "doc_id",
     )
@@ -52,7 +58,7 @@ def sightings(rows: DataFrame) -> DataFrame:
     ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
     return rows.select(
         F.col("user_id").cast("string").alias("mint"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("The "), kind)).alias("name"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("S-"), F.col("event_id") % 10)).alias("symbol"),
-        F.lit(None).cast("string").alias("imageUrl"), F.lit(None).cast("string").alias("metadataUri"), F.when(kind != "error", F.col("value") * 300).alias("marketCapUsd"), F.when(kind == "view", F.col("value")).alias("volumeUsd"), F.lit(None).cast("double").alias("ageSeconds"),
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("https://img.example/"), F.col("event_id") % 7)).alias("imageUrl"), F.lit(None).cast("string").alias("metadataUri"), F.when(kind != "error", F.col("value") * 300).alias("marketCapUsd"), F.when(kind == "view", F.col("value")).alias("volumeUsd"), F.lit(None).cast("double").alias("ageSeconds"),
         F.floor(ms).cast("long").alias("seenAt"), source.alias("source"), (F.col("event_id") * 7919 % 1000003).alias("seq"), "event_id",
     )
 
@@ -61,7 +67,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as raw card rows, some without a key, some with a footer of another key, with figures and ages as text."""
     k, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
     mint = address(F.col("o_custkey"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")).select(
         F.when(k % 11 == 0, "/coin/list").otherwise(F.concat(F.lit("https://x.example/meme/"), mint, F.lit("?tab=1"))).alias("mintHref"),
         F.when(k % 13 == 0, "zz...zz").when(k % 3 == 0, F.concat(mint.substr(1, 4), F.lit("..."), mint.substr(33, 4))).alias("mintText"),
         F.when(k % 5 != 0, F.concat(F.lit("  Customer  "), F.col("o_custkey"), F.lit(" "))).alias("name"), F.when(k % 7 != 0, F.col("o_orderpriority")).otherwise(" ").alias("symbol"),
@@ -77,7 +83,7 @@ def launch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     good = F.concat(F.lit('{"mint":" '), address(F.col("user_id")), F.lit('","name":'), F.when(k % 3 == 0, "7").otherwise(F.concat(F.lit('"N '), F.col("event_type"), F.lit('"'))), F.lit(',"symbol":"'), F.col("event_type"), F.lit('","observedAt":'), F.when(k % 4 == 0, F.lit("-5")).when(k % 4 == 1, F.lit('"x"')).otherwise(k.cast("string")), F.lit("}"))
     line = F.when(k % 10 == 0, '{"mint": tru').when(k % 10 == 1, "[1,2]").when(k % 10 == 2, '{"mint":"short"}').when(k % 10 == 3, "null").otherwise(good)
-    return table(spark, sf_dir, "events").select(k.alias("pos"), line.alias("value"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")).select(k.alias("pos"), line.alias("value"))
 
 
 def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +94,4 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap = F.when(k % 5 == 0, F.concat(F.lit("<b>MC</b><b>$</b><b>"), bal, F.lit("</b><b>K</b>"))).when(k % 5 == 1, F.concat(F.lit("<b>MC $"), bal, F.lit("K</b>"))).when(k % 5 == 2, F.lit("<b>MC</b><b>0.0<sub>5</sub>4</b>")).otherwise(F.concat(F.lit("<b>Mkt Cap:</b><b>$"), bal, F.lit("</b>")))
     named = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<i>"), F.col("c_name"), F.lit("</i>")))
     html = F.concat(F.lit("<section><h2>"), heading, F.lit("</h2><div data-pulse-token-address='"), F.when(k % 6 == 0, "junk").otherwise(mint), F.lit("'><img src='https://cdn.example/"), mint, F.lit(".webp'><b>V</b><b>$12</b>"), cap, F.lit("<i>"), mint.substr(1, 4), F.lit("..."), mint.substr(33, 4), F.lit("</i><i>T"), k % 100, F.lit("</i>"), named, F.lit("<i>"), k % 60, F.when(k % 2 == 0, F.lit("m</i>")).otherwise(F.lit("</i><i>s</i>")), F.lit("<i>0:31</i></div></section>"))
-    return table(spark, sf_dir, "customer").select(k.alias("page_id"), html.alias("html"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")).select(k.alias("page_id"), html.alias("html"))

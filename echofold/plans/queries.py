@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.functions import images, parse, present
@@ -76,8 +76,8 @@ prior AS (SELECT *, coalesce(distance <= 10, FALSE) AS image, CASE WHEN byName O
    concat_ws(' + ', CASE WHEN byName AND (nameFirst OR NOT symbolSecond) THEN 'name' END, CASE WHEN bySymbol THEN 'symbol' END, CASE WHEN byName AND NOT (nameFirst OR NOT symbolSecond) THEN 'name' END, CASE WHEN distance <= 10 THEN 'image' END) AS matched
   FROM pair WHERE byName OR bySymbol OR coalesce(distance <= 10, FALSE))"""
 EVENTS = f"""ev AS (SELECT CAST(user_id AS VARCHAR) AS mint, event_id, CASE WHEN event_id % 3 = 0 THEN 'The ' || event_type END AS name, CASE WHEN event_id % 4 = 0 THEN 'S-' || (event_id % 10) END AS symbol,
-  CASE WHEN event_type <> 'error' THEN value * 300 END AS mc, CASE WHEN event_type = 'view' THEN value END AS vol, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS seenAt, event_type = 'purchase' AS migrated, event_id * 7919 % 1000003 AS seq FROM events),
-fold AS (SELECT mint, arg_min(name, seq) FILTER (name IS NOT NULL) AS name, arg_min(symbol, seq) FILTER (symbol IS NOT NULL) AS symbol, min(seenAt) AS firstSeen, max(seenAt) AS lastSeen, max(mc) AS peakMcUsd, max(vol) AS peakVolUsd, bool_or(migrated) AS sawMigrated, count(*) AS sightings FROM ev GROUP BY mint)"""
+  CASE WHEN event_type <> 'error' THEN value * 300 END AS mc, CASE WHEN event_type = 'view' THEN value END AS vol, CASE WHEN event_id % 5 = 0 THEN 'https://img.example/' || (event_id % 7) END AS img, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS seenAt, event_type = 'purchase' AS migrated, event_id * 7919 % 1000003 AS seq FROM events),
+fold AS (SELECT mint, arg_min(name, seq) FILTER (name IS NOT NULL) AS name, arg_min(symbol, seq) FILTER (symbol IS NOT NULL) AS symbol, arg_min(img, seq) FILTER (img IS NOT NULL) AS imageUrl, min(seenAt) AS firstSeen, max(seenAt) AS lastSeen, max(mc) AS peakMcUsd, max(vol) AS peakVolUsd, bool_or(migrated) AS sawMigrated, count(*) AS sightings FROM ev GROUP BY mint)"""
 EVENT_NOW = 1_710_000_000_000
 
 
@@ -125,7 +125,7 @@ def mth2(spark, sf):
     size = THRESHOLDS.sample_size**2 * 4
     last = F.floor((F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)) - 1) / size).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.rpad(F.substring("text", k * size + 1, F.lit(size)), size, "x"))
-    rows = B.table(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("picture", "part"))
+    rows = B.spread(B.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(parts).alias("picture", "part"))
     return rows.select("doc_id", "picture", images.hash_pixels(F.encode("part", "ISO-8859-1")).alias("r")).select("doc_id", "picture", "r.hash", "r.failure", F.round("r.variance", 6).alias("variance"))
 
 
@@ -155,6 +155,13 @@ def str9_str10_str11(spark, sf):
     return rows.select("pos", mint.alias("mint"), parse.is_full_mint(F.col("mintText")).alias("full_text"), (mint.isNotNull() & ~parse.truncated_matches(F.col("mintText"), mint)).alias("vetoed"))
 
 
+@query("STR10_full_mint", f"SELECT o_orderkey, o_orderkey % 3 = 0 AS full_text FROM orders")
+def str10(spark, sf):
+    k, m = F.col("o_orderkey"), B.address(F.col("o_custkey"))
+    text = F.when(k % 3 == 0, F.concat(F.lit(" "), m, F.lit("\t"))).when(k % 3 == 1, F.concat(m.substr(1, 4), F.lit("..."), m.substr(33, 4)))
+    return B.table(spark, sf, "orders").select("o_orderkey", parse.is_full_mint(text).alias("full_text"))
+
+
 @query("STR12_clean_text", f"WITH {PARSED} SELECT pos, name, symbol FROM parsed")
 def str12(spark, sf):
     return B.raw_rows(spark, sf).select("pos", clean_text(F.col("name")).alias("name"), clean_text(F.col("symbol")).alias("symbol"))
@@ -268,17 +275,17 @@ def snk6(spark, sf):
 CAP = "CASE WHEN k % 5 = 0 THEN bal * 1000.0 WHEN k % 5 = 1 THEN bal * 1000.0 WHEN k % 5 = 2 THEN NULL ELSE CAST(bal AS DOUBLE) END"
 
 
-@query("PRJ6_cards", f"""WITH c AS (SELECT c_custkey AS k, CAST(abs(floor(c_acctbal)) AS BIGINT) AS bal, {address_sql('c_custkey')} AS m, c_name FROM customer)
-SELECT k AS page_id, m AS mint, CASE WHEN k % 6 <> 0 THEN m END AS attr_mint, CASE WHEN k % 3 <> 0 THEN c_name END AS name, 'T' || (k % 100) AS symbol, 'https://cdn.example/' || m || '.webp' AS imageUrl, {CAP} AS marketCapUsd, CAST(12 AS DOUBLE) AS volumeUsd,
-CASE WHEN k % 2 = 0 THEN (k % 60) * 60.0 ELSE CAST(k % 60 AS DOUBLE) END AS ageSeconds, CASE k % 4 WHEN 0 THEN 'new-pairs' WHEN 1 THEN 'final-stretch' WHEN 2 THEN 'migrated' ELSE 'other' END AS source FROM c WHERE k % 3 <> 0 OR k % 2 = 0""")
-def prj6_tok_src1(spark, sf):
-    """Cards with a name, or with their age where the name would be."""
-    return card_rows(B.card_pages(spark, sf).where("page_id % 3 <> 0 OR page_id % 2 = 0"))
+#: A sixth of the cards have no name and an age in two pieces: its number then stands where the name would, and no age follows.
+CARDS = f"""WITH c AS (SELECT c_custkey AS k, CAST(abs(floor(c_acctbal)) AS BIGINT) AS bal, {address_sql('c_custkey')} AS m, c_name FROM customer)
+SELECT k AS page_id, m AS mint, CASE WHEN k % 6 <> 0 THEN m END AS attr_mint, CASE WHEN k % 3 <> 0 THEN c_name WHEN k % 2 <> 0 THEN CAST(k % 60 AS VARCHAR) END AS name,
+'T' || (k % 100) AS symbol, 'https://cdn.example/' || m || '.webp' AS imageUrl, {CAP} AS marketCapUsd, CAST(12 AS DOUBLE) AS volumeUsd,
+CASE WHEN k % 2 = 0 THEN (k % 60) * 60.0 WHEN k % 3 <> 0 THEN CAST(k % 60 AS DOUBLE) END AS ageSeconds, CASE k % 4 WHEN 0 THEN 'new-pairs' WHEN 1 THEN 'final-stretch' WHEN 2 THEN 'migrated' ELSE 'other' END AS source FROM c"""
 
 
-@query("PRJ6_cards_all")
-def prj6_all(spark, sf):
-    """The same of all pages. Where no name comes before an age in pieces, its number is read as the name and the age is null, as in the reference."""
+@query("PRJ6_cards_all", CARDS)
+@query("PRJ6_cards", CARDS)
+def prj6_tok_src1(spark, sf):
+    """All card pages, as raw rows and observations."""
     return card_rows(B.card_pages(spark, sf))
 
 
@@ -301,7 +308,7 @@ def snk10(spark, sf):
 
 # --- merge and upkeep ----------------------------------------------------------------------------------------------
 
-FOLDED = "mint, name, symbol, firstSeen, lastSeen, peakMcUsd, peakVolUsd, sawMigrated, sightings"
+FOLDED = "mint, name, symbol, imageUrl, firstSeen, lastSeen, peakMcUsd, peakVolUsd, sawMigrated, sightings"
 
 
 @query("AGG1_fold", f"WITH {EVENTS} SELECT {FOLDED}, sawMigrated OR coalesce(peakMcUsd >= 100000, FALSE) AS ran, coalesce({norm_sql('name')}, '') AS normName FROM fold")
@@ -320,18 +327,18 @@ def jn8_snk1_snk2(spark, sf):
     store = CoinStore(spark, fresh(spark, "store"))
     rows = B.sightings(B.table(spark, sf, "events"))
     for part in range(2):
-        store.replace(merge.upsert(store.read(), merge.folded(rows.where(F.col("event_id") % 2 == part))))
+        store.merge(merge.folded(rows.where(F.col("event_id") % 2 == part)), merge.upsert)
     return store.read().select("mint", "name", "symbol", "firstSeen", "lastSeen", "peakMcUsd", "sawMigrated", "sightings")
 
 
-@query("T5_arrival_trigrams")
+@query("T5_arrival_trigrams", f"""WITH {EVENTS}, arrival AS (SELECT mint, coalesce(greatest(min(seq) FILTER (name IS NOT NULL), min(seq) FILTER (symbol IS NOT NULL)), min(seq)) AS seq FROM ev GROUP BY mint),
+kept AS (SELECT mint, coalesce({norm_sql('name')}, '') AS nn, coalesce({norm_sql('symbol')}, '') AS ns FROM ev JOIN arrival USING (mint, seq))
+SELECT mint, array_to_string(list_sort(list_distinct(list_concat({GRAMS.format('nn')}, {GRAMS.format('ns')}))), ',') AS trigrams FROM kept""")
 def t5(spark, sf):
     found = merge.arrival_trigrams(B.sightings(B.table(spark, sf, "events")))
     return found.select("mint", F.array_join(F.array_sort("trigrams"), ",").alias("trigrams"))
 
 
-
-
 @query("SNK5_retention", f"WITH {RECORDS} SELECT count(*) FILTER (lastSeen < {B.T0} + 300000 AND NOT ran) AS removed, count(*) FILTER (NOT (lastSeen < {B.T0} + 300000 AND NOT ran)) AS kept FROM coin")
 def snk5(spark, sf):
     return maintain.removed_count(B.records(spark, sf), B.T0 + 300_000 + THRESHOLDS.retention_ms)
@@ -429,12 +436,33 @@ def agg6_dt2_dt3_snk7(spark, sf):
 USD = "CASE WHEN {0} >= 1e6 THEN printf('$%.2fM', {0} / 1e6) WHEN {0} >= 1e3 THEN printf('$%.1fK', {0} / 1e3) ELSE '$' || CAST(floor({0} + 0.5) AS BIGINT) END"
 
 
+#: Peaks here are whole hundreds; to two places of a million a half goes up, as format_string has it.
+PEAK = "CASE WHEN peak >= 1e6 THEN printf('$%.2fM', floor((peak + 5000) / 10000) / 100) WHEN peak >= 1e3 THEN printf('$%.1fK', peak / 1e3) ELSE '$' || CAST(floor(peak + 0.5) AS BIGINT) END"
+
+
 @query("SNK8_popover", f"""{MATCHED}, shown AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ran DESC, peak DESC, similarity DESC, mint) AS place FROM prior QUALIFY place <= 50)
-SELECT subject, place, concat_ws(' · ', name, 'first seen ' || strftime(make_timestamp(firstSeen * 1000), '%Y-%m-%d'), CASE WHEN migrated THEN 'ran — migrated' WHEN peak >= 100000 THEN 'ran — peak MC' ELSE 'no run observed' END, 'recognised by ' || matched, CASE WHEN distance = 0 THEN 'identical image' WHEN distance IS NOT NULL THEN 'image ' || distance || '/64 bits apart' END) AS line FROM shown""")
+SELECT subject, place, concat_ws(' · ', name, 'first seen ' || strftime(make_timestamp(firstSeen * 1000), '%Y-%m-%d'), coalesce('peak MC ' || {PEAK}, 'peak MC unknown'), CASE WHEN migrated THEN 'ran — migrated' WHEN peak >= 100000 THEN 'ran — peak MC' ELSE 'no run observed' END, 'recognised by ' || matched, CASE WHEN distance = 0 THEN 'identical image' WHEN distance IS NOT NULL THEN 'image ' || distance || '/64 bits apart' END) AS line FROM shown""")
 def snk8_srt3_prj4_str18(spark, sf):
     rows = lookup.popover(exact_priors(spark, sf))
     line = present.prior_line(F.col("name"), F.col("firstSeen"), F.col("peakMcUsd"), F.col("evidence"), F.col("matchedOn"), F.col("imageDistance"))
-    return rows.select("subject", F.col("place").cast("long").alias("place"), F.regexp_replace(line, " · peak MC [^·]*(?= ·)", "").alias("line"))
+    return rows.select("subject", F.col("place").cast("long").alias("place"), line.alias("line"))
+
+
+@query("JN9_live_cards", f"{COUNTS}, card AS (SELECT CAST(user_id AS VARCHAR) AS mint, arg_max(event_type, event_id) AS shown FROM events GROUP BY user_id) SELECT mint, totalCount, shown FROM looked JOIN card USING (mint)")
+def jn9(spark, sf):
+    """Results on the cards that now show their subjects; a subject's last card is the one."""
+    shown = B.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("mint"), F.col("event_id").alias("pos"), F.col("event_type").alias("shown"))
+    found = lookup.on_cards(lookup.lookup(*asked(spark, sf), B.T0, B.NOW, EXACT), shown)
+    return found.select("mint", "totalCount", F.col("card.shown").alias("shown"))
+
+
+@query("JN10_subjects", f"WITH {RECORDS} SELECT mint, nn AS norm_name, CASE doc_id % 3 WHEN 1 THEN '00ff00ff00ff00ff' WHEN 2 THEN phash END AS phash FROM coin WHERE doc_id % 20 = 0")
+def jn10_prj5(spark, sf):
+    """Subjects with the hash that they bring, a null one too, else the stored one."""
+    ask, coins = asked(spark, sf)
+    k = F.col("doc_id") % 3
+    rows = ask.select("mint", "name", "symbol", F.when(k == 1, "00ff00ff00ff00ff").alias("phash"), (k != 2).alias("phashGiven"))
+    return lookup.subjects_of(rows, coins).select("mint", F.col("normName").alias("norm_name"), "phash")
 
 
 @query("JN5_fuzzy_lookup")
@@ -444,14 +472,26 @@ def fuzzy(spark, sf):
     return found.select("subject", "rank", "mint", F.round("similarity", 9).alias("similarity"), F.array_join("matchedOn", " + ").alias("matched"), "evidence")
 
 
-@query("GR1_clusters_exact", f"""WITH RECURSIVE {RECORDS}, tie AS (SELECT mint, nn AS key FROM coin WHERE length(nn) >= 3 UNION SELECT mint, ns FROM coin WHERE length(ns) >= 3),
+EXACT_CLUSTERS = f"""WITH RECURSIVE {RECORDS}, tie AS (SELECT mint, nn AS key FROM coin WHERE length(nn) >= 3 UNION SELECT mint, ns FROM coin WHERE length(ns) >= 3),
 edge AS (SELECT DISTINCT a.mint AS a, b.mint AS b FROM tie a JOIN tie b USING (key)),
-reach(mint, root) AS (SELECT a, min(b) FROM edge GROUP BY a UNION SELECT e.a, r.root FROM reach r JOIN edge e ON e.b = r.mint WHERE r.root < e.a)
-SELECT coin.mint, coalesce(min(least(root, coin.mint)), coin.mint) AS cluster FROM coin LEFT JOIN reach USING (mint) GROUP BY coin.mint""")
+reach(mint, root) AS (SELECT a, min(b) FROM edge GROUP BY a UNION SELECT e.a, r.root FROM reach r JOIN edge e ON e.b = r.mint WHERE r.root < e.a),
+grouped AS (SELECT coin.mint, coin.doc_id, coalesce(min(least(root, coin.mint)), coin.mint) AS cluster FROM coin LEFT JOIN reach USING (mint) GROUP BY coin.mint, coin.doc_id)"""
+
+
+@query("GR1_clusters_exact", f"{EXACT_CLUSTERS} SELECT mint, cluster FROM grouped")
 def gr1_exact(spark, sf):
     return cluster.clusters(B.records(spark, sf).select("mint", "normName", "normSymbol"), bar=1.0)
 
 
+@query("SRT4_largest_first", f"{EXACT_CLUSTERS} SELECT cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS place FROM grouped GROUP BY cluster QUALIFY place <= 50")
+def srt4(spark, sf):
+    """A report of the 50 largest clusters, in order: of like sizes the one whose member came first."""
+    rows = B.records(spark, sf)
+    found = cluster.clusters(rows.select("mint", "normName", "normSymbol"), bar=1.0)
+    top = cluster.largest_first(found, rows.select("mint", F.col("doc_id").alias("pos"))).limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).select("cluster", "n", F.col("place").cast("long").alias("place"))  # of 50 rows
+
+
 @query("GR1_clusters")
 def gr1_agg11_srt4(spark, sf):
     rows = cluster.clusters(B.records(spark, sf).select("mint", "normName", "normSymbol"))
@@ -483,7 +523,7 @@ def stm3_snk1(spark, sf):
     return store.read().select(*FOLDED.split(", "))
 
 
-@query("STM3_stateful", f"WITH {EVENTS} SELECT mint, name, symbol, firstSeen, lastSeen, peakMcUsd, sawMigrated, sightings FROM fold")
+@query("STM3_stateful", f"WITH {EVENTS} SELECT {FOLDED} FROM fold")
 def stm3_state(spark, sf):
     path = fresh(spark, "stateful")
     run = feed.stateful_fold(event_stream(spark, sf)).writeStream.outputMode("update").foreachBatch(lambda rows, _: rows.write.mode("append").parquet(path))

@@ -13,11 +13,11 @@ from echofold.sources.store import CoinStore
 
 
 class Service:
-    """Each request reads the current version; those that write replace it whole. startedAt is kept beside the records and never moves."""
+    """Each request reads the current version; sightings rewrite the buckets that they touch, other writes the whole. startedAt is kept beside the records and never moves."""
 
     def __init__(self, store: CoinStore, thresholds: Thresholds = THRESHOLDS):
         self.store, self.thresholds, self.spark = store, thresholds, store.spark
-        self.started = CoinStore(store.spark, store.path + "-started")
+        self.started = CoinStore(store.spark, store.path + "-started", META, None)
 
     def _start(self, now: int) -> None:
         if self.started.version() is None:
@@ -26,13 +26,13 @@ class Service:
     def observe(self, observations: DataFrame, now: int, seq: str = "seq") -> DataFrame:
         """Merges sightings; returns their records."""
         self._start(now)
-        self.store.replace(merge.upsert(self.store.read(), merge.folded(observations, seq), self.thresholds))
+        self.store.merge(merge.folded(observations, seq), lambda old, batch: merge.upsert(old, batch, self.thresholds))
         return self.store.read().join(observations.select("mint").distinct(), "mint", "left_semi")
 
     def meta(self, now: int) -> DataFrame:
         """One row: startedAt, schemaVersion, coinCount, ageMs, badgesReady."""
-        started = None if self.started.version() is None else self.started.spark.read.parquet(f"{self.started.path}/{self.started.version()}").first().startedAt
-        found = maintain.meta(self.store.read(), started or 0)
+        started = self.started.read().first()
+        found = maintain.meta(self.store.read(), started.startedAt if started else 0)
         age = look.corpus_age(F.col("startedAt"), F.lit(now).cast("long"))
         return found.withColumn("ageMs", age).withColumn("badgesReady", look.is_confident(F.col("ageMs"), self.thresholds))
 

@@ -1,34 +1,35 @@
-"""Cards on HTML pages as raw rows. Markup has no built-in reader, so this is one Arrow UDF a page; all typing after it is built-in.
+"""Cards on HTML pages as raw rows.
 
-A card is an element with the key attribute. Its text is one token for each text node: joining nodes of figures set with
-subscripts would make plausible wrong numbers, so tokens that touch a subscript are never part of a value.
+Markup has no built-in reader, so one Arrow UDF a page lists what stands on each card: images, links, and one token for
+each text node. Which of them is the name, a value or an age is told by built-in functions over those arrays. A token
+that touches a subscript (within one, or its element holds one) is never part of a value, as joined figures would make
+plausible wrong numbers.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echofold.functions.parse import BASE58, column_source, mint_from_href, mint_from_image, trimmed
+from echofold.functions.text import label_key
 from echofold.model import RAW_ROW
 
-#: Fixed values of HTML and of the cards' labels and shapes.
+#: Fixed values of HTML and of the cards: labels, and the shapes of money, ages, and shortened keys.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MARKET_CAP = ["MC", "MCAP", "M.CAP", "MKT CAP", "MARKET CAP"]
 VOLUME = ["V", "VOL", "VOLUME"]
-COLUMNS = [("new pairs", "new-pairs"), ("final stretch", "final-stretch"), ("migrated", "migrated")]
-MONEY = re.compile(r"\$?\d[\d,]*(?:\.\d+)?\s*[KMBT]?", re.I | re.A)
-DURATION = re.compile(r"\d+(?:\.\d+)?\s*[smhdw]", re.I | re.A)
-NUMBER, UNIT = re.compile(r"\d+(?:\.\d+)?", re.A), re.compile(r"[smhdw]", re.I)
-SHORTENED = re.compile(r".{2,}(?:\.{3}|…).{2,}")
-ADDRESS = re.compile(r"[1-9A-HJ-NP-Za-km-z]{32,44}")
-STEM = re.compile(r"/([^/?#]+)\.(?:webp|png|jpe?g|gif|avif)(?:[?#]|$)", re.I)
-FIELDS = [x.split()[0] for x in RAW_ROW.split(", ")]
+MONEY = r"^(?i)\$?[0-9][0-9,]*(?:\.[0-9]+)?\s*[KMBT]?$"
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+DURATION, LONE_NUMBER, LONE_UNIT = rf"^(?i){NUMBER}\s*[smhdw]$", f"^{NUMBER}$", "^(?i)[smhdw]$"
+SHORTENED = r"^.{2,}(?:\.{3}|…).{2,}$"
+PIECES, HEADING_TOKENS = 4, 6
 CARD = f"{RAW_ROW}, source string, attrMint string, tokens array<string>"
+LISTED = "array<struct<attribute: string, images: array<struct<src: string, alt: string>>, links: array<string>, tokens: array<struct<text: string, sub: boolean>>, heading: string>>"
 
 
 @dataclass(frozen=True)
@@ -37,178 +38,140 @@ class Markup:
 
     attribute: str = "data-pulse-token-address"
     column: str = "section"
-    launch: str = "/coin/"
+    launch: str = "coin"
     pair: str = "meme"
 
 
-class Element:
-    __slots__ = ("attributes", "has_sub", "parent", "tag")
-
-    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
-        self.tag, self.attributes, self.parent, self.has_sub = tag, attributes, parent, False
+@dataclass
+class Open:
+    """An element that is open: the card or column that it begins, if any, and whether a subscript is in it."""
 
-    def lineage(self):
-        at: Element | None = self
-        while at is not None:
-            yield at
-            at = at.parent
+    tag: str
+    card: dict | None = None
+    heading: list[str] | None = None
+    holds_sub: bool = False
+    tokens: list[dict] = field(default_factory=list)  # of its own text nodes
 
 
-class Tree(HTMLParser):
-    """Elements and text nodes in document order; a text node is (element, text)."""
+class Listing(HTMLParser):
+    """The cards of a page in document order, each as a dict of LISTED."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, markup: Markup):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[tuple[Element, str | None]] = []
-        self.top = Element("", {}, None)
-        self.at = self.top
+        self.markup, self.cards, self.open = markup, [], [Open("")]
         self.feed(source)
         self.close()
+        for card in self.cards:
+            card["heading"] = " ".join(card["heading"] or [])
+
+    def _inside(self) -> list[dict]:
+        return [x.card for x in self.open if x.card is not None]
 
     def handle_starttag(self, tag, attrs):
-        own = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.nodes.append((own, None))
+        values = {k: v or "" for k, v in attrs}
         if tag == "sub":
-            for up in self.at.lineage():
-                up.has_sub = True
+            for x in (x for x in self.open if not x.holds_sub):
+                x.holds_sub = True
+                for token in x.tokens:
+                    token["sub"] = True
+        for card in self._inside():
+            if tag == "img" and "src" in values:
+                card["images"].append({"src": values["src"], "alt": values.get("alt")})
+            if tag == "a" and "href" in values:
+                card["links"].append(values["href"])
+        own = Open(tag, heading=[] if tag == self.markup.column else None)
+        if self.markup.attribute in values:
+            column = next((x.heading for x in [own, *reversed(self.open)] if x.heading is not None), None)
+            own.card = {"attribute": values[self.markup.attribute], "images": [], "links": [], "tokens": [], "heading": column}
+            self.cards.append(own.card)
         if tag not in VOID:
-            self.at = own
+            self.open.append(own)
 
     def handle_endtag(self, tag):
-        for up in self.at.lineage():
-            if up.tag == tag and up.parent is not None:
-                self.at = up.parent
-                return
+        depth = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag), None)
+        if depth is not None:
+            del self.open[depth:]
 
     def handle_data(self, data):
-        self.nodes.append((self.at, data))
+        if text := " ".join(data.split()):
+            here = self.open[-1]
+            token = {"text": text, "sub": here.holds_sub or any(x.tag == "sub" for x in self.open)}
+            here.tokens.append(token)
+            for x in self.open:
+                if x.heading is not None and len(x.heading) < HEADING_TOKENS:
+                    x.heading.append(text)
+                if x.card is not None:
+                    x.card["tokens"].append(token)
 
 
-@dataclass
-class Token:
-    text: str
-    in_sub: bool
-    beside_sub: bool
-
-    @property
-    def subscript(self) -> bool:
-        return self.in_sub or self.beside_sub
-
-
-def address(value: str | None) -> str | None:
-    value = (value or "").strip()
-    return value if ADDRESS.fullmatch(value) else None
-
-
-def stem_address(src: str | None) -> str | None:
-    found = STEM.search(src) if src and not src.startswith("data:") else None
-    return address(found.group(1)) if found else None
-
-
-def tokens_of(nodes: list[tuple[Element, str | None]]) -> list[Token]:
-    rows = ((" ".join(text.split()), element) for element, text in nodes if text is not None)
-    return [Token(text, any(up.tag == "sub" for up in el.lineage()), el.has_sub) for text, el in rows if text]
-
-
-def longest_value(tokens: list[Token], parts: int = 4) -> str | None:
-    """The longest run of pieces from the first token on that reads as money, none of them by a subscript."""
-    joined, best = "", None
-    for token in tokens[:parts]:
-        if token.subscript:
-            break
-        joined += token.text
-        best = joined if MONEY.fullmatch(joined) else best
-    return best
-
-
-def labelled(tokens: list[Token], labels: list[str]) -> str | None:
-    """The value of the first token that is a label, or begins with one and holds the value, too; a subscript there ends the search."""
-    for k, token in enumerate(tokens):
-        key = token.text.rstrip(": \t").strip().upper()
-        for label in labels:
-            if key == label and k + 1 < len(tokens):
-                if tokens[k + 1].subscript:
-                    return None
-                if (value := longest_value(tokens[k + 1 :])) is not None:
-                    return value
-            elif key != label and key.startswith(label):
-                rest = token.text[len(label) :].strip()
-                if MONEY.fullmatch(rest):
-                    return None if token.beside_sub else rest
-    return None
-
-
-def first_age(tokens: list[Token], start: int) -> str | None:
-    texts = [t.text for t in tokens]
-    for k in range(start, len(texts)):
-        if DURATION.fullmatch(texts[k]):
-            return texts[k]
-        if k + 1 < len(texts) and NUMBER.fullmatch(texts[k]) and UNIT.fullmatch(texts[k + 1]):
-            return texts[k] + texts[k + 1]
-    return None
-
-
-def read_card(card: Element, nodes: list[tuple[Element, str | None]], markup: Markup) -> dict:
-    elements = [e for e, text in nodes if text is None]
-    images = [e.attributes for e in elements if e.tag == "img" and "src" in e.attributes]
-    links = [e.attributes["href"] for e in elements if e.tag == "a" and "href" in e.attributes]
-    tokens = tokens_of(nodes)
-    own = address(card.attributes.get(markup.attribute))
-    launch = next((re.search(re.escape(markup.launch) + r"([^/?#]+)", x) for x in links if markup.launch in x), None)
-    pair = next((re.search(rf"/{markup.pair}/([^/?#]+)", x) for x in links if f"/{markup.pair}/" in x), None)
-    mint = own or next(filter(None, (stem_address(i["src"]) for i in images)), None) or address(launch and launch.group(1)) or address(pair and pair.group(1))
-    image = next((i for i in images if mint is None or stem_address(i["src"]) == mint), {})
-    anchor = next((k for k, t in enumerate(tokens) if SHORTENED.fullmatch(t.text)), None)
-    symbol = name = age = None
-    if anchor is not None:
-        after = [t.text for t in tokens[anchor + 1 : anchor + 3]] + [None, None]
-        symbol, name = after[:2]
-        unnamed = name is not None and DURATION.fullmatch(name)
-        age = first_age(tokens, anchor + (2 if unnamed else 3))
-        name = None if unnamed else name
-    section = next((up for up in card.lineage() if up.tag == markup.column), None)
-    return {
-        "mintHref": f"/{markup.pair}/{mint}" if mint else None, "mintText": tokens[anchor].text if anchor is not None else None, "name": image.get("alt", name) if image.get("alt") is not None else name, "symbol": symbol,
-        "imageUrl": image.get("src"), "metadataUri": None, "marketCap": labelled(tokens, MARKET_CAP), "volume": labelled(tokens, VOLUME), "age": age,
-        "source": section, "attrMint": own, "tokens": [t.text for t in tokens],
-    }
-
-
-def page_cards(source: str | None, markup: Markup = Markup()) -> list[dict]:
-    """The cards of a page, in order; a card that can't be read is a row of nulls."""
-    tree = Tree(source or "")
-    inside: dict[int, list] = {}
-    cards, headings = [], {}
-    for node in tree.nodes:
-        element, text = node
-        for up in element.lineage():
-            if markup.attribute in up.attributes:
-                if id(up) not in inside:
-                    inside[id(up)] = []
-                    cards.append(up)
-                inside[id(up)].append(node)
-            if text is not None and up.tag == markup.column and len(headings.setdefault(id(up), [])) < 6 and text.split():
-                headings[id(up)].append(" ".join(text.split()))
-    out = []
-    for card in cards:
-        try:
-            row = read_card(card, [n for n in inside[id(card)] if n[0] is not card or n[1] is not None], markup)
-        except Exception:  # one bad card must not cost the page
-            row = dict.fromkeys([*FIELDS, "source", "attrMint", "tokens"])
-        heading = " ".join(headings.get(id(row["source"]), [])).lower()
-        row["source"] = next((s for label, s in COLUMNS if label in heading), "other")
-        out.append(row)
-    return out
+def listed(source: str | None, markup: Markup) -> list[dict]:
+    try:
+        return Listing(source or "", markup).cards
+    except Exception:  # a page that can't be read has no cards
+        return []
+
+
+def _text(tokens: Column, k: Column) -> Column:
+    return F.get(tokens, k)["text"]
+
+
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+
+
+def _money_after(tokens: Column, k: Column) -> Column:
+    """The longest run of up to PIECES tokens after place k that reads as money and touches no subscript."""
+    runs = [F.slice(tokens, k + 2, n) for n in range(PIECES, 0, -1)]
+    texts = [F.array_join(F.transform(run, lambda t: t["text"]), "") for run in runs]
+    return F.coalesce(*[F.when(~F.exists(run, lambda t: t["sub"]) & text.rlike(MONEY), text) for run, text in zip(runs, texts, strict=True)])
+
+
+def labelled(tokens: Column, labels: list[str]) -> Column:
+    """The value that goes with one of the labels: told by the first token that is a label with a value behind it, or
+    that has label and value in one; where a subscript is touched there, the value is null and no later one is taken."""
+
+    def told(token: Column, k: Column) -> Column:
+        key = label_key(token["text"])
+        behind = F.when(F.get(tokens, k + 1)["sub"], F.struct(F.lit(None).cast("string").alias("value")))
+        behind = F.coalesce(behind, F.when(_money_after(tokens, k).isNotNull(), F.struct(_money_after(tokens, k).alias("value"))))
+        rests = [F.when(key.startswith(x) & (key != x), trimmed(F.substr(token["text"], F.lit(len(x) + 1)))) for x in labels]
+        rest = _first(F.array(*[F.when(r.rlike(MONEY), r) for r in rests]))
+        merged = F.when(rest.isNotNull(), F.struct(F.when(~token["sub"], rest).alias("value")))
+        return F.when(key.isin(labels), behind).otherwise(merged)
+
+    return _first(F.transform(tokens, told))["value"]
+
+
+def age_from(tokens: Column, start: Column) -> Column:
+    """The first age at place start or later: one token, or a number and its unit in two."""
+
+    def told(k: Column) -> Column:
+        text, following = _text(tokens, k), _text(tokens, k + 1)
+        return F.when(text.rlike(DURATION), text).when(text.rlike(LONE_NUMBER) & following.rlike(LONE_UNIT), F.concat(text, following))
+
+    places = F.when(start < F.size(tokens), F.sequence(start, F.size(tokens) - 1))
+    return _first(F.transform(places, told))
 
 
 def cards(pages: DataFrame, key: str = "page_id", html: str = "html", markup: Markup = Markup()) -> DataFrame:
     """key, pos, and the columns of CARD, a row for each card in document order."""
 
-    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in CARD.split(', '))}>>")
+    @F.pandas_udf(LISTED)
     def read(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: page_cards(x, markup))
-
-    return pages.select(key, F.posexplode(read(html)).alias("pos", "card")).select(key, "pos", "card.*")
+        return values.map(lambda x: listed(x, markup))
+
+    link = lambda route: mint_from_href(F.get(F.filter("links", lambda x: x.contains(f"/{route}/")), F.lit(0)), route)
+    own = F.when(trimmed(F.col("attribute")).rlike(BASE58), trimmed(F.col("attribute")))
+    rows = pages.select(key, F.posexplode(read(html)).alias("pos", "card")).select(key, "pos", "card.*")
+    rows = rows.withColumn("attrMint", own).withColumn("mint", F.coalesce("attrMint", _first(F.transform("images", lambda i: mint_from_image(i["src"]))), link(markup.launch), link(markup.pair)))
+    rows = rows.withColumns({"image": F.get(F.filter("images", lambda i: F.col("mint").isNull() | F.coalesce(mint_from_image(i["src"]) == F.col("mint"), F.lit(False))), F.lit(0)), "anchor": F.array_position(F.transform("tokens", lambda t: t["text"].rlike(SHORTENED)), True).cast("int") - 1})
+    tokens, anchor = F.col("tokens"), F.when(F.col("anchor") >= 0, F.col("anchor"))
+    rows = rows.withColumns({"shown": _text(tokens, anchor + 2), "unnamed": F.coalesce(_text(tokens, anchor + 2).rlike(DURATION), F.lit(False))})
+    return rows.select(
+        key, "pos", F.concat(F.lit(f"/{markup.pair}/"), "mint").alias("mintHref"), _text(tokens, anchor).alias("mintText"), F.coalesce(F.col("image.alt"), F.when(~F.col("unnamed"), F.col("shown"))).alias("name"),
+        _text(tokens, anchor + 1).alias("symbol"), F.col("image.src").alias("imageUrl"), F.lit(None).cast("string").alias("metadataUri"), labelled(tokens, MARKET_CAP).alias("marketCap"), labelled(tokens, VOLUME).alias("volume"),
+        age_from(tokens, anchor + F.when(F.col("unnamed"), 2).otherwise(3)).alias("age"), column_source(F.col("heading")).alias("source"), "attrMint", F.transform(tokens, lambda t: t["text"]).alias("tokens"),
+    )
 
 
 #: What a capture must not hold when it is handed on.

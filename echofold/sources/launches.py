@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.functions.parse import BASE58, trimmed
+from echofold.sources.store import settled
 
 #: Reasons in the order in which they are looked for.
 REASONS = ["not-an-object", "bad-mint", "duplicate-in-file"]
@@ -49,6 +50,7 @@ def checked(rows: DataFrame) -> DataFrame:
     at = F.when(number, F.try_variant_get("v", "$.observedAt", "double"))
     own = rows.select("pos", kind.rlike("^(OBJECT|ARRAY)").alias("_object"), trimmed(_text("mint")).alias("mint"), *[_text(c).alias(c) for c in ("name", "symbol", "uri")], F.when((at > 0) & (at < float("inf")), at).alias("observedAt"))
     own = own.withColumn("reason", F.when(~F.col("_object"), REASONS[0]).when(~F.col("mint").rlike(BASE58), REASONS[1])).drop("_object")
+    own = settled(own, "launches")  # rows are parsed once, though they are read twice
     first = own.where("reason IS NULL").groupBy("mint").agg(F.min("pos").alias("_first"))
     return own.join(first, "mint", "left").withColumn("reason", F.when(F.col("reason").isNull() & (F.col("pos") != F.col("_first")), REASONS[2]).otherwise(F.col("reason"))).drop("_first")
 

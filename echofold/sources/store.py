@@ -1,26 +1,38 @@
-"""The record table as versioned Parquet snapshots: a new version is whole before the pointer names it.
+"""The record table as versioned Parquet snapshots: a new version is whole before a commit names it.
 
-A version is a folder; `CURRENT` below the table names the one to read, and is replaced by a rename through Hadoop's
-file system, so readers see the old table or the new one and a failed write leaves the old one in place.
+Rows lie in buckets by a hash of their key. A commit is a numbered JSON file that names each bucket's folder and the last
+epoch of each stream that was merged in; it is made by a rename that fails where that number is taken, so readers see
+the old table or the new one, a failed write leaves the old one in place, and of two writers that began from one version
+the later one is refused. A merge reads and writes only the buckets that its batch touches. Folders that none of the last
+KEPT commits names are removed.
 """
 
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from echofold.model import COIN
 
 OWN_DIR = "echofold.shared.dir"  # remembers the folder chosen
+BUCKETS, KEPT = 16, 3
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: on a cluster a folder in the
-    warehouse, and only with a local master one of this machine, removed at exit."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: with a local master one of this
+    machine, removed at exit; on a cluster a folder in the warehouse, refused if that is a file system of each machine."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not held and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         folder = tempfile.mkdtemp(prefix="echofold-")
@@ -28,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = f"file://{folder}"
     elif not held:
         held = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_echofold"
+        if hadoop_path(spark, held)[1].getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.conf.set(OWN_DIR, held)
     return held
 
@@ -39,38 +53,109 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed since the version that this write began from."""
+
+
 class CoinStore:
-    """Snapshots of COIN rows at a path."""
+    """Snapshots of rows at a path, in buckets by key (in one if key is None)."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = COIN, key: str | None = "mint", buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets if key else 1
+        self._commits = f"{self.path}/_commits"
+        self._fs = hadoop_path(spark, self.path)[1]
+        self._base: int | None = None
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._Path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def _at(self, path: str):
+        return hadoop_path(self.spark, path)[0]
+
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._at(self._commits)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self._commits))]
+        return sorted(int(x) for x in names if x.isdigit())
+
+    def _commit(self, number: int) -> dict:
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self._commits}/{number:012d}").collect()))
+
+    def state(self) -> tuple[int, dict]:
+        """Number and content of the last commit."""
+        numbers = self._numbers()
+        return (numbers[-1], self._commit(numbers[-1])) if numbers else (-1, {"folders": {}, "epochs": {}})
 
     def version(self) -> str | None:
-        at = self._Path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        number, _ = self.state()
+        return None if number < 0 else str(number)
+
+    def epoch(self, query: str) -> int:
+        """The last epoch of a stream that was merged in, -1 if none was."""
+        return int(self.state()[1]["epochs"].get(query, -1))
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{x}" for x in folders])
 
     def read(self) -> DataFrame:
-        """The current rows; an unwritten store has none."""
-        version = self.version()
-        if version is None:
-            return self.spark.createDataFrame([], COIN)
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        """The current rows; an unwritten store has none. What is written next is held to begin from here."""
+        self._base, commit = self.state()
+        return self._rows(list(commit["folders"].values()))
 
     def replace(self, rows: DataFrame) -> None:
-        """Writes a new version and then points at it; rows may derive from the current version."""
+        """Writes all rows anew; they may derive from those last read."""
+        self._put(rows, None, None)
+
+    def merge(self, batch: DataFrame, upsert, epoch: tuple[str, int] | None = None) -> None:
+        """Replaces the buckets that batch touches by upsert(their rows, batch). epoch: the stream and its batch, merged once."""
+        self._base, commit = self.state()
+        if epoch and int(commit["epochs"].get(epoch[0], -1)) >= epoch[1]:
+            return
+        batch = settled(batch, "store-batch")
+        touched = sorted(r.b for r in batch.select(self._bucket().alias("b")).distinct().collect())  # self.buckets rows at most
+        old = [commit["folders"][str(b)] for b in touched if str(b) in commit["folders"]]
+        self._put(upsert(self._rows(old), batch), touched, epoch)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
+
+    def _put(self, rows: DataFrame, touched: list[int] | None, epoch: tuple[str, int] | None) -> None:
+        number, commit = self.state()
+        base = number if self._base is None else self._base
         version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        held = self._Path(f"{self.path}/NEXT-{version}")
+        columns = [x.split()[0] for x in self.schema.split(", ")]
+        rows = rows.select(*[c for c in columns if c in rows.columns], self._bucket().alias("_bucket"))
+        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        made = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/{version}"))]
+        folders = {} if touched is None else {b: f for b, f in commit["folders"].items() if int(b) not in touched}
+        folders |= {x.partition("=")[2]: f"{version}/{x}" for x in made if x.startswith("_bucket=")}
+        epochs = commit["epochs"] | ({epoch[0]: epoch[1]} if epoch else {})
+        self._publish(base + 1, {"folders": folders, "epochs": epochs})
+        self._base = base + 1
+        self._tidy()
+
+    def _publish(self, number: int, commit: dict) -> None:
+        held, at = self._at(f"{self.path}/_next-{uuid.uuid4().hex}"), self._at(f"{self._commits}/{number:012d}")
         out = self._fs.create(held, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(commit).encode()))
         out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(held.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(held, self._Path(f"{self.path}/CURRENT"), options)
+        self._fs.mkdirs(self._at(self._commits))
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(held.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(held, at, options)
+        except Exception as e:
+            self._fs.delete(held, False)
+            if self._fs.exists(at):
+                raise ConcurrentWrite(f"{self.path}: commit {number} is taken") from e
+            raise
+
+    def _tidy(self) -> None:
+        numbers = self._numbers()
+        if len(numbers) <= KEPT:
+            return
+        named = {f.partition("/")[0] for n in numbers[-KEPT:] for f in self._commit(n)["folders"].values()}
+        for n in numbers[:-KEPT]:
+            for version in {f.partition("/")[0] for f in self._commit(n)["folders"].values()} - named:
+                self._fs.delete(self._at(f"{self.path}/{version}"), True)
+            self._fs.delete(self._at(f"{self._commits}/{n:012d}"), False)

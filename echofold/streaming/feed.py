@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import random
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from echofold.sources.store import CoinStore
 
 #: Keys remembered, silence before an alarm, and the rate under which a long-running feed is suspect.
 SEEN_CAP, SILENCE_MS, RATE_AFTER_MS, LEAST_A_MINUTE = 20_000, 60_000, 300_000, 10
+#: The longest wait before each further attempt to reconnect; the last holds for all later ones.
+WAITS_MS = [min(30_000, 500 << k) for k in range(7)]
 
 
 def launches(spark: SparkSession, path: str) -> DataFrame:
@@ -32,68 +34,66 @@ def sightings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fold_into(stream: DataFrame, store: CoinStore, checkpoint: str, trigger: dict | None = None, thresholds: Thresholds = THRESHOLDS):
-    """Merges each micro-batch into the store. One batch at a time; batches run once each as a replayed one is known by its id.
+    """Merges each micro-batch into the store. One batch at a time; the commit that holds a batch names its query and
+    epoch, so a batch that is run again, after a restart too, is merged once, and queries on one store don't mix.
 
     The trigger (250 ms by default) coalesces bursts: what arrives while a batch runs waits for the next.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        done = store.spark.conf.get(f"echofold.epoch.{store.path}", "-1")
-        if epoch <= int(done):
-            return
-        store.replace(upsert(store.read(), folded(batch), thresholds))
-        store.spark.conf.set(f"echofold.epoch.{store.path}", str(epoch))
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        store.merge(folded(batch), lambda old, new: upsert(old, new, thresholds), (query, epoch))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
 
 
-FOLD_STATE = "name string, nameSeq long, symbol string, symbolSeq long, firstSeen long, lastSeen long, peak double, migrated boolean, sightings long"
-FOLD_OUT = "mint string, name string, symbol string, firstSeen long, lastSeen long, peakMcUsd double, sawMigrated boolean, sightings long"
+TEXTS = ["name", "symbol", "imageUrl"]
+FOLD_STATE = ", ".join(f"{c} string, {c}Seq long" for c in TEXTS) + ", firstSeen long, lastSeen long, peakMcUsd double, peakVolUsd double, sawMigrated boolean, sightings long"
+FOLD_OUT = "mint string, name string, symbol string, imageUrl string, firstSeen long, lastSeen long, peakMcUsd double, peakVolUsd double, sawMigrated boolean, sightings long"
 
 
 def stateful_fold(stream: DataFrame) -> DataFrame:
-    """The same fold as a keyed state: emits each touched key's record after a micro-batch (update mode)."""
+    """The same fold as a keyed state: emits each touched key's record after a micro-batch (update mode). Rows are folded
+    by Spark's partial aggregates in fold_into(); this form is for sinks that want the changed records alone."""
+    fields, out = ([x.split()[0] for x in y.split(", ")] for y in (FOLD_STATE, FOLD_OUT))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, name_seq, symbol, symbol_seq, first, last, peak, migrated, n = state.get if state.exists else (None, None, None, None, None, None, None, False, 0)
-        best = lambda now, new, pick: new if now is None else now if new is None else pick(now, new)
+        held = [pd.DataFrame([state.get], columns=fields)] if state.exists else []
         for rows in parts:
-            for field in ("name", "symbol"):
-                known = rows[rows[field].notna()]
-                if len(known):
-                    row = known.loc[known["seq"].idxmin()]
-                    seq = int(row["seq"])
-                    if field == "name" and (name_seq is None or seq < name_seq):
-                        name, name_seq = row[field], seq
-                    if field == "symbol" and (symbol_seq is None or seq < symbol_seq):
-                        symbol, symbol_seq = row[field], seq
-            first, last = best(first, int(rows["seenAt"].min()), min), best(last, int(rows["seenAt"].max()), max)
-            top = rows["marketCapUsd"].max()
-            peak = best(peak, None if pd.isna(top) else float(top), max)
-            migrated = migrated or bool((rows["source"] == "migrated").any())
-            n += len(rows)
-        state.update((name, name_seq, symbol, symbol_seq, first, last, peak, migrated, n))
-        yield pd.DataFrame({"mint": [key[0]], "name": [name], "symbol": [symbol], "firstSeen": [first], "lastSeen": [last], "peakMcUsd": [peak], "sawMigrated": [migrated], "sightings": [n]})
+            own = pd.DataFrame({"firstSeen": [rows["seenAt"].min()], "lastSeen": [rows["seenAt"].max()], "peakMcUsd": [rows["marketCapUsd"].max()], "peakVolUsd": [rows["volumeUsd"].max()], "sawMigrated": [bool((rows["source"] == "migrated").any())], "sightings": [len(rows)]})
+            for c in TEXTS:
+                known = rows.loc[rows[c].notna(), [c, "seq"]].nsmallest(1, "seq")
+                own[c], own[c + "Seq"] = (known[x].iloc[0] if len(known) else None for x in (c, "seq"))
+            held.append(own)
+        every = pd.concat(held, ignore_index=True)
+        value = {"firstSeen": int(every["firstSeen"].min()), "lastSeen": int(every["lastSeen"].max()), "sawMigrated": bool(every["sawMigrated"].any()), "sightings": int(every["sightings"].sum())}
+        for c in ("peakMcUsd", "peakVolUsd"):
+            top = pd.to_numeric(every[c]).max()
+            value[c] = None if pd.isna(top) else float(top)
+        for c in TEXTS:
+            known = every[every[c].notna()]
+            first = known.loc[pd.to_numeric(known[c + "Seq"]).idxmin()] if len(known) else None
+            value[c], value[c + "Seq"] = (None, None) if first is None else (first[c], int(first[c + "Seq"]))
+        state.update(tuple(value[f] for f in fields))
+        yield pd.DataFrame([{"mint": key[0]} | value], dtype=object)[out]
 
     return stream.groupBy("mint").applyInPandasWithState(step, FOLD_OUT, FOLD_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 class BoundedSeen:
-    """Keys remembered up to a cap, the older half forgotten when it is passed; seeing a key again does not renew it."""
+    """Keys in order of arrival. Past the cap the older half is forgotten; a key that comes again keeps its place."""
 
     def __init__(self, cap: int = SEEN_CAP, keys: list[str] | None = None):
-        self.cap, self.order = cap, deque(keys or [])
-        self.known = set(self.order)
+        self.cap, self.order = cap, dict.fromkeys(keys or [])
 
     def add(self, key: str) -> bool:
-        if key in self.known:
-            return False
-        self.known.add(key)
-        self.order.append(key)
+        """Whether the key is new."""
+        before = len(self.order)
+        self.order.setdefault(key)
         if len(self.order) > self.cap:
-            for _ in range(self.cap // 2):
-                self.known.discard(self.order.popleft())
-        return True
+            self.order = dict.fromkeys(list(self.order)[self.cap // 2 :])
+            return True
+        return len(self.order) > before
 
 
 def bounded_dedupe(stream: DataFrame, cap: int = SEEN_CAP, shards: int = 1, schema: str = LAUNCH) -> DataFrame:
@@ -110,10 +110,9 @@ def bounded_dedupe(stream: DataFrame, cap: int = SEEN_CAP, shards: int = 1, sche
     return stream.withColumn("_shard", shard).groupBy("_shard").applyInPandasWithState(step, schema, "keys array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def backoff_ms(attempt: int, least: int = 500, most: int = 30_000, draw=random.random) -> int:
-    """Full-jitter exponential backoff."""
-    ceiling = min(most, least * 2 ** min(attempt, 16))
-    return int(least + draw() * (ceiling - least))
+def backoff_ms(attempt: int, waits: list[int] = WAITS_MS, draw=random.random) -> int:
+    """A random wait between the shortest one and that of the attempt."""
+    return int(np.interp(draw(), [0, 1], [waits[0], waits[min(attempt, len(waits) - 1)]]))
 
 
 def rate_alarm(launched: int, running_ms: int) -> bool:

@@ -22,6 +22,10 @@ def test_normalize(spark):
     assert column(spark, [*NORMS, None], text.normalize) == [*NORMS.values(), None]
 
 
+def test_normalize_with_a_table_of_its_own():
+    assert text.normalized("coin\u1adbx", text.char_table({0x1ADB})) == "coinx" and text.normalized("coin\u1adbx", text.char_table(())) == "x"
+
+
 def test_compact_number(spark):
     cases = {"$44.8K": 44800.0, "$1.11M": 1110000.0, "17,588": 17588.0, "2b": 2e9, "500+": 500.0, "—": None, "0.0₂4": None, "44.8Q": None, ",": None, "": None, " $5 ": 5.0, "$ 3.05K": 3050.0, None: None}
     assert column(spark, list(cases), parse.compact_number) == pytest.approx(list(cases.values()))
