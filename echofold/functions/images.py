@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from echofold.functions.text import bound
 from echofold.model import THRESHOLDS, Thresholds
 
 #: Rec. 601 luma.
@@ -62,11 +63,6 @@ def hash_pixels(rgba: Column, thresholds: Thresholds = THRESHOLDS) -> Column:
     return run(rgba)
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with value computed once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def hash_coefficients(block: Column) -> Column:
     """The hash of 64 coefficients in an array, by built-in functions alone."""
 
@@ -79,8 +75,8 @@ def hash_coefficients(block: Column) -> Column:
 
     values = F.transform(block, lambda x: x.cast("double"))
     rest = F.array_sort(F.slice(values, 2, F.size(block) - 1))
-    bits = _bound(_bound(rest, median), lambda m: F.array_join(F.transform(values, lambda x: F.when(x > m, "1").otherwise("0")), ""))
-    return _bound(bits, digits)
+    bits = bound(bound(rest, median), lambda m: F.array_join(F.transform(values, lambda x: F.when(x > m, "1").otherwise("0")), ""))
+    return bound(bits, digits)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -21,6 +21,15 @@ _MARKS = {*range(6, 35), 202, 214, 216, 218, 220, 222, 226, 228, 230, 232, 233,
 _FILLER = re.compile(r"\b(?:" + "|".join(FILLER) + r")\b", re.ASCII)
 
 
+#: The same white space as characters.
+WHITE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_diacritic(char: str) -> bool:
     """A rule for the Diacritic property: marks by combining class, modifier letters, tone and length signs, spacing accents."""
     kind, name = unicodedata.category(char), unicodedata.name(char, "")
@@ -94,7 +103,7 @@ def phash_bands(phash: Column, bands: int = 4) -> Column:
 
 def clean_text(value: Column) -> Column:
     """White space collapsed and trimmed; empty is null."""
-    return F.nullif(F.trim(F.regexp_replace(value, WHITE + "+", " ")), F.lit(""))
+    return bound(F.trim(F.regexp_replace(value, WHITE + "+", " ")), lambda x: F.when(x != "", x))
 
 
 def label_key(value: Column) -> Column:

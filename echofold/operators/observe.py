@@ -14,10 +14,11 @@ NO_MINT, MISMATCH = "no-mint", "mint-mismatch"
 
 def judged(raw: DataFrame, base: str = "https://example.invalid/") -> DataFrame:
     """raw (RAW_ROW and source, seenAt) with the observation's columns and rejected: a reason, or null where the row is kept."""
-    mint = parse.mint_from_href(F.col("mintHref"))
+    names = raw.columns
+    raw, mint = raw.withColumn("_mint", parse.mint_from_href(F.col("mintHref"))), F.col("_mint")
     reason = F.when(mint.isNull(), NO_MINT).when(~parse.truncated_matches(F.col("mintText"), mint), MISMATCH)
     own = [mint.alias("mint"), *(clean_text(F.col(c)).alias(c) for c in ("name", "symbol")), parse.clean_image_url(F.col("imageUrl"), base).alias("imageUrl"), clean_text(F.col("metadataUri")).alias("metadataUri"), parse.compact_number(F.col("marketCap")).alias("marketCapUsd"), parse.compact_number(F.col("volume")).alias("volumeUsd"), parse.age_seconds(F.col("age")).alias("ageSeconds")]
-    rest = [c for c in raw.columns if c not in ("mintHref", "mintText", "name", "symbol", "imageUrl", "metadataUri", "marketCap", "volume", "age")]
+    rest = [c for c in names if c not in ("mintHref", "mintText", "name", "symbol", "imageUrl", "metadataUri", "marketCap", "volume", "age")]
     return raw.select(*rest, *own, reason.alias("rejected"))
 
 
