@@ -13,8 +13,8 @@ OWN_DIR = "echofold.shared.dir"  # remembers the folder chosen
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: on a cluster a folder in the
-    warehouse, and only with a local master one of this machine, removed at exit."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: with a local master one of this
+    machine, removed at exit; on a cluster a folder in the warehouse, refused if that is a file system of each machine."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not held and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         folder = tempfile.mkdtemp(prefix="echofold-")
@@ -22,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         held = f"file://{folder}"
     elif not held:
         held = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_echofold"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.conf.set(OWN_DIR, held)
     return held
 
