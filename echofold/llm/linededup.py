@@ -1,14 +1,15 @@
 """Line dedup by site-relative frequency: lines that over RATIO of a host's pages contain are boilerplate and are dropped.
 
-Each page gives its distinct lines (spaces trimmed, blank lines left out); pages are counted by host and line, partly
-before the shuffle, so a hot line or host costs a row a task. A line stands as its 64-bit hash within its host. A host has
-at most (its lines a page) / RATIO boilerplate lines, since each is on that share of its pages; that short list is joined
-to the pages, which so meet no other page: as a broadcast while the lists hold BROADCAST_LINES or fewer, else by
-a join whose hot hosts Spark may split.
+Pages of one text within a host count once, in a line's pages and in the host's: a text copied often says nothing new about
+its lines, which would else all go with the last copy. Each page gives its distinct lines (spaces trimmed, blank lines left
+out); copies fold, then pages are counted by host and line, both partly before the shuffle, so a hot line or host costs a
+row a task. Lines and texts stand as 64-bit hashes within their host. A host has at most (its lines a page) / RATIO
+boilerplate lines, since each is on that share of its pages; that short list is joined to the pages, which so meet no other
+page: as a broadcast while the lists hold BROADCAST_LINES or fewer, else by a join whose hot hosts Spark may split.
 
-Defined results: null text stays null; a null host counts as the host ""; blank lines stay; a page whose lines all go has
-empty text; a host with fewer than MIN_PAGES pages with the line loses none; repeated rows are pages of their own, so
-they raise a line's frequency; an empty table gives an empty table; all columns of the pages are kept.
+Defined results: null text stays null, and counts as a page of the empty text; a null host counts as the host ""; blank
+lines stay; a page whose lines all go has empty text; a host with fewer than MIN_PAGES different pages with the line loses
+none; repeated rows count once and lose the same lines; an empty table gives an empty table; all columns of the pages are kept.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from echofold.llm.storage import settled
 
-RATIO = 0.1
+RATIO = 0.02
 MIN_PAGES = 3
 BROADCAST_LINES = 100_000
 
@@ -28,11 +29,13 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host string, line long (hash), n long (its pages) for each line over the ratio."""
+    """host string, line long (hash), n long (its different pages) for each line over the ratio."""
     of = F.coalesce(pages[host].cast("string"), F.lit(""))
-    totals = pages.groupBy(of.alias("host")).agg(F.count("*").alias("pages"))
+    page = F.xxhash64(F.coalesce(pages[text], F.lit(""))).alias("page")
+    totals = pages.select(of.alias("host"), page).groupBy("host").agg(F.count_distinct("page").alias("pages"))
     own = F.array_distinct(F.filter(F.transform(_lines(pages[text]), lambda x: F.trim(x)), lambda x: x != ""))
-    counts = pages.select(of.alias("host"), F.explode(F.transform(own, lambda x: F.xxhash64(x))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    lines = pages.select(of.alias("host"), page, F.explode(F.transform(own, lambda x: F.xxhash64(x))).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("page").alias("n"))
     return counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line", "n")
 
 
@@ -58,8 +61,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
 
 ORACLE_SQL = f"""
 WITH page AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
-line AS (SELECT DISTINCT doc_id, host, trim(x) AS line FROM (SELECT doc_id, host, unnest(lines) AS x FROM page) WHERE trim(x) <> ''),
-total AS (SELECT host, count(*) AS pages FROM page GROUP BY host),
+line AS (SELECT DISTINCT host, text, trim(x) AS line FROM (SELECT host, text, unnest(lines) AS x FROM page) WHERE trim(x) <> ''),
+total AS (SELECT host, count(DISTINCT coalesce(text, '')) AS pages FROM page GROUP BY host),
 bad AS (SELECT host, list(line) AS bad FROM (SELECT host, line, count(*) AS n FROM line GROUP BY host, line) JOIN total USING (host)
         WHERE n >= {MIN_PAGES} AND n > {RATIO} * pages GROUP BY host)
 SELECT doc_id,

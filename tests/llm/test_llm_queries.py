@@ -114,9 +114,9 @@ def test_ann_odd_rows(spark):
 
 def plain_line_dedup(rows, ratio, least):
     pages, seen = defaultdict(int), defaultdict(int)
-    for host, text in rows:
+    for host, text in {(host, text or "") for host, text in rows}:
         pages[host] += 1
-        for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
+        for line in {x.strip(" ") for x in text.split("\n")} - {""}:
             seen[host, line] += 1
     bad = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
     return [None if text is None else "\n".join(x for x in text.split("\n") if (host, x.strip(" ")) not in bad) for host, text in rows]
@@ -130,6 +130,13 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.drop_boilerplate(odd).columns == odd.columns and linededup.drop_boilerplate(odd).count() == len(ODD) and linededup.drop_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_keeps_copied_texts(spark):
+    rows = [("a", "one long story\nwith its own end") for _ in range(50)] + [("a", f"menu\nitem {k}") for k in range(50)]
+    frame = spark.createDataFrame([(k, h, t) for k, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
+    got = [r.text for r in linededup.drop_boilerplate(frame).orderBy("doc_id").collect()]
+    assert got == [rows[0][1]] * 50 + [f"item {k}" for k in range(50)]
+
+
 def test_simhash_query_is_brute_force(spark):
     from importlib import util
 
