@@ -51,6 +51,7 @@ SET_BUDGETS = (8, 16, 24, SET_BUDGET)
 CHUNK_ROWS, CHUNK_BYTES = 8192, 32 << 20
 SMALL_CHUNK, SMALL_CHUNKS = 1024, 8  # smaller groups are cut too, in fewer chunks, so that several tasks share one
 BLOOM_BITS = 26
+PARTS = 256  # tasks that can share one component while it is named
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit from the left, bits
 PAIRS = list(combinations(BLOCKS, 2))
 
@@ -228,10 +229,19 @@ def linked_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def named_components(classes: DataFrame, of: str, found: DataFrame) -> DataFrame:
-    """of, component_id: the smallest `least` of the classes in each one's component; found: node, component."""
-    named = settled(classes.join(found, classes[of] == found.node, "left").select(of, "least", F.coalesce("component", of).alias("component")), "simhash-classes")
-    linked = named.join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("first"))
-    return named.join(linked, "component", "left").select(of, F.coalesce("first", "least").alias("component_id"))
+    """of, component_id: the smallest `least` of the classes in each one's component; found: node, component.
+
+    Classes without links are not shuffled by component. The others meet their component's name by component and one of
+    PARTS parts of it, so that several tasks share a large component; a name goes to those parts alone that have classes.
+    """
+    part = F.pmod(F.xxhash64(of), F.lit(PARTS)).cast("int").alias("part")
+    named = settled(classes.join(found, classes[of] == found.node, "left").select(of, "least", "component", part), "simhash-classes")
+    linked = named.where("component IS NOT NULL")
+    parts = linked.groupBy("component", "part").agg(F.min("least").alias("least"))
+    first = parts.groupBy("component").agg(F.min("least").alias("first"), F.collect_list("part").alias("parts"))
+    first = first.select("component", "first", F.explode("parts").alias("part"))
+    alone = named.where("component IS NULL").select(of, F.col("least").alias("component_id"))
+    return linked.join(first, ["component", "part"]).select(of, F.col("first").alias("component_id")).union(alone)
 
 
 FP = [f"f{w}" for w in range(shingle_sets.FP_WORDS)]
