@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.functions import images, parse, present
-from echofold.functions.text import clean_text, label_key, phash_bands
+from echofold.functions.similarity import narrative_match, pair_scores
+from echofold.functions.text import clean_text, label_key, normalize, phash_bands, trigrams
 from echofold.model import THRESHOLDS, TRACKED, Narrative, Thresholds
 from echofold.operators import cluster, lookup, maintain, merge, observe
 from echofold.operators.candidates import candidates
 from echofold.plans import bindings as B
+from echofold.plans.service import Service
 from echofold.sources import cards, launches
 from echofold.sources.store import CoinStore, shared_dir
 from echofold.streaming import feed
@@ -87,14 +89,16 @@ def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text and hashes -----------------------------------------------------------------------------------------------
 
-@query("STR1_normalize", f"WITH {RECORDS} SELECT doc_id, nn AS norm_name, ns AS norm_symbol FROM coin")
+@query("STR1_normalize", f"SELECT doc_id, {norm_sql('text')} AS norm_text FROM documents")
 def str1(spark, sf):
-    return B.records(spark, sf).select("doc_id", F.col("normName").alias("norm_name"), F.col("normSymbol").alias("norm_symbol"))
+    """Whole texts as keys."""
+    return B.spread(B.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", normalize(F.col("text")).alias("norm_text"))
 
 
-@query("STR5_trigrams", f"WITH {RECORDS} SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({GRAMS.format('nn')}, {GRAMS.format('ns')}))), ',') AS trigrams FROM coin")
+@query("STR5_trigrams", f"WITH t AS (SELECT doc_id, {norm_sql('text')} AS nn FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct({GRAMS.format('nn')})), ',') AS trigrams FROM t")
 def str5(spark, sf):
-    return B.records(spark, sf).select("doc_id", F.array_join(F.array_sort("trigrams"), ",").alias("trigrams"))
+    """The distinct trigrams of whole texts' keys."""
+    return str1(spark, sf).select("doc_id", F.array_join(F.array_sort(trigrams(F.col("norm_text"))), ",").alias("trigrams"))
 
 
 @query("STR7_bands", f"WITH {HASH} SELECT vec_id, phash, array_to_string([CAST(k AS VARCHAR) || ':' || substr(phash, 4 * k + 1, 4) for k in [0, 1, 2, 3]], ' ') AS bands FROM hash")
@@ -119,14 +123,33 @@ def agg9_agg10(spark, sf):
     return B.table(spark, sf, "embeddings").select("vec_id", F.round(images.population_variance(F.col("embedding")), 9).alias("variance"), F.get(rest, F.lit(31)).alias("middle"))
 
 
-@query("MTH2_pixel_hash")
+SIDE, LOW = THRESHOLDS.sample_size, THRESHOLDS.dct_size
+#: Each picture's pixels as rows, then a sum along x and one along y.
+PIXELS = f"""WITH byte AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+part AS (SELECT doc_id, k AS picture, rpad(substr(h, k * {SIDE * SIDE * 8} + 1, {SIDE * SIDE * 8}), {SIDE * SIDE * 8}, '78') AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(1, (length(h) + {SIDE * SIDE * 8 - 1}) // {SIDE * SIDE * 8}))) AS k FROM byte)),
+line AS (SELECT doc_id, picture, CAST(y AS INT) AS y, substr(h, y * {SIDE * 8} + 1, {SIDE * 8}) AS h FROM (SELECT doc_id, picture, h, unnest(range(0, {SIDE})) AS y FROM part)),
+dot AS (SELECT doc_id, picture, y, CAST(x AS INT) AS x, substr(h, x * 8 + 1, 6) AS h FROM (SELECT doc_id, picture, y, h, unnest(range(0, {SIDE})) AS x FROM line)),
+pixel AS (SELECT doc_id, picture, y, x, {' + '.join(f"{w} * CAST('0x' || substr(h, {2 * c + 1}, 2) AS INT)" for c, w in enumerate(images.LUMA))} AS v FROM dot),
+basis AS (SELECT k, i, cos(pi() * (2 * i + 1) * k / {2 * SIDE}) * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / {SIDE}) AS c FROM range(0, {LOW}) a(k), range(0, {SIDE}) b(i)),
+across AS (SELECT doc_id, picture, y, k AS l, sum(v * c) AS v FROM pixel JOIN basis ON i = x GROUP BY ALL),
+down AS (SELECT doc_id, picture, {LOW} * k + l AS place, sum(v * c) AS v FROM across JOIN basis ON i = y GROUP BY ALL),
+block AS (SELECT doc_id, picture, list(v ORDER BY place) AS e FROM down GROUP BY ALL),
+bit AS (SELECT doc_id, picture, list_transform(e, lambda x: CASE WHEN x > list_sort(e[2:64])[32] THEN 1 ELSE 0 END) AS bits FROM block),
+spreads AS (SELECT doc_id, picture, var_pop(v) AS variance FROM pixel GROUP BY ALL)
+SELECT doc_id, CAST(picture AS INT) AS picture, CASE WHEN variance >= {THRESHOLDS.min_variance} THEN array_to_string(list_transform(range(0, 16), lambda k: substr('0123456789abcdef', 1 + 8 * bits[4 * k + 1] + 4 * bits[4 * k + 2] + 2 * bits[4 * k + 3] + bits[4 * k + 4], 1)), '') END AS hash,
+  CASE WHEN variance < {THRESHOLDS.min_variance} THEN 'degenerate' END AS failure, round(variance, 6) AS variance FROM bit JOIN spreads USING (doc_id, picture)
+UNION ALL SELECT doc_id, 0, NULL, 'unavailable', 0 FROM documents WHERE text IS NULL"""
+
+
+@query("MTH2_pixel_hash", PIXELS)
 def mth2(spark, sf):
-    """Documents' bytes, to their end, as 32 x 32 pictures through the pixel path: luma, gate, DCT, median bits."""
-    size = THRESHOLDS.sample_size**2 * 4
-    last = F.floor((F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)) - 1) / size).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.rpad(F.substring("text", k * size + 1, F.lit(size)), size, "x"))
-    rows = B.spread(B.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(parts).alias("picture", "part"))
-    return rows.select("doc_id", "picture", images.hash_pixels(F.encode("part", "ISO-8859-1")).alias("r")).select("doc_id", "picture", "r.hash", "r.failure", F.round("r.variance", 6).alias("variance"))
+    """Documents' UTF-8 bytes, to their end, as 32 x 32 pictures through the pixel path: luma, gate, DCT, median bits. Null text is one unavailable picture."""
+    size = SIDE * SIDE * 4
+    rows = B.spread(B.table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("bytes")))
+    last = F.floor((F.greatest(F.coalesce(F.length("bytes"), F.lit(0)), F.lit(1)) - 1) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.rpad(F.substring("bytes", k * size + 1, F.lit(size)), size, F.lit(b"x")))
+    cut = rows.select("doc_id", F.posexplode(parts).alias("picture", "part"))
+    return cut.select("doc_id", "picture", images.hash_pixels(F.col("part")).alias("r")).select("doc_id", "picture", "r.hash", "r.failure", F.round("r.variance", 6).alias("variance"))
 
 
 # --- parsers and observations --------------------------------------------------------------------------------------
@@ -498,6 +521,40 @@ def gr1_agg11_srt4(spark, sf):
     return rows.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", "n", (F.col("n") > 1).alias("matched"))
 
 
+SAME = {f"{a}{b}": f"(length(x.{a}) >= 3 AND length(y.{b}) >= 3 AND x.{a} = y.{b})" for a in ("nn", "ns") for b in ("nn", "ns")}
+
+
+@query("FLT4_match", f"""WITH p AS (SELECT *, {norm_sql('p_name')} AS pn, {norm_sql('p_type')} AS pt, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'size ' || p_size END AS uri FROM part),
+x AS (SELECT *, pn AS nn, pt AS ns FROM p), y AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN pn ELSE pt END AS nn, CASE WHEN p_partkey % 2 = 0 THEN pt ELSE pn END AS ns FROM p QUALIFY p_partkey = min(p_partkey) OVER (PARTITION BY p_brand)),
+hit AS (SELECT x.p_partkey, x.uri <> '' AND x.uri = y.uri AS same, {SAME['nnnn']} OR {SAME['nnns']} AS name, {SAME['nsns']} OR {SAME['nsnn']} AS symbol, {SAME['nnnn']} OR NOT {SAME['nsns']} AS named FROM x JOIN y USING (p_brand))
+SELECT p_partkey, CASE WHEN same OR name OR symbol THEN CAST(1 AS DOUBLE) END AS similarity, CASE WHEN same THEN 'metadata' WHEN name OR symbol THEN concat_ws(' + ', CASE WHEN name AND named THEN 'name' END, CASE WHEN symbol THEN 'symbol' END, CASE WHEN name AND NOT named THEN 'name' END) END AS matched FROM hit""")
+def flt4_str4(spark, sf):
+    """Each part against the first of its brand, by names, types as symbols, and sizes as addresses."""
+    key = F.col("p_partkey")
+    rows = B.table(spark, sf, "part").select("p_partkey", "p_brand", normalize(F.col("p_name")).alias("n"), normalize(F.col("p_type")).alias("s"), F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("size "), "p_size")).alias("uri"))
+    own = F.struct(F.when(key % 2 == 0, F.col("n")).otherwise(F.col("s")).alias("n"), F.when(key % 2 == 0, F.col("s")).otherwise(F.col("n")).alias("s"), "uri")
+    first = rows.groupBy("p_brand").agg(F.min_by(own, "p_partkey").alias("y"))
+    found = narrative_match(pair_scores(F.col("n"), F.col("s"), F.col("y.n"), F.col("y.s")), 1.0, F.col("uri"), F.col("y.uri"))
+    return rows.join(first, "p_brand").select("p_partkey", found.alias("m")).select("p_partkey", "m.similarity", F.array_join("m.matchedOn", " + ").alias("matched"))
+
+
+SERVED_AGE = 2 * 86_400_000
+
+
+@query("SRC10_service", f"""WITH {EVENTS}, coin AS (SELECT mint, CAST(mint AS BIGINT) AS doc_id, coalesce({norm_sql('name')}, '') AS nn, coalesce({norm_sql('symbol')}, '') AS ns, CAST(NULL AS VARCHAR) AS phash, sawMigrated OR coalesce(peakMcUsd >= 100000, FALSE) AS ran FROM fold), {ASK}, {CANDIDATES},
+prior AS (SELECT c.subject, k.ran FROM cand c JOIN coin k ON k.mint = c.mint JOIN ask a ON a.mint = c.subject WHERE (length(k.nn) >= 3 AND k.nn IN (a.nn, a.ns)) OR (length(k.ns) >= 3 AND k.ns IN (a.nn, a.ns))),
+cap AS (SELECT subject, count(*) >= 200 AS capped FROM cand GROUP BY subject), n AS (SELECT subject, count(*) FILTER (ran) AS ranCount, count(*) AS totalCount FROM prior GROUP BY subject)
+SELECT mint, coalesce(ranCount, 0) AS ranCount, coalesce(totalCount, 0) AS totalCount, coalesce(capped, FALSE) AS capped, FALSE AS confident, CAST({SERVED_AGE} AS BIGINT) AS corpusAgeMs, (SELECT count(*) FROM coin) AS coinCount FROM ask LEFT JOIN n ON n.subject = mint LEFT JOIN cap ON cap.subject = mint""")
+def src10(spark, sf):
+    """A client's requests: all sightings observed, then every twentieth record looked up two days on, when no badge is shown yet."""
+    service = Service(CoinStore(spark, fresh(spark, "service")), EXACT)
+    service.observe(B.sightings(B.table(spark, sf, "events")), B.T0)
+    now = B.T0 + SERVED_AGE
+    subjects = service.store.read().where(F.col("mint").cast("long") % 20 == 0).select("mint", "name", "symbol")
+    found = service.lookup(subjects, now).select("mint", "ranCount", "totalCount", "capped", "confident", "corpusAgeMs")
+    return found.crossJoin(F.broadcast(service.meta(now).select("coinCount")))  # of one row
+
+
 # --- presentation --------------------------------------------------------------------------------------------------
 
 PRICE = "o_totalprice * 7 + 0.003"

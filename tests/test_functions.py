@@ -22,6 +22,13 @@ def test_normalize(spark):
     assert column(spark, [*NORMS, None], text.normalize) == [*NORMS.values(), None]
 
 
+def test_diacritics_are_those_of_the_property():
+    known = text.code_points(text.DIACRITIC)
+    assert len(known) == 1247 and {0x5E, 0x60, 0x301, 0x1ADB, 0x1E94A} <= known and 0x363 not in known
+    assert text.normalized("coin\u1adbx") == "coinx" and text.normalized("a\u02b9b") == "ab" and text.normalized("a\u0363b") == "ab"
+    assert text.code_points(" 41 61-63\n") == {0x41, 0x61, 0x62, 0x63}
+
+
 def test_normalize_with_a_table_of_its_own():
     assert text.normalized("coin\u1adbx", text.char_table({0x1ADB})) == "coinx" and text.normalized("coin\u1adbx", text.char_table(())) == "x"
 

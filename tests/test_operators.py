@@ -145,13 +145,14 @@ def test_pictures_cover_whole_texts(spark, tmp_path):
 
     draw = random.Random(3)
     text = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz \n", k=4096)) for _ in range(4)]
-    texts = {1: text[0] + text[1] + "end", 2: text[0] + text[2], 3: text[3], 4: "", 5: None}
+    texts = {1: text[0] + text[1] + "end", 2: text[0] + text[2], 3: text[3], 4: "", 5: None, 6: "€ é 漢字 " * 500}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.picture): (r.hash, r.failure) for r in QUERIES["MTH2_pixel_hash"](spark, f"file://{tmp_path}").collect()}
-    want = {(k, n): (x or "")[n * 4096 : (n + 1) * 4096].ljust(4096, "x") if x is not None else None for k, x in texts.items() for n in range(max(1, -(-len(x or "") // 4096)))}
-    pixels = spark.createDataFrame([(*k, bytearray(v.encode()) if v is not None else None) for k, v in want.items()], "doc_id long, picture int, b binary")
+    raw = {k: None if x is None else x.encode() for k, x in texts.items()}
+    want = {(k, n): None if x is None else bytearray(x[n * 4096 : (n + 1) * 4096].ljust(4096, b"x")) for k, x in raw.items() for n in range(max(1, -(-len(x or b"") // 4096)))}
+    pixels = spark.createDataFrame([(*k, v) for k, v in want.items()], "doc_id long, picture int, b binary")
     assert got == {(r.doc_id, r.picture): (r.r.hash, r.r.failure) for r in pixels.select("doc_id", "picture", images.hash_pixels(F.col("b")).alias("r")).collect()}
-    assert len(got) == 8 and got[1, 0] == got[2, 0] and got[1, 1][0] != got[2, 1][0]
+    assert len(got) == 10 and got[1, 0] == got[2, 0] and got[1, 1][0] != got[2, 1][0]
 
 
 def test_upkeep(spark):
