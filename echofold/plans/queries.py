@@ -329,6 +329,22 @@ def snk10(spark, sf):
     return cards.scrubbed(B.table(spark, sf, "pages")).select("page_id", F.length("html").cast("long").alias("n_chars"), F.array_contains("refused", "email address").alias("mail"))
 
 
+@query("SNK10_sections", r"""WITH p AS (SELECT c_custkey AS page_id, c_custkey % 4 AS kind, CASE WHEN c_custkey % 5 = 0 THEN c_name || '@mail.example' ELSE c_name END AS said FROM customer)
+SELECT page_id, CASE kind WHEN 0 THEN '' WHEN 1 THEN '<section><i data-pulse-token-address="' || page_id || '">' || said || '</i></section>' WHEN 2 THEN '<section id="a"><a href="/meme/' || page_id || '">' || said || '</a></section>'
+  ELSE '<section><a href=''/meme/a''>1</a></section>' || chr(10) || '<section><b data-pulse-token-address="">2</b></section>' END AS html,
+  CASE WHEN kind = 0 THEN 'no sections' WHEN kind < 3 AND regexp_matches(said, '[\w.+-]+@[\w-]+\.[\w.]{2,}') THEN 'email address' ELSE '' END AS refused FROM p""")
+def snk10_sections(spark, sf):
+    """Customers as captures: sections with cards, with links to pairs, with neither, and a script within one."""
+    k, kind = F.col("c_custkey"), F.col("c_custkey") % 4
+    said = F.when(k % 5 == 0, F.concat("c_name", F.lit("@mail.example"))).otherwise(F.col("c_name"))
+    card = F.concat(F.lit('<section><script>x</script><i data-pulse-token-address="'), k, F.lit('">'), said, F.lit("</i></section>"))
+    link = F.concat(F.lit('<section id="a"><a href="/meme/'), k, F.lit('">'), said, F.lit("</a></SECTION >"))
+    two = F.lit("<section><a href='/meme/a'>1</a></section><p>between</p><section><b data-pulse-token-address=\"\">2</b></section>")
+    html = F.concat(F.lit("<nav><a href='/meme/out'>o</a></nav><section>news a@b.example</section>"), F.when(kind == 1, card).when(kind == 2, link).when(kind == 3, two).otherwise(""), F.lit("<footer>end</footer>"))
+    found = cards.scrubbed(B.table(spark, sf, "customer").select(k.alias("page_id"), html.alias("html")), markup=cards.Markup())
+    return found.select("page_id", "html", F.array_join("refused", ",").alias("refused"))
+
+
 # --- merge and upkeep ----------------------------------------------------------------------------------------------
 
 FOLDED = "mint, name, symbol, imageUrl, firstSeen, lastSeen, peakMcUsd, peakVolUsd, sawMigrated, sightings"

@@ -181,9 +181,24 @@ FORBIDDEN = {
 }
 
 
-def scrubbed(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, html without scripts, styles, frames and icons and with data URIs replaced, and refused: the forbidden patterns left."""
+def wanted_sections(html: Column, markup: Markup = Markup()) -> Column:
+    """The column elements that hold a card or a link to a pair, in page order; an element that holds others of its kind is read as those."""
+    begin, end = f"<{markup.column}", rf"(?i)</{markup.column}\s*>"
+    inner = F.transform(F.filter(F.split(F.regexp_replace(html, rf"(?i){begin}\b", begin), end), lambda x: x.contains(begin)), lambda x: F.substring_index(x, begin, -1))
+    shown = rf"""(?i)\s{markup.attribute}\s*=|<a\b[^>]*\bhref\s*=\s*["'][^"']*/{markup.pair}/"""
+    return F.transform(F.filter(inner, lambda x: x.rlike(shown)), lambda x: F.concat(F.lit(begin), x, F.lit(f"</{markup.column}>")))
+
+
+def scrubbed(pages: DataFrame, key: str = "page_id", html: str = "html", markup: Markup | None = None) -> DataFrame:
+    """key, html without scripts, styles, frames and icons and with data URIs replaced, and refused: the forbidden patterns left.
+
+    markup: only its wanted sections are kept, and a page without one is refused, too. A page with an empty refused may be handed on.
+    """
     text = F.regexp_replace(html, r"(?is)<(script|noscript|style|iframe|svg)\b[^>]*>.*?</\1\s*>|<link\b[^>]*>", "")
     text = F.regexp_replace(text, r"""(?i)(<img\b[^>]*\bsrc\s*=\s*["'])data:[^"']*""", "$1data:image/gif;base64,R0lGODlhAQABAAAAACw=")
-    hits = F.array_compact(F.array(*[F.when(F.col("html").rlike(p), F.lit(name)) for name, p in FORBIDDEN.items()]))
-    return pages.select(key, text.alias("html")).withColumn("refused", hits)
+    rows = pages.select(key, text.alias("html"))
+    if markup is not None:
+        rows = rows.withColumn("html", F.array_join(wanted_sections(F.col("html"), markup), "\n"))
+    hits = [F.when(F.col("html").rlike(p), F.lit(name)) for name, p in FORBIDDEN.items()]
+    none = [F.when(F.coalesce(F.col("html"), F.lit("")) == "", F.lit("no sections"))] if markup is not None else []
+    return rows.withColumn("refused", F.array_compact(F.array(*hits, *none)))

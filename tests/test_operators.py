@@ -224,6 +224,14 @@ def test_scrubber(spark):
     assert set(got[2].refused) == {"email address", "api key"}
 
 
+def test_scrubber_keeps_wanted_sections(spark):
+    card, link = '<section class="x"><b data-pulse-token-address="k">1</b></section>', '<section><a class="c" href="/meme/k">2</a></section>'
+    pages = {1: f"<nav>a</nav>{card}<section>news me@x.example</section>{link.replace('<section', '<SECTION')}<p>end</p>", 2: "<p>me@x.example</p>", 3: "", 4: None, 5: f"<section><h2>all</h2>{card}</section>", 6: card.removesuffix("</section>")}
+    rows = cards.scrubbed(spark.createDataFrame(list(pages.items()), "page_id long, html string"), markup=cards.Markup())
+    got = {r.page_id: (r.html, r.refused) for r in rows.collect()}
+    assert got == {1: (f"{card}\n{link}", []), 2: ("", ["no sections"]), 3: ("", ["no sections"]), 4: (None, ["no sections"]), 5: (card, []), 6: (card, [])}
+
+
 def test_store_versions(spark, tmp_path):
     store = CoinStore(spark, f"file://{tmp_path}/store")
     assert store.read().isEmpty()
