@@ -606,6 +606,15 @@ def stm3_state(spark, sf):
     return last.select("r.*")
 
 
+@query("STM8_rate", """WITH f AS (SELECT user_id, count(*) AS launched, CAST(floor(epoch_us(max(ts)) / 1000) - floor(epoch_us(min(ts)) / 1000) AS BIGINT) AS running_ms FROM events GROUP BY user_id)
+SELECT *, running_ms > 300000 AND launched * 60000 < 10 * running_ms AS alarm FROM f""")
+def stm8(spark, sf):
+    """Users as feeds, each from its first event to its last: which are suspiciously slow."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    feeds = B.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("launched"), (F.max(at) - F.min(at)).alias("running_ms"))
+    return feeds.withColumn("alarm", feed.rate_alarm(F.col("launched"), F.col("running_ms")))
+
+
 @query("STM4_dedupe", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS mint FROM events")
 def stm4(spark, sf):
     """Fewer keys than the cap, so each is kept once."""

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +19,8 @@ from echofold.sources.store import CoinStore
 
 #: Keys remembered, silence before an alarm, and the rate under which a long-running feed is suspect.
 SEEN_CAP, SILENCE_MS, RATE_AFTER_MS, LEAST_A_MINUTE = 20_000, 60_000, 300_000, 10
+#: Fixed value: time between reports of what a feed has read.
+REPORT_MS = 30_000
 #: The longest wait before each further attempt to reconnect; the last holds for all later ones.
 WAITS_MS = [min(30_000, 500 << k) for k in range(7)]
 
@@ -115,9 +117,9 @@ def backoff_ms(attempt: int, waits: list[int] = WAITS_MS, draw=random.random) ->
     return int(np.interp(draw(), [0, 1], [waits[0], waits[min(attempt, len(waits) - 1)]]))
 
 
-def rate_alarm(launched: int, running_ms: int) -> bool:
-    """A feed that has run for over five minutes with under ten launches a minute."""
-    return running_ms > RATE_AFTER_MS and launched / (running_ms / 60_000) < LEAST_A_MINUTE
+def rate_alarm(launched: int | Column, running_ms: int | Column) -> bool | Column:
+    """A feed that has run for over five minutes with under ten launches a minute; numbers or columns."""
+    return (running_ms > RATE_AFTER_MS) & (launched * 60_000 < running_ms * LEAST_A_MINUTE)
 
 
 class Watchdog(StreamingQueryListener):
@@ -145,3 +147,30 @@ class Watchdog(StreamingQueryListener):
 
     def onQueryTerminated(self, event):
         pass
+
+
+class Report(StreamingQueryListener):
+    """Calls say(rows, total) with the rows since its last call and since the start, at most once in every_ms."""
+
+    def __init__(self, say, every_ms: int = REPORT_MS):
+        self.say, self.every_ms, self.last, self.rows, self.total = say, every_ms, None, 0, 0
+
+    def note(self, now_ms: int, rows: int) -> None:
+        self.rows, self.total = self.rows + rows, self.total + rows
+        if self.last is None:
+            self.last = now_ms
+        elif now_ms - self.last >= self.every_ms:
+            self.say(self.rows, self.total)
+            self.last, self.rows = now_ms, 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.note(pd.Timestamp(event.progress.timestamp).value // 1_000_000, event.progress.numInputRows)
+
+    def onQueryIdle(self, event):
+        self.note(pd.Timestamp(event.timestamp).value // 1_000_000, 0)
+
+    def onQueryTerminated(self, event):
+        pass

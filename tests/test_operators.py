@@ -347,3 +347,8 @@ def test_alarms():
     for at, n in ((0, 5), (59_000, 0), (61_000, 0), (62_000, 0), (130_000, 1), (189_000, 0)):
         dog.note(at, n)
     assert calls == [1]
+    said = []
+    report = feed.Report(lambda *x: said.append(x), 30_000)
+    for at, n in ((0, 5), (29_000, 1), (30_000, 2), (31_000, 4), (60_000, 0), (90_000, 0)):
+        report.note(at, n)
+    assert said == [(8, 8), (4, 12), (0, 12)]
