@@ -93,7 +93,9 @@ def normalize(value: Column) -> Column:
 
 def trigrams(value: Column, min_length: int = 3) -> Column:
     """Distinct 3-grams in order of first place; none below min_length."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(value) - 2), lambda i: value.substr(i, F.lit(3)))
+    at = lambda chars, i: F.get(chars, i.cast("int"))
+    whole = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(at(chars, i), at(chars, i + 1), at(chars, i + 2)))
+    grams = bound(F.split(value, ""), whole)  # places in a string are found from its start, which takes long in long texts
     return F.when(F.length(value) >= max(3, min_length), F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 

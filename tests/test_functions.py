@@ -59,7 +59,7 @@ def test_clean_text_and_urls(spark):
 
 
 def test_trigrams_and_bands(spark):
-    assert column(spark, ["bananana", "ab", "", None], text.trigrams) == [["ban", "ana", "nan"], [], [], []]
+    assert column(spark, ["bananana", "ab", "", None, "𝐅𝐎𝐎é漢"], text.trigrams) == [["ban", "ana", "nan"], [], [], [], ["𝐅𝐎𝐎", "𝐎𝐎é", "𝐎é漢"]]
     assert column(spark, ["0F0f0f0f0f0f0f0a", "xyz", None], text.phash_bands) == [["0:0f0f", "1:0f0f", "2:0f0f", "3:0f0a"], [], []]
     eleven = column(spark, ["0f0f0f0f0f0f0f0a"], lambda c: text.phash_bands(c, 11))[0]
     assert len(eleven) == 11 and sum(len(x.split(":")[1]) for x in eleven) == 64
