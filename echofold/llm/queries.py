@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm import ann, bpe, decontam, html_extract, langid, licenses, linededup, simhash, toxicity, warc
+from echofold.llm import ann, bpe, codes, decontam, html_extract, langid, licenses, linededup, quality, simhash, toxicity, warc, whitening
 from echofold.llm.storage import scratch
 
 
@@ -75,8 +75,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.train(vectors)
+    found = codes.with_group_error(codes.compress(vectors, books, "vec_id", "embedding", "label"), "label")
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents")).drop("ratio", "bad_share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_html": op2_html, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash, "op7_license": op7_license, "op8_decontamination": op8_decontamination, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc,
+    "op11_codes": op11_codes, "op12_whitening": op12_whitening, "op13_quality": op13_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.ORACLE_SQL, "op7_license": licenses.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": linededup.ORACLE_SQL, "op7_license": licenses.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op11_codes": codes.ORACLE_SQL}
