@@ -1,13 +1,22 @@
 """Benchmark decontamination: documents that hold a benchmark item within EDITS of its length in edits.
 
 Texts are compared as symbols: lower-cased letters and numbers, each run of others one blank. An item of m symbols found
-with k edits shares at least m - q + 1 - kq of its q-grams with the document, on diagonals no more than k apart (the
-q-gram lemma). q is Q, or SHORT_Q for items of so few symbols that Q grams would leave no bound (under Q (k + 1)); k is
-EDITS of m, rounded down, for every item. Shared q-grams are counted in overlapping bands of 2(k + 1) diagonals; bands
-that reach the bound are regions to verify, by alignment in the band with free ends in the document. The filter loses
-nothing; the alignment decides. The q-gram index of a block of items (BLOCK_SYMBOLS at most, expected) goes to the
-executors; a larger benchmark is more blocks, each a pass over the documents, so neither side is shuffled and no pair
-list is made. Where documents are filtered, each pass is settled before the next, so one block is held at a time.
+with k edits shares all but kq of any of its q-grams with the document, on diagonals no more than k apart (the q-gram
+lemma); k is EDITS of m, rounded down. Shared q-grams are counted, each place of the item once, in overlapping bands of
+2(k + 1) diagonals; bands that reach the bound are regions to verify, by alignment in the band with free ends in the document.
+
+Phrases that many items share would make every document that holds one a candidate for all of them. So an item's hot grams,
+those of more than HOT places in the block, are left out of its index and its count: the bound is that of the cold ones, their
+number less kq. An item takes q = Q if that leaves a bound of GOOD_BOUND, else the first of SHORTER that does, else the first
+that leaves any. Items of which too little is cold (templates that differ in a few symbols) keep all their grams in indexes of
+HEAVY_ITEMS items each. Equal items are one in the index. Postings are expanded CHUNK at a time, in stretches of a text that
+overlap by the longest region, so memory doesn't follow a phrase's number of occurrences. The filter loses nothing; the
+alignment decides.
+
+The index of a block of items (BLOCK_SYMBOLS at most, expected) goes to the executors, so neither side is shuffled and no pair
+list is made; a larger benchmark is more blocks, each a pass over the texts that is written before the next one's index goes
+out. Where documents are filtered by several blocks, the passes write digests of the texts that hold an item, and the
+documents are read once more to drop those.
 
 Defined results: items with fewer than MIN_WORDS words, or null, are not searched; null text holds no item; an item that
 occurs several times in a document is one row, with the fewest edits; repeated rows repeat their rows; equal items are rows
@@ -16,6 +25,7 @@ of their own; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +39,9 @@ from echofold.llm.batches import code_points, lean, slices, spans, utf8_view
 from echofold.llm.bpe import LETTER, NUMBER, char_classes
 from echofold.llm.storage import settled
 
-Q, SHORT_Q = 8, 5
+Q, SHORTER, HEAVY_Q = 8, (5, 4, 3), 5
+HOT, GOOD_BOUND, HEAVY_ITEMS, CHUNK = 64, 4, 512, 1 << 20
+LEAKY_BROADCAST = 500_000
 EDITS = 0.1
 MIN_WORDS = 5
 BLOCK_SYMBOLS = 2_000_000
@@ -70,39 +82,68 @@ def qgrams(text: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Grams:
-    """The q-grams of some items: each gram's postings, as item and place."""
+    """Q-grams of some items, at some of their places: each gram's postings, as item and place, and each item's bound."""
 
     q: int
     gram: np.ndarray
     at: np.ndarray  # bounds of each gram's postings
     item: np.ndarray
     place: np.ndarray
+    need: np.ndarray  # by item
+    reach: int  # the symbols of a text that a region can cover
     seen: np.ndarray  # a bit table of the grams
 
     @classmethod
-    def of(cls, q: int, text: np.ndarray, use: np.ndarray, first: np.ndarray, size: np.ndarray) -> Grams:
-        count = size[use] - q + 1
-        start = spans(first[use], count)
-        item = np.repeat(use, count)
-        place = start - first[item] if len(start) else start
-        gram = qgrams(text, q)
-        gram = gram[start] if len(start) else gram[:0]
+    def of(cls, q: int, gram: np.ndarray, item: np.ndarray, place: np.ndarray, need: np.ndarray, reach: int) -> Grams:
         order = np.argsort(gram, kind="stable")
         distinct, at = np.unique(gram[order], return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(distinct * _SPREAD) >> np.uint64(64 - FILTER_BITS)] = True
-        return cls(q, distinct, np.append(at, len(gram)), item[order], place[order], seen)
+        return cls(q, distinct, np.append(at, len(gram)), item[order], place[order], need, reach, seen)
+
+
+def places(text: np.ndarray, q: int, use: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, item, place) of all q-grams of the items use."""
+    count = np.maximum(size[use] - q + 1, 0)
+    start, item = spans(first[use], count), np.repeat(use, count)
+    return qgrams(text, q)[start] if len(start) else np.zeros(0, np.uint64), item, start - first[item]
+
+
+def indexes(text: np.ndarray, first: np.ndarray, size: np.ndarray, edits: np.ndarray) -> list[Grams]:
+    """Indexes that hold each item once."""
+    left, out = np.arange(len(size)), []
+    for q, least in [(Q, GOOD_BOUND), *((q, GOOD_BOUND) for q in SHORTER), (Q, 1), *((q, 1) for q in SHORTER)]:
+        if not len(left):
+            break
+        gram, item, place = places(text, q, left, first, size)
+        _, slot, count = np.unique(gram, return_inverse=True, return_counts=True)
+        cold = count[slot] <= HOT
+        need = np.bincount(item[cold], minlength=len(size)) - edits * q
+        own = np.zeros(len(size), bool)
+        own[left] = need[left] >= least
+        pick = cold & own[item]
+        if pick.any():
+            reach = int((size + 2 * edits)[own].max()) + 2
+            out.append(Grams.of(q, gram[pick], item[pick], place[pick], need, reach))
+        left = left[~own[left]]
+    for k in range(0, len(left), HEAVY_ITEMS):
+        own = left[k : k + HEAVY_ITEMS]
+        out.append(Grams.of(HEAVY_Q, *places(text, HEAVY_Q, own, first, size), size - HEAVY_Q + 1 - edits * HEAVY_Q, int((size + 2 * edits)[own].max()) + 2))
+    return out
 
 
 @dataclass
 class Items:
-    """A block of items, indexed by q-gram."""
+    """A block of items, indexed by q-gram. Items that are equal as symbols are one in all but ids, sizes and twins."""
 
     ids: np.ndarray
+    sizes: np.ndarray
     text: np.ndarray
     first: np.ndarray
     size: np.ndarray
     edits: np.ndarray
+    twins: np.ndarray  # places in ids, by item
+    twins_at: np.ndarray
     grams: list[Grams]
 
     @classmethod
@@ -114,10 +155,12 @@ class Items:
         words = blank[first + size] - blank[first] + 1
         use = np.flatnonzero(words >= MIN_WORDS)  # so 9 symbols at least
         first, size = first[use], size[use]
-        edits = (size * EDITS).astype(np.int64)
-        short = size < Q * (edits + 1)
-        grams = [Grams.of(q, text, np.flatnonzero(own), first, size) for q, own in ((Q, ~short), (SHORT_Q, short)) if own.any()]
-        return cls(np.array(ids, object)[use], text, first, size, edits, grams)
+        known: dict[bytes, int] = {}
+        item = np.array([known.setdefault(text[a : a + n].tobytes(), len(known)) for a, n in zip(first, size, strict=True)], np.int64)
+        one = np.unique(item, return_index=True)[1]
+        twins = np.argsort(item, kind="stable")
+        edits = (size[one] * EDITS).astype(np.int64)
+        return cls(np.array(ids, object)[use], size, text, first[one], size[one], edits, twins, np.append(0, np.cumsum(np.bincount(item, minlength=len(one)))), indexes(text, first[one], size[one], edits))
 
 
 def align(items: Items, item: np.ndarray, text: np.ndarray, base: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
@@ -141,99 +184,131 @@ def align(items: Items, item: np.ndarray, text: np.ndarray, base: np.ndarray, lo
     return best
 
 
-def regions(items: Items, grams: Grams, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, band) of all bands of diagonals that hold the lemma's number of shared q-grams."""
-    none = (np.zeros(0, np.int64),) * 3
-    q, gram = grams.q, qgrams(text, grams.q)
+def regions(items: Items, grams: Grams, gram: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, item, band) of all bands of diagonals that hold the lemma's number of shared q-grams; gram: those of the text."""
     if not len(grams.gram) or not len(gram):
-        return none
+        return
     near = np.flatnonzero(grams.seen[(gram * _SPREAD) >> np.uint64(64 - FILTER_BITS)])
     slot = np.searchsorted(grams.gram, gram[near])
     ok = grams.gram[np.minimum(slot, len(grams.gram) - 1)] == gram[near]
     near, slot = near[ok], slot[ok]
     row = np.searchsorted(bounds, near, "right") - 1
-    ok = near + q <= bounds[row + 1]
+    ok = near + grams.q <= bounds[row + 1]
     near, slot, row = near[ok], slot[ok], row[ok]
     count = grams.at[slot + 1] - grams.at[slot]
-    post = spans(grams.at[slot], count)
-    near, row = np.repeat(near, count), np.repeat(row, count)
-    item = grams.item[post]
-    diagonal = near - grams.place[post] + int(items.size.max())  # not negative
-    band = diagonal // (items.edits[item] + 1)
-    n_items, n_bands = len(items.ids), int(band.max()) + 2 if len(band) else 2
-    group = (row * n_items + item) * n_bands
-    key, hits = np.unique(np.concatenate([group + band, (group + band - 1)[band > 0]]), return_counts=True)
-    own, band = key // n_bands, key % n_bands
-    row, item = own // n_items, own % n_items
-    ok = hits >= items.size[item] - q + 1 - items.edits[item] * q
-    return row[ok], item[ok], band[ok]
+    ends = np.cumsum(count)
+    a, n_items, longest = 0, len(items.size), int(items.size.max())
+    while a < len(near):
+        # a region's grams lie within reach, so each is whole in one of stretches that overlap by that
+        to = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")), int(np.searchsorted(near, near[a] + 2 * grams.reach)), a + 1)
+        own, own_count = slice(a, to), count[a:to]
+        post = spans(grams.at[slot[own]], own_count)
+        item, place = grams.item[post], grams.place[post]
+        band = (np.repeat(near[own], own_count) - place + longest) // (items.edits[item] + 1)  # not negative
+        n_bands = int(band.max()) + 2
+        group = (np.repeat(row[own], own_count) * n_items + item) * n_bands
+        after = band > 0
+        key, at, hits = np.unique(np.concatenate([group + band, (group + band - 1)[after]]), return_inverse=True, return_counts=True)
+        pair, band = key // n_bands, key % n_bands
+        need = grams.need[pair % n_items]
+        ok = hits >= need
+        if ok.any():  # of a gram that the text repeats, each place of the item counts once
+            pick = ok[at]
+            once = np.unique(at[pick] * longest + np.concatenate([place, place[after]])[pick])
+            ok = np.bincount(once // longest, minlength=len(key)) >= need
+            yield pair[ok] // n_items, pair[ok] % n_items, band[ok]
+        if to >= len(near):
+            return
+        a = max(a + 1, int(np.searchsorted(near, near[to] - grams.reach)))
 
 
 def leaks(items: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, edits) for each text and each item that it holds."""
+    """(row, place in items.ids, edits) for each text and each item that it holds."""
     text, bounds = symbols(column)
-    found = [regions(items, grams, text, bounds) for grams in items.grams]
-    row, item, band = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    if not len(row):
-        return (np.zeros(0, np.int64),) * 3
-    edits = items.edits[item]
-    base = band * (edits + 1) - int(items.size.max()) - edits
-    width = 4 * edits + 2
-    order = np.argsort(items.size[item], kind="stable")
-    found = np.empty(len(row), np.int64)
-    for k in range(0, len(order), VERIFY_AT_ONCE):
-        c = order[k : k + VERIFY_AT_ONCE]
-        found[c] = align(items, item[c], text, base[c], bounds[row[c]], bounds[row[c] + 1], int(width[c].max()))
-    ok = found <= edits
-    order = np.lexsort((found[ok], item[ok], row[ok]))
-    row, item, found = row[ok][order], item[ok][order], found[ok][order]
+    held = [[np.zeros(0, np.int64)] for _ in range(3)]
+    of_q = {q: qgrams(text, q) for q in {g.q for g in items.grams}}
+    for grams in items.grams:
+        for row, item, band in regions(items, grams, of_q[grams.q], bounds):
+            edits = items.edits[item]
+            base = band * (edits + 1) - int(items.size.max()) - edits
+            width = 4 * edits + 2
+            order = np.argsort(items.size[item], kind="stable")
+            for k in range(0, len(order), VERIFY_AT_ONCE):
+                c = order[k : k + VERIFY_AT_ONCE]
+                found = align(items, item[c], text, base[c], bounds[row[c]], bounds[row[c] + 1], int(width[c].max()))
+                ok = found <= edits[c]
+                for kept, value in zip(held, (row[c][ok], item[c][ok], found[ok]), strict=True):
+                    kept.append(value)
+    row, item, found = (np.concatenate(x) for x in held)
+    order = np.lexsort((found, item, row))
+    row, item, found = row[order], item[order], found[order]
     first = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))[: len(row)]
-    return row[first], item[first], found[first]
+    row, item, found = row[first], item[first], found[first]
+    count = items.twins_at[item + 1] - items.twins_at[item]
+    return np.repeat(row, count), items.twins[spans(items.twins_at[item], count)], np.repeat(found, count)
 
 
-def blocks(items: DataFrame, key: str = "item_id", text: str = "text", symbols_a_block: int = BLOCK_SYMBOLS) -> Iterator[Items]:
-    """The items in blocks; each is collected alone."""
+def cut(items: DataFrame, key: str, text: str, symbols_a_block: int) -> tuple[DataFrame, int]:
+    """The items that are not null, as key and t, and the number of their blocks."""
     rows = items.where(items[text].isNotNull()).select(items[key].alias("key"), items[text].alias("t"))
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-total // symbols_a_block))
+    return rows, max(1, -(-total // symbols_a_block))
+
+
+def blocks(items: DataFrame, key: str = "item_id", text: str = "text", symbols_a_block: int = BLOCK_SYMBOLS) -> Iterator[Items]:
+    """The items in blocks; each is collected alone."""
+    rows, n = cut(items, key, text, symbols_a_block)
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("key", "t"), F.lit(n)) == k).orderBy("key", "t").collect()
         yield Items.of([r.key for r in own], [r.t for r in own])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def passes(rows: DataFrame, items: DataFrame, item: str, run, schema: str, symbols_a_block: int) -> DataFrame:
+    """The rows of run(block, batches) for all blocks of items. Of several, each is written before the next block goes out."""
+    out, alone = None, cut(items, item, "text", symbols_a_block)[1] == 1
+    for block in blocks(items, item, symbols_a_block=symbols_a_block):
+        held = rows.sparkSession.sparkContext.broadcast(block)
+        found = rows.mapInArrow(lean(lambda batches, held=held: run(held.value, batches)), schema)
+        if not alone:
+            found = settled(found, "decontam")
+            held.unpersist()
+        out = found if out is None else out.union(found)
+    return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", symbols_a_block: int = BLOCK_SYMBOLS) -> DataFrame:
     """Rows key, item, edits int, similarity double (1 - edits / the item's symbols) for each document and item that it holds."""
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    rows, out = docs.select(docs[key].alias("key"), docs[text].alias("t")), None
-    for block in blocks(items, item):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = held.value
-            kind = None
-            for part in slices(batches, "t", SLICE_BYTES):
-                row, at, edits = leaks(own, part.column(1))
-                kind = kind or (pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own.ids[at].tolist(), kind), pa.array(edits.astype(np.int32)), pa.array(1 - edits / own.size[at])], ["key", "item", "edits", "similarity"])
-
-        found = rows.mapInArrow(lean(run), f"key {kinds[0]}, item {kinds[1]}, edits int, similarity double")
-        out = found if out is None else out.union(found)
-    return out.withColumnsRenamed({"key": key, "item": item})
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("t"))
+    kind = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds[1], pa.string())
 
+    def run(own: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t", SLICE_BYTES):
+            row, at, edits = leaks(own, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own.ids[at].tolist(), kind), pa.array(edits.astype(np.int32)), pa.array(1 - edits / own.sizes[at])], ["key", "item", "edits", "similarity"])
 
-def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    found = passes(rows, items, item, run, f"key {kinds[0]}, item {kinds[1]}, edits int, similarity double", symbols_a_block)
+    return found.withColumnsRenamed({"key": key, "item": item})
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", symbols_a_block: int = BLOCK_SYMBOLS) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    at = docs.columns.index(text)
-    for k, block in enumerate(blocks(items)):
-        if k:  # the pass before ends here
-            docs = settled(docs, "decontam")
-        held = docs.sparkSession.sparkContext.broadcast(block)
+    if cut(items, "item_id", "text", symbols_a_block)[1] == 1:
+        at = docs.columns.index(text)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def clean(own: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text, SLICE_BYTES):
-                clean = np.ones(part.num_rows, bool)
-                clean[leaks(held.value, part.column(at))[0]] = False
-                yield part.filter(pa.array(clean))
+                stays = np.ones(part.num_rows, bool)
+                stays[leaks(own, part.column(at))[0]] = False
+                yield part.filter(pa.array(stays))
+
+        return passes(docs, items, "item_id", clean, docs.schema, symbols_a_block)
+
+    def digests(own: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t", SLICE_BYTES):
+            texts = part.column(0).take(pa.array(np.unique(leaks(own, part.column(0))[0]))).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())], ["digest"])
 
-        docs = docs.mapInArrow(lean(run), docs.schema)
-    return docs
+    leaky = settled(passes(docs.select(docs[text].alias("t")), items, "item_id", digests, "digest string", symbols_a_block).distinct(), "leaky")
+    leaky = F.broadcast(leaky) if leaky.count() <= LEAKY_BROADCAST else leaky
+    return docs.join(leaky, F.sha2(docs[text].cast("binary"), 256) == leaky["digest"], "left_anti")

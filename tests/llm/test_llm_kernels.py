@@ -140,6 +140,57 @@ def test_leaks_are_those_of_plain_alignment():
     assert any(c == int(len(plain_symbols(items[j])) * 0.1) > 0 and len(plain_symbols(items[j])) < 32 for (_, j), c in got.items())
 
 
+def alignments(items, texts):
+    """(text, item): fewest edits, within a tenth, by plain alignment of all pairs."""
+    out = {}
+    for j, x in enumerate(map(plain_symbols, items)):
+        for i, text in enumerate(map(plain_symbols, texts)):
+            if len(x.split()) >= decontam.MIN_WORDS and (k := edits_within(x, text)) <= int(len(x) * decontam.EDITS):
+                out[i, j] = k
+    return out
+
+
+@pytest.mark.parametrize("hot,heavy,chunk", [(64, 512, 1 << 20), (2, 5, 1 << 20), (2, 3, 40), (0, 4, 300), (10**6, 512, 100)])
+def test_leaks_of_items_that_share_phrases(monkeypatch, hot, heavy, chunk):
+    """Openings shared by all items, templates that differ in a word, equal items; against plain alignment of all pairs."""
+    for name, value in (("HOT", hot), ("HEAVY_ITEMS", heavy), ("CHUNK", chunk)):
+        monkeypatch.setattr(decontam, name, value)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(3, 8)))
+    opening, frame = "which of the following is best", "name the town in which the poet %s was born and went to school"
+    items = [f"{opening} {word()} {word()} {word()} {word()} {word()}" for _ in range(14)] + [frame % word() for _ in range(8)]
+    items += [items[0], items[0].upper(), items[15]]
+    texts = [f"{opening}. " * 12, (frame % "x") + " " + (frame % word()), items[3] + "! " + f"{opening}: " * 3 + items[15], " ".join(word() for _ in range(60))]
+    for _ in range(8):
+        leak = list(r.choice(items))
+        for _ in range(r.randint(0, 9)):
+            leak[r.randrange(len(leak))] = r.choice("xyz")
+        texts.append(f"{opening} " * r.randint(0, 3) + "".join(leak) + f" {word()}" * r.randint(0, 9))
+    held = decontam.Items.of(list(range(len(items))), items)
+    row, item, edits = decontam.leaks(held, pa.array(texts, pa.string()))
+    got = {(int(a), int(held.ids[b])): int(c) for a, b, c in zip(row, item, edits, strict=True)}
+    assert got == alignments(items, texts) and len(got) == len(row) > 15
+
+
+def test_leaks_of_a_phrase_that_thousands_of_items_share():
+    """8,000 items with one opening, and a megabyte that repeats it; one item stands in its middle with two edits."""
+    import resource
+    import time
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(4, 9)))
+    opening = "which one of the following statements"
+    items = [f"{opening} {word()} {word()} {word()} {word()} {word()} {word()}" for _ in range(8000)]
+    held = decontam.Items.of(list(range(len(items))), items)
+    text = f"{opening} is so. " * 11_000
+    half = len(text) // 2
+    text = text[:half] + " " + items[4321].replace(" ", "  ", 2)[:-1] + "z " + text[half:]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    row, item, edits = decontam.leaks(held, pa.array([text], pa.string()))
+    assert [(int(a), int(held.ids[b]), int(c)) for a, b, c in zip(row, item, edits, strict=True)] == [(0, 4321, 1)]
+    assert time.perf_counter() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def test_html_model():
     model = html_extract.trained()
     right = total = 0
