@@ -4,8 +4,9 @@ On a bounded sample (SAMPLE_A_PART rows for each part, so at most MOST_PARTS tim
 balanced parts (recursive bisection: a principal direction's median, then swaps of equal numbers that gain the most
 edges); a small network learns, for each vector, in which parts its neighbours lie. It gives every row of the table its
 most probable part, and each query its `probes` most probable ones, in which all rows are ranked exactly in double
-precision. `probes` is the least number with which CALIBRATION rows' exact nearest neighbours in the whole table are
-found to a share of TARGET. A part is ranked in cells of CELL_ROWS rows and CELL_ROWS queries at most (expected), so a hot
+precision; where those hold too few rows, further parts, so that every query gets k while the table has as many. `probes` is
+the least number with which the exact nearest neighbours, in the whole table, of CALIBRATION rows that the router was not
+fitted on are found to a share of TARGET. A part is ranked in cells of CELL_ROWS rows and CELL_ROWS queries at most (expected), so a hot
 part is many tasks; each cell returns the k best of each query, which are merged.
 
 Defined results: a vector that is null, zero, of another size than most, or with a null or non-finite component takes no
@@ -187,13 +188,13 @@ def best_of(query: np.ndarray, Q: np.ndarray, key: np.ndarray, X: np.ndarray, k:
     """(query, key, score) of each query's k nearest rows of other keys; scores don't depend on what else is ranked.
     own_key: the queries' keys, where query is not."""
     own_keys = query if own_key is None else own_key
-    out = []
+    out, longest = [], np.sqrt((X * X).sum(axis=1)).max(initial=0)
     for a in range(0, len(Q), QUERIES_AT_ONCE):
         own, ids = Q[a : a + QUERIES_AT_ONCE], query[a : a + QUERIES_AT_ONCE]
         s = own @ X.T
         s[own_keys[a : a + QUERIES_AT_ONCE, None] == key[None, :]] = -np.inf
         least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-        slack = 1e-9 * np.maximum(1, np.abs(least))
+        slack = 4 * np.finfo(float).eps * X.shape[1] * longest * np.sqrt((own * own).sum(axis=1))  # more than sums in another order differ by
         row, col = np.nonzero((s >= np.where(np.isfinite(least), least - slack, -np.inf)[:, None]) & (s > -np.inf))
         exact = np.concatenate([(own[row[c : c + 65536]] * X[col[c : c + 65536]]).sum(axis=1) for c in range(0, len(row), 65536)] or [np.zeros(0)])
         order = np.lexsort((key[col], -exact, row))
@@ -215,8 +216,9 @@ def search(rows: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", v
     n = sizes[0].n
     parts = int(min(MOST_PARTS, max(LEAST_PARTS, 2 ** round(np.log2(max(1, n / PART_ROWS))))))
     size = max(LEAST_SAMPLE, SAMPLE_A_PART * parts)
-    sample = own.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(size).select("key", "v").toArrow()
-    X = matrix(sample.column(1), np.float32)
+    sample = own.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(size + CALIBRATION).select("key", "v").toArrow()
+    fitted = max(1, min(size, len(sample) - min(CALIBRATION, len(sample) // 8)))  # the others calibrate
+    X = matrix(sample.column(1), np.float32)[:fitted]
     router = learn(X, min(parts, 2 ** int(np.log2(len(X)))))
     held = rows.sparkSession.sparkContext.broadcast(router)
 
@@ -228,18 +230,36 @@ def search(rows: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", v
 
     vectors = own.schema["v"].dataType.simpleString()
     routed = settled(own.mapInArrow(place, f"key long, v {vectors}, asks boolean, part int"), "ann-routed")
-    some = slice(0, None, max(1, len(X) // CALIBRATION))
-    router = calibrated(router, routed, sample.column(0).to_numpy()[some], matrix(sample.column(1))[some], k)
-    told = rows.sparkSession.sparkContext.broadcast(router)
+    rest = slice(fitted, None) if fitted < len(sample) else slice(None)
+    router = calibrated(router, routed, sample.column(0).to_numpy()[rest], matrix(sample.column(1))[rest], k)
+    sizes = np.zeros(len(router.b), np.int64)
+    for r in routed.groupBy("part").count().collect():  # MOST_PARTS rows at most
+        sizes[r["part"]] = r["count"]
+    told = rows.sparkSession.sparkContext.broadcast((router, sizes))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router, sizes = told.value
         for batch in batches:
             if batch.num_rows:
-                probes = np.argsort(-told.value.logits(matrix(batch.column(1), np.float32)), axis=1, kind="stable")[:, : told.value.probes]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(probes.astype(np.int32)), pa.list_(pa.int32()))], ["key", "v", "probes"])
+                order = np.argsort(-router.logits(matrix(batch.column(1), np.float32)), axis=1, kind="stable").astype(np.int32)
+                enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1  # parts with k rows besides the query's own
+                probes = [parts[:n] for parts, n in zip(order, np.maximum(enough, router.probes), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probes, pa.list_(pa.int32()))], ["key", "v", "probes"])
 
     asked = routed.where("asks").select("key", "v").mapInArrow(ask, f"key long, v {vectors}, probes array<int>")
     asked = settled(asked.select("key", "v", F.explode("probes").alias("part")), "ann-asked")
+    found = settled(ranked(routed, asked, k), "ann-found")
+    # rows that share the query's key are its own, so where keys repeat even those parts can hold too few
+    few = settled(found.groupBy("query_id").count().where(F.col("count") < k).select(F.col("query_id").alias("key")), "ann-few") if n > k + 1 else None
+    if few is not None and not few.isEmpty():
+        again = routed.where("asks").join(few, "key", "left_semi").select("key", "v", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))).alias("part"))
+        more = ranked(routed, settled(again, "ann-again"), k)
+        found = found.join(few.withColumnRenamed("key", "query_id"), "query_id", "left_anti").unionByName(more)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score")
+
+
+def ranked(routed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, key, score, rank: the k nearest rows of routed (key, v, part) in the parts that asked (key, v, part) names."""
     cells = lambda frame, name: frame.groupBy("part").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
     cut = F.broadcast(settled(cells(routed, "cells").join(cells(asked, "cells_q"), "part"), "ann-cells"))  # MOST_PARTS rows at most
     cell = lambda i, j: F.xxhash64("part", i, j)
@@ -255,5 +275,4 @@ def search(rows: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", v
         return pa.table({"query_id": q, "key": x, "score": s})
 
     found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(rank, "query_id long, key long, score double")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)

@@ -210,6 +210,14 @@ def test_decontamination_table(spark, odd, empty):
     assert decontam.contaminated(odd, items).count() == 0 and decontam.contaminated(empty, items).count() == 0 and decontam.contaminated(frame, items.limit(0)).count() == 0
     small = list(decontam.blocks(items, symbols_a_block=40))
     assert len(small) > 1 and sorted(i for b in small for i in b.ids) == [1, 2]
+    other = "a quite different sentence about the weather of that year"
+    more = items.union(spark.createDataFrame([(6, other)], items.schema))
+    frame = frame.union(docs_of(spark, [(8, other), (8, other), (9, "nothing of it")]))
+    for block in (10**6, 40):  # one block, and several
+        got = rows_of(decontam.contaminated(frame, more, symbols_a_block=block).select("doc_id", "item_id", "edits"))
+        assert got == sorted([(d, i, e) for d, e in ((1, 0), (1, 0), (2, 1), (None, 0)) for i in (1, 2)] + [(8, 6, 0)] * 2, key=repr)
+        left = decontam.without_leaks(frame, more, symbols_a_block=block)
+        assert sorted(r.doc_id for r in left.collect()) == [3, 4, 9] and left.columns == frame.columns
 
 
 def test_toxicity_held_out(spark, odd, empty):
@@ -475,3 +483,33 @@ def test_ann_recall_over_many_parts(spark, monkeypatch):
     got = found.groupby("query_id").vec_id.apply(set)
     assert found.groupby("query_id").size().eq(20).all() and len(got) == len(asks)
     assert np.mean([len(got[q] & set(x)) / 20 for q, x in zip(keys[asks], best, strict=True)]) >= 0.9
+
+
+def test_ann_gives_k_rows_from_uneven_and_tiny_parts(spark, monkeypatch):
+    """Most rows in one direction, few in many others, some keys repeated often: each query still gets k rows or all there are."""
+    monkeypatch.setattr(ann, "PART_ROWS", 10)
+    monkeypatch.setattr(ann, "LEAST_SAMPLE", 256)
+    monkeypatch.setattr(ann, "SAMPLE_A_PART", 8)
+    monkeypatch.setattr(ann, "TARGET", 0.0)  # one part is enough but for the count
+    rng = np.random.default_rng(6)
+    lonely = rng.normal(0, 1, (60, 8)) * 5
+    X = np.concatenate([np.array([3.0] + [0.0] * 7) + rng.normal(0, 0.05, (700, 8)), lonely])
+    keys = [*range(740), *[740] * 20]
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in zip(keys, X, strict=True)], "vec_id long, embedding array<double>")
+    found = ann.search(frame, F.col("vec_id") % 20 == 0, 20).groupBy("query_id").agg(F.collect_list("rank").alias("r"), F.collect_list("vec_id").alias("x")).collect()
+    assert {r.query_id for r in found} == {k for k in keys if k % 20 == 0}
+    assert all(sorted(r.r) == list(range(1, 21)) and r.query_id not in r.x for r in found)
+    few = frame.where("vec_id < 12")
+    assert {r["count"] for r in ann.search(few, F.col("vec_id") < 3, 20).groupBy("query_id").count().collect()} == {11}
+
+
+def test_ann_keeps_neighbours_of_long_vectors():
+    """Scores are small against the vectors' lengths, so that products round; the exact order stands."""
+    rng = np.random.default_rng(7)
+    X = rng.normal(0, 1, (400, 64)) * 1e8
+    Q = rng.normal(0, 1, (5, 64))
+    X -= X @ np.linalg.pinv(Q) @ Q
+    q, x, s = ann.best_of(np.arange(5) + 1000, Q, np.arange(400), X, 20)
+    for k in range(5):
+        exact = (Q[k] * X).sum(axis=1)
+        assert x[q == 1000 + k].tolist() == np.lexsort((np.arange(400), -exact))[:20].tolist()
