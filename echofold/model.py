@@ -45,5 +45,7 @@ LAUNCH = "mint string, name string, symbol string, uri string, observedAt double
 RAW_ROW = "mintHref string, mintText string, name string, symbol string, imageUrl string, metadataUri string, marketCap string, volume string, age string"
 OBSERVATION = "mint string, name string, symbol string, imageUrl string, metadataUri string, marketCapUsd double, volumeUsd double, ageSeconds double, seenAt long, source string"
 COIN = "mint string, name string, symbol string, normName string, normSymbol string, trigrams array<string>, imageUrl string, phash string, phashState string, firstSeen long, lastSeen long, peakMcUsd double, peakVolUsd double, ran boolean, sawMigrated boolean, sightings long"
+#: What a run of the store tells of a record.
+COIN_TOLD = "mint string, name string, symbol string, imageUrl string, firstSeen long, lastSeen long, peakMcUsd double, peakVolUsd double, sawMigrated boolean, sightings long, deleted boolean, hashed boolean, phash string, phashState string"
 META = "startedAt long, schemaVersion int, coinCount long"
 SOURCES = ["new-pairs", "final-stretch", "migrated", "trending", "detail", "imported", "other"]

@@ -37,6 +37,12 @@ def postings(coins: DataFrame, keep: int | None) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.array_sort(F.collect_list("mint")).alias("mints"))
 
 
+def counted_postings(coins: DataFrame, keep: int) -> DataFrame:
+    """kind, key, mints (the first `keep`), n: how many there are."""
+    counts = index_keys(coins).groupBy("kind", "key").agg(F.count("*").alias("n"))
+    return postings(coins, keep).join(counts, ["kind", "key"])
+
+
 def probes(subjects: DataFrame, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
     """subject, prio, kind, key: each index bucket that a subject asks for, by priority."""
     least = thresholds.narrative.min_length
@@ -50,8 +56,13 @@ def candidates(subjects: DataFrame, coins: DataFrame, thresholds: Thresholds = T
 
     subjects has mint, normName, normSymbol, trigrams, phash; capped is told at exactly the cap, too.
     """
+    return from_postings(probes(subjects, thresholds), postings(coins, thresholds.max_candidates + 1), thresholds)
+
+
+def from_postings(asked: DataFrame, held: DataFrame, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
+    """candidates() of probes() rows and postings of max_candidates + 1 mints, however they are held."""
     most = thresholds.max_candidates
-    found = probes(subjects, thresholds).join(postings(coins, most + 1), ["kind", "key"])
+    found = asked.join(held.select("kind", "key", "mints"), ["kind", "key"])
     lists = found.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("prio", "mints"))).alias("lists"))
     seen = F.filter(F.array_distinct(F.flatten(F.col("lists.mints"))), lambda x: x != F.col("subject"))
     return lists.select("subject", F.slice(seen, 1, most).alias("mints"), (F.size(seen) >= most).alias("capped")).where(F.size("mints") > 0)

@@ -65,9 +65,9 @@ def priors(subjects: DataFrame, coins: DataFrame, thresholds: Thresholds = THRES
     return rows.withColumn("rank", F.row_number().over(order)).select("subject", "rank", "mint", "name", "symbol", "imageUrl", "firstSeen", "lastSeen", "peakMcUsd", "ran", "evidence", "similarity", "matchedOn", "imageDistance", "capped")
 
 
-def lookup(subjects: DataFrame, coins: DataFrame, started_at: int, now: int, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
-    """One row per subject: ranCount, totalCount, capped, confident, corpusAgeMs."""
-    found = settled(candidates(subjects, coins, thresholds), "candidates")
+def lookup(subjects: DataFrame, coins: DataFrame, started_at: int, now: int, thresholds: Thresholds = THRESHOLDS, found: DataFrame | None = None) -> DataFrame:
+    """One row per subject: ranCount, totalCount, capped, confident, corpusAgeMs. found: candidates() of the same."""
+    found = settled(candidates(subjects, coins, thresholds), "candidates") if found is None else found
     counts = priors(subjects, coins, thresholds, found).groupBy("subject").agg(F.count_if("ran").alias("ranCount"), F.count("*").alias("totalCount"))
     age = corpus_age(F.lit(started_at).cast("long"), F.lit(now).cast("long"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -68,5 +68,32 @@ def upsert(stored: DataFrame, batch: DataFrame, thresholds: Thresholds = THRESHO
     return finished(rows, thresholds)
 
 
+def told_once(rows: DataFrame) -> DataFrame:
+    """COIN_TOLD rows with _seq, one a mint: texts as first told, extremes, latch, count, the last verdict on its image."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c)
+    last = lambda c: F.max_by(c, F.when(F.col("hashed"), F.col("_seq"))).alias(c)
+    return rows.groupBy("mint").agg(
+        first("name"), first("symbol"), first("imageUrl"), F.min("firstSeen").alias("firstSeen"), F.max("lastSeen").alias("lastSeen"), F.max("peakMcUsd").alias("peakMcUsd"), F.max("peakVolUsd").alias("peakVolUsd"),
+        F.bool_or("sawMigrated").alias("sawMigrated"), F.sum("sightings").alias("sightings"), F.bool_or("deleted").alias("deleted"), F.bool_or("hashed").alias("hashed"), last("phash"), last("phashState"),
+    )
+
+
+def with_told(stored: DataFrame, told: DataFrame, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
+    """stored COIN rows with told_once() rows merged in: those removed go, and come back with sightings after that alone."""
+    s, t = stored.withColumnRenamed("mint", "_stored").alias("s"), told.withColumnRenamed("mint", "_told").alias("t")
+    gone, judged = F.coalesce("t.deleted", F.lit(False)), F.coalesce("t.hashed", F.lit(False))
+    held = lambda c: F.when(~gone, F.col(f"s.{c}"))
+    keep = lambda c: F.coalesce(held(c), F.col(f"t.{c}")).alias(c)
+    verdict = lambda c: F.when(judged, F.col(f"t.{c}")).otherwise(held(c)).alias(c)
+    least, most = (lambda c, f=f: f(held(c), F.col(f"t.{c}")).alias(c) for f in (F.least, F.greatest))
+    rows = s.join(t, F.col("_stored") == F.col("_told"), "full_outer").where((F.col("_stored").isNotNull() & ~gone) | (F.col("t.sightings") > 0))
+    merged = rows.select(
+        F.coalesce("_stored", "_told").alias("mint"), keep("name"), keep("symbol"), keep("imageUrl"), verdict("phash"), verdict("phashState"),
+        least("firstSeen"), most("lastSeen"), most("peakMcUsd"), most("peakVolUsd"),
+        (F.coalesce(held("sawMigrated"), F.lit(False)) | F.coalesce("t.sawMigrated", F.lit(False))).alias("sawMigrated"), (F.coalesce(held("sightings"), F.lit(0)) + F.coalesce("t.sightings", F.lit(0))).alias("sightings"),
+    )
+    return finished(merged, thresholds)
+
+
 def coin_trigrams(rows: DataFrame) -> DataFrame:
     return rows.withColumn("trigrams", text_trigrams(F.col("normName"), F.col("normSymbol")))

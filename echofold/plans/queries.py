@@ -366,7 +366,7 @@ def jn8_snk1_snk2(spark, sf):
     store = CoinStore(spark, fresh(spark, "store"))
     rows = B.sightings(B.table(spark, sf, "events"))
     for part in range(2):
-        store.merge(merge.folded(rows.where(F.col("event_id") % 2 == part)), merge.upsert)
+        store.merge(merge.folded(rows.where(F.col("event_id") % 2 == part)))
     return store.read().select("mint", "name", "symbol", "firstSeen", "lastSeen", "peakMcUsd", "sawMigrated", "sightings")
 
 
@@ -563,7 +563,7 @@ cap AS (SELECT subject, count(*) >= 200 AS capped FROM cand GROUP BY subject), n
 SELECT mint, coalesce(ranCount, 0) AS ranCount, coalesce(totalCount, 0) AS totalCount, coalesce(capped, FALSE) AS capped, FALSE AS confident, CAST({SERVED_AGE} AS BIGINT) AS corpusAgeMs, (SELECT count(*) FROM coin) AS coinCount FROM ask LEFT JOIN n ON n.subject = mint LEFT JOIN cap ON cap.subject = mint""")
 def src10(spark, sf):
     """A client's requests: all sightings observed, then every twentieth record looked up two days on, when no badge is shown yet."""
-    service = Service(CoinStore(spark, fresh(spark, "service")), EXACT)
+    service = Service(CoinStore(spark, fresh(spark, "service"), EXACT), EXACT)
     service.observe(B.sightings(B.table(spark, sf, "events")), B.T0)
     now = B.T0 + SERVED_AGE
     subjects = service.store.read().where(F.col("mint").cast("long") % 20 == 0).select("mint", "name", "symbol")

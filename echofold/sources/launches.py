@@ -73,10 +73,17 @@ def as_observations(rows: DataFrame, now: int) -> DataFrame:
     )
 
 
-def imported(stored: DataFrame, rows: DataFrame, now: int) -> DataFrame:
-    """stored records with accepted launches merged in; firstSeen goes back to observedAt where that is known."""
-    from echofold.operators.merge import folded, upsert
+def import_batch(rows: DataFrame, now: int) -> DataFrame:
+    """Accepted launches folded to one row a mint; firstSeen goes back to observedAt where that is known."""
+    from echofold.operators.merge import folded
 
     seen = as_observations(rows, now)
-    batch = folded(seen).join(seen.groupBy("mint").agg(F.min("observedAt").cast("long").alias("_at")), "mint").withColumn("firstSeen", F.least("firstSeen", "_at")).drop("_at")
-    return upsert(stored, batch)
+    at = seen.groupBy("mint").agg(F.min("observedAt").cast("long").alias("_at"))
+    return folded(seen).join(at, "mint").withColumn("firstSeen", F.least("firstSeen", "_at")).drop("_at")
+
+
+def imported(stored: DataFrame, rows: DataFrame, now: int) -> DataFrame:
+    """stored records with accepted launches merged in."""
+    from echofold.operators.merge import upsert
+
+    return upsert(stored, import_batch(rows, now))

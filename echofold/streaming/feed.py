@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from echofold.functions.parse import BASE58
-from echofold.model import LAUNCH, OBSERVATION, THRESHOLDS, Thresholds
-from echofold.operators.merge import folded, upsert
+from echofold.model import LAUNCH, OBSERVATION
+from echofold.operators.merge import folded
 from echofold.sources.store import CoinStore
 
 #: Keys remembered, silence before an alarm, and the rate under which a long-running feed is suspect.
@@ -35,7 +35,7 @@ def sightings(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(OBSERVATION + ", seq long").json(path)
 
 
-def fold_into(stream: DataFrame, store: CoinStore, checkpoint: str, trigger: dict | None = None, thresholds: Thresholds = THRESHOLDS):
+def fold_into(stream: DataFrame, store: CoinStore, checkpoint: str, trigger: dict | None = None):
     """Merges each micro-batch into the store. One batch at a time; the commit that holds a batch names its query and
     epoch, so a batch that is run again, after a restart too, is merged once, and queries on one store don't mix.
 
@@ -44,7 +44,7 @@ def fold_into(stream: DataFrame, store: CoinStore, checkpoint: str, trigger: dic
 
     def merge(batch: DataFrame, epoch: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
-        store.merge(folded(batch), lambda old, new: upsert(old, new, thresholds), (query, epoch))
+        store.merge(folded(batch), (query, epoch))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
 

@@ -240,27 +240,134 @@ def test_store_versions(spark, tmp_path):
     assert {r.mint: r.sightings for r in store.read().collect()} == {"a": 2, "b": 1}
 
 
-def test_store_buckets_writers_and_old_versions(spark, tmp_path):
+def folders(store):
+    commit = store.state()[1]
+    return {x["folder"] for part in (commit["base"], *(r["leaves"] for r in commit["runs"])) for x in part.values() if x["folder"]}
+
+
+def test_store_writers_and_old_versions(spark, tmp_path):
     path = f"{tmp_path}/store"
     fold = lambda mints: merge.folded(sightings(spark, [{"mint": m} for m in mints]))
-    store, other = (CoinStore(spark, f"file://{path}", buckets=4) for _ in range(2))
-    store.merge(fold("abcdefgh"), merge.upsert)
-    before = store.state()[1]["folders"]
-    store.merge(fold("a"), merge.upsert)
-    after = store.state()[1]["folders"]
-    assert sum(before[b] != after[b] for b in before) == 1 and {r.mint: r.sightings for r in store.read().collect()} == {"a": 2, **dict.fromkeys("bcdefgh", 1)}
+    store, other = (CoinStore(spark, f"file://{path}") for _ in range(2))
+    store.merge(fold("abcdefgh"))
+    store.merge(fold("a"))
+    assert {r.mint: r.sightings for r in store.read().collect()} == {"a": 2, **dict.fromkeys("bcdefgh", 1)}
     rows = store.read()
-    other.merge(fold("z"), merge.upsert)
+    other.merge(fold("z"))
+    before = set(os.listdir(path))
     with pytest.raises(ConcurrentWrite):
         store.replace(rows.where("mint < 'c'"))
-    assert store.read().count() == 9
+    with pytest.raises(ConcurrentWrite):
+        store.remove(rows.select("mint"))
+    assert store.read().count() == 9 and set(os.listdir(path)) == before
     store.replace(store.read().where("mint < 'c'"))
-    for _ in range(3):
-        store.merge(fold("ab"), merge.upsert)
-    assert {r.mint: r.sightings for r in store.read().collect()} == {"a": 5, "b": 4}
-    named = {f.split("/")[0] for f in store.state()[1]["folders"].values()}
+    for _ in range(12):
+        store.merge(fold("ab"))
+    assert {r.mint: r.sightings for r in store.read().collect()} == {"a": 14, "b": 13}
     kept = {x for x in os.listdir(path) if x.startswith("v-")}
-    assert named <= kept and len(kept) <= 4 and len(os.listdir(f"{path}/_commits")) <= 2 * 3
+    assert {f.split("/")[0] for f in folders(store)} <= kept and len(kept) <= 12 and len([x for x in os.listdir(f"{path}/_commits") if x.isdigit()]) <= 9
+    os.makedirs(f"{path}/v-orphan")
+    os.utime(f"{path}/v-orphan", (1, 1))
+    store.merge(fold("a"))
+    assert "v-orphan" not in os.listdir(path)
+
+
+def test_a_refused_commit_leaves_no_folder(spark, tmp_path, monkeypatch):
+    store = CoinStore(spark, f"file://{tmp_path}/store")
+    batch = merge.folded(sightings(spark, [{"mint": "a"}]))
+    store.merge(batch)
+    number, commit = store.state()
+    monkeypatch.setattr(store, "state", lambda: (number - 1, commit))  # as of before another writer's commit
+    before = set(os.listdir(f"{tmp_path}/store"))
+    with pytest.raises(ConcurrentWrite):
+        store.merge(batch)
+    assert set(os.listdir(f"{tmp_path}/store")) == before
+
+
+def test_store_is_the_fold_after_many_batches(spark, tmp_path):
+    """Twenty batches with gaps, repeats, verdicts and removals, against a plain fold; buckets split, runs are folded together,
+    and what a small batch writes is as small as it is."""
+    r = random.Random(3)
+    store = CoinStore(spark, f"file://{tmp_path}/store", split_rows=60, ratio=4)
+    held, seen, split = {}, set(), 0
+    for k in range(20):
+        own = [f"m{r.randrange(400)}" for _ in range(500 if k < 2 else 12)]
+        rows = [{"mint": m, "name": r.choice([None, f"n{k}"]), "symbol": r.choice([None, f"s{k}"]), "marketCapUsd": r.choice([None, float(r.randrange(200_000))]), "seenAt": T0 + r.randrange(1000), "source": r.choice(["migrated", "other"])} for m in own]
+        before = folders(store)
+        store.merge(merge.folded(sightings(spark, rows)))
+        for x in rows:
+            h = held.setdefault(x["mint"], {"name": None, "symbol": None, "peak": None, "first": x["seenAt"], "last": x["seenAt"], "migrated": False, "n": 0, "phash": None})
+            h["name"], h["symbol"] = h["name"] or x["name"], h["symbol"] or x["symbol"]
+            h["peak"] = max((y for y in (h["peak"], x["marketCapUsd"]) if y is not None), default=None)
+            h["first"], h["last"], h["migrated"], h["n"] = min(h["first"], x["seenAt"]), max(h["last"], x["seenAt"]), h["migrated"] or x["source"] == "migrated", h["n"] + 1
+        commit = store.state()[1]
+        seen.add((len(commit["runs"]), "base" if not commit["runs"] else "runs"))
+        split = max(split, len(commit["base"]))
+        if commit["runs"] and len(commit["runs"]) > 1:
+            new = folders(store) - before
+            assert all(f.startswith(tuple(x["folder"].split("/")[0] for x in commit["runs"][-1]["leaves"].values() if x["folder"])) for f in new)
+            assert commit["runs"][-1]["rows"] <= 12 * 20
+        if k % 5 == 3:
+            gone, told = r.sample(sorted(held), 7), r.sample(sorted(held), 9)
+            store.read()
+            store.tell_hashes(spark.createDataFrame([(m, f"{k:016x}", "ok") for m in told], "mint string, phash string, phashState string"))
+            store.remove(spark.createDataFrame([(m,) for m in gone], "mint string"))
+            for m in told:
+                held[m]["phash"] = f"{k:016x}"
+            for m in gone:
+                held.pop(m)
+    want = {m: tuple(h.values()) for m, h in held.items()}
+    fields = ["name", "symbol", "peakMcUsd", "firstSeen", "lastSeen", "sawMigrated", "sightings", "phash"]
+    got = {x.mint: tuple(x[f] for f in fields) for x in store.read().collect()}
+    assert got == want and split > 4 and {"base", "runs"} == {x for _, x in seen}
+    some = r.sample(sorted(held), 3) + ["none"]
+    found = store.read_keys(spark.createDataFrame([(m,) for m in some], "mint string"))
+    assert {x.mint: tuple(x[f] for f in fields) for x in found.collect()} == {m: want[m] for m in some[:3]}
+    assert 0 < store.opened <= 4 * (1 + len(store.state()[1]["runs"])) and store.opened < len(folders(store))
+    assert all(x.ran == (x.sawMigrated or (x.peakMcUsd or 0) >= THRESHOLDS.min_peak_usd) for x in store.read().collect())
+
+
+def test_index_follows_the_records(spark, tmp_path):
+    """After each of merges, verdicts and removals the stored postings are those made anew; lists that shrank are filled up."""
+    from dataclasses import replace
+
+    from echofold.operators.candidates import counted_postings
+    from echofold.sources.postings import PostingIndex
+
+    r = random.Random(4)
+    few = replace(THRESHOLDS, max_candidates=3)
+    store = CoinStore(spark, f"file://{tmp_path}/store", split_rows=50)
+    index = PostingIndex(store, few.max_candidates, split_rows=50)
+    names = ["moon cat", "moon dog", "sun cat", "tiny", "moon", None]
+
+    def check():
+        assert index.follows() == store.seq()
+        rows = lambda frame: sorted((x.kind, x.key, list(x.mints), x.n) for x in frame.collect())
+        assert rows(index.table.read()) == rows(counted_postings(store.read(), 4))
+
+    for k in range(4):
+        rows = [{"mint": f"m{r.randrange(40):02d}", "name": r.choice(names), "symbol": r.choice([None, "mc", "tin"])} for _ in range(25)]
+        batch = merge.folded(sightings(spark, rows))
+        index.around(batch, lambda batch=batch: store.merge(batch))
+        check()
+        mints = sorted(x.mint for x in store.read().select("mint").collect())
+        if k % 2:
+            gone = spark.createDataFrame([(m,) for m in mints[: len(mints) // 4] + r.sample(mints, 3)], "mint string")
+            index.around(gone, lambda gone=gone: store.remove(gone.distinct()))
+        else:
+            told = spark.createDataFrame([(m, r.choice(["0" * 16, f"{r.randrange(9):016x}"]), "ok") for m in r.sample(mints, 8)], "mint string, phash string, phashState string")
+            index.around(told, lambda told=told: store.tell_hashes(told))
+        check()
+    rows = store.read()
+    subjects = rows.where("mint like '%3' or mint like '%1'")
+    listed = lambda frame: sorted((x.subject, list(x.mints), x.capped) for x in frame.collect())
+    assert listed(index.candidates(subjects, few)) == listed(candidates(subjects, rows, few)) and listed(candidates(subjects, rows, few))
+    one_key = spark.createDataFrame([("trigram", "moo")], "kind string, key string")
+    assert index.table.read_keys(one_key).count() == 1 and index.table.opened < len(folders(index.table))
+    store.merge(merge.folded(sightings(spark, [{"mint": "new", "name": "moon"}])))  # not through the index
+    assert listed(index.candidates(subjects, few)) == listed(candidates(subjects, store.read(), few))
+    with pytest.raises(ValueError):
+        index.candidates(subjects)
 
 
 def test_stream_epochs_by_query(spark, tmp_path):
@@ -273,7 +380,7 @@ def test_stream_epochs_by_query(spark, tmp_path):
         feed.fold_into(feed.sightings(spark, path), store, f"{tmp_path}/{checkpoint}", {"availableNow": True}).awaitTermination()
     assert {r.mint: r.sightings for r in store.read().collect()} == {"m0": 6, "m1": 6, "m2": 6}
     query = next(iter(store.state()[1]["epochs"]))
-    store.merge(merge.folded(rows), merge.upsert, (query, store.epoch(query)))
+    store.merge(merge.folded(rows), (query, store.epoch(query)))
     assert {r.sightings for r in store.read().collect()} == {6}
 
 
