@@ -370,6 +370,22 @@ def jn8_snk1_snk2(spark, sf):
     return store.read().select("mint", "name", "symbol", "firstSeen", "lastSeen", "peakMcUsd", "sawMigrated", "sightings")
 
 
+@query("SNK1_log_store", f"""WITH {EVENTS} SELECT mint, arg_min(name, (event_id % 8) * 10000000 + seq) FILTER (name IS NOT NULL) AS name, arg_min(symbol, (event_id % 8) * 10000000 + seq) FILTER (symbol IS NOT NULL) AS symbol,
+  min(seenAt) AS firstSeen, max(seenAt) AS lastSeen, max(mc) AS peakMcUsd, bool_or(migrated) AS sawMigrated, count(*) AS sightings,
+  CASE WHEN CAST(mint AS BIGINT) % 3 = 0 THEN '00ff00ff00ff00ff' END AS phash FROM ev WHERE event_id % 8 > 3 OR CAST(mint AS BIGINT) % 5 > 0 GROUP BY mint""")
+def snk1_snk2_snk4_snk5(spark, sf):
+    """Eight batches through the log, with removals and hash verdicts after the fourth, and folding wherever it falls due."""
+    store = CoinStore(spark, fresh(spark, "log"))
+    rows = B.sightings(B.table(spark, sf, "events"))
+    for part in range(8):
+        store.merge(merge.folded(rows.where(F.col("event_id") % 8 == part)))
+        if part == 3:
+            store.remove(store.read().where(F.col("mint").cast("long") % 5 == 0).select("mint"))
+    known = store.read().where(F.col("mint").cast("long") % 3 == 0)
+    store.tell_hashes(known.select("mint", F.lit("00ff00ff00ff00ff").alias("phash"), F.lit("ok").alias("phashState")))
+    return store.read().select("mint", "name", "symbol", "firstSeen", "lastSeen", "peakMcUsd", "sawMigrated", "sightings", "phash")
+
+
 @query("T5_arrival_trigrams", f"""WITH {EVENTS}, arrival AS (SELECT mint, coalesce(greatest(min(seq) FILTER (name IS NOT NULL), min(seq) FILTER (symbol IS NOT NULL)), min(seq)) AS seq FROM ev GROUP BY mint),
 kept AS (SELECT mint, coalesce({norm_sql('name')}, '') AS nn, coalesce({norm_sql('symbol')}, '') AS ns FROM ev JOIN arrival USING (mint, seq))
 SELECT mint, array_to_string(list_sort(list_distinct(list_concat({GRAMS.format('nn')}, {GRAMS.format('ns')}))), ',') AS trigrams FROM kept""")
@@ -454,6 +470,28 @@ def lim1(spark, sf):
     return listed(candidates(coins.where("p_partkey % 20 = 0"), coins))
 
 
+INDEXED_NOW = B.T0 + 40 * 86_400_000
+
+
+@query("SRC4_index", f"""WITH coin AS (SELECT CAST(p_partkey AS VARCHAR) AS mint, p_partkey, {norm_sql('p_name')} AS nn, {norm_sql('p_type')} AS ns, CASE WHEN p_partkey % 4 = 0 THEN '00ff' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || 'ff00ff00' END AS phash FROM part WHERE p_size >= 10 OR p_retailprice * 100 >= 100000),
+ask AS (SELECT * FROM coin WHERE p_partkey % 20 = 0), {CANDIDATES} {CANDIDATE_ROWS}""")
+def src4_src6(spark, sf):
+    """Candidates from the stored index after three merges (names of half the parts, all types, the other names), hash
+    verdicts and a retention, each followed by its differences."""
+    service = Service(CoinStore(spark, fresh(spark, "indexed")))
+    key, null = F.col("p_partkey"), F.lit(None)
+    parts = B.table(spark, sf, "part").select(
+        key.cast("string").alias("mint"), F.col("p_name").alias("name"), F.col("p_type").alias("symbol"), null.cast("string").alias("imageUrl"), (F.col("p_retailprice") * 100).alias("marketCapUsd"), null.cast("double").alias("volumeUsd"),
+        (B.T0 + F.col("p_size").cast("long") * 86_400_000).alias("seenAt"), F.lit("trending").alias("source"), key.alias("seq"), key,
+    )
+    service.observe(parts.where(key % 2 == 0).withColumn("symbol", null.cast("string")), B.T0)
+    service.observe(parts.withColumn("name", null.cast("string")), B.T0)
+    service.observe(parts.where(key % 2 == 1).withColumn("symbol", null.cast("string")), B.T0)
+    service.record_hashes(parts.where(key % 4 == 0).select("mint", F.concat(F.lit("00ff"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("ff00ff00")).alias("phash"), F.lit("ok").alias("state")))
+    service.retain(INDEXED_NOW)
+    return listed(service.index.candidates(service.store.read().where(F.col("mint").cast("long") % 20 == 0)))
+
+
 def exact_priors(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.priors(*asked(spark, sf), EXACT)
 

@@ -34,7 +34,7 @@ class Service:
     def observe(self, observations: DataFrame, now: int, seq: str = "seq") -> DataFrame:
         """Merges sightings; returns their records."""
         self._start(now)
-        return self.store.read_keys(self._merge(merge.folded(observations, seq)))
+        return self.store.read_keys(self._merge(merge.folded(observations, seq)), held=True)
 
     def meta(self, now: int) -> DataFrame:
         """One row: startedAt, schemaVersion, coinCount, ageMs, badgesReady."""
@@ -55,7 +55,7 @@ class Service:
         """Merges checked launches; one row: written, added."""
         self._start(now)
         batch = settled(launches.import_batch(rows, now), "imported")
-        known = self.store.read_keys(batch).count()
+        known = self.store.read_keys(batch, held=True).count()
         counts = [(batch.agg(F.sum("sightings")).first()[0] or 0, batch.count() - known)]
         self._merge(batch)
         return self.spark.createDataFrame(counts, "written long, added long")

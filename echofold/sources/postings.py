@@ -44,16 +44,16 @@ class PostingIndex:
         seq = self.store.seq()
         self.table._base = None
         self.table.replace(counted_postings(self.store.read(), self.cap + 1))
-        self.table.append(self.store.spark.createDataFrame([], POSTING), note={"of": seq})
+        self.table.append(self.table.read().limit(0), note={"of": seq})
 
     def around(self, mints: DataFrame, write) -> None:
         """Runs write(), which changes records of these mints alone, and follows it."""
         mints = settled(mints.select("mint").distinct(), "touched")
         known = self.follows() == self.store.seq()
-        before = settled(self.store.read_keys(mints), "before") if known else None
+        before = settled(self.store.read_keys(mints, held=True), "before") if known else None
         write()
         if known:
-            self.change(before, settled(self.store.read_keys(mints), "after"))
+            self.change(before, settled(self.store.read_keys(mints, held=True), "after"))
         else:
             self.rebuild()
 
@@ -75,7 +75,7 @@ class PostingIndex:
         new = net.join(old.select(*BUCKET, "n"), BUCKET, "left").join(lists, BUCKET, "left")
         new = new.select(*BUCKET, F.coalesce("mints", F.array().cast("array<string>")).alias("mints"), (F.coalesce("n", F.lit(0)) + F.col("net")).alias("n"))
         new = settled(new, "new-postings")
-        short = settled(new.where(F.size("mints") < F.least(F.col("n"), F.lit(self.cap + 1))).select(*BUCKET), "short")
+        short = new.where(F.size("mints") < F.least(F.col("n"), F.lit(self.cap + 1))).select(*BUCKET)
         few = short.count()
         if few:
             entries = index_keys(self.store.read()).join(F.broadcast(short) if few <= BROADCAST_ROWS else short, BUCKET, "left_semi")

@@ -2,9 +2,10 @@
 
 A table is a base of unique keys and a list of runs, newest last. A run holds what batches told of keys: values to merge in, or
 that a key is deleted. Reading folds the runs to a row a key and merges these into the base, whose other rows pass through
-unread by any shuffle. An append writes its own rows alone. Then, if a run is not RATIO times as large as all newer ones, they
-become one run; and once the runs hold a RATIO-th of the base's rows they are merged into it. So a row is rewritten about
-RATIO log(table / batch) times at most, and runs stay a small share of what a read opens.
+unread by any shuffle. An append writes its own rows alone. Then, once the runs hold a RATIO-th of the base's rows (and at least
+what is worth it, split_rows / FLOOR), they are merged into it; else, if there are more than RATIO of them, the newest that are
+not a RATIO-th of the one before become one. So a row is rewritten about RATIO log(table / batch) times at most, and runs stay
+few and a small share of what a read opens.
 
 Base and runs lie in buckets by the low bits of a hash of the key. A bucket that would hold more than split_rows is written
 as its two halves by one more bit, or more (extendible hashing); only buckets whose keys are told of are rewritten. A read for
@@ -28,14 +29,14 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.model import COIN, COIN_TOLD, THRESHOLDS, Thresholds
 from echofold.operators import merge
 
 OWN_DIR = "echofold.shared.dir"  # remembers the folder chosen
-KEPT, RATIO, SPLIT_ROWS, BROADCAST_ROWS, ORPHAN_MS = 8, 8, 1_000_000, 500_000, 86_400_000
+KEPT, RATIO, SPLIT_ROWS, FLOOR, BROADCAST_ROWS, ORPHAN_MS = 8, 8, 1_000_000, 50, 500_000, 86_400_000
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -98,6 +99,7 @@ class LogStore:
         self._commits = f"{self.path}/_commits"
         self._fs = hadoop_path(spark, self.path)[1]
         self._base: int | None = None
+        self._known: dict[int, str] = {}
         self.opened = 0  # folders that the last read for a list of keys opened
 
     def _at(self, path: str):
@@ -110,7 +112,11 @@ class LogStore:
         return sorted(int(x) for x in names if x.isdigit())
 
     def _commit(self, number: int) -> dict:
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self._commits}/{number:012d}").collect()))
+        if number not in self._known:  # a commit never changes
+            source = self._fs.open(self._at(f"{self._commits}/{number:012d}"))
+            self._known[number] = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            source.close()
+        return json.loads(self._known[number])
 
     def state(self) -> tuple[int, dict]:
         """Number and content of the last commit."""
@@ -129,7 +135,10 @@ class LogStore:
 
     def _rows(self, leaves: list[dict], schema: str) -> DataFrame:
         folders = [f"{self.path}/{x['folder']}" for x in leaves if x["folder"]]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        if folders:
+            return self.spark.read.schema(schema).parquet(*folders)
+        nothing = ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in (x.split(" ", 1) for x in schema.split(", ")))
+        return self.spark.sql(f"SELECT {nothing} WHERE FALSE")  # which plans drop, unlike an empty list of rows
 
     def _folded(self, runs: list[dict], only: Callable[[dict], list[dict]] = lambda part: list(part.values())) -> DataFrame:
         rows = self._rows([x for run in runs for x in only(run["leaves"])], f"{self.rules.told}, _seq long")
@@ -157,22 +166,19 @@ class LogStore:
         self._base, commit = self.state()
         return self._whole(commit)
 
-    def read_keys(self, keys: DataFrame) -> DataFrame:
-        """The current rows of some keys (columns of that name), from their buckets alone."""
+    def read_keys(self, keys: DataFrame, held: bool = False) -> DataFrame:
+        """The current rows of some keys (columns of that name), from their buckets alone. held: keys are distinct and in the
+        shared folder already. Their files tell Spark whether they are few enough to be broadcast."""
         commit, key = self.state()[1], list(self.rules.key)
-        keys = settled(keys.select(*key).distinct(), "keys")
+        keys = keys.select(*key) if held else settled(keys.select(*key).distinct(), "keys")
         parts = [commit["base"], *(r["leaves"] for r in commit["runs"])]
         deepest = max((_depth(name)[0] for part in parts for name in part), default=0)
-        slots = {r.s for r in keys.select(self._slot(deepest).alias("s")).distinct().collect()}  # as many as buckets at most
+        slots = {r.s for r in keys.select(self._slot(deepest).alias("s")).distinct().collect()} if deepest else {0}  # as many as buckets at most
         shallow = {d: {s % (1 << d) for s in slots} for d in range(deepest + 1)}
         wanted = lambda part: [x for name, x in part.items() if _depth(name)[1] in shallow[_depth(name)[0]]]
         self.opened = sum(bool(x["folder"]) for part in parts for x in wanted(part))
-        few = keys.count()
-        mine = F.broadcast(keys) if few <= BROADCAST_ROWS else keys
-        base = self._rows(wanted(commit["base"]), self.rules.schema).join(mine, key, "left_semi")
-        if not commit["runs"]:
-            return base
-        return self._merged(base, self._folded(commit["runs"], wanted).join(mine, key, "left_semi"), min(few, sum(r["rows"] for r in commit["runs"])))
+        base = self._rows(wanted(commit["base"]), self.rules.schema).join(keys, key, "left_semi")
+        return self.rules.merge(base, self._folded(commit["runs"], wanted).join(keys, key, "left_semi")) if commit["runs"] else base
 
     # --- writing -------------------------------------------------------------------------------------------------------
 
@@ -193,15 +199,17 @@ class LogStore:
         version = f"v-{uuid.uuid4().hex}"
         at = f"{self.path}/{version}"
         try:
-            placed = self._placed(rows, names)
-            placed = placed.repartition(len(names), "_bucket") if len(names) > 1 else placed.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
-            placed.write.partitionBy("_bucket").parquet(at)
-            made = {s.getPath().getName() for s in self._fs.listStatus(self._at(at))}
-            count = {r["_bucket"]: r["count"] for r in self.spark.read.schema("_bucket string").parquet(at).groupBy("_bucket").count().collect()} if any(x.startswith("_bucket=") for x in made) else {}
+            if len(names) == 1:
+                told = Observation()
+                rows.observe(told, F.count(F.lit(1)).alias("rows")).write.parquet(f"{at}/_bucket={names[0]}")
+                count = {names[0]: told.get["rows"]}
+            else:
+                self._placed(rows, names).repartition(len(names), "_bucket").write.partitionBy("_bucket").parquet(at)
+                count = {r["_bucket"]: r["count"] for r in self.spark.read.schema("_bucket string").parquet(at).groupBy("_bucket").count().collect()}
         except Exception:
             self._fs.delete(self._at(at), True)
             raise
-        return version, {x: {"folder": f"{version}/_bucket={x}" if x in count else None, "rows": count.get(x, 0)} for x in names}
+        return version, {x: {"folder": f"{version}/_bucket={x}" if count.get(x) else None, "rows": count.get(x, 0)} for x in names}
 
     def _split(self, name: str, rows: int) -> list[str]:
         """The buckets that so many rows of a bucket go to."""
@@ -251,16 +259,21 @@ class LogStore:
         told = sum(r["rows"] for r in runs)
         if not told:
             return
-        if told * self.ratio >= base:
+        if told * self.ratio >= base and told * FLOOR >= self.split_rows:
             names = list(commit["base"]) or ["0-0"]
             folded = settled(self._folded(runs), "told")
-            count = {r["_bucket"]: r["count"] for r in self._placed(folded.select(*self.rules.key), names).groupBy("_bucket").count().collect()}
+            if len(names) == 1:
+                count = {names[0]: told}
+            else:
+                count = {r["_bucket"]: r["count"] for r in self._placed(folded.select(*self.rules.key), names).groupBy("_bucket").count().collect()}
             rows = self._merged(self._rows([x for n, x in commit["base"].items() if n in count], self.rules.schema), folded, told)
             split = {n: self._split(n, commit["base"].get(n, {"rows": 0})["rows"] + k) for n, k in count.items()}
             version, leaves = self._write(rows.select(*columns(self.rules.schema)), [x for n in names for x in split.get(n, [n])])
             kept = {n: x for n, x in commit["base"].items() if n not in count}
             self._publish(number + 1, commit | {"base": {n: kept.get(n, x) for n, x in leaves.items()}, "runs": []}, version)
             return
+        if len(runs) <= self.ratio:
+            return
         first = len(runs) - 1
         while first and runs[first - 1]["rows"] < self.ratio * sum(r["rows"] for r in runs[first:]):
             first -= 1
@@ -302,6 +315,7 @@ class LogStore:
         for version in gone:
             self._fs.delete(self._at(f"{self.path}/{version}"), True)
         for n in numbers[:-KEPT]:
+            self._known.pop(n, None)
             self._fs.delete(self._at(f"{self._commits}/{n:012d}"), False)
 
 
@@ -328,8 +342,8 @@ class CoinStore(LogStore):
     def _whole(self, commit: dict) -> DataFrame:
         return self._judged(super()._whole(commit))
 
-    def read_keys(self, keys: DataFrame) -> DataFrame:
-        return self._judged(super().read_keys(keys))
+    def read_keys(self, keys: DataFrame, held: bool = False) -> DataFrame:
+        return self._judged(super().read_keys(keys, held))
 
     def _judged(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("ran", merge.did_run(F.col("peakMcUsd"), F.col("sawMigrated"), self.thresholds))
