@@ -1,34 +1,46 @@
 """Single-link clusters of records whose names or symbols match.
 
 Records are linked through their keys: two records match if any key of one matches any key of the other, so components
-of the graph of keys (a record ties its two keys together) are those of the records, and equal keys need no pairs.
+of the graph of keys (a record ties its keys together) are those of the records, and equal keys need no pairs. Keys are
+numbered, so that what moves between rounds is numbers.
+
+Which keys match is an indexed self-join. A score of bar with a common prefix of p characters needs m characters in common
+with m / na + m / nb at or over a number S(p), so at least a = S na nb / (na + nb) of them. Take a key's characters as tokens
+(the character, and how many of it came before), rarest first: of two keys that share a tokens, the first n - a + 1 of either
+meet. So each key is filed under those few tokens, by band of length; the shorter key of a pair stands in the index under its
+own length's band, the longer one asks in the bands that it can reach. Pairs are looked for in three classes (any two keys; a
+common first character; the first four in common), as a longer prefix lets S fall. A bound from bit masks of the tokens, in the
+join's own condition, then leaves few pairs to score.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echofold.functions.similarity import PREFIX, SCALE, _codes, jaro_winkler, similarity
-from echofold.functions.text import trigrams
+from echofold.functions.similarity import PREFIX, SCALE, jaro_winkler
 from echofold.model import THRESHOLDS, Thresholds
 from echofold.sources.store import settled
 
-BLOCK_KEYS, BLOCK_CHARS = 2048, 1 << 19
-BATCH_ROWS = 500
-BROADCAST_KEYS = 1_000_000
-LETTERS, TIMES = 40, 4
+COMMON_TOKENS = 10_000
+#: Characters of a common prefix that a class's keys share, and the longest prefix that its pairs are scored with.
+CLASSES = [(0, 0), (1, PREFIX - 1), (PREFIX, PREFIX)]
+BITS, TIMES, WORDS = 48, 4, 3
+EXACT_BANDS, BAND_GROWTH = 20, 1.1
+SCORE_AT_ONCE = 1 << 22
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """node, root (its component's smallest node) of a column pair a, b: minimum labels over links, with labels of labels."""
     both = settled(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
+    while True:  # each round lowers some label, or is the last
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -37,7 +49,6 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = step.select("node", "root")
         if step.where("root <> was").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def shared_least(bar: float, prefix: int) -> float:
@@ -45,55 +56,17 @@ def shared_least(bar: float, prefix: int) -> float:
     return 3 * (bar - prefix * SCALE) / (1 - prefix * SCALE) - 1 - 1e-9
 
 
-def bags(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of counts for each key, and the lengths. Products of rows are never below the number of characters in common."""
-    codes, size = _codes(keys)
-    codes = np.where(np.arange(codes.shape[1]) < size[:, None], codes.astype(np.int64), -1)
-    codes.sort(axis=1)
-    new = np.ones(codes.shape, bool)
-    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
-    place = np.arange(codes.shape[1])
-    nth = np.minimum(place - np.maximum.accumulate(np.where(new, place, 0), axis=1), TIMES - 1)
-    out = np.zeros((len(keys), LETTERS * TIMES), np.float32)
-    row, col = np.nonzero(codes >= 0)
-    np.add.at(out, (row, codes[row, col] % LETTERS + LETTERS * nth[row, col]), 1)
-    return out, size
-
-
-def near_pairs(left: list[str], right: list[str], bar: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places i, j of all pairs of unlike keys that score bar or more; keys of a side begin with one character."""
-    most = PREFIX if left[0][:1] == right[0][:1] else 0
-    (x, na), (y, nb) = bags(left), bags(right)
-    common = x @ y.T + 0.5  # whole numbers
-    found = []
-    for n in np.unique(na):
-        rows = np.flatnonzero(na == n)
-        i, j = np.nonzero(common[rows] >= shared_least(bar, most) * n * nb / np.maximum(n + nb, 1) + 0.5 - 1e-3)
-        found.append((rows[i], j))
-    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-    if most:
-        heads = [np.array([[ord(c) for c in key[:PREFIX].ljust(PREFIX, side)] for key in keys]) for keys, side in ((left, "\0"), (right, "\1"))]
-        prefix = np.logical_and.accumulate(heads[0][i] == heads[1][j], axis=1).sum(axis=1)
-        least = np.array([shared_least(bar, p) for p in range(PREFIX + 1)])[prefix]
-        keep = common[i, j] - 0.5 + 1e-3 >= least * na[i] * nb[j] / np.maximum(na[i] + nb[j], 1)
-        i, j = i[keep], j[keep]
-    chunk = max(1, min(8192, (1 << 22) // max(1, int(max(na.max(), nb.max())))))
-    scores = [jaro_winkler([left[k] for k in i[at : at + chunk]], [right[k] for k in j[at : at + chunk]]) for at in range(0, len(i), chunk)]
-    keep = np.concatenate([np.zeros(0), *scores]) >= bar
-    return i[keep], j[keep]
-
-
-def spanning(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+def spanning(a: list, b: list) -> tuple[list, list]:
     """As few links as span the components of links a-b."""
-    up: dict[str, str] = {}
+    up: dict = {}
 
-    def root(x: str) -> str:
+    def root(x):
         while (y := up.get(x, x)) != x:
             up[x] = up.get(y, y)
             x = y
         return x
 
-    out: tuple[list[str], list[str]] = ([], [])
+    out: tuple[list, list] = ([], [])
     for x, y in zip(a, b, strict=True):
         if (p := root(x)) != (q := root(y)):
             up[max(p, q)] = min(p, q)
@@ -102,85 +75,150 @@ def spanning(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
     return out
 
 
-def key_blocks(keys: DataFrame) -> DataFrame:
-    """least, most (lengths), first (character), keys: distinct keys of near lengths in blocks, in the shared folder."""
+def tokens(key: str) -> list[int]:
+    """The characters of a key, each with how many of it came before, as numbers."""
+    seen: Counter[str] = Counter()
+    out = []
+    for c in key:
+        out.append(ord(c) << 32 | seen[c])
+        seen[c] += 1
+    return out
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(held: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"least": len(held[0]), "most": len(held[-1]), "first": held[0][:1], "keys": held}], pa.schema([("least", pa.int32()), ("most", pa.int32()), ("first", pa.string()), ("keys", pa.list_(pa.string()))]))
+def common_tokens(keys: DataFrame) -> dict[int, int]:
+    """A rank over all others for the COMMON_TOKENS tokens of most keys; the rest are rarer and go by their numbers."""
 
-        held: list[str] = []
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[int] = Counter()
         for batch in batches:
             for key in batch.column(0).to_pylist():
-                if held and (len(held) >= BLOCK_KEYS or key[:1] != held[0][:1] or (len(held) + 1) * len(key) > BLOCK_CHARS):
-                    yield block(held)
-                    held = []
-                held.append(key)
-        if held:
-            yield block(held)
-
-    order = [F.substring("key", 1, 1), F.length("key"), F.col("key")]
-    return settled(keys.select("key").where("key IS NOT NULL").distinct().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "least int, most int, first string, keys array<string>"), "key-blocks")
+                found.update(tokens(key))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
+
+    totals = keys.select("key").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    most = totals.orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).collect()
+    return {r.token: 1 << 60 | (COMMON_TOKENS - k) for k, r in enumerate(most)}
+
+
+def bands(longest: int) -> list[int]:
+    """The first length of each band: one a length while short, then by growth."""
+    wider = takewhile(lambda x: x <= longest, accumulate(iter(lambda: 0, 1), lambda a, _: max(a + 1, int(a * BAND_GROWTH)), initial=EXACT_BANDS))
+    return [*range(EXACT_BANDS), *wider]
+
+
+def mixed(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    h = (h ^ value.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def filed(keys: list[str], rank: dict[int, int], bar: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in keys, block, class, whether it asks) of all entries of the index and all questions to it."""
+    of_size: dict[int, list[int]] = {}
+    for k, key in enumerate(keys):
+        of_size.setdefault(len(key), []).append(k)
+    edges = np.array(bands(max(of_size, default=1)))
+    for n, own in of_size.items():
+        place = np.array(own)
+        ranked = np.sort(np.array([[rank.get(t, t) for t in tokens(keys[k])] for k in own], np.int64), axis=1)
+        heads = np.array([[ord(c) for c in keys[k][:PREFIX].ljust(PREFIX, "\0")] for k in own], np.int64)
+        for c, (head, most) in enumerate(CLASSES):
+            if n < head:
+                continue
+            least = shared_least(bar, most)
+            h = np.full(len(own), c, np.uint64)
+            for k in range(head):
+                h = mixed(h, heads[:, k])
+            # (band, whether it asks, tokens): a partner is at least as long as an entry, and no longer than who asks
+            todo = [(int(np.searchsorted(edges, n, "right")) - 1, False, n)]
+            shortest = max(1, int(np.ceil((least - 1) * n - 1e-6)))
+            todo += [(b, True, max(shortest, int(edges[b]))) for b in range(int(np.searchsorted(edges, shortest, "right")) - 1, todo[0][0] + 1)]
+            for band, asks, partner in todo:
+                use = min(n, n - int(np.ceil(least * n * partner / (n + partner) - 1e-6)) + 1)
+                if use > 0:
+                    block = mixed(mixed(h, np.array([band]))[:, None], ranked[:, :use]).ravel().view(np.int64)
+                    yield np.repeat(place, use), block, np.full(len(block), c, np.int32), np.full(len(block), asks)
+
+
+def masks(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """WORDS words of bits for each key's tokens, and how many tokens share a bit with another. Two keys have at most as many
+    tokens in common as bits, and as the less of their shared ones besides."""
+    out, over = np.zeros((len(keys), WORDS), np.uint64), np.zeros(len(keys), np.int32)
+    for k, key in enumerate(keys):
+        cells: set[int] = set()
+        for t in tokens(key):
+            c, nth = t >> 32, min(t & 0xFFFFFFFF, TIMES - 1)
+            letter = c - 97 if 97 <= c < 123 else 26 + c - 48 if 48 <= c < 58 else 36 + c % (BITS - 36)
+            cells.add(letter + BITS * nth)
+        for x in cells:
+            out[k, x >> 6] |= np.uint64(1 << (x & 63))
+        over[k] = len(key) - len(cells)
+    return out.view(np.int64), over
+
+
+def near_keys(numbered: DataFrame, bar: float) -> DataFrame:
+    """a, b: all pairs of numbered keys (id, key; distinct) that may score bar or more, once each or a few times."""
+    spark = numbered.sparkSession
+    held = spark.sparkContext.broadcast(common_tokens(numbered))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", *[f"m{w}" for w in range(WORDS)], "over", "block", "class", "asks"]
+        for batch in batches:
+            keys = batch.column(1).to_pylist()
+            n, (mask, over) = np.array([len(x) for x in keys], np.int32), masks(keys)
+            for at, block, c, asks in filed(keys, held.value, bar):
+                columns = [batch.column(0).take(pa.array(at)), pa.array(n[at]), *[pa.array(mask[at, w]) for w in range(WORDS)], pa.array(over[at]), pa.array(block), pa.array(c), pa.array(asks)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    words = ", ".join(f"m{w} long" for w in range(WORDS))
+    rows = settled(numbered.select("id", "key").mapInArrow(file, f"id long, n int, {words}, over int, block long, class int, asks boolean"), "index")
+    x, y = rows.where("asks").alias("x"), rows.where("NOT asks").alias("y")
+    least = F.element_at(F.array(*[F.lit(shared_least(bar, most)) for _, most in CLASSES]), F.col("x.class") + 1)
+    common = sum((F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}"))) for w in range(WORDS)), F.least("x.over", "y.over"))
+    nx, ny = F.col("x.n").cast("double"), F.col("y.n").cast("double")
+    meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.class") == F.col("y.class")) & ((nx > ny) | ((nx == ny) & (F.col("x.id") < F.col("y.id")))) & (common * (nx + ny) >= least * nx * ny - 1e-6)
+    return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def key_links(numbered: DataFrame, bar: float) -> DataFrame:
+    """Links a, b of numbered keys (id, key; distinct) that span the components of those that score bar or more."""
+    near = near_keys(numbered, bar).distinct()
+    named = lambda end: numbered.select(F.col("id").alias(end), F.col("key").alias(f"key_{end}"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, left, right = (batch.column(k).to_pylist() for k in range(4))
+            step = max(1, min(8192, SCORE_AT_ONCE // max(map(len, [*left, *right]), default=1)))
+            keep = np.concatenate([np.zeros(0), *[jaro_winkler(left[k : k + step], right[k : k + step]) for k in range(0, len(a), step)]]) >= bar
+            at = np.flatnonzero(keep)
+            a, b = spanning([a[k] for k in at], [b[k] for k in at])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    pairs = near.join(named("a"), "a").join(named("b"), "b").select("a", "b", "key_a", "key_b")
+    return pairs.mapInArrow(score, "a long, b long")
 
-def key_links(keys: DataFrame, bar: float, exhaustive: bool) -> DataFrame:
-    """Links a, b of distinct keys (column key) that span the components of those that score bar or more.
 
-    exhaustive: any two keys are compared, at any number of keys. Blocks of keys meet each other once, and one product of
-    their letter counts bounds all their scores, so only pairs that can reach the bar are scored; no such pair is left out.
-    Else: pairs that share a trigram among the first max_candidates of its bucket, which loses links.
-    """
-    if exhaustive:
-        conf = keys.sparkSession.conf
-        if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        blocks = key_blocks(keys)
-        count, total = blocks.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
-        name = F.col("keys")[0]
-        x = blocks.select("least", "most", "first", name.alias("id"), F.col("keys").alias("left")).repartition(max(1, count), "id").alias("x")  # a number given is kept: small rows, much work
-        y = blocks.select("least", "most", "first", name.alias("id"), F.col("keys").alias("right"))
-        y = (F.broadcast(y) if total <= BROADCAST_KEYS else y).alias("y")
-        # of two blocks either is the left one, by a hash, so that tasks have like shares
-        once = F.expr("x.id = y.id OR (x.id < y.id) = (pmod(xxhash64(least(x.id, y.id), greatest(x.id, y.id)), 2) = 0)")
-        # the shorter length counts against the longer one: m is at most the shorter
-        share = F.when(F.col("x.first") == F.col("y.first"), max(0.0, shared_least(bar, PREFIX) - 1)).otherwise(max(0.0, shared_least(bar, 0) - 1))
-        meet = once & (F.col("x.most") >= share * F.col("y.least")) & (F.col("y.most") >= share * F.col("x.least"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    left, right = (batch.column(c)[row].as_py() for c in (0, 1))
-                    i, j = near_pairs(left, right, bar)
-                    if left[0] == right[0]:
-                        i, j = i[i < j], j[i < j]
-                    a, b = spanning([left[k] for k in i], [right[k] for k in j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-
-        return x.join(y, meet).select("left", "right").mapInArrow(run, "a string, b string")
-    grams = keys.select("key", F.explode(trigrams(F.col("key"))).alias("gram"))
-    ranked = grams.withColumn("_n", F.row_number().over(Window.partitionBy("gram").orderBy("key"))).where(F.col("_n") <= THRESHOLDS.max_candidates + 1)
-    lists = ranked.groupBy("gram").agg(F.collect_list("key").alias("others"))
-    pairs = grams.join(lists, "gram").select(F.col("key").alias("a"), F.explode("others").alias("b")).where("a < b").distinct()
-    return pairs.where(similarity(F.col("a"), F.col("b")) >= bar)
-
-
-def clusters(rows: DataFrame, thresholds: Thresholds = THRESHOLDS, bar: float | None = None, exhaustive: bool = True) -> DataFrame:
+def clusters(rows: DataFrame, thresholds: Thresholds = THRESHOLDS, bar: float | None = None) -> DataFrame:
     """mint, cluster (the smallest mint of its component), for rows of mint, normName, normSymbol and perhaps uri.
 
-    exhaustive=False is for quick looks alone, as it loses links (see key_links).
     Keys under the least length link nothing; records of one non-empty uri are linked; unmatched records stay alone.
     """
     bar = thresholds.narrative.min_similarity if bar is None else bar
     least = thresholds.narrative.min_length
-    ties = F.concat(F.filter(F.array("normName", "normSymbol"), lambda x: F.length(x) >= least), F.when(F.coalesce(F.col("uri"), F.lit("")) != "", F.array(F.concat(F.lit("\u0000"), "uri"))).otherwise(F.array().cast("array<string>")) if "uri" in rows.columns else F.array().cast("array<string>"))
-    of = rows.select("mint", F.explode(F.array_distinct(ties)).alias("key"))
-    edges = of.select(F.concat(F.lit("m:"), "mint").alias("a"), F.concat(F.lit("k:"), "key").alias("b"))
+    none = F.array().cast("array<string>")
+    texts = F.filter(F.array("normName", "normSymbol"), lambda x: F.length(x) >= least)
+    uris = F.when(F.coalesce(F.col("uri"), F.lit("")) != "", F.array(F.concat(F.lit("\u0000"), "uri"))).otherwise(none) if "uri" in rows.columns else none
+    of = rows.select("mint", F.explode(F.array_distinct(F.concat(texts, uris))).alias("key"))
+    numbered = settled(of.select("key").distinct().select(F.monotonically_increasing_id().alias("id"), "key"), "keys")
+    of = settled(of.distinct().join(numbered, "key").select("mint", "id").withColumn("first", F.min("id").over(Window.partitionBy("mint"))), "keys-of")  # a window of a record's own keys
+    edges = of.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     if bar < 1:
-        links = key_links(of.select("key").where(~F.col("key").startswith("\u0000")).distinct(), bar, exhaustive)
-        edges = edges.union(links.select(F.concat(F.lit("k:"), "a"), F.concat(F.lit("k:"), "b")))
-    labels = connected(edges).where(F.col("node").startswith("m:")).select(F.expr("substring(node, 3)").alias("mint"), "root")
-    first = labels.groupBy("root").agg(F.min("mint").alias("cluster"))
-    named = labels.join(first, "root").select("mint", "cluster")
+        edges = edges.union(key_links(numbered.where(~F.col("key").startswith("\u0000")), bar))
+    roots = connected(edges)
+    labels = of.where("id = first").join(roots, F.col("first") == F.col("node"), "left").select("mint", F.coalesce("root", "first").alias("root"))
+    labels = settled(labels, "roots")
+    named = labels.join(labels.groupBy("root").agg(F.min("mint").alias("cluster")), "root").select("mint", "cluster")
     return rows.select("mint").join(named, "mint", "left").select("mint", F.coalesce("cluster", "mint").alias("cluster"))
 
 

@@ -96,32 +96,79 @@ def test_lookup_text_image_and_gate(spark):
         assert (r.ranCount, r.totalCount, r.capped, r.confident) == (1, 3, False, confident)
 
 
+def recording():
+    """123 launches in groups of one story each, told in the ways that launches vary: case, accents, filler words, punctuation,
+    name and symbol swapped, one address. The second group of each line differs from all others by more than the bar."""
+    draw = random.Random(17)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(9, 13)))
+    rows, sizes = [], [27, 5, *[3] * 5, *[2] * 5, *[1] * 66]
+    for size in sizes:
+        name, symbol = word(), word()
+        told = [(name, symbol), (name.upper(), ""), (f"The {name} coin", None), (symbol, name), (f"{name[0]}\u0301{name[1:]}", "x"), (f"{name}!", symbol.title()), (name[:-1] + "q", "")]
+        rows += [(*told[k % len(told)], "") for k in range(size)]
+    draw.shuffle(rows)
+    return [(f"m{k:03d}", *r) for k, r in enumerate(rows)], sizes
+
+
 def test_recorded_launches_cluster(spark):
-    """The published figures of a recording of 123 launches, where LAUNCH_RECORDING names its file."""
-    path = os.environ.get("LAUNCH_RECORDING")
-    if not path:
-        pytest.skip("no recording is named")
-    rows = with_norms(spark.createDataFrame([(r["mint"], r["name"], r["symbol"], r["uri"]) for r in json.load(open(path))], "mint string, name string, symbol string, uri string"))
-    sizes = sorted((r["count"] for r in cluster.clusters(rows, exhaustive=True).groupBy("cluster").count().collect()), reverse=True)
-    assert len(sizes) == 78 and sizes[:8] == [27, 5, 3, 3, 3, 3, 3, 2] and sizes.count(1) == 66
-    store = rows.drop("uri").withColumns({"imageUrl": F.lit(None).cast("string"), "phash": F.lit(None).cast("string"), "firstSeen": F.lit(0).cast("long"), "lastSeen": F.lit(0).cast("long"), "peakMcUsd": F.lit(None).cast("double"), "ran": F.lit(False), "sawMigrated": F.lit(False)})
-    counts = [r.totalCount for r in lookup.lookup(store, store, T0, T0).collect()]
-    histogram = {n: counts.count(n) for n in set(counts)}
-    assert histogram == {0: 66, 1: 10, 2: 15, 4: 5, 11: 2, 24: 15, 26: 10} and sum(counts) == 702
+    """Groups of a recording and the matches of each launch, by clusters and by lookup, against all pairs; and, where
+    LAUNCH_RECORDING names its file, the published figures of a recording of 123 launches."""
+    from echofold.functions.similarity import jaro_winkler
+
+    told, want = recording()
+    schema = "mint string, name string, symbol string, uri string"
+    rows = with_norms(spark.createDataFrame(told, schema))
+    own = [(r.normName, r.normSymbol) for r in rows.orderBy("mint").collect()]
+    long = lambda x: len(x) >= 3
+    matches = [sum(any(long(p) and long(q) and jaro_winkler([p], [q])[0] >= 0.9 for p in a for q in b) for j, b in enumerate(own) if j != i) for i, a in enumerate(own)]
+
+    def figures(rows):
+        sizes = sorted((r["count"] for r in cluster.clusters(rows).groupBy("cluster").count().collect()), reverse=True)
+        store = rows.drop("uri").withColumns({"imageUrl": F.lit(None).cast("string"), "phash": F.lit(None).cast("string"), "firstSeen": F.lit(0).cast("long"), "lastSeen": F.lit(0).cast("long"), "peakMcUsd": F.lit(None).cast("double"), "ran": F.lit(False), "sawMigrated": F.lit(False)})
+        return sizes, {r.mint: r.totalCount for r in lookup.lookup(store, store, T0, T0).collect()}
+
+    sizes, counts = figures(rows)
+    assert len(told) == 123 and sizes == want and [counts[m] for m in sorted(counts)] == matches
+    if path := os.environ.get("LAUNCH_RECORDING"):
+        sizes, counts = figures(with_norms(spark.createDataFrame([(r["mint"], r["name"], r["symbol"], r["uri"]) for r in json.load(open(path))], schema)))
+        assert len(sizes) == 78 and sizes[:8] == [27, 5, 3, 3, 3, 3, 3, 2] and sizes.count(1) == 66
+        counts = list(counts.values())
+        assert {n: counts.count(n) for n in set(counts)} == {0: 66, 1: 10, 2: 15, 4: 5, 11: 2, 24: 15, 26: 10} and sum(counts) == 702
 
 
 def test_clusters_edges(spark):
     rows = coins(spark, [{"mint": "a", "name": "cupcake", "symbol": "CUP"}, {"mint": "b", "name": "thursdayarena", "symbol": "cupcake"}, {"mint": "c", "name": "thursdayarena", "symbol": "zzz"}, {"mint": "d", "name": "x"}, {"mint": "e", "name": "x"}])
-    for exhaustive in (True, False):
-        got = {r.mint: r.cluster for r in cluster.clusters(rows.select("mint", "normName", "normSymbol"), exhaustive=exhaustive).collect()}
-        assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
+    got = {r.mint: r.cluster for r in cluster.clusters(rows.select("mint", "normName", "normSymbol")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
+
+
+@pytest.mark.parametrize("bar", [0.9, 0.72, 0.97])
+def test_near_keys_are_among_those_filed(spark, bar):
+    """The index meets in every pair of keys that scores the bar, of all pairs; lengths up to wide bands, repeated letters."""
+    from echofold.functions.similarity import jaro_winkler
+
+    draw = random.Random(8)
+    keys = {"".join(draw.choices("abcdefghijkl", k=draw.randint(3, 14))) for _ in range(120)} | {"".join(draw.choices("aab0é漢", k=draw.randint(3, 60))) for _ in range(60)}
+    for key in sorted(keys):
+        for _ in range(3):
+            x = list(key)
+            for _ in range(draw.randint(1, 1 + len(x) // 6)):
+                k = draw.randrange(len(x))
+                x[k : k + 1] = draw.choice([[], [x[k], "z"], ["q"], x[k : k + 2][::-1]])
+            keys.add("".join(x))
+    keys = sorted(k for k in keys if len(k) >= 3)
+    near = cluster.near_keys(spark.createDataFrame(list(enumerate(keys)), "id long, key string").repartition(3), bar)
+    got = {tuple(sorted(r)) for r in near.collect()}
+    want = {(i, i + 1 + j) for i, a in enumerate(keys[:-1]) for j in np.flatnonzero(jaro_winkler([a] * (len(keys) - i - 1), keys[i + 1 :]) >= bar)}
+    assert want <= got and len(want) > 100
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_clusters_compare_all_keys(spark, monkeypatch):
     """Against all pairs: keys past the first 201 of a trigram, and near keys without a trigram in common."""
     from echofold.functions.similarity import jaro_winkler
 
-    monkeypatch.setattr(cluster, "BLOCK_KEYS", 64)
     draw = random.Random(5)
     names = sorted({"thu" + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 9))) for _ in range(500)})
     names += ["zyxthuqjk", "zyxwthuqk", "abcdefgh", "abdcefhg", "ünïcode", "ünicode", "aaaaaaaaaaaa", "aaaaaaaaaaab", "aaaaaaaa"]
@@ -133,7 +180,7 @@ def test_clusters_compare_all_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(n, n, "") for n in names], "mint string, normName string, normSymbol string")
     assert {r.mint: r.cluster for r in cluster.clusters(rows).collect()} == group and 20 < len(set(group.values())) < len(names)
     assert group["abcdefgh"] == group["abdcefhg"]
-    monkeypatch.setattr(cluster, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(cluster, "COMMON_TOKENS", 3)
     assert {r.mint: r.cluster for r in cluster.clusters(rows).collect()} == group
     assert cluster.clusters(rows.limit(0)).count() == 0
 
