@@ -8,16 +8,17 @@ Which keys match is an indexed self-join. A score of bar with a common prefix of
 with m / na + m / nb at or over a number S(p), so at least a = S na nb / (na + nb) of them. Take a key's characters as tokens
 (the character, and how many of it came before), rarest first: of two keys that share a tokens, the first n - a + 1 of either
 meet. So each key is filed under those few tokens, by band of length; the shorter key of a pair stands in the index under its
-own length's band, the longer one asks in the bands that it can reach. Pairs are looked for in three classes (any two keys; a
-common first character; the first four in common), as a longer prefix lets S fall. A bound from bit masks of the tokens, in the
-join's own condition, then leaves few pairs to score.
+own length's band, the longer one asks in the bands that it can reach. Pairs are looked for in three classes (no first character
+in common; one to three; four), as a longer prefix lets S fall. In the join's own condition, a bound from bit masks of the tokens
+and the prefix that the two do share then leaves few pairs to score.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, takewhile
+from functools import partial
+from itertools import accumulate, repeat, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ from echofold.sources.store import settled
 COMMON_TOKENS = 10_000
 #: Characters of a common prefix that a class's keys share, and the longest prefix that its pairs are scored with.
 CLASSES = [(0, 0), (1, PREFIX - 1), (PREFIX, PREFIX)]
-BITS, TIMES, WORDS = 48, 4, 3
-EXACT_BANDS, BAND_GROWTH = 20, 1.1
+#: Bits of a mask: a letter or digit's first, second and further places; other characters share the rest.
+TIMES, OTHERS, WORDS = 3, 20, 2
+BAND_GROWTH = 1.25
 SCORE_AT_ONCE = 1 << 22
 
 
@@ -101,9 +103,8 @@ def common_tokens(keys: DataFrame) -> dict[int, int]:
 
 
 def bands(longest: int) -> list[int]:
-    """The first length of each band: one a length while short, then by growth."""
-    wider = takewhile(lambda x: x <= longest, accumulate(iter(lambda: 0, 1), lambda a, _: max(a + 1, int(a * BAND_GROWTH)), initial=EXACT_BANDS))
-    return [*range(EXACT_BANDS), *wider]
+    """The first length of each band."""
+    return list(takewhile(lambda x: x <= longest, accumulate(repeat(0), lambda a, _: max(a + 1, int(a * BAND_GROWTH)), initial=0)))
 
 
 def mixed(h: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -113,8 +114,8 @@ def mixed(h: np.ndarray, value: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def filed(keys: list[str], rank: dict[int, int], bar: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(place in keys, block, class, whether it asks) of all entries of the index and all questions to it."""
+def filed(keys: list[str], rank: dict[int, int], bar: float, asks: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in keys, block) of all entries of the index, or of all questions to it. A block's last two bits are its class."""
     of_size: dict[int, list[int]] = {}
     for k, key in enumerate(keys):
         of_size.setdefault(len(key), []).append(k)
@@ -123,6 +124,7 @@ def filed(keys: list[str], rank: dict[int, int], bar: float) -> Iterator[tuple[n
         place = np.array(own)
         ranked = np.sort(np.array([[rank.get(t, t) for t in tokens(keys[k])] for k in own], np.int64), axis=1)
         heads = np.array([[ord(c) for c in keys[k][:PREFIX].ljust(PREFIX, "\0")] for k in own], np.int64)
+        band = int(np.searchsorted(edges, n, "right")) - 1
         for c, (head, most) in enumerate(CLASSES):
             if n < head:
                 continue
@@ -130,54 +132,59 @@ def filed(keys: list[str], rank: dict[int, int], bar: float) -> Iterator[tuple[n
             h = np.full(len(own), c, np.uint64)
             for k in range(head):
                 h = mixed(h, heads[:, k])
-            # (band, whether it asks, tokens): a partner is at least as long as an entry, and no longer than who asks
-            todo = [(int(np.searchsorted(edges, n, "right")) - 1, False, n)]
+            # (band, length of the partner that shares least): a partner is at least as long as an entry, and no longer than who asks
             shortest = max(1, int(np.ceil((least - 1) * n - 1e-6)))
-            todo += [(b, True, max(shortest, int(edges[b]))) for b in range(int(np.searchsorted(edges, shortest, "right")) - 1, todo[0][0] + 1)]
-            for band, asks, partner in todo:
+            todo = [(b, max(shortest, int(edges[b]))) for b in range(int(np.searchsorted(edges, shortest, "right")) - 1, band + 1)] if asks else [(band, n)]
+            for b, partner in todo:
                 use = min(n, n - int(np.ceil(least * n * partner / (n + partner) - 1e-6)) + 1)
                 if use > 0:
-                    block = mixed(mixed(h, np.array([band]))[:, None], ranked[:, :use]).ravel().view(np.int64)
-                    yield np.repeat(place, use), block, np.full(len(block), c, np.int32), np.full(len(block), asks)
+                    block = mixed(mixed(h, np.array([b]))[:, None], ranked[:, :use]).ravel()
+                    yield np.repeat(place, use), (block & ~np.uint64(3) | np.uint64(c)).view(np.int64)
 
 
-def masks(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """WORDS words of bits for each key's tokens, and how many tokens share a bit with another. Two keys have at most as many
-    tokens in common as bits, and as the less of their shared ones besides."""
-    out, over = np.zeros((len(keys), WORDS), np.uint64), np.zeros(len(keys), np.int32)
+def masks(keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """WORDS words of bits for each key's tokens; its length and how many tokens share a bit with another, as one number; its
+    first PREFIX characters as one number, 16 bits each. Two keys have at most as many tokens in common as bits, and as the less
+    of their shared ones besides; characters that fall together in a number only make a prefix look longer."""
+    out, size, head = np.zeros((len(keys), WORDS), np.uint64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
     for k, key in enumerate(keys):
         cells: set[int] = set()
         for t in tokens(key):
-            c, nth = t >> 32, min(t & 0xFFFFFFFF, TIMES - 1)
-            letter = c - 97 if 97 <= c < 123 else 26 + c - 48 if 48 <= c < 58 else 36 + c % (BITS - 36)
-            cells.add(letter + BITS * nth)
+            c = t >> 32
+            letter = c - 97 if 97 <= c < 123 else 26 + c - 48 if 48 <= c < 58 else -1
+            cells.add(letter * TIMES + min(t & 0xFFFFFFFF, TIMES - 1) if letter >= 0 else 36 * TIMES + c % OTHERS)
         for x in cells:
             out[k, x >> 6] |= np.uint64(1 << (x & 63))
-        over[k] = len(key) - len(cells)
-    return out.view(np.int64), over
+        size[k] = len(key) << 32 | len(key) - len(cells)
+        for c in key[:PREFIX].ljust(PREFIX, "\0"):
+            head[k] = head[k] << np.uint64(16) | np.uint64(ord(c) & 0xFFFF)
+    return out.view(np.int64), size, head.view(np.int64)
 
 
 def near_keys(numbered: DataFrame, bar: float) -> DataFrame:
     """a, b: all pairs of numbered keys (id, key; distinct) that may score bar or more, once each or a few times."""
-    spark = numbered.sparkSession
-    held = spark.sparkContext.broadcast(common_tokens(numbered))
+    held = numbered.sparkSession.sparkContext.broadcast(common_tokens(numbered))
+    fields = ["id", "size", "head", *[f"m{w}" for w in range(WORDS)], "block"]
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", *[f"m{w}" for w in range(WORDS)], "over", "block", "class", "asks"]
+    def file(asks: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(1).to_pylist()
-            n, (mask, over) = np.array([len(x) for x in keys], np.int32), masks(keys)
-            for at, block, c, asks in filed(keys, held.value, bar):
-                columns = [batch.column(0).take(pa.array(at)), pa.array(n[at]), *[pa.array(mask[at, w]) for w in range(WORDS)], pa.array(over[at]), pa.array(block), pa.array(c), pa.array(asks)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    words = ", ".join(f"m{w} long" for w in range(WORDS))
-    rows = settled(numbered.select("id", "key").mapInArrow(file, f"id long, n int, {words}, over int, block long, class int, asks boolean"), "index")
-    x, y = rows.where("asks").alias("x"), rows.where("NOT asks").alias("y")
-    least = F.element_at(F.array(*[F.lit(shared_least(bar, most)) for _, most in CLASSES]), F.col("x.class") + 1)
-    common = sum((F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}"))) for w in range(WORDS)), F.least("x.over", "y.over"))
-    nx, ny = F.col("x.n").cast("double"), F.col("y.n").cast("double")
-    meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.class") == F.col("y.class")) & ((nx > ny) | ((nx == ny) & (F.col("x.id") < F.col("y.id")))) & (common * (nx + ny) >= least * nx * ny - 1e-6)
+            mask, size, head = masks(keys)
+            for at, block in filed(keys, held.value, bar, asks):
+                columns = [size, head, *[mask[:, w] for w in range(WORDS)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c[at]) for c in columns], pa.array(block)], fields)
+
+    keys = numbered.select("id", "key")
+    x, y = (keys.mapInArrow(partial(file, asks), ", ".join(f"{c} long" for c in fields)).alias(name) for name, asks in (("x", True), ("y", False)))
+    length = lambda side: F.shiftright(F.col(f"{side}.size"), 32).cast("double")
+    common = sum((F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}"))) for w in range(WORDS)), F.least(*[F.col(f"{side}.size").bitwiseAND(F.lit(0xFFFFFFFF)) for side in "xy"]))
+    prefix, least = F.lit(0), F.lit(shared_least(bar, 0))
+    for p in range(1, PREFIX + 1):  # the prefix that they share, and what a score with it takes
+        same = F.shiftrightunsigned("x.head", 16 * (PREFIX - p)) == F.shiftrightunsigned("y.head", 16 * (PREFIX - p))
+        prefix, least = F.when(same, p).otherwise(prefix), F.when(same, shared_least(bar, p)).otherwise(least)
+    of_class = F.when(prefix == 0, 0).when(prefix < PREFIX, 1).otherwise(2)
+    longer = (length("x") > length("y")) | ((length("x") == length("y")) & (F.col("x.id") < F.col("y.id")))
+    meet = (F.col("x.block") == F.col("y.block")) & longer & (common * (length("x") + length("y")) >= least * length("x") * length("y") - 1e-6) & (F.col("x.block").bitwiseAND(F.lit(3)) == of_class)
     return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
