@@ -18,7 +18,7 @@ from echofold.plans import bindings as B
 from echofold.plans.service import Service
 from echofold.sources import cards, launches
 from echofold.sources.store import CoinStore, shared_dir
-from echofold.streaming import feed
+from echofold.streaming import feed, throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -653,13 +653,47 @@ def stm8(spark, sf):
     return feeds.withColumn("alarm", feed.rate_alarm(F.col("launched"), F.col("running_ms")))
 
 
-@query("STM4_dedupe", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS mint FROM events")
+DEDUPE_CAP = 400  # far below the number of keys, which are users and kinds of events
+
+
+@query("STM4_dedupe", f"""WITH RECURSIVE ev AS (SELECT event_id AS pos, user_id || event_type AS mint FROM events),
+gen(found, half) AS (SELECT list({{'p': p, 'm': mint}} ORDER BY p)[1:{DEDUPE_CAP // 2 + 1}], {DEDUPE_CAP // 2} FROM (SELECT mint, min(pos) AS p FROM ev GROUP BY mint)
+  UNION ALL SELECT (SELECT list({{'p': p, 'm': mint}} ORDER BY p)[1:{DEDUPE_CAP // 2 + 1}] FROM (SELECT mint, min(pos) AS p FROM ev WHERE pos >= gen.found[gen.half + 1].p AND NOT list_contains(list_transform(gen.found[1:gen.half], lambda x: x.m), mint) GROUP BY mint)), half
+  FROM gen WHERE len(found) > half)
+SELECT x.m AS mint, x.p AS event_id FROM (SELECT unnest(found[1:half]) AS x FROM gen)""")
 def stm4(spark, sf):
-    """Fewer keys than the cap, so each is kept once."""
-    path = fresh(spark, "dedupe")
-    rows = event_stream(spark, sf).select("mint", "name", "symbol", F.lit("").alias("uri"), F.lit(None).cast("double").alias("observedAt"))
-    run = feed.bounded_dedupe(rows).writeStream.outputMode("append").format("parquet").option("path", path)
-    run.option("checkpointLocation", fresh(spark, "dedupe-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).select("mint")
+    """Events by user and kind through a memory that holds few of them, in two runs of a stream over parts of the file."""
+    path, rows = fresh(spark, "dedupe"), B.table(spark, sf, "events")
+    half = rows.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    landing = path + "/in"
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        rows.where(part).select(F.concat(F.col("user_id").cast("string"), F.col("event_type")).alias("mint"), "event_id").write.mode("append").parquet(landing)
+        feed.dedupe_into(spark.readStream.schema("mint string, event_id long").parquet(landing), path, path + "/state", "event_id", DEDUPE_CAP, trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema("mint string, event_id long").parquet(f"{path}/rows/*")
+
+
+def chain_sql(holds: str) -> str:
+    """The events that fire, one after the other, for each user."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t, {holds} AS holds FROM events),
+n AS MATERIALIZED (SELECT a.event_id, a.user_id, b.event_id AS next FROM e a ASOF LEFT JOIN e b ON a.user_id = b.user_id AND CAST(a.t + a.holds AS HUGEINT) * 10000000000 <= CAST(b.t AS HUGEINT) * 10000000000 + b.event_id),
+f(event_id) AS (SELECT arg_min(event_id, CAST(t AS HUGEINT) * 10000000000 + event_id) FROM e GROUP BY user_id UNION ALL SELECT n.next FROM f JOIN n USING (event_id) WHERE n.next IS NOT NULL)
+SELECT event_id, user_id FROM f JOIN e USING (event_id)"""
+
+
+def timed_events(spark: SparkSession, sf: str) -> DataFrame:
+    return B.table(spark, sf, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at"), "value")
+
+
+@query("STM1_coalesce", chain_sql("CAST(86400000 AS BIGINT)"))
+def stm1(spark, sf):
+    """A user's events as changes: the first begins a pass that takes in all others of a day."""
+    rows = timed_events(spark, sf)
+    return throttle.fires(rows, 86_400_000, "user_id", "at", "event_id", 30 * 86_400_000).join(rows, "event_id").select("event_id", "user_id")
 
 
+@query("STM7_single_flight", chain_sql("greatest(1, CAST(floor(value * 3600000) AS BIGINT))"))
+def stm7(spark, sf):
+    """A user's events as sweeps of as many hours as their value; those that would overlap a running one are dropped."""
+    rows = timed_events(spark, sf)
+    fired = throttle.fires(rows, F.floor(F.col("value") * 3_600_000), "user_id", "at", "event_id", 30 * 86_400_000)
+    return fired.join(rows, "event_id").select("event_id", "user_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from echofold.functions.parse import BASE58
 from echofold.model import LAUNCH, OBSERVATION
 from echofold.operators.merge import folded
-from echofold.sources.store import CoinStore
+from echofold.sources.store import CoinStore, settled
 
 #: Keys remembered, silence before an alarm, and the rate under which a long-running feed is suspect.
 SEEN_CAP, SILENCE_MS, RATE_AFTER_MS, LEAST_A_MINUTE = 20_000, 60_000, 300_000, 10
@@ -83,33 +84,60 @@ def stateful_fold(stream: DataFrame) -> DataFrame:
 
 
 class BoundedSeen:
-    """Keys in order of arrival. Past the cap the older half is forgotten; a key that comes again keeps its place."""
+    """Keys in order of arrival, at most an even number, cap. Past the cap the older half is forgotten; a key that comes again
+    keeps its place. As what is forgotten is always half a cap of admissions, keys fall into generations of that many: while one
+    fills, its keys and those of the one before are remembered, and no others.
 
-    def __init__(self, cap: int = SEEN_CAP, keys: list[str] | None = None):
-        self.cap, self.order = cap, dict.fromkeys(keys or [])
-
-    def add(self, key: str) -> bool:
-        """Whether the key is new."""
-        before = len(self.order)
-        self.order.setdefault(key)
-        if len(self.order) > self.cap:
-            self.order = dict.fromkeys(list(self.order)[self.cap // 2 :])
-            return True
-        return len(self.order) > before
-
-
-def bounded_dedupe(stream: DataFrame, cap: int = SEEN_CAP, shards: int = 1, schema: str = LAUNCH) -> DataFrame:
-    """Rows whose key is not among those remembered. The order of eviction is exact with one shard; more shards split the cap."""
-    columns = [x.split()[0] for x in schema.split(", ")]
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = BoundedSeen(cap // shards, list(state.get[0]) if state.exists else None)
-        for rows in parts:
-            yield rows[[seen.add(m) for m in rows["mint"]]][columns]
-        state.update((list(seen.order),))
+    add() takes a table of arrivals and finds a generation at a time: the first arrivals of the keys that neither generation
+    holds, in order, up to the number that fills it; the one that follows begins the next. Each step is a partial minimum a task
+    and a bounded top; what is remembered is two tables of half a cap each.
+    """
 
-    shard = F.pmod(F.xxhash64("mint"), F.lit(shards)).cast("int")
-    return stream.withColumn("_shard", shard).groupBy("_shard").applyInPandasWithState(step, schema, "keys array<string>", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, spark: SparkSession, cap: int = SEEN_CAP, key: str = "mint", held: tuple[DataFrame, DataFrame] | None = None):
+        if cap < 2 or cap % 2:
+            raise ValueError("the cap is an even number")
+        self.half, self.key = cap // 2, key
+        nothing = spark.range(0).select(F.col("id").cast("string").alias(key))
+        self.last, self.now = held or (nothing, nothing)
+
+    def add(self, rows: DataFrame, pos: str) -> DataFrame:
+        """The rows that are admitted, in order of pos, which differs for each; their keys are remembered."""
+        columns, out = rows.columns, []
+        rows, begin = settled(rows.where(F.col(self.key).isNotNull()), "arrivals"), None
+        full = self.now.count()
+        while True:
+            known = F.broadcast(self.last.union(self.now))  # cap rows at most
+            after = rows if begin is None else rows.where(F.col(pos) >= begin)
+            first = after.join(known, self.key, "left_anti").groupBy(self.key).agg(F.min_by(F.struct(*columns), pos).alias("row")).select("row.*")
+            found = settled(first.orderBy(pos).limit(self.half - full + 1), "generation")
+            count, last = found.agg(F.count("*"), F.max(pos)).first()
+            new = found if count <= self.half - full else found.where(F.col(pos) < last)
+            out.append(new)
+            self.now = self.now.union(new.select(self.key))
+            if new is found:
+                break
+            self.last, self.now, full, begin = self.now, self.now.limit(0), 0, last
+        self.last, self.now = (settled(x, "seen") for x in (self.last, self.now))
+        return reduce(DataFrame.union, out)
+
+
+def dedupe_into(stream: DataFrame, path: str, checkpoint: str, pos: str, cap: int = SEEN_CAP, key: str = "mint", trigger: dict | None = None):
+    """Writes the stream's rows whose key is not among those remembered to path/rows, each micro-batch to a folder of its own
+    with what is remembered after it, so that a batch that is run again replaces what it wrote. pos: a column by which a
+    micro-batch's rows are ordered."""
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        held = None
+        if epoch:
+            before = spark.read.schema(f"{key} string, now boolean").parquet(f"{path}/seen/epoch={epoch - 1}")
+            held = (before.where("NOT now").select(key), before.where("now").select(key))
+        seen = BoundedSeen(spark, cap, key, held)
+        seen.add(batch, pos).write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        told = seen.last.withColumn("now", F.lit(False)).union(seen.now.withColumn("now", F.lit(True)))
+        told.write.mode("overwrite").parquet(f"{path}/seen/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
 
 
 def backoff_ms(attempt: int, waits: list[int] = WAITS_MS, draw=random.random) -> int:
