@@ -263,7 +263,7 @@ def train(sources: list[str], steps: int = STEPS, rate: float = 0.15, decay: flo
     for step in range(1, steps + 1):
         unary = np.bincount(f["row"], weights=w[f["col"]], minlength=f["n"])
         belief, pair, _ = sum_product(f, unary, edge)
-        p = 1 / (1 + np.exp(belief[:, 0] - belief[:, 1]))
+        p = 0.5 + 0.5 * np.tanh((belief[:, 1] - belief[:, 0]) / 2)
         both = np.exp(pair[child] - pair[child].max(axis=(1, 2), keepdims=True))
         both /= both.sum(axis=(1, 2), keepdims=True)
         want_e = np.zeros((3, 2, 2))
@@ -285,7 +285,7 @@ def marginals(pages: list[Page], model: tuple[dict[str, int], np.ndarray, np.nda
     index, w, edge = model
     f = forest_of([(*features(p), p.parent) for p in pages], index)
     belief, _, _ = sum_product(f, np.bincount(f["row"], weights=w[f["col"]], minlength=f["n"]) if f["n"] else np.zeros(0), edge)
-    p = 1 / (1 + np.exp(belief[:, 0] - belief[:, 1]))
+    p = 0.5 + 0.5 * np.tanh((belief[:, 1] - belief[:, 0]) / 2)
     return np.split(p, np.cumsum([len(x.tag) for x in pages])[:-1])
 
 

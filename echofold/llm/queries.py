@@ -67,8 +67,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pages = scratch(spark, "warc"), table(spark, sf_dir, "pages")
     warc.write(warc.captures(pages), path, pages.agg(F.max(F.octet_length("html"))).first()[0] or 0)
-    rows = warc.transactions(warc.read(spark, path, payloads=False))
-    size = F.coalesce("response.payload_bytes", "metadata.payload_bytes")  # of a response as read back, of a revisit as noted
+    rows = warc.transactions(warc.read(spark, path))
+    size = F.coalesce(F.octet_length("response.payload").cast("long"), F.col("metadata.payload_bytes"))  # of a response as assembled, of a revisit as noted
     return rows.select(
         F.col("metadata.key").cast("long").alias("page_id"), size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"), F.col("response.refers_to").cast("long").alias("refers_to"),

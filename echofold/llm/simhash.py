@@ -363,9 +363,10 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
         return docs
     if n <= BROADCAST_ROWS:
         return docs.join(F.broadcast(ids), key, "left_anti").select(*docs.columns)
-    marked = docs.withColumn("_likely", bloom(ids, key, n)(F.col(key)))
-    likely = marked.where("_likely").select(*docs.columns).join(ids, key, "left_anti").select(*docs.columns)
-    return marked.where("NOT _likely").select(*docs.columns).unionByName(likely)
+    free = "_likely" + "_" * max(map(len, docs.columns))  # a name that docs don't have
+    marked = docs.withColumn(free, bloom(ids, key, n)(F.col(key)))
+    likely = marked.where(F.col(free)).select(*docs.columns).join(ids, key, "left_anti").select(*docs.columns)
+    return marked.where(~F.col(free)).select(*docs.columns).unionByName(likely)
 
 
 def within(docs: DataFrame, ids: DataFrame, key: str, of: str) -> DataFrame:

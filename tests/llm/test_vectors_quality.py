@@ -247,6 +247,8 @@ def test_quality_odd(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_base(text)
         assert r.kept == (not r.base_failed and plain_verdict(text))
     kept = {r.doc_id for r in found if r.kept}
+    tabled = " ".join(f"{w} price per unit of item number {k}" for k, w in enumerate(prose(9, 3000).split()))  # lists of one phrase
+    assert not quality.judged(tabled.encode(), zstandard.ZstdCompressor(level=3))[2]
     assert {5, 6, 7, 12, None} <= kept and not kept & {0, 1, 2, 3, 4, 8, 9, 10, 11}
     assert not next(r for r in found if r.doc_id == 9).base_failed and not next(r for r in found if r.doc_id == 8).base_failed
     good = quality.keep_good(frame)
