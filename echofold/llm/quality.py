@@ -33,28 +33,6 @@ CHUNK, LEAST_CHUNK, BAD_SHARE = 4096, 256, 0.25
 #: language, has 0.6 to 0.7 under a kilobyte and falls to 0.35 to 0.45 in long texts; lists and tables of repeated phrases have
 #: 0.1 to 0.25, base64 0.76 and over.
 LIMITS = [(256, 0.36, 1.10), (512, 0.33, 0.92), (1024, 0.30, 0.84), (2048, 0.28, 0.78), (8192, 0.25, 0.73), (65536, 0.22, 0.71), (np.inf, 0.15, 0.70)]
-SLICE_BYTES.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
-
-from echofold.llm.batches import lean, slices, sums, utf8_view
-
-LEAST_WORDS, WINDOW, MOST_REPEATED = 50, 3, 0.5
-SYMBOLS = b"#*$%&|<>"
-LEVEL = 3
-CHUNK, LEAST_CHUNK, BAD_SHARE = 4096, 256, 0.25
-#: Bytes below which a row holds, and the least and the largest ratio there. Prose of any language with letters of one to
-#: three bytes is inside: 0.3 to 0.65 by length; base64 is at 0.76 and over.
-LIMITS = [(256, 0.30, 1.10), (512, 0.25, 0.92), (1024, 0.22, 0.84), (2048, 0.20, 0.78), (8192, 0.18, 0.73), (65536, 0.15, 0.71), (np.inf, 0.10, 0.70)]
 SLICE_BYTES = 1 << 20
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_share double"
 
