@@ -305,13 +305,21 @@ SELECT k AS page_id, m AS mint, CASE WHEN k % 6 <> 0 THEN m END AS attr_mint, CA
 CASE WHEN k % 2 = 0 THEN (k % 60) * 60.0 WHEN k % 3 <> 0 THEN CAST(k % 60 AS DOUBLE) END AS ageSeconds, CASE k % 4 WHEN 0 THEN 'new-pairs' WHEN 1 THEN 'final-stretch' WHEN 2 THEN 'migrated' ELSE 'other' END AS source FROM c"""
 
 
-@query("PRJ6_cards_all", CARDS)
 @query("PRJ6_cards", CARDS)
 def prj6_tok_src1(spark, sf):
     """All card pages, as raw rows and observations."""
     return card_rows(B.card_pages(spark, sf))
 
 
+@query("PRJ6_cards_all", f"SELECT * REPLACE (page_id // 20 AS page_id) FROM ({CARDS})")
+def prj6_pages(spark, sf):
+    """The same cards on pages of twenty, one after the other."""
+    page = F.floor(F.col("page_id") / 20)
+    cards_of = F.array_sort(F.collect_list(F.struct("page_id", "html")))  # twenty at most
+    pages = B.card_pages(spark, sf).groupBy(page.alias("page")).agg(F.array_join(F.transform(cards_of, lambda x: x["html"]), "").alias("html"))
+    return card_rows(pages.withColumnRenamed("page", "page_id"))
+
+
 def card_rows(pages: DataFrame) -> DataFrame:
     found = cards.cards(pages).withColumn("seenAt", F.col("pos"))
     return observe.judged(found).select("page_id", "mint", F.col("attrMint").alias("attr_mint"), "name", "symbol", "imageUrl", "marketCapUsd", "volumeUsd", "ageSeconds", "source")

@@ -8,7 +8,7 @@ plausible wrong numbers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,6 +28,7 @@ NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 DURATION, LONE_NUMBER, LONE_UNIT = rf"^(?i){NUMBER}\s*[smhdw]$", f"^{NUMBER}$", "^(?i)[smhdw]$"
 SHORTENED = r"^.{2,}(?:\.{3}|…).{2,}$"
 PIECES, HEADING_TOKENS = 4, 6
+DEEPEST = 512
 CARD = f"{RAW_ROW}, source string, attrMint string, tokens array<string>"
 LISTED = "array<struct<attribute: string, images: array<struct<src: string, alt: string>>, links: array<string>, tokens: array<struct<text: string, sub: boolean>>, heading: string>>"
 
@@ -43,72 +44,84 @@ class Markup:
 
 
 @dataclass
-class Open:
-    """An element that is open: the card or column that it begins, if any, and whether a subscript is in it."""
+class Node:
+    """An element as ranges: how many tokens, images, links and subscripts stood before it began, and before it ended."""
 
     tag: str
-    card: dict | None = None
-    heading: list[str] | None = None
-    holds_sub: bool = False
-    tokens: list[dict] = field(default_factory=list)  # of its own text nodes
+    column: int | None  # the nearest column that it is in or is
+    begin: tuple[int, int, int, int]
+    end: tuple[int, int, int, int] | None = None
+    key: str | None = None
 
 
 class Listing(HTMLParser):
-    """The cards of a page in document order, each as a dict of LISTED."""
+    """A page's elements and tokens in one pass. Elements over DEEPEST deep are siblings, as in browsers."""
 
     def __init__(self, source: str, markup: Markup):
         super().__init__(convert_charrefs=True)
-        self.markup, self.cards, self.open = markup, [], [Open("")]
+        self.markup, self.subs, self.within_sub = markup, 0, 0
+        self.texts: list[tuple[str, int, bool]] = []  # text, its element, whether that is within a subscript
+        self.images: list[dict] = []
+        self.links: list[str] = []
+        self.nodes, self.open = [Node("", None, (0, 0, 0, 0))], [0]
         self.feed(source)
         self.close()
-        for card in self.cards:
-            card["heading"] = " ".join(card["heading"] or [])
+        while self.open:
+            self._end()
 
-    def _inside(self) -> list[dict]:
-        return [x.card for x in self.open if x.card is not None]
+    def _now(self) -> tuple[int, int, int, int]:
+        return len(self.texts), len(self.images), len(self.links), self.subs
+
+    def _end(self) -> None:
+        node = self.nodes[self.open.pop()]
+        node.end = self._now()
+        self.within_sub -= node.tag == "sub"
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # what HTML has for "<![", which the parser would refuse
 
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
-        if tag == "sub":
-            for x in (x for x in self.open if not x.holds_sub):
-                x.holds_sub = True
-                for token in x.tokens:
-                    token["sub"] = True
-        for card in self._inside():
-            if tag == "img" and "src" in values:
-                card["images"].append({"src": values["src"], "alt": values.get("alt")})
-            if tag == "a" and "href" in values:
-                card["links"].append(values["href"])
-        own = Open(tag, heading=[] if tag == self.markup.column else None)
-        if self.markup.attribute in values:
-            column = next((x.heading for x in [own, *reversed(self.open)] if x.heading is not None), None)
-            own.card = {"attribute": values[self.markup.attribute], "images": [], "links": [], "tokens": [], "heading": column}
-            self.cards.append(own.card)
-        if tag not in VOID:
+        if tag == "img" and "src" in values:
+            self.images.append({"src": values["src"], "alt": values.get("alt")})
+        if tag == "a" and "href" in values:
+            self.links.append(values["href"])
+        self.subs += tag == "sub"
+        if len(self.open) > DEEPEST and tag not in VOID:
+            self._end()
+        own = len(self.nodes)
+        self.nodes.append(Node(tag, own if tag == self.markup.column else self.nodes[self.open[-1]].column, self._now(), key=values.get(self.markup.attribute)))
+        if tag in VOID:
+            self.nodes[own].end = self._now()
+        else:
             self.open.append(own)
+            self.within_sub += tag == "sub"
 
     def handle_endtag(self, tag):
-        depth = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag), None)
-        if depth is not None:
-            del self.open[depth:]
+        if any(self.nodes[k].tag == tag for k in self.open[1:]):
+            while self.nodes[self.open[-1]].tag != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
         if text := " ".join(data.split()):
-            here = self.open[-1]
-            token = {"text": text, "sub": here.holds_sub or any(x.tag == "sub" for x in self.open)}
-            here.tokens.append(token)
-            for x in self.open:
-                if x.heading is not None and len(x.heading) < HEADING_TOKENS:
-                    x.heading.append(text)
-                if x.card is not None:
-                    x.card["tokens"].append(token)
+            self.texts.append((text, self.open[-1], self.within_sub > 0))
+
+    def cards(self) -> list[dict]:
+        """The cards in document order, each as LISTED has it; a token touches a subscript if its element holds one, too."""
+        holds = [node.end[3] > node.begin[3] for node in self.nodes]
+        tokens = [{"text": text, "sub": sub or holds[own]} for text, own, sub in self.texts]
+        out = []
+        for node in (x for x in self.nodes if x.key is not None):
+            column = self.nodes[node.column] if node.column is not None else None
+            (t, i, k, _), (t_end, i_end, k_end, _) = node.begin, node.end
+            heading = [x["text"] for x in tokens[column.begin[0] : min(column.end[0], column.begin[0] + HEADING_TOKENS)]] if column else []
+            out.append({"attribute": node.key, "images": self.images[i:i_end], "links": self.links[k:k_end], "tokens": tokens[t:t_end], "heading": " ".join(heading)})
+        return out
 
 
 def listed(source: str | None, markup: Markup) -> list[dict]:
-    try:
-        return Listing(source or "", markup).cards
-    except Exception:  # a page that can't be read has no cards
-        return []
+    return Listing(source or "", markup).cards()
 
 
 def _text(tokens: Column, k: Column) -> Column:

@@ -256,12 +256,33 @@ def test_all_card_pages_are_read(spark):
 
     sf = "/root/testdata/sf0.001"
     every = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
-    for name in ("PRJ6_cards", "PRJ6_cards_all"):
-        got = {r.page_id: r for r in QUERIES[name](spark, sf).collect()}
-        assert set(got) == every
-        rest = {k for k in every if k % 3 == 0 and k % 2}
-        assert rest and all((got[k].name, got[k].ageSeconds, got[k].symbol) == (str(k % 60), None, f"T{k % 100}") for k in rest)
-        assert all(got[k].name is None and got[k].ageSeconds == (k % 60) * 60 for k in every if k % 6 == 0)
+    alone = {r.page_id: r for r in QUERIES["PRJ6_cards"](spark, sf).collect()}
+    key = lambda r, page: (page, *[str(x) for x in tuple(r)[1:]])
+    assert sorted(key(r, r.page_id) for r in QUERIES["PRJ6_cards_all"](spark, sf).collect()) == sorted(key(r, k // 20) for k, r in alone.items())
+    assert set(alone) == every
+    rest = {k for k in every if k % 3 == 0 and k % 2}
+    assert rest and all((alone[k].name, alone[k].ageSeconds, alone[k].symbol) == (str(k % 60), None, f"T{k % 100}") for k in rest)
+    assert all(alone[k].name is None and alone[k].ageSeconds == (k % 60) * 60 for k in every if k % 6 == 0)
+
+
+def test_card_reader_takes_time_with_the_page(spark):
+    """Open tags, nested cards and unmatched ends by the hundred thousand; ranges as a walk over open elements would have them."""
+    import time
+
+    began = time.perf_counter()
+    assert cards.listed("<div>x" * 180_000, cards.Markup()) == []
+    nested = cards.listed(f"<div data-pulse-token-address='{MINT}'>x" * 8000, cards.Markup())
+    assert len(nested) == 8000 and len(nested[-1]["tokens"]) == 1 and len(nested[0]["tokens"]) > 512
+    assert cards.listed("<b>x</i>" * 100_000 + CARD, cards.Markup()) is not None
+    assert time.perf_counter() - began < 30
+    page = f"""<p>a<section>Final<div data-pulse-token-address=k>one<b>two<sub>3</sub>four</b><i>five</i><img src=s data-pulse-token-address=v><a href=h>six</a>
+      <span data-pulse-token-address=n>seven<sub>8</sub></span></div>nine</section>ten<![odd thing]>eleven</section></div>"""
+    found = {x["attribute"]: x for x in cards.listed(page, cards.Markup())}
+    tokens = lambda key: [(t["text"], t["sub"]) for t in found[key]["tokens"]]
+    assert tokens("k") == [("one", True), ("two", True), ("3", True), ("four", True), ("five", False), ("six", False), ("seven", True), ("8", True)]
+    assert (tokens("v"), tokens("n")) == ([], [("seven", True), ("8", True)])
+    assert all(x["heading"] == "Final one two 3 four five" for x in found.values())
+    assert found["k"]["images"] == [{"src": "s", "alt": None}] and found["v"]["images"] == [] and (found["k"]["links"], found["n"]["links"]) == (["h"], [])
 
 
 def test_scrubber(spark):
