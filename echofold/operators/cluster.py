@@ -36,6 +36,7 @@ CLASSES = [(0, 0), (1, PREFIX - 1), (PREFIX, PREFIX)]
 TIMES, OTHERS, WORDS = 3, 20, 2
 BAND_GROWTH = 1.25
 SCORE_AT_ONCE = 1 << 22
+BROADCAST_KEYS, BROADCAST_CHARS = 1_000_000, 32_000_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -189,9 +190,19 @@ def near_keys(numbered: DataFrame, bar: float) -> DataFrame:
 
 
 def key_links(numbered: DataFrame, bar: float) -> DataFrame:
-    """Links a, b of numbered keys (id, key; distinct) that span the components of those that score bar or more."""
-    near = near_keys(numbered, bar).distinct()
-    named = lambda end: numbered.select(F.col("id").alias(end), F.col("key").alias(f"key_{end}"))
+    """Links a, b of numbered keys (id, key; distinct) that span the components of those that score bar or more.
+
+    Up to BROADCAST_KEYS keys of BROADCAST_CHARS characters go to the executors, so that pairs are scored where the index finds
+    them, some of them twice; more keys are shuffled to the pairs, each of which is then scored once.
+    """
+    count, chars = numbered.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
+    few = count <= BROADCAST_KEYS and chars <= BROADCAST_CHARS
+    near = near_keys(numbered, bar)
+    near = near if few else near.distinct()
+
+    def named(end: str) -> DataFrame:
+        keys = numbered.select(F.col("id").alias(end), F.col("key").alias(f"key_{end}"))
+        return F.broadcast(keys) if few else keys
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
