@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from echofold.functions import png
 from echofold.functions.images import hash_coefficients
 from echofold.functions.text import with_norms
 from echofold.operators.merge import did_run
@@ -28,6 +32,21 @@ def address(number: Column) -> Column:
     return F.concat(F.lit("M"), F.translate(F.lpad(number.cast("string"), 35, "1"), "0", "z"))
 
 
+def png_file(pixels: Column, number: Column, side: int = 32) -> Column:
+    """side x side RGBA bytes as a PNG file; a number tells the filters of its rows, and whether it is twice the size."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(values: pd.Series, numbers: pd.Series) -> pd.Series:
+        def file(value: bytes, number: int) -> bytes:
+            picture = np.frombuffer(value, np.uint8).reshape(side, side, 4)
+            picture = picture.repeat(2, axis=0).repeat(2, axis=1) if number % 2 else picture
+            return png.encode(picture, png.RGBA, (np.arange(len(picture)) + number) % 5)
+
+        return pd.Series([file(v, n) for v, n in zip(values, numbers, strict=True)])
+
+    return run(pixels, number)
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, phash: the first 64 coefficients of each embedding as a hash."""
     return table(spark, sf_dir, "embeddings").select("vec_id", hash_coefficients(F.slice("embedding", 1, 64)).alias("phash"))

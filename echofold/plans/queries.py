@@ -12,12 +12,12 @@ from echofold.functions import images, parse, present
 from echofold.functions.similarity import narrative_match, pair_scores
 from echofold.functions.text import clean_text, label_key, normalize, phash_bands, trigrams
 from echofold.model import THRESHOLDS, TRACKED, Narrative, Thresholds
-from echofold.operators import cluster, lookup, maintain, merge, observe
+from echofold.operators import cluster, lookup, maintain, merge, neighbours, observe
 from echofold.operators.candidates import candidates
 from echofold.plans import bindings as B
 from echofold.plans.service import Service
-from echofold.sources import cards, launches
-from echofold.sources.store import CoinStore, shared_dir
+from echofold.sources import cards, launches, pictures
+from echofold.sources.store import CoinStore, settled, shared_dir
 from echofold.streaming import feed, throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,18 @@ def jn2_mth4(spark, sf):
     return found.join(coins.select("mint", "phash"), "mint").join(own, "subject").select("subject", "mint", images.hamming(F.col("_p"), F.col("phash")).alias("distance"))
 
 
+@query("JN2_within_ten", f"""WITH {HASH} SELECT x.vec_id, count(y.vec_id) AS others, CAST(min(d) AS INT) AS nearest FROM hash x LEFT JOIN
+  (SELECT a.vec_id AS vec_x, b.vec_id, list_sum(list_transform(range(1, 65), lambda i: abs(a.bits[i] - b.bits[i]))) AS d FROM hash a JOIN hash b ON a.vec_id <> b.vec_id) y ON y.vec_x = x.vec_id AND d <= {THRESHOLDS.max_hamming} GROUP BY x.vec_id""")
+def jn2_exact(spark, sf):
+    """How many other records' hashes are within the image bar, and how near the nearest; no pair is out of its bands' reach."""
+    rows = B.hashes(spark, sf)
+    known, pairs = neighbours.near_hashes(rows)
+    pairs = settled(pairs, "near-hashes")
+    both = pairs.union(pairs.select("b", "a", "distance")).join(known.select(F.col("hash").alias("b"), "n"), "b").groupBy(F.col("a").alias("hash")).agg(F.sum("n").alias("far"), F.min("distance").alias("least"))
+    per = known.join(both, "hash", "left").select("hash", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("others"), F.when(F.col("n") > 1, 0).otherwise(F.col("least")).alias("nearest"))
+    return rows.join(per, rows.phash == per.hash).select("vec_id", "others", "nearest")
+
+
 @query("AGG9_variance", "SELECT vec_id, round(list_var_pop(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 9) AS variance, list_sort(embedding[2:64])[32] AS middle FROM embeddings")
 def agg9_agg10(spark, sf):
     rest = F.array_sort(F.slice("embedding", 2, 63))
@@ -152,6 +164,20 @@ def mth2(spark, sf):
     return cut.select("doc_id", "picture", images.hash_pixels(F.col("part")).alias("r")).select("doc_id", "picture", "r.hash", "r.failure", F.round("r.variance", 6).alias("variance"))
 
 
+@query("SRC9_pictures", f"""SELECT doc_id || '-' || picture AS mint, CASE WHEN (doc_id + picture) % 10 <> 9 THEN hash END AS phash, CASE WHEN (doc_id + picture) % 10 = 9 THEN 'unavailable' ELSE coalesce(failure, 'ok') END AS state FROM ({PIXELS}) WHERE failure IS DISTINCT FROM 'unavailable'""")
+def src9(spark, sf):
+    """The same pictures as PNG files, of all five row filters, half of them at twice the size; every tenth is cut off."""
+    size = SIDE * SIDE * 4
+    rows = B.spread(B.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("bytes")))
+    last = F.floor((F.greatest(F.length("bytes"), F.lit(1)) - 1) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.rpad(F.substring("bytes", k * size + 1, F.lit(size)), size, F.lit(b"x")))
+    cut = rows.select("doc_id", F.posexplode(parts).alias("picture", "part"))
+    number = F.col("doc_id") + F.col("picture")
+    files = cut.select(F.concat("doc_id", F.lit("-"), "picture").alias("mint"), number.alias("number"), B.png_file(F.col("part"), number).alias("content"))
+    whole = F.expr("CASE WHEN number % 10 = 9 THEN substring(content, 1, octet_length(content) - 13) ELSE content END")
+    return pictures.verdicts_of(files.select("mint", whole.alias("content")))
+
+
 # --- parsers and observations --------------------------------------------------------------------------------------
 
 RAW = f"""raw AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS p, {address_sql('o_custkey')} AS m, * FROM orders)"""
@@ -705,3 +731,13 @@ def stm7(spark, sf):
     rows = timed_events(spark, sf)
     fired = throttle.fires(rows, F.floor(F.col("value") * 3_600_000), "user_id", "at", "event_id", 30 * 86_400_000)
     return fired.join(rows, "event_id").select("event_id", "user_id")
+
+
+@query("STM5_silences", f"""WITH e AS (SELECT user_id, event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t FROM events), g AS (SELECT *, lag(t) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT *, sum(CASE WHEN t - before >= {feed.SILENCE_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS attempt FROM g),
+i AS (SELECT user_id, attempt, count(*) AS heard FROM s GROUP BY user_id, attempt)
+SELECT s.user_id, CAST(s.attempt AS BIGINT) AS attempt, before AS last_heard, t AS heard_again, t - before AS silent_ms, heard, CAST(500 AS BIGINT) AS wait_least, CAST(least(30000, 500 * 2 ** least(s.attempt, 16)) AS BIGINT) AS wait_most
+FROM s JOIN i ON i.user_id = s.user_id AND i.attempt = s.attempt - 1 WHERE t - before >= {feed.SILENCE_MS}""")
+def stm5_mth9(spark, sf):
+    """Users as feeds: their silences, each with its attempt to reconnect and the bounds of the wait before it."""
+    return feed.silences(timed_events(spark, sf), "user_id", "at", "event_id")

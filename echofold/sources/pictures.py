@@ -1,18 +1,47 @@
-"""Picture files as hash verdicts: raw RGBA planes from a folder, as large ones and unreadable ones are told apart from flat ones."""
+"""Pictures as hash verdicts: PNG files or raw RGBA planes; those too large or unreadable are told apart from flat ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from echofold.functions import png
 from echofold.functions.images import hash_pixels
 from echofold.model import THRESHOLDS, Thresholds
 
 
+def sampled(content: Column, thresholds: Thresholds = THRESHOLDS) -> Column:
+    """The sample_size x sample_size RGBA bytes of a PNG file; other bytes as they are; null for a PNG that can't be read."""
+    size = thresholds.sample_size
+
+    def pixels(value: bytes | None) -> bytes | None:
+        if value is None or not value.startswith(png.SIGNATURE):
+            return value
+        try:
+            return png.shrunk(png.decode(value), size).tobytes()
+        except png.BadPicture:
+            return None
+
+    @F.pandas_udf(T.BinaryType())
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(pixels, na_action="ignore")
+
+    return run(content)
+
+
+def verdicts_of(rows: DataFrame, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
+    """mint, phash, state (ok, degenerate, unavailable) of rows mint, content. Contents over max_image_bytes are not read."""
+    content = F.when(F.octet_length("content") <= thresholds.max_image_bytes, F.col("content"))
+    found = rows.select("mint", hash_pixels(sampled(content, thresholds), thresholds).alias("r"))
+    return found.select("mint", F.col("r.hash").alias("phash"), F.coalesce("r.failure", F.lit("ok")).alias("state"))
+
+
 def verdicts(spark: SparkSession, path: str, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
-    """mint (the file's stem), phash, state (ok, degenerate, unavailable). Files over max_image_bytes are never loaded."""
+    """verdicts_of() the files below a path, named by their stems. Files over max_image_bytes are never loaded."""
     rows = spark.read.format("binaryFile").load(path)
     small = rows.where(F.col("length") <= thresholds.max_image_bytes).select("path", "content")
     large = rows.where(F.col("length") > thresholds.max_image_bytes).select("path", F.lit(None).cast("binary").alias("content"))
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return small.union(large).select(stem.alias("mint"), hash_pixels(F.col("content"), thresholds).alias("r")).select("mint", F.col("r.hash").alias("phash"), F.coalesce("r.failure", F.lit("ok")).alias("state"))
+    return verdicts_of(small.union(large).select(stem.alias("mint"), "content"), thresholds)

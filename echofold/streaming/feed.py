@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -145,6 +145,31 @@ def backoff_ms(attempt: int, waits: list[int] = WAITS_MS, draw=random.random) ->
     return int(np.interp(draw(), [0, 1], [waits[0], waits[min(attempt, len(waits) - 1)]]))
 
 
+def silences(rows: DataFrame, feed: str, at: str, id: str, silence_ms: int = SILENCE_MS, bucket_ms: int = 86_400_000) -> DataFrame:
+    """A row for each stretch of a feed without anything for silence_ms or more: feed, attempt (from 1, never reset),
+    last_heard, heard_again, silent_ms, heard (rows since the silence before), wait_least and wait_most of backoff_ms().
+
+    Rows of a feed fall into islands between silences; an island is numbered by the silences before it. Windows run over a feed's
+    buckets of bucket_ms, and over a row a bucket, so a feed with many rows is many tasks.
+    """
+    own = rows.select(feed, at, id, F.floor(F.col(at) / bucket_ms).alias("bucket"))
+    key, by = [feed, "bucket"], Window.partitionBy(feed).orderBy("bucket")
+    order = Window.partitionBy(*key).orderBy(at, id)
+    ends = own.groupBy(*key).agg(F.max(at).alias("last")).withColumn("ended", F.lag("last").over(by)).drop("last")
+    told = own.withColumn("here", F.lag(at).over(order)).join(ends, key).withColumn("before", F.coalesce("here", "ended"))
+    told = told.withColumn("breaks", F.coalesce(F.col(at) - F.col("before") >= silence_ms, F.lit(False)).cast("long"))
+    earlier = told.groupBy(*key).agg(F.sum("breaks").alias("breaks")).select(*key, F.coalesce(F.sum("breaks").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("broken"))
+    told = told.withColumn("sofar", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(earlier, key).withColumn("attempt", F.col("broken") + F.col("sofar"))
+    islands = told.groupBy(feed, "attempt").agg(F.count("*").alias("heard"), F.min_by(F.struct(at, "before"), F.struct(at, id)).alias("first"))
+    before = Window.partitionBy(feed).orderBy("attempt")
+    islands = islands.withColumn("heard", F.lag("heard").over(before)).where("attempt > 0")
+    most = F.least(F.lit(WAITS_MS[-1]), F.lit(WAITS_MS[0]) * F.pow(F.lit(2), F.least("attempt", F.lit(len(WAITS_MS))))).cast("long")
+    return islands.select(
+        feed, "attempt", F.col("first.before").alias("last_heard"), F.col(f"first.{at}").alias("heard_again"), (F.col(f"first.{at}") - F.col("first.before")).alias("silent_ms"), "heard",
+        F.lit(WAITS_MS[0]).cast("long").alias("wait_least"), most.alias("wait_most"),
+    )
+
+
 def rate_alarm(launched: int | Column, running_ms: int | Column) -> bool | Column:
     """A feed that has run for over five minutes with under ten launches a minute; numbers or columns."""
     return (running_ms > RATE_AFTER_MS) & (launched * 60_000 < running_ms * LEAST_A_MINUTE)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from echofold.functions.text import with_norms
 from echofold.model import COIN, OBSERVATION, RAW_ROW, THRESHOLDS
-from echofold.operators import cluster, lookup, maintain, merge, observe
+from echofold.functions import png
+from echofold.operators import cluster, lookup, maintain, merge, neighbours, observe
 from echofold.operators.candidates import candidates
 from echofold.plans.service import Service
 from echofold.sources import cards, launches, pictures
@@ -494,6 +495,93 @@ def test_pictures(spark, tmp_path):
     assert got == {"circle": ("97686887659e9699", "ok"), "flat": (None, "degenerate"), "cut": (None, "unavailable"), "huge": (None, "unavailable")}
 
 
+def interlaced(samples, color, depth_bits=8):
+    """A PNG of bytes in seven passes, without filters."""
+    import struct
+    import zlib
+
+    h, w, _ = samples.shape
+    raw = b"".join(b"\0" + row.tobytes() for x, y, dx, dy in png.PASSES if x < w and y < h for row in samples[y::dy, x::dx])
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", w, h, depth_bits, color, 0, 0, 1)), (b"IDAT", zlib.compress(raw)), (b"IEND", b"")]
+    return png.SIGNATURE + b"".join(struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x)) for kind, x in parts)
+
+
+def test_png_pixels():
+    """All row filters, color types and odd sizes; palettes, transparency, bits, passes; what is broken says so."""
+    rng = np.random.default_rng(1)
+    for color, n in png.SAMPLES.items():
+        for h, w in ((1, 1), (7, 5), (20, 33)):
+            samples = rng.integers(0, 256, (h, w, n)).astype(np.uint8)
+            palette = rng.integers(0, 256, 768).astype(np.uint8).tobytes()
+            data = png.encode(samples, color, rng.integers(0, 5, h), palette if color == png.PALETTE else None)
+            got = png.decode(data)
+            if color == png.PALETTE:
+                want = np.dstack([np.frombuffer(palette, np.uint8).reshape(-1, 3)[samples[..., 0]], np.full((h, w), 255)])
+            else:
+                want = np.dstack([samples[..., [0, 0, 0]] if n < 3 else samples[..., :3], samples[..., -1] if n in (2, 4) else np.full((h, w), 255)])
+            assert (got == want).all()
+    samples = rng.integers(0, 256, (13, 11, 3)).astype(np.uint8)
+    assert (png.decode(interlaced(samples, png.RGB))[..., :3] == samples).all()
+    good = png.encode(samples, png.RGB, np.full(13, png.PAETH))
+    bad = [b"", good[:40], good[:-13], good[:60] + b"!" + good[61:], png.SIGNATURE + b"x" * 99, png.encode(samples[..., :1], png.PALETTE, np.zeros(13, int), b"abc"), png.encode(samples, png.RGB, np.full(13, 9))]
+    for data in bad:
+        with pytest.raises(png.BadPicture):
+            png.decode(data)
+    flat = np.zeros((64, 96, 4), np.uint8)
+    flat[:, 48:] = (200, 100, 50, 255)
+    small = png.shrunk(flat, 32)
+    assert (small[:, :16] == 0).all() and (small[:, 16:] == (200, 100, 50, 255)).all()
+    assert (png.shrunk(np.full((5, 3, 4), 77, np.uint8), 32) == 77).all()
+    ramp = np.dstack([np.tile(np.arange(96, dtype=np.uint8), (96, 1))] * 3 + [np.full((96, 96), 255, np.uint8)])
+    assert (png.shrunk(ramp, 32)[0, :, 0] == np.arange(32) * 3 + 1).all()  # means of threes
+
+
+def test_png_verdicts(spark):
+    """The published picture's hash from a PNG at several sizes and types; broken, oversized and palette files told apart."""
+    y, x = np.mgrid[0:128, 0:128] // 4
+    plane = np.where(np.hypot(x - 16, y - 16) < 32 / 3, 230, 25).astype(np.uint8)
+    kinds = np.arange(128) % 5
+    two = bytes([25] * 3 + [230] * 3)
+    files = {"gray": png.encode(plane[..., None], png.GRAY, kinds), "rgba": png.encode(np.dstack([plane] * 3 + [np.full_like(plane, 255)]), png.RGBA, kinds), "palette": png.encode((plane[..., None] > 100).astype(np.uint8), png.PALETTE, kinds, two)}
+    files |= {"broken": files["gray"][:-20], "huge": files["gray"] + bytes(THRESHOLDS.max_image_bytes), "flat": png.encode(np.zeros((9, 9, 1), np.uint8), png.GRAY, np.zeros(9, int)), "none": None}
+    frame = spark.createDataFrame([(m, None if c is None else bytearray(c)) for m, c in files.items()], "mint string, content binary")
+    got = {r.mint: (r.phash, r.state) for r in pictures.verdicts_of(frame).collect()}
+    assert got == {"gray": ("97686887659e9699", "ok"), "rgba": ("97686887659e9699", "ok"), "palette": ("97686887659e9699", "ok"), "broken": (None, "unavailable"), "huge": (None, "unavailable"), "flat": (None, "degenerate"), "none": (None, "unavailable")}
+
+
+def test_hashes_within_ten_bits(spark):
+    """Against all pairs: neighbours at every distance about the bar, copies, nulls and other strings."""
+    draw = random.Random(13)
+    hashes = [draw.getrandbits(64) for _ in range(40)]
+    for h in hashes[:40]:
+        for n in (1, 4, 9, 10, 11, 12):
+            hashes.append(h ^ sum(1 << k for k in draw.sample(range(64), n)))
+    texts = [f"{h:016x}" for h in hashes] + [f"{h:016X}" for h in hashes[:5]] + [None, "", "xyz"]
+    known, pairs = neighbours.near_hashes(spark.createDataFrame([(t,) for t in texts], "phash string"))
+    distinct = sorted(set(hashes))
+    want = {(f"{a:016x}", f"{b:016x}", (a ^ b).bit_count()) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 10}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {d for *_, d in want} >= {1, 4, 9, 10}
+    assert {r.hash: r.n for r in known.collect()} == {f"{h:016x}": hashes.count(h) + (h in hashes[:5]) for h in hashes}
+
+
+def test_silences(spark):
+    draw = random.Random(14)
+    rows = [(i, draw.choice("abc") if i % 40 else f"only{i}", draw.randrange(3_000_000)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, feed string, t long")
+    want = []
+    for feed_name in {r[1] for r in rows}:
+        own, attempt, heard = sorted((t, i) for i, f, t in rows if f == feed_name), 0, 1
+        for (a, _), (b, _) in zip(own, own[1:], strict=False):
+            if b - a >= 60_000:
+                attempt += 1
+                want.append((feed_name, attempt, a, b, b - a, heard, 500, min(30_000, 500 * 2 ** min(attempt, 16))))
+                heard = 0
+            heard += 1
+    for bucket in (50_000, 86_400_000):
+        assert sorted(tuple(r) for r in feed.silences(frame, "feed", "t", "id", bucket_ms=bucket).collect()) == sorted(want) and len(want) > 20
+
+
 def test_stream_folds_agree(spark, tmp_path):
     rows = sightings(spark, [{"mint": f"m{k % 3}", "name": "n" if k % 2 else None, "marketCapUsd": float(k), "seq": k, "source": "migrated" if k == 4 else "other"} for k in range(9)])
     path = f"{tmp_path}/in"
