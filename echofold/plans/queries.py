@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from echofold.plans import bindings as B
 from echofold.plans.service import Service
 from echofold.sources import cards, launches, pictures
 from echofold.sources.store import CoinStore, settled, shared_dir
-from echofold.streaming import feed, throttle
+from echofold.streaming import feed, retire, source, throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -741,3 +742,52 @@ FROM s JOIN i ON i.user_id = s.user_id AND i.attempt = s.attempt - 1 WHERE t - b
 def stm5_mth9(spark, sf):
     """Users as feeds: their silences, each with its attempt to reconnect and the bounds of the wait before it."""
     return feed.silences(timed_events(spark, sf), "user_id", "at", "event_id")
+
+
+FRAMES = """k AS (SELECT event_id AS k, 'M' || translate(lpad(CAST(user_id AS VARCHAR), 35, '1'), '0', 'z') AS mint, event_type FROM events)
+SELECT k, CASE k % 10 WHEN 3 THEN 'short' ELSE mint END AS mint, event_type FROM k WHERE k % 10 NOT IN (0, 1, 2, 3)"""
+
+
+@query("SRC3_feed", f"WITH {FRAMES.replace('SELECT k, CASE', 'SELECT CAST(k AS DOUBLE) AS observedAt, CASE').replace('event_type FROM k WHERE', 'event_type AS name FROM k WHERE')}")
+def src3(spark, sf):
+    """Frames of a feed (trades, messages, broken lines and short addresses among them) appended to a log's shards, read
+    through the source in two runs of one query, the second from the checkpoint of the first."""
+    root, rows = fresh(spark, "feed"), B.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    k = F.col("event_id")
+    frame = lambda kind, mint: F.to_json(F.struct(F.lit(kind).alias("txType"), mint.alias("mint"), F.col("event_type").alias("name"), k.alias("observedAt")))
+    mint = B.address(F.col("user_id"))
+    line = F.when(k % 10 == 0, frame("buy", mint)).when(k % 10 == 1, F.lit('{"message": "subscribed", "txType": "create"}')).when(k % 10 == 2, F.lit('{"txType": "cre')).when(k % 10 == 3, frame("create", F.lit("short"))).otherwise(frame("create", mint))
+    for part in range(2):
+        rows.where(F.pmod(F.floor(k / 100), F.lit(2)) == part).select(line.alias("value")).repartition(3).write.mode("append").text(f"{root}/log")
+        stream = source.launch_feed(spark, f"{root}/log").select("observedAt", "mint", "name")
+        run = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("observedAt double, mint string, name string").parquet(f"{root}/rows")
+
+
+RETIRE_MS = 2 * 86_400_000
+
+
+@query("STM6_retired", f"""WITH {EVENTS}, s AS (SELECT mint || event_type AS mint, seenAt, seq, name, symbol, mc, migrated OR coalesce(mc >= 100000, FALSE) AS ran FROM ev JOIN events USING (event_id)),
+g AS (SELECT *, lag(seenAt) OVER w AS before, coalesce(bool_or(ran) OVER (PARTITION BY mint ORDER BY seenAt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS kept FROM s WINDOW w AS (PARTITION BY mint ORDER BY seenAt, seq)),
+i AS (SELECT *, sum(CASE WHEN seenAt - before > {RETIRE_MS} AND NOT kept THEN 1 ELSE 0 END) OVER (PARTITION BY mint ORDER BY seenAt, seq) AS life FROM g),
+l AS (SELECT mint, life, min(seenAt) AS firstSeen, max(seenAt) AS lastSeen, max(mc) AS peakMcUsd, count(*) AS sightings, bool_or(ran) AS ran, arg_min(name, CAST(seenAt AS HUGEINT) * 10000000 + seq) FILTER (name IS NOT NULL) AS name, arg_min(symbol, CAST(seenAt AS HUGEINT) * 10000000 + seq) FILTER (symbol IS NOT NULL) AS symbol FROM i GROUP BY mint, life)
+SELECT mint, name, symbol, firstSeen, lastSeen, peakMcUsd, sightings FROM l WHERE NOT ran AND lastSeen + {RETIRE_MS} <= (SELECT max(seenAt) FROM s)""")
+def stm6(spark, sf):
+    """Sightings by user and kind as a stream in time order, over several batches: which keys are retired, and with what."""
+    root, rows = fresh(spark, "retire"), B.table(spark, sf, "events")
+    seen = B.sightings(rows).join(rows.select("event_id", "event_type"), "event_id").withColumn("mint", F.concat("mint", "event_type"))
+    low, high = seen.agg(F.min("seenAt"), F.max("seenAt")).first()
+    for k in range(4):  # a file a batch, each later than the one before
+        part = seen.where((F.floor((F.col("seenAt") - low) * 4 / (high - low + 1)) == k)).select("mint", "name", "symbol", "marketCapUsd", "source", "seenAt", "seq")
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", retire.ROCKS)
+        try:
+            stream = spark.readStream.schema(part.schema).parquet(f"{root}/in")
+            found = retire.retired(stream, thresholds=replace(THRESHOLDS, retention_ms=RETIRE_MS))
+            run = found.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state")
+            run.trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(retire.RETIRED).parquet(f"{root}/rows")
