@@ -2,8 +2,10 @@
 
 Text is lower-cased, every run of non-letters is one blank, and the 1- to 4-grams of each text are hashed to BUCKETS.
 Counts come from a bounded sample: about SAMPLE rows of each language, taken by a hash of the key. The log-probability
-matrix (languages x BUCKETS, float32) is bounded by MAX_LANGUAGES and goes to the executors with the task; a batch is
-scored as a sparse product: the matrix rows of all its n-grams, summed between the texts' bounds.
+matrix (languages x BUCKETS, float32) goes to the executors in blocks of BLOCK_LANGUAGES languages, 64 MB each; a batch is
+scored as a sparse product: the matrix rows of all its n-grams, summed between the texts' bounds. More languages are more
+blocks, counted and scored one after the other, with the best so far and the sum of all carried along; names of languages
+alone are held for all blocks at once.
 
 Defined results: null text and text without a letter are `und` with score 0; with nothing to learn from, every text is
 `und`; ties go to the language that sorts first; rows are independent, so repeated rows repeat their result (and count
@@ -27,7 +29,8 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3, 4)
 SAMPLE = 2000
-MAX_LANGUAGES = 500
+BLOCK_LANGUAGES = 500
+Model = list[tuple[list[str], np.ndarray]]
 SMOOTHING = 0.5
 SLICE_BYTES = 1 << 20
 NONE = "und"
@@ -73,16 +76,24 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the float32 matrix BUCKETS x languages of log-probabilities with its last row the log-priors."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """Blocks of languages in order, each with the float32 matrix BUCKETS x languages of log-probabilities, its last row the log-priors."""
     rows = docs.select(docs[key].alias("key"), docs[text].alias("t"), docs[lang].alias("lang")).where(F.col("lang").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = sorted(counts)
-    if not names:
-        return [], np.zeros((BUCKETS + 1, 0), np.float32)
-    share = F.element_at(F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, sample / counts[name]))]), F.col("lang"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names, every = sorted(counts), sum(counts.values())
+    out = []
+    for k in range(0, len(names), BLOCK_LANGUAGES):
+        own = names[k : k + BLOCK_LANGUAGES]
+        total = _counts(rows.where(F.col("lang").isin(own)) if len(own) < len(names) else rows, own, {x: min(1.0, sample / counts[x]) for x in own})
+        logs = np.log(total + SMOOTHING) - np.log((total + SMOOTHING).sum(axis=1, keepdims=True))
+        prior = np.log(np.array([counts[x] for x in own]) / every)
+        out.append((own, np.concatenate([logs.T, prior[None]]).astype(np.float32)))
+    return out
+
+
+def _counts(rows: DataFrame, names: list[str], shares: dict[str, float]) -> np.ndarray:
+    """Sampled counts, languages x BUCKETS; each language's share is taken."""
+    share = F.element_at(F.create_map(*[F.lit(x) for name in names for x in (name, shares[name])]), F.col("lang"))
     taken = rows.where(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
     at = {name: k for k, name in enumerate(names)}
 
@@ -99,32 +110,35 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     total = np.zeros((len(names), BUCKETS), np.int64)
     for r in taken.select("t", "lang").repartition(4).mapInArrow(lean(count), "lang string, counts binary").toLocalIterator():
         total[at[r.lang]] += np.frombuffer(r.counts, np.int64)
-    logs = np.log(total + SMOOTHING) - np.log((total + SMOOTHING).sum(axis=1, keepdims=True))
-    prior = np.log(np.array([counts[x] for x in names]) / sum(counts.values()))
-    return names, np.concatenate([logs.T, prior[None]]).astype(np.float32)
+    return total
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, lang_pred string, score double (the posterior of that language)."""
-    names, matrix = model
     kind = docs.schema[key].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(matrix)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
-        for part in slices(batches, "t", SLICE_BYTES):
-            text_, bounds = letters_of(part.column(1))
-            n = len(bounds) - 1
-            score = np.tile(table[-1].astype(np.float64), (n, 1))
-            for bucket, own in grams(text_, bounds):
-                for k in range(len(names)):
-                    score[:, k] += sums(table[:, k][bucket].astype(np.float64), own)
-            some = (np.diff(bounds) > 1) & bool(names)
-            pred, prob = np.full(n, NONE, object), np.zeros(n)
-            if some.any():
-                best = score[some].argmax(axis=1)
-                pred[some] = np.array(names, object)[best]
-                prob[some] = 1 / np.exp(score[some] - score[some].max(axis=1, keepdims=True)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(prob)], ["key", "lang_pred", "score"])
-
-    return docs.select(docs[key].alias("key"), docs[text].alias("t")).mapInArrow(lean(run), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    least = F.lit(float("-inf"))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("t"), F.lit(None).cast("string").alias("lang"), least.alias("best"), least.alias("total"))
+    for place, (names, matrix) in enumerate(model):
+        held, last = docs.sparkSession.sparkContext.broadcast(matrix), place == len(model) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, names=names, last=last) -> Iterator[pa.RecordBatch]:
+            table = held.value
+            for part in slices(batches, "t", SLICE_BYTES):
+                text_, bounds = letters_of(part.column(1))
+                score = np.tile(table[-1].astype(np.float64), (len(bounds) - 1, 1))
+                for bucket, own in grams(text_, bounds):
+                    for k in range(len(names)):
+                        score[:, k] += sums(table[:, k][bucket].astype(np.float64), own)
+                lang, best, total = (part.column(k).to_numpy(zero_copy_only=False).copy() for k in (2, 3, 4))
+                some = np.flatnonzero(np.diff(bounds) > 1)  # texts with a letter
+                top = score[some].max(axis=1)
+                new = some[top > best[some]]  # of equal languages the one before stays
+                lang[new] = np.array(names, object)[score[new].argmax(axis=1)]
+                total[some] = np.logaddexp(total[some], top + np.log(np.exp(score[some] - top[:, None]).sum(axis=1)))
+                best[some] = np.maximum(best[some], top)
+                text_column = pa.nulls(part.num_rows, pa.string()) if last else part.column(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), text_column, pa.array(lang, pa.string()), pa.array(best), pa.array(total)], ["key", "t", "lang", "best", "total"])
+
+        rows = rows.mapInArrow(lean(run), f"key {kind}, t string, lang string, best double, total double")
+    score = F.when(F.col("lang").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("best") - F.col("total"))))
+    return rows.select(F.col("key").alias(key), F.coalesce("lang", F.lit(NONE)).alias("lang_pred"), score.alias("score"))

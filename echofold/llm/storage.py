@@ -1,42 +1,16 @@
-"""Where operators cut lineage: the shared folder that the session's spark.checkpoint.dir names."""
+"""Where operators cut lineage: the shared folder that the session's spark.checkpoint.dir names, as the record store has it."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-OWN_DIR = "echofold.shared.dir"  # remembers the folder chosen
+from echofold.sources.store import settled, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Where none is set: with a local master one of this
-    machine, removed at exit; on a cluster a folder in the warehouse, refused if that is a file system of each machine."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
-    if not held and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        folder = tempfile.mkdtemp(prefix="echofold-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        held = f"file://{folder}"
-    elif not held:
-        held = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_echofold"
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set(OWN_DIR, held)
-    return held
+__all__ = ["scratch", "settled", "shared_dir"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder as Parquet and read back: its lineage ends there, and its size is known."""
-    spark = frame.sparkSession
-    path = scratch(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)

@@ -83,10 +83,20 @@ def test_langid_held_out(spark, odd, empty):
     assert len(got) == len(truth) and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got)
     model = langid.train(docs)
     got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
-    assert [got[k].lang_pred for k in (1, 2, 5)] == ["und"] * 3 and got[3].lang_pred in model[0] and len(got) == 9
+    assert [got[k].lang_pred for k in (1, 2, 5)] == ["und"] * 3 and got[3].lang_pred in model[0][0] and len(got) == 9
     assert {r.lang_pred for r in langid.predict(odd, langid.train(odd)).collect()} == {"und"} and langid.predict(empty, langid.train(empty)).count() == 0
 
 
+def test_langid_blocks_of_languages_are_one_model(spark, odd, monkeypatch):
+    docs = queries.table(spark, SF, "documents")
+    pick = lambda frame: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in frame.where("doc_id IS NOT NULL").collect())
+    one = pick(langid.predict(docs, langid.train(docs)))
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 1)
+    model = langid.train(docs)
+    assert len(model) > 2 and pick(langid.predict(docs, model)) == one
+    assert {r.lang_pred for r in langid.predict(odd, model).where("doc_id IN (1, 2, 5)").collect()} == {"und"}
+
+
 def test_ann_recall_and_order(spark):
     rows = queries.table(spark, SF, "embeddings")
     data = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
