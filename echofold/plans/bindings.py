@@ -53,15 +53,25 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as COIN rows: the first line's first three words are the name, its fourth the symbol; hashes by number."""
-    words = F.split(F.substring_index("text", "\n", 1), " ")
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("text"), "n_chars")).select(
-        F.col("doc_id").cast("string").alias("mint"), F.array_join(F.slice(words, 1, 3), " ").alias("name"), F.get(words, F.lit(3)).alias("symbol"), F.lit(None).cast("string").alias("imageUrl"), (T0 + F.col("doc_id") * 1000).alias("firstSeen"), (T0 + F.col("doc_id") * 1000 + F.col("n_chars")).alias("lastSeen"),
-        (F.col("n_chars") * 100.0).alias("peakMcUsd"), F.lit(None).cast("double").alias("peakVolUsd"), (F.col("doc_id") % 7 == 0).alias("sawMigrated"), F.lit(1).cast("long").alias("sightings"), "doc_id",
+    """Parts as COIN rows, whole columns each: name and brand are the name, type and size the symbol; hashes by number."""
+    number = F.col("p_partkey")
+    seen = T0 + number * 1000
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").select(
+        number.cast("string").alias("mint"),
+        F.concat("p_name", F.lit(" "), "p_brand").alias("name"),
+        F.concat("p_type", F.lit(" "), F.col("p_size").cast("string")).alias("symbol"),
+        F.lit(None).cast("string").alias("imageUrl"),
+        seen.alias("firstSeen"),
+        (seen + F.col("p_size") * 1000).alias("lastSeen"),
+        (F.floor("p_retailprice") * 100.0).alias("peakMcUsd"),
+        F.lit(None).cast("double").alias("peakVolUsd"),
+        (number % 7 == 0).alias("sawMigrated"),
+        F.lit(1).cast("long").alias("sightings"),
+        number.alias("number"),
     )
     rows = with_norms(rows).withColumn("ran", did_run(F.col("peakMcUsd"), F.col("sawMigrated")))
     known = hashes(spark, sf_dir)
-    return rows.join(known, rows.doc_id == known.vec_id, "left").withColumn("phashState", F.when(F.col("phash").isNotNull(), "ok")).drop("vec_id")
+    return rows.join(known, rows.number == known.vec_id, "left").withColumn("phashState", F.when(F.col("phash").isNotNull(), "ok")).drop("vec_id")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +80,18 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_norms(rows)
 
 
+def word(number: Column) -> Column:
+    """Twelve letters that a third of a number tells (letters of its digest), and one that the rest tells."""
+    return F.concat(F.translate(F.substring(F.md5(F.floor(number / 3).cast("string").cast("binary")), 1, 12), "0123456789", "ghijklmnop"), F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (number % 3 + 1).cast("int")))
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as records of words: three have names with one letter apart, and nine of ten have the name of a later one as their symbol."""
+    number = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(number.alias("number"), number.cast("string").alias("mint"), word(number).alias("name"), F.when(number % 50 < 45, word(number + 3)).alias("symbol"))
+    return spread(with_norms(rows).select("mint", "normName", "normSymbol", "number"))
+
+
 def sightings(rows: DataFrame) -> DataFrame:
     """Events as sightings, in an arrival order (seq) that is not that of time, with gaps in the texts."""
     kind = F.col("event_type")

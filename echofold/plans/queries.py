@@ -55,9 +55,9 @@ def address_sql(x: str) -> str:
 GRAMS = "list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))"
 HASH = """hash AS (SELECT vec_id, bits, array_to_string(list_transform(range(0, 16), lambda k: substr('0123456789abcdef', 1 + 8 * bits[4 * k + 1] + 4 * bits[4 * k + 2] + 2 * bits[4 * k + 3] + bits[4 * k + 4], 1)), '') AS phash
   FROM (SELECT vec_id, list_transform(e, lambda x: CASE WHEN x > list_sort(e[2:64])[32] THEN 1 ELSE 0 END) AS bits FROM (SELECT vec_id, list_transform(embedding[1:64], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)))"""
-RECORDS = f"""{HASH}, word AS (SELECT doc_id, n_chars, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents),
-named AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS mint, array_to_string(w[1:3], ' ') AS name, w[4] AS symbol, {B.T0} + doc_id * 1000 AS firstSeen, {B.T0} + doc_id * 1000 + n_chars AS lastSeen, n_chars * 100.0 AS peak, doc_id % 7 = 0 AS migrated FROM word),
-coin AS (SELECT named.*, coalesce({norm_sql('name')}, '') AS nn, coalesce({norm_sql('symbol')}, '') AS ns, phash, bits, migrated OR peak >= 100000 AS ran FROM named LEFT JOIN hash ON doc_id = vec_id)"""
+RECORDS = f"""{HASH}, named AS (SELECT p_partkey AS number, CAST(p_partkey AS VARCHAR) AS mint, p_name || ' ' || p_brand AS name, p_type || ' ' || CAST(p_size AS VARCHAR) AS symbol,
+  {B.T0} + p_partkey * 1000 AS firstSeen, {B.T0} + p_partkey * 1000 + p_size * 1000 AS lastSeen, floor(p_retailprice) * 100.0 AS peak, p_partkey % 7 = 0 AS migrated FROM part),
+coin AS (SELECT named.*, coalesce({norm_sql('name')}, '') AS nn, coalesce({norm_sql('symbol')}, '') AS ns, phash, bits, migrated OR peak >= 100000 AS ran FROM named LEFT JOIN hash ON number = vec_id)"""
 #: Candidates of the subjects (mint) in coin, by bucket priority, then key; the first 200.
 CANDIDATES = f"""posting AS (SELECT DISTINCT mint, kind, key FROM (
   SELECT mint, 'n' AS kind, nn AS key FROM coin UNION ALL SELECT mint, 's', ns FROM coin
@@ -70,7 +70,7 @@ probe AS (SELECT mint AS subject, 0 AS prio, 'n' AS kind, nn AS key FROM ask WHE
   UNION ALL SELECT mint, 100000 + i, 't', substr(ns, i, 3) FROM (SELECT mint, ns, unnest(range(1, length(ns) - 1)) AS i FROM ask)),
 found AS (SELECT subject, mint, min(prio) AS prio FROM probe JOIN posting USING (kind, key) WHERE subject <> mint GROUP BY subject, mint),
 cand AS (SELECT subject, mint, prio, row_number() OVER (PARTITION BY subject ORDER BY prio, mint) AS place FROM found QUALIFY place <= 200)"""
-ASK = "ask AS (SELECT * FROM coin WHERE doc_id % 20 = 0)"
+ASK = "ask AS (SELECT * FROM coin WHERE number % 20 = 0)"
 MATCHED = f"""WITH {RECORDS}, {ASK}, {CANDIDATES},
 pair AS (SELECT c.subject, c.mint, k.name, k.symbol, k.firstSeen, k.peak, k.ran, k.migrated, list_sum(list_transform(range(1, 65), lambda i: abs(k.bits[i] - a.bits[i]))) AS distance,
    length(k.nn) >= 3 AND ((k.nn = a.nn) OR (k.nn = a.ns)) AS byName, length(k.ns) >= 3 AND ((k.ns = a.ns) OR (k.ns = a.nn)) AS bySymbol, length(k.nn) >= 3 AND k.nn = a.nn AS nameFirst, length(k.ns) >= 3 AND k.ns = a.ns AS symbolSecond
@@ -468,7 +468,7 @@ def src5(spark, sf):
 
 def asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     coins = B.records(spark, sf)
-    return coins.where("doc_id % 20 = 0"), coins
+    return coins.where("number % 20 = 0"), coins
 
 
 @query("JN1_exact_keys", f"WITH {RECORDS}, {ASK} SELECT a.mint, count(DISTINCT c.mint) AS others FROM ask a JOIN coin c ON c.mint <> a.mint AND ((length(a.nn) >= 3 AND a.nn IN (c.nn, c.ns)) OR (length(a.ns) >= 3 AND a.ns IN (c.nn, c.ns))) GROUP BY a.mint")
@@ -568,11 +568,11 @@ def jn9(spark, sf):
     return found.select("mint", "totalCount", F.col("card.shown").alias("shown"))
 
 
-@query("JN10_subjects", f"WITH {RECORDS} SELECT mint, nn AS norm_name, CASE doc_id % 3 WHEN 1 THEN '00ff00ff00ff00ff' WHEN 2 THEN phash END AS phash FROM coin WHERE doc_id % 20 = 0")
+@query("JN10_subjects", f"WITH {RECORDS} SELECT mint, nn AS norm_name, CASE number % 3 WHEN 1 THEN '00ff00ff00ff00ff' WHEN 2 THEN phash END AS phash FROM coin WHERE number % 20 = 0")
 def jn10_prj5(spark, sf):
     """Subjects with the hash that they bring, a null one too, else the stored one."""
     ask, coins = asked(spark, sf)
-    k = F.col("doc_id") % 3
+    k = F.col("number") % 3
     rows = ask.select("mint", "name", "symbol", F.when(k == 1, "00ff00ff00ff00ff").alias("phash"), (k != 2).alias("phashGiven"))
     return lookup.subjects_of(rows, coins).select("mint", F.col("normName").alias("norm_name"), "phash")
 
@@ -584,29 +584,34 @@ def fuzzy(spark, sf):
     return found.select("subject", "rank", "mint", F.round("similarity", 9).alias("similarity"), F.array_join("matchedOn", " + ").alias("matched"), "evidence")
 
 
-EXACT_CLUSTERS = f"""WITH RECURSIVE {RECORDS}, tie AS (SELECT mint, nn AS key FROM coin WHERE length(nn) >= 3 UNION SELECT mint, ns FROM coin WHERE length(ns) >= 3),
+def word_sql(number: str) -> str:
+    return f"translate(substr(md5(CAST({number} // 3 AS VARCHAR)), 1, 12), '0123456789', 'ghijklmnop') || substr('xyz', {number} % 3 + 1, 1)"
+
+
+EXACT_CLUSTERS = f"""WITH RECURSIVE coin AS (SELECT CAST(c_custkey AS VARCHAR) AS mint, c_custkey AS number, {word_sql('c_custkey')} AS nn, CASE WHEN c_custkey % 50 < 45 THEN {word_sql('(c_custkey + 3)')} ELSE '' END AS ns FROM customer),
+tie AS (SELECT mint, nn AS key FROM coin WHERE length(nn) >= 3 UNION SELECT mint, ns FROM coin WHERE length(ns) >= 3),
 edge AS (SELECT DISTINCT a.mint AS a, b.mint AS b FROM tie a JOIN tie b USING (key)),
 reach(mint, root) AS (SELECT a, min(b) FROM edge GROUP BY a UNION SELECT e.a, r.root FROM reach r JOIN edge e ON e.b = r.mint WHERE r.root < e.a),
-grouped AS (SELECT coin.mint, coin.doc_id, coalesce(min(least(root, coin.mint)), coin.mint) AS cluster FROM coin LEFT JOIN reach USING (mint) GROUP BY coin.mint, coin.doc_id)"""
+grouped AS (SELECT coin.mint, coin.number, coalesce(min(least(root, coin.mint)), coin.mint) AS cluster FROM coin LEFT JOIN reach USING (mint) GROUP BY coin.mint, coin.number)"""
 
 
 @query("GR1_clusters_exact", f"{EXACT_CLUSTERS} SELECT mint, cluster FROM grouped")
 def gr1_exact(spark, sf):
-    return cluster.clusters(B.records(spark, sf).select("mint", "normName", "normSymbol"), bar=1.0)
+    return cluster.clusters(B.chains(spark, sf).drop("number"), bar=1.0)
 
 
-@query("SRT4_largest_first", f"{EXACT_CLUSTERS} SELECT cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS place FROM grouped GROUP BY cluster QUALIFY place <= 50")
+@query("SRT4_largest_first", f"{EXACT_CLUSTERS} SELECT cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(number)) AS place FROM grouped GROUP BY cluster QUALIFY place <= 50")
 def srt4(spark, sf):
     """A report of the 50 largest clusters, in order: of like sizes the one whose member came first."""
-    rows = B.records(spark, sf)
-    found = cluster.clusters(rows.select("mint", "normName", "normSymbol"), bar=1.0)
-    top = cluster.largest_first(found, rows.select("mint", F.col("doc_id").alias("pos"))).limit(50)
+    rows = B.chains(spark, sf)
+    found = cluster.clusters(rows.drop("number"), bar=1.0)
+    top = cluster.largest_first(found, rows.select("mint", F.col("number").alias("pos"))).limit(50)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).select("cluster", "n", F.col("place").cast("long").alias("place"))  # of 50 rows
 
 
 @query("GR1_clusters")
 def gr1_agg11_srt4(spark, sf):
-    rows = cluster.clusters(B.records(spark, sf).select("mint", "normName", "normSymbol"))
+    rows = cluster.clusters(B.chains(spark, sf).drop("number"))
     return rows.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", "n", (F.col("n") > 1).alias("matched"))
 
 
@@ -630,7 +635,7 @@ def flt4_str4(spark, sf):
 SERVED_AGE = 2 * 86_400_000
 
 
-@query("SRC10_service", f"""WITH {EVENTS}, coin AS (SELECT mint, CAST(mint AS BIGINT) AS doc_id, coalesce({norm_sql('name')}, '') AS nn, coalesce({norm_sql('symbol')}, '') AS ns, CAST(NULL AS VARCHAR) AS phash, sawMigrated OR coalesce(peakMcUsd >= 100000, FALSE) AS ran FROM fold), {ASK}, {CANDIDATES},
+@query("SRC10_service", f"""WITH {EVENTS}, coin AS (SELECT mint, CAST(mint AS BIGINT) AS number, coalesce({norm_sql('name')}, '') AS nn, coalesce({norm_sql('symbol')}, '') AS ns, CAST(NULL AS VARCHAR) AS phash, sawMigrated OR coalesce(peakMcUsd >= 100000, FALSE) AS ran FROM fold), {ASK}, {CANDIDATES},
 prior AS (SELECT c.subject, k.ran FROM cand c JOIN coin k ON k.mint = c.mint JOIN ask a ON a.mint = c.subject WHERE (length(k.nn) >= 3 AND k.nn IN (a.nn, a.ns)) OR (length(k.ns) >= 3 AND k.ns IN (a.nn, a.ns))),
 cap AS (SELECT subject, count(*) >= 200 AS capped FROM cand GROUP BY subject), n AS (SELECT subject, count(*) FILTER (ran) AS ranCount, count(*) AS totalCount FROM prior GROUP BY subject)
 SELECT mint, coalesce(ranCount, 0) AS ranCount, coalesce(totalCount, 0) AS totalCount, coalesce(capped, FALSE) AS capped, FALSE AS confident, CAST({SERVED_AGE} AS BIGINT) AS corpusAgeMs, (SELECT count(*) FROM coin) AS coinCount FROM ask LEFT JOIN n ON n.subject = mint LEFT JOIN cap ON cap.subject = mint""")
