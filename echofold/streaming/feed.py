@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -20,6 +21,8 @@ from echofold.sources.store import CoinStore, settled
 
 #: Keys remembered, silence before an alarm, and the rate under which a long-running feed is suspect.
 SEEN_CAP, SILENCE_MS, RATE_AFTER_MS, LEAST_A_MINUTE = 20_000, 60_000, 300_000, 10
+#: Rows that a task of a bounded dedupe walks, and the marks of what is remembered: the generation before, and the one that fills.
+STEP_ROWS, LAST, NOW = 500_000, 1, 2
 #: Fixed value: time between reports of what a feed has read.
 REPORT_MS = 30_000
 #: The longest wait before each further attempt to reconnect; the last holds for all later ones.
@@ -88,9 +91,9 @@ class BoundedSeen:
     keeps its place. As what is forgotten is always half a cap of admissions, keys fall into generations of that many: while one
     fills, its keys and those of the one before are remembered, and no others.
 
-    add() takes a table of arrivals and finds a generation at a time: the first arrivals of the keys that neither generation
-    holds, in order, up to the number that fills it; the one that follows begins the next. Each step is a partial minimum a task
-    and a bounded top; what is remembered is two tables of half a cap each.
+    What is remembered at a row depends on each admission before it, so rows are walked in order. add() cuts a table of arrivals
+    by ranges of their order into steps of STEP_ROWS rows or so; each step is one task's, which passes through as many
+    generations as its rows fill, and begins with the two tables of half a cap each that the step before has left.
     """
 
     def __init__(self, spark: SparkSession, cap: int = SEEN_CAP, key: str = "mint", held: tuple[DataFrame, DataFrame] | None = None):
@@ -101,25 +104,42 @@ class BoundedSeen:
         self.last, self.now = held or (nothing, nothing)
 
     def add(self, rows: DataFrame, pos: str) -> DataFrame:
-        """The rows that are admitted, in order of pos, which differs for each; their keys are remembered."""
-        columns, out = rows.columns, []
-        rows, begin = settled(rows.where(F.col(self.key).isNotNull()), "arrivals"), None
-        full = self.now.count()
-        while True:
-            known = F.broadcast(self.last.union(self.now))  # cap rows at most
-            after = rows if begin is None else rows.where(F.col(pos) >= begin)
-            first = after.join(known, self.key, "left_anti").groupBy(self.key).agg(F.min_by(F.struct(*columns), pos).alias("row")).select("row.*")
-            found = settled(first.orderBy(pos).limit(self.half - full + 1), "generation")
-            count, last = found.agg(F.count("*"), F.max(pos)).first()
-            new = found if count <= self.half - full else found.where(F.col(pos) < last)
-            out.append(new)
-            self.now = self.now.union(new.select(self.key))
-            if new is found:
-                break
-            self.last, self.now, full, begin = self.now, self.now.limit(0), 0, last
-        self.last, self.now = (settled(x, "seen") for x in (self.last, self.now))
+        """The rows that are admitted; pos, their order, differs for each. Their keys are remembered."""
+        rows, out = settled(rows.where(F.col(self.key).isNotNull()), "arrivals"), []
+        steps = max(1, -(-rows.count() // STEP_ROWS))
+        if steps > 1:
+            rows = settled(rows.repartitionByRange(steps, pos).withColumn("_step", F.spark_partition_id()), "steps", "_step")
+        schema = rows.drop("_step").withColumn("_held", F.lit(0)).schema
+        for step in range(steps):
+            own = (rows.where(F.col("_step") == step).drop("_step") if steps > 1 else rows).withColumn("_held", F.lit(0))
+            told = own.unionByName(self._told(), allowMissingColumns=True).coalesce(1).sortWithinPartitions(F.desc("_held"), pos)
+            found = settled(told.mapInArrow(partial(walked, self.half, self.key), schema), "admitted")
+            out.append(found.where("_held = 0").drop("_held"))
+            self.last, self.now = (found.where(F.col("_held") == k).select(self.key) for k in (LAST, NOW))
         return reduce(DataFrame.union, out)
 
+    def _told(self) -> DataFrame:
+        return self.last.withColumn("_held", F.lit(LAST)).union(self.now.withColumn("_held", F.lit(NOW)))
+
+
+def walked(half: int, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order, behind those that tell what is remembered (_held): the ones admitted, then what is remembered after them."""
+    last, now, schema = set(), set(), None
+    for batch in batches:
+        schema, admitted = batch.schema, []
+        for k, (x, held) in enumerate(zip(batch[key].to_pylist(), batch["_held"].to_pylist(), strict=True)):
+            if held:
+                (last if held == LAST else now).add(x)
+            elif x not in now and x not in last:
+                if len(now) == half:
+                    last, now = now, set()
+                now.add(x)
+                admitted.append(k)
+        yield batch.take(pa.array(admitted, pa.int64()))
+    if schema is not None:
+        told = {key: pa.array([*last, *now], schema.field(key).type), "_held": pa.array([LAST] * len(last) + [NOW] * len(now), pa.int32())}
+        yield pa.RecordBatch.from_arrays([told.get(f.name, pa.nulls(len(last) + len(now), f.type)) for f in schema], schema=schema)
+
 
 def dedupe_into(stream: DataFrame, path: str, checkpoint: str, pos: str, cap: int = SEEN_CAP, key: str = "mint", trigger: dict | None = None):
     """Writes the stream's rows whose key is not among those remembered to path/rows, each micro-batch to a folder of its own

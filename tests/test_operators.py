@@ -15,7 +15,7 @@ from echofold.operators import cluster, lookup, maintain, merge, neighbours, obs
 from echofold.operators.candidates import candidates
 from echofold.plans.service import Service
 from echofold.sources import cards, launches, pictures
-from echofold.sources.store import ConcurrentWrite, CoinStore
+from echofold.sources.store import ConcurrentWrite, CoinStore, settled
 from echofold.streaming import feed, throttle
 
 T0 = 1_758_300_000_000
@@ -635,6 +635,18 @@ def test_bounded_dedupe_is_a_plain_loop(spark, tmp_path):
     assert sorted(r.pos for r in spark.read.parquet(f"{out}/rows/*").collect()) == plain_seen(keys, cap)
 
 
+def test_bounded_dedupe_passes_many_generations_a_step(spark, monkeypatch):
+    """Steps go by rows, not by generations: hundreds of these in few steps, which end anywhere in one."""
+    draw, steps = random.Random(4), []
+    monkeypatch.setattr(feed, "STEP_ROWS", 400)
+    monkeypatch.setattr(feed, "settled", lambda frame, name, *by: steps.append(name) or settled(frame, name, *by))
+    keys = [f"k{min(draw.randrange(12), draw.randrange(12))}" for _ in range(1500)]
+    seen = feed.BoundedSeen(spark, 4)
+    rows = spark.createDataFrame([(x, k, "x") for k, x in enumerate(keys)], "mint string, pos long, row string").repartition(3)
+    got = sorted((r.pos, r.mint, r.row) for r in seen.add(rows, "pos").collect())
+    assert got == [(k, keys[k], "x") for k in plain_seen(keys, 4)] and len(got) > 600 and len(steps) == 6
+
+
 def plain_fires(rows):
     """rows: (id, key, at, holds)."""
     ends, out = {}, set()
