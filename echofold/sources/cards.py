@@ -8,14 +8,16 @@ plausible wrong numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions.parse import BASE58, column_source, mint_from_href, mint_from_image, trimmed
+from echofold.functions.pieces import pieces
 from echofold.functions.text import label_key
 from echofold.model import RAW_ROW
 
@@ -32,6 +34,10 @@ DEEPEST = 512
 CARD = f"{RAW_ROW}, source string, attrMint string, tokens array<string>"
 LISTED = "array<struct<attribute: string, images: array<struct<src: string, alt: string>>, links: array<string>, tokens: array<struct<text: string, sub: boolean>>, heading: string>>"
 
+LISTED_ARROW = pa.list_(pa.struct([("attribute", pa.string()), ("images", pa.list_(pa.struct([("src", pa.string()), ("alt", pa.string())]))), ("links", pa.list_(pa.string())), ("tokens", pa.list_(pa.struct([("text", pa.string()), ("sub", pa.bool_())]))), ("heading", pa.string())]))
+#: Pages whose tokens a task's Python holds at a time.
+PAGE_BYTES = 1 << 18
+
 
 @dataclass(frozen=True)
 class Markup:
@@ -169,13 +175,17 @@ def age_from(tokens: Column, start: Column) -> Column:
 def cards(pages: DataFrame, key: str = "page_id", html: str = "html", markup: Markup = Markup()) -> DataFrame:
     """key, pos, and the columns of CARD, a row for each card in document order."""
 
-    @F.pandas_udf(LISTED)
-    def read(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: listed(x, markup))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in pieces(batch["html"], PAGE_BYTES):
+                piece = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([piece[key], pa.array([listed(x, markup) for x in piece["html"].to_pylist()], LISTED_ARROW)], [key, "cards"])
 
     link = lambda route: mint_from_href(F.get(F.filter("links", lambda x: x.contains(f"/{route}/")), F.lit(0)), route)
     own = F.when(trimmed(F.col("attribute")).rlike(BASE58), trimmed(F.col("attribute")))
-    rows = pages.select(key, F.posexplode(read(html)).alias("pos", "card")).select(key, "pos", "card.*")
+    own_key = pages.schema[key].dataType.simpleString()
+    lists = pages.select(key, F.col(html).alias("html")).mapInArrow(read, f"`{key}` {own_key}, cards {LISTED}")
+    rows = lists.select(key, F.posexplode("cards").alias("pos", "card")).select(key, "pos", "card.*")
     rows = rows.withColumn("attrMint", own).withColumn("mint", F.coalesce("attrMint", _first(F.transform("images", lambda i: mint_from_image(i["src"]))), link(markup.launch), link(markup.pair)))
     rows = rows.withColumns({"image": F.get(F.filter("images", lambda i: F.col("mint").isNull() | F.coalesce(mint_from_image(i["src"]) == F.col("mint"), F.lit(False))), F.lit(0)), "anchor": F.array_position(F.transform("tokens", lambda t: t["text"].rlike(SHORTENED)), True).cast("int") - 1})
     tokens, anchor = F.col("tokens"), F.when(F.col("anchor") >= 0, F.col("anchor"))

@@ -139,3 +139,16 @@ def test_presentation(spark):
     assert column(spark, [0, 60_000, 3_600_000, 47 * 3_600_000, 72 * 3_600_000], present.format_age, "long") == ["1 min", "1 min", "1 h", "47 h", "3 days"]
     assert column(spark, [0], lambda c: present.format_age(c, "not yet"), "long") == ["not yet"]
     assert column(spark, [0, 1_758_300_000_000], present.format_date, "long") == ["1970-01-01", "2025-09-19"]
+
+
+def test_texts_go_through_python_in_pieces(monkeypatch):
+    """A large batch is held a piece at a time, and nothing of it is lost."""
+    import pyarrow as pa
+
+    from echofold.functions import pieces
+
+    texts = ["a" * 10, None, "", "b" * 30, "c" * 7, "a" * 10, "é" * 5, "c" * 7]
+    column = pa.array(["x", *texts]).slice(1)
+    assert list(pieces.pieces(column, 20)) == [(0, 3), (3, 1), (4, 2), (6, 2)] and list(pieces.pieces(column.slice(0, 0), 20)) == []
+    monkeypatch.setattr(pieces, "PIECE_BYTES", 20)
+    assert pieces.mapped(column, str.upper).to_pylist() == [x and x.upper() for x in texts]
