@@ -62,26 +62,26 @@ def stateful_fold(stream: DataFrame) -> DataFrame:
     """The same fold as a keyed state: emits each touched key's record after a micro-batch (update mode). Rows are folded
     by Spark's partial aggregates in fold_into(); this form is for sinks that want the changed records alone."""
     fields, out = ([x.split()[0] for x in y.split(", ")] for y in (FOLD_STATE, FOLD_OUT))
+    known = lambda values: [x for x in values if not pd.isna(x)]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [pd.DataFrame([state.get], columns=fields)] if state.exists else []
+        held = dict(zip(fields, state.get, strict=True)) if state.exists else dict.fromkeys(fields) | {"sawMigrated": False, "sightings": 0}
         for rows in parts:
-            own = pd.DataFrame({"firstSeen": [rows["seenAt"].min()], "lastSeen": [rows["seenAt"].max()], "peakMcUsd": [rows["marketCapUsd"].max()], "peakVolUsd": [rows["volumeUsd"].max()], "sawMigrated": [bool((rows["source"] == "migrated").any())], "sightings": [len(rows)]})
+            row = {c: rows[c].tolist() for c in (*TEXTS, "seq", "seenAt", "marketCapUsd", "volumeUsd", "source")}
+            for c, use, values in (("firstSeen", min, row["seenAt"]), ("lastSeen", max, row["seenAt"]), ("peakMcUsd", max, row["marketCapUsd"]), ("peakVolUsd", max, row["volumeUsd"])):
+                held[c] = use(known([held[c], *values]), default=None)
             for c in TEXTS:
-                known = rows.loc[rows[c].notna(), [c, "seq"]].nsmallest(1, "seq")
-                own[c], own[c + "Seq"] = (known[x].iloc[0] if len(known) else None for x in (c, "seq"))
-            held.append(own)
-        every = pd.concat(held, ignore_index=True)
-        value = {"firstSeen": int(every["firstSeen"].min()), "lastSeen": int(every["lastSeen"].max()), "sawMigrated": bool(every["sawMigrated"].any()), "sightings": int(every["sightings"].sum())}
-        for c in ("peakMcUsd", "peakVolUsd"):
-            top = pd.to_numeric(every[c]).max()
-            value[c] = None if pd.isna(top) else float(top)
-        for c in TEXTS:
-            known = every[every[c].notna()]
-            first = known.loc[pd.to_numeric(known[c + "Seq"]).idxmin()] if len(known) else None
-            value[c], value[c + "Seq"] = (None, None) if first is None else (first[c], int(first[c + "Seq"]))
-        state.update(tuple(value[f] for f in fields))
-        yield pd.DataFrame([{"mint": key[0]} | value], dtype=object)[out]
+                texts = [(seq, x) for seq, x in ((held[c + "Seq"], held[c]), *zip(row["seq"], row[c], strict=True)) if not pd.isna(x)]
+                held[c + "Seq"], held[c] = min(texts, key=lambda t: t[0], default=(None, None))
+            held["sawMigrated"] = bool(held["sawMigrated"]) or "migrated" in row["source"]
+            held["sightings"] = int(held["sightings"]) + len(rows)
+        for c in fields:
+            if pd.isna(held[c]):
+                held[c] = None
+            elif c in ("firstSeen", "lastSeen") or c.endswith("Seq"):
+                held[c] = int(held[c])
+        state.update(tuple(held[f] for f in fields))
+        yield pd.DataFrame([{"mint": key[0]} | held], dtype=object)[out]
 
     return stream.groupBy("mint").applyInPandasWithState(step, FOLD_OUT, FOLD_STATE, "update", GroupStateTimeout.NoTimeout)
 

@@ -124,3 +124,30 @@ def test_records_are_retired(spark, tmp_path):
     got = spark.read.schema(retire.RETIRED).parquet(f"{tmp_path}/out")
     assert sorted((r.mint, r.firstSeen, r.lastSeen, r.sightings) for r in got.collect()) == plain_retired(rows, keep, THRESHOLDS.min_peak_usd)
     assert got.where(F.col("name").isNull()).count() == 0 and got.count() > 20
+
+
+def test_stateful_fold_makes_one_frame_a_key(spark, tmp_path, monkeypatch):
+    """Rows of a key are folded as plain values, over batches with gaps in texts and figures; equal to the batch fold."""
+    import inspect
+
+    from echofold.operators import merge
+    from echofold.streaming import feed
+
+    schema = "mint string, name string, symbol string, imageUrl string, marketCapUsd double, volumeUsd double, seenAt long, source string, seq long"
+    draw, rows = random.Random(2), []
+    for k in range(60):
+        text = lambda p: draw.choice([None, f"{p}{k}"])  # noqa: E731, B023
+        rows.append((f"m{k % 4}", text("n"), text("s"), None, draw.choice([None, float(k)]), None if k % 4 else 1.5, 1000 + draw.randrange(500), draw.choice(["migrated", "other"]) if k % 4 == 1 else "other", draw.randrange(10**6)))
+    for part in range(2):
+        spark.createDataFrame(rows[part * 30 : part * 30 + 30], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run = feed.stateful_fold(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("update").foreachBatch(lambda found, _: found.write.mode("append").parquet(f"{tmp_path}/out"))
+        run.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").orderBy("sightings").collect():
+        got[r.mint] = tuple(r)
+    first = lambda own, c: min(((r[8], r[c]) for r in own if r[c] is not None), default=(0, None))[1]
+    for mint in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == mint]
+        top = lambda c: max((r[c] for r in own if r[c] is not None), default=None)  # noqa: E731, B023
+        assert got[mint] == (mint, first(own, 1), first(own, 2), None, min(r[6] for r in own), top(6), top(4), top(5), any(r[7] == merge.MIGRATED for r in own), len(own))
+    assert inspect.getsource(feed.stateful_fold).count("pd.DataFrame(") == 1
