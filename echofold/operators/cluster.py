@@ -6,11 +6,15 @@ numbered, so that what moves between rounds is numbers.
 
 Which keys match is an indexed self-join. A score of bar with a common prefix of p characters needs m characters in common
 with m / na + m / nb at or over a number S(p), so at least a = S na nb / (na + nb) of them. Take a key's characters as tokens
-(the character, and how many of it came before), rarest first: of two keys that share a tokens, the first n - a + 1 of either
-meet. So each key is filed under those few tokens, by band of length; the shorter key of a pair stands in the index under its
-own length's band, the longer one asks in the bands that it can reach. Pairs are looked for in three classes (no first character
+(the character, and how many of it came before), rarest first: of two keys that share a tokens, the first n - a + l of either
+have l of them in common. So each key is filed under all sets of l of those few tokens, by band of length; the shorter key of a
+pair stands in the index under its own length's band, the longer one asks in the bands that it can reach. Of few letters single
+tokens tell keys apart badly, and pairs grow with the square of a block; l is so large as a band's number of sets allows, and who
+would ask for too many asks for single tokens. Pairs are looked for in three classes (no first character
 in common; one to three; four), as a longer prefix lets S fall. In the join's own condition, a bound from bit masks of the tokens
-and the prefix that the two do share then leaves few pairs to score.
+and the prefix that the two do share, and one from their edits, then leave few pairs to score: m characters that match, t of them
+out of order, make a distance of na + nb - 2 m + t at most, and the score lets t be T(m) = 2 m (m / na + m / nb - S); as that sum is
+convex in m, it is greatest at the least m or at the most.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import accumulate, repeat, takewhile
+from itertools import accumulate, combinations, repeat, takewhile
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,15 @@ from echofold.model import THRESHOLDS, Thresholds
 from echofold.sources.store import settled
 
 COMMON_TOKENS = 10_000
+#: Longer keys are not carried to the pairs, whose edits so stay uncounted.
+EDITED_CHARS = 32
 #: Characters of a common prefix that a class's keys share, and the longest prefix that its pairs are scored with.
 CLASSES = [(0, 0), (1, PREFIX - 1), (PREFIX, PREFIX)]
 #: Bits of a mask: a letter or digit's first, second and further places; other characters share the rest.
 TIMES, OTHERS, WORDS = 3, 20, 2
 BAND_GROWTH = 1.25
+#: The most tokens of a set, by class (keys with a prefix in common are few already), the most sets of a key, and keys a task.
+TOGETHER, SETS, KEYS_A_TASK = (6, 4, 1), 24, 50_000
 SCORE_AT_ONCE = 1 << 22
 BROADCAST_KEYS, BROADCAST_CHARS = 1_000_000, 32_000_000
 
@@ -115,32 +124,69 @@ def mixed(h: np.ndarray, value: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def filed(keys: list[str], rank: dict[int, int], bar: float, asks: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Plan:
+    """How keys of some lengths are filed: their bands, and the size of the token sets of each class and band."""
+
+    def __init__(self, lengths: list[int], bar: float):
+        self.edges = np.array(bands(max(lengths, default=1)))
+        self.shares = [shared_least(bar, most) for _, most in CLASSES]
+        self.of_band: dict[int, list[int]] = {}
+        for n in sorted(lengths):
+            self.of_band.setdefault(self.band(n), []).append(n)
+        self.together = {(c, b): self._level(c, own) for c in range(len(CLASSES)) for b, own in self.of_band.items()}
+        self.singles = {(c, b) for n in lengths for c in range(len(CLASSES)) for b, _, size in self.asked(c, n) if size < self.together[c, b]}
+
+    def band(self, n: int) -> int:
+        return int(np.searchsorted(self.edges, n, "right")) - 1
+
+    def shared(self, c: int, n: int, partner: int) -> int:
+        """At least so many tokens are common to keys of these lengths, if they match."""
+        return max(1, int(np.ceil(self.shares[c] * n * partner / (n + partner) - 1e-6)))
+
+    def _sets(self, c: int, n: int, partner: int, size: int) -> int:
+        return comb(min(n, n - self.shared(c, n, partner) + size), size)
+
+    def _level(self, c: int, lengths: list[int]) -> int:
+        most = min(TOGETHER[c], *(self.shared(c, n, n) for n in lengths))
+        return max([1, *(k for k in range(1, most + 1) if all(self._sets(c, n, n, k) <= SETS for n in lengths))])
+
+    def asked(self, c: int, n: int) -> list[tuple[int, int, int]]:
+        """(band, the least of its lengths that a key of this one can match, size of sets) of a key's questions."""
+        shortest = max(1, int(np.ceil((self.shares[c] - 1) * n - 1e-6)))
+        least = [(b, next((p for p in own if shortest <= p <= n), 0)) for b, own in self.of_band.items()]
+        return [(b, p, k if self._sets(c, n, p, k) <= SETS else 1) for b, p in least if p for k in [self.together[c, b]]]
+
+    def held(self, c: int, n: int) -> list[tuple[int, int, int]]:
+        """(band, length, size of sets) of a key's entries."""
+        b = self.band(n)
+        return [(b, n, k) for k in sorted({self.together[c, b]} | ({1} if (c, b) in self.singles else set()))]
+
+
+def filed(keys: list[str], rank: dict[int, int], plan: Plan, asks: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(place in keys, block) of all entries of the index, or of all questions to it. A block's last two bits are its class."""
     of_size: dict[int, list[int]] = {}
     for k, key in enumerate(keys):
         of_size.setdefault(len(key), []).append(k)
-    edges = np.array(bands(max(of_size, default=1)))
     for n, own in of_size.items():
         place = np.array(own)
         ranked = np.sort(np.array([[rank.get(t, t) for t in tokens(keys[k])] for k in own], np.int64), axis=1)
         heads = np.array([[ord(c) for c in keys[k][:PREFIX].ljust(PREFIX, "\0")] for k in own], np.int64)
-        band = int(np.searchsorted(edges, n, "right")) - 1
-        for c, (head, most) in enumerate(CLASSES):
+        for c, (head, _) in enumerate(CLASSES):
             if n < head:
                 continue
-            least = shared_least(bar, most)
             h = np.full(len(own), c, np.uint64)
             for k in range(head):
                 h = mixed(h, heads[:, k])
-            # (band, length of the partner that shares least): a partner is at least as long as an entry, and no longer than who asks
-            shortest = max(1, int(np.ceil((least - 1) * n - 1e-6)))
-            todo = [(b, max(shortest, int(edges[b]))) for b in range(int(np.searchsorted(edges, shortest, "right")) - 1, band + 1)] if asks else [(band, n)]
-            for b, partner in todo:
-                use = min(n, n - int(np.ceil(least * n * partner / (n + partner) - 1e-6)) + 1)
-                if use > 0:
-                    block = mixed(mixed(h, np.array([b]))[:, None], ranked[:, :use]).ravel()
-                    yield np.repeat(place, use), (block & ~np.uint64(3) | np.uint64(c)).view(np.int64)
+            for b, partner, size in (plan.asked if asks else plan.held)(c, n):
+                use = min(n, n - plan.shared(c, n, partner) + size)
+                if use < size:
+                    continue
+                start = mixed(mixed(h, np.array([b])), np.array([size]))
+                for chosen in combinations(range(use), size):
+                    block = start
+                    for k in chosen:
+                        block = mixed(block, ranked[:, k])
+                    yield place, (block & ~np.uint64(3) | np.uint64(c)).view(np.int64)
 
 
 def masks(keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,19 +210,24 @@ def masks(keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def near_keys(numbered: DataFrame, bar: float) -> DataFrame:
     """a, b: all pairs of numbered keys (id, key; distinct) that may score bar or more, once each or a few times."""
-    held = numbered.sparkSession.sparkContext.broadcast(common_tokens(numbered))
-    fields = ["id", "size", "head", *[f"m{w}" for w in range(WORDS)], "block"]
+    sizes = {r.n: r["count"] for r in numbered.groupBy(F.length("key").alias("n")).count().collect()}  # a row a length
+    context = numbered.sparkSession.sparkContext
+    held = context.broadcast((common_tokens(numbered), Plan(list(sizes), bar)))
+    fields = ["id", "size", "head", *[f"m{w}" for w in range(WORDS)], "text", "block"]
 
     def file(asks: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(1).to_pylist()
             mask, size, head = masks(keys)
-            for at, block in filed(keys, held.value, bar, asks):
-                columns = [size, head, *[mask[:, w] for w in range(WORDS)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c[at]) for c in columns], pa.array(block)], fields)
-
-    keys = numbered.select("id", "key")
-    x, y = (keys.mapInArrow(partial(file, asks), ", ".join(f"{c} long" for c in fields)).alias(name) for name, asks in (("x", True), ("y", False)))
+            rank, plan = held.value
+            columns = [pa.array(c) for c in (size, head, *[mask[:, w] for w in range(WORDS)])]
+            columns = [batch.column(0), *columns, pa.array([k if len(k) <= EDITED_CHARS else None for k in keys], pa.string())]
+            for at, block in filed(keys, rank, plan, asks):
+                places = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*[c.take(places) for c in columns], pa.array(block)], fields)
+
+    keys = numbered.select("id", "key").repartition(max(context.defaultParallelism, sum(sizes.values()) // KEYS_A_TASK))
+    x, y = (keys.mapInArrow(partial(file, asks), ", ".join(f"{c} {'string' if c == 'text' else 'long'}" for c in fields)).alias(name) for name, asks in (("x", True), ("y", False)))
     length = lambda side: F.shiftright(F.col(f"{side}.size"), 32).cast("double")
     common = sum((F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}"))) for w in range(WORDS)), F.least(*[F.col(f"{side}.size").bitwiseAND(F.lit(0xFFFFFFFF)) for side in "xy"]))
     prefix, least = F.lit(0), F.lit(shared_least(bar, 0))
@@ -185,7 +236,11 @@ def near_keys(numbered: DataFrame, bar: float) -> DataFrame:
         prefix, least = F.when(same, p).otherwise(prefix), F.when(same, shared_least(bar, p)).otherwise(least)
     of_class = F.when(prefix == 0, 0).when(prefix < PREFIX, 1).otherwise(2)
     longer = (length("x") > length("y")) | ((length("x") == length("y")) & (F.col("x.id") < F.col("y.id")))
-    meet = (F.col("x.block") == F.col("y.block")) & longer & (common * (length("x") + length("y")) >= least * length("x") * length("y") - 1e-6) & (F.col("x.block").bitwiseAND(F.lit(3)) == of_class)
+    both, product = length("x") + length("y"), length("x") * length("y")
+    out = both - 2 * common + 2 * common * (common * both / product - least)
+    edits = F.greatest(out, both - 2 * least * product / both)
+    meet = (F.col("x.block") == F.col("y.block")) & longer & (common * both >= least * product - 1e-6) & (F.col("x.block").bitwiseAND(F.lit(3)) == of_class)
+    meet &= F.coalesce(F.levenshtein("x.text", "y.text") <= edits + 1e-6, F.lit(True))
     return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 

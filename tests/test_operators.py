@@ -166,6 +166,15 @@ def test_near_keys_are_among_those_filed(spark, bar):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_keys_of_few_letters_leave_few_pairs(spark):
+    """Random words of one length and 16 letters: the index may not leave many times the pairs that score the bar."""
+    draw = random.Random(3)
+    stems = ["".join(draw.choices("abcdefghijklmnop", k=12)) for _ in range(1000)]
+    words = sorted({stem + end for stem in stems for end in "xyz"})
+    near = cluster.near_keys(spark.createDataFrame(list(enumerate(words)), "id long, key string"), 0.9).distinct()
+    assert near.count() <= 1.02 * len(words)  # three pairs of each stem, and few others
+
+
 def test_clusters_compare_all_keys(spark, monkeypatch):
     """Against all pairs: keys past the first 201 of a trigram, and near keys without a trigram in common."""
     from echofold.functions.similarity import jaro_winkler
