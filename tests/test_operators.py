@@ -724,3 +724,13 @@ def test_pictures_of_repeated_lines_have_the_bits_of_the_sql(spark, tmp_path):
     rows = [*STRIPES, (90, "ab" * 2100), (91, "abcd" * 64 + "dcba" * 64), (92, None), (93, "")]
     for name in ("MTH2_pixel_hash", "SRC9_pictures"):
         assert differs_from_sql(spark, tmp_path / name, name, documents=("doc_id long, text string", rows)) == set()
+
+
+def test_bad_launches_are_not_shuffled(spark):
+    """Rows that are refused for themselves have few mints: a join by mint would put all of one into one task."""
+    rows = spark.createDataFrame([(k, "null" if k % 2 else '{"mint":"%s"}' % ("M" * 35 + "123456789"[k // 2 % 9])) for k in range(400)], "pos long, value string")
+    found = launches.checked(launches.json_rows(rows))
+    assert launches.report(found).first()[:5] == (9, 391, 200, 0, 191)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    bad = [x for x in (plan.children().apply(k) for k in range(plan.children().size())) if "Join" not in x.toString()]
+    assert plan.nodeName() == "Union" and len(bad) == 1 and "isnotnull(reason" in bad[0].toString()
