@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -734,3 +735,21 @@ def test_bad_launches_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().optimizedPlan()
     bad = [x for x in (plan.children().apply(k) for k in range(plan.children().size())) if "Join" not in x.toString()]
     assert plan.nodeName() == "Union" and len(bad) == 1 and "isnotnull(reason" in bad[0].toString()
+
+
+def test_few_of_records_with_the_same_keys_are_listed(spark, monkeypatch):
+    """Of records with one name only the first are listed by key; the lists and capped candidates are those of all."""
+    from echofold.operators import candidates as own
+
+    rows = coins(spark, [{"mint": f"{k:04d}", "name": ("hot bolt", "hot bolts", "blue ring")[k % 3]} for k in range(300)]).drop("trigrams").withColumn("phash", F.lit(None).cast("string"))
+    rows = merge.coin_trigrams(rows)
+    listed, index_keys = [], own.index_keys
+    whole = {(r.kind, r.key): r.mints[:7] for r in own.postings(rows, None).collect()}
+    monkeypatch.setattr(own, "index_keys", lambda x: listed.append(x.count()) or index_keys(x))
+    assert {(r.kind, r.key): r.mints for r in own.postings(rows, 7).collect()} == whole and listed == [21]
+    few = replace(THRESHOLDS, max_candidates=6)
+    got = {r.subject: (r.mints, r.capped) for r in own.candidates(rows.where("mint < '0030'"), rows, few).collect()}
+    for k in range(30):
+        mint = f"{k:04d}"
+        same = [f"{x:04d}" for x in range(300) if x % 3 == k % 3 and x != k][:6]
+        assert got[mint] == (same, True)
