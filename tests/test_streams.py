@@ -151,3 +151,29 @@ def test_stateful_fold_makes_one_frame_a_key(spark, tmp_path, monkeypatch):
         top = lambda c: max((r[c] for r in own if r[c] is not None), default=None)  # noqa: E731, B023
         assert got[mint] == (mint, first(own, 1), first(own, 2), None, min(r[6] for r in own), top(6), top(4), top(5), any(r[7] == merge.MIGRATED for r in own), len(own))
     assert inspect.getsource(feed.stateful_fold).count("pd.DataFrame(") == 1
+
+
+def test_a_batch_of_a_key_takes_few_state_calls():
+    """Each call of the state or a timer is a trip to the JVM: four a key and batch, however many rows it has."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Stub:
+        held = None
+
+        def __getattr__(self, name):
+            if name in ("getValueState", "getMapState"):
+                return lambda *_: self
+            return lambda *x: calls.append(name) or (self._set(x[0]) if name == "update" else self.held if name == "get" else False)
+
+        def _set(self, value):
+            self.held = value
+
+    own = retire.Retirement(THRESHOLDS)
+    own.init(Stub())
+    row = lambda k: Row(seenAt=k, seq=k, source="other", marketCapUsd=None, name=f"n{k}", symbol=None)
+    assert not list(own.handleInputRows(("m",), iter([row(k) for k in range(50)]), None)) and calls == ["get", "registerTimer", "update"]
+    calls.clear()
+    assert not list(own.handleInputRows(("m",), iter([row(k) for k in range(50, 90)]), None)) and calls == ["get", "deleteTimer", "registerTimer", "update"]
+    assert [tuple(r) for r in own.handleExpiredTimer(("m",), None, None)] == [("m", "n0", None, 0, 89, None, 90)]
