@@ -753,3 +753,27 @@ def test_few_of_records_with_the_same_keys_are_listed(spark, monkeypatch):
         mint = f"{k:04d}"
         same = [f"{x:04d}" for x in range(300) if x % 3 == k % 3 and x != k][:6]
         assert got[mint] == (same, True)
+
+
+def test_records_with_the_same_change_are_compared_once(spark, tmp_path, monkeypatch):
+    """An index follows many records whose keys change alike by one of them; its lists are those made anew."""
+    from echofold.operators.candidates import counted_postings
+    from echofold.sources import postings as own
+
+    store = CoinStore(spark, f"file://{tmp_path}/store")
+    index, compared, settled = own.PostingIndex(store, 3), [], own.settled
+
+    def counted(frame, name, *more):
+        out = settled(frame, name, *more)
+        compared.extend([out.count()] if name == "index-change" else [])
+        return out
+
+    monkeypatch.setattr(own, "settled", counted)
+    for field in ("name", "symbol"):
+        batch = merge.folded(sightings(spark, [{"mint": f"m{k:02d}", field: ("moon cat", "sun: dog", None)[k % 3]} for k in range(60)]))
+        index.around(batch, lambda batch=batch: store.merge(batch))
+    gone = spark.createDataFrame([(f"m{k:02d}",) for k in range(30)], "mint string")
+    index.around(gone, lambda: store.remove(gone))
+    rows = lambda frame: sorted((x.kind, x.key, list(x.mints), x.n) for x in frame.collect())
+    assert rows(index.table.read()) == rows(counted_postings(store.read(), 4)) != []
+    assert compared == [2, 2 * 2 + 5 + 4]  # a symbol for each of two kinds of records; then their names, symbols and trigrams
