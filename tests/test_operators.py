@@ -727,6 +727,12 @@ def test_pictures_of_repeated_lines_have_the_bits_of_the_sql(spark, tmp_path):
         assert differs_from_sql(spark, tmp_path / name, name, documents=("doc_id long, text string", rows)) == set()
 
 
+def test_clear_pixels_have_the_bits_of_the_sql_at_any_size(spark, tmp_path):
+    """A NUL as every fourth byte is a clear pixel; odd pictures are at twice the size."""
+    rows = [(k, "".join(chr(33 + (j * k + j // 128) % 90) if j % 4 < 3 or j // 4 % 32 > k + 4 else "\0" for j in range(4096))) for k in range(6)]
+    assert differs_from_sql(spark, tmp_path, "SRC9_pictures", documents=("doc_id long, text string", rows)) == set()
+
+
 def test_bad_launches_are_not_shuffled(spark):
     """Rows that are refused for themselves have few mints: a join by mint would put all of one into one task."""
     rows = spark.createDataFrame([(k, "null" if k % 2 else '{"mint":"%s"}' % ("M" * 35 + "123456789"[k // 2 % 9])) for k in range(400)], "pos long, value string")
