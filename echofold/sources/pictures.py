@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from echofold.functions import png
 from echofold.functions.images import hash_pixels
 from echofold.model import THRESHOLDS, Thresholds
 
 
-def sampled(content: Column, thresholds: Thresholds = THRESHOLDS) -> Column:
-    """The sample_size x sample_size RGBA bytes of a PNG file; other bytes as they are; null for a PNG that can't be read."""
-    size = thresholds.sample_size
-
-    @F.pandas_udf(T.BinaryType())
-    def run(values: pd.Series) -> pd.Series:
-        out = values.to_numpy(object, copy=True)
-        files = [k for k, x in enumerate(out) if x is not None and x.startswith(png.SIGNATURE)]
-        contents = out[files]
-        out[files] = None
-        for places, pixels in png.stacks(contents):
-            for k, own in zip(places, png.shrunk(pixels, size), strict=True):
-                out[files[k]] = own.tobytes()
-        return pd.Series(out)
-
-    return run(content)
+def sampled(contents: list[bytes | None], size: int = THRESHOLDS.sample_size) -> list[bytes | None]:
+    """The size x size RGBA bytes of PNG files; other bytes as they are; null for a PNG that can't be read."""
+    files = [k for k, x in enumerate(contents) if x is not None and x.startswith(png.SIGNATURE)]
+    out = list(contents)
+    for k in files:
+        out[k] = None
+    for places, pixels in png.stacks(contents[k] for k in files):
+        for k, own in zip(places, png.shrunk(pixels, size), strict=True):
+            out[files[k]] = own.tobytes()
+    return out
 
 
 def verdicts_of(rows: DataFrame, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
     """mint, phash, state (ok, degenerate, unavailable) of rows mint, content. Contents over max_image_bytes are not read."""
     content = F.when(F.octet_length("content") <= thresholds.max_image_bytes, F.col("content"))
-    found = rows.select("mint", hash_pixels(sampled(content, thresholds), thresholds).alias("r"))
+    found = rows.select("mint", hash_pixels(content, thresholds, partial(sampled, size=thresholds.sample_size)).alias("r"))
     return found.select("mint", F.col("r.hash").alias("phash"), F.coalesce("r.failure", F.lit("ok")).alias("state"))
 
 

@@ -6,7 +6,6 @@ import random
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -561,22 +560,21 @@ def test_png_verdicts(spark):
 
 
 def test_pictures_alike_are_undone_together(monkeypatch):
-    """A batch takes as many predictions as its pieces have diagonals, not as its pictures have; each picture is as if alone."""
-    monkeypatch.setattr(pictures.F, "pandas_udf", lambda kind: lambda run: run)
+    """Many take as many predictions as their pieces have diagonals, not as they have; each picture is as if alone."""
     calls, predict = [], png.predicted
     rng = np.random.default_rng(2)
     square = [rng.integers(0, 256, (32, 32, 4)).astype(np.uint8) for _ in range(300)]
     files = [png.encode(x, png.RGBA, (np.arange(32) + k) % 5) for k, x in enumerate(square)]
     monkeypatch.setattr(png, "predicted", lambda *x: calls.append(0) or predict(*x))
-    got = pictures.sampled(pd.Series(files))
-    assert list(got) == [x.tobytes() for x in square] and len(calls) <= 2 * 63
+    got = pictures.sampled(files)
+    assert got == [x.tobytes() for x in square] and len(calls) <= 2 * 63
     gray = rng.integers(0, 256, (20, 33, 1)).astype(np.uint8)
     other = [png.encode(gray, png.GRAY, np.arange(20) % 5), png.encode(gray[:7], png.GRAY, np.arange(7) % 5), png.encode(gray, png.PALETTE, np.arange(20) % 5, bytes(range(256)) * 3), png.encode(gray, png.PALETTE, np.zeros(20, int), b"abc"), interlaced(square[0][:13, :11, :3], png.RGB)]
     wrong = [png.encode(square[0], png.RGBA, np.full(32, 9)), files[0][:-13], png.SIGNATURE, b"raw", b"", None]
     mixed = [x for k in range(11) for x in (files[k], (other + wrong)[k])]
     plain = [png.shrunk(png.decode(x), 32).tobytes() for x in other[:3] + other[4:]]
     want = [*plain[:3], None, plain[3], None, None, None, b"raw", b"", None]
-    assert list(pictures.sampled(pd.Series(mixed, dtype=object))) == [x for k in range(11) for x in (square[k].tobytes(), want[k])]
+    assert pictures.sampled(mixed) == [x for k in range(11) for x in (square[k].tobytes(), want[k])]
 
 
 def test_shrunk_pictures_have_exact_means():
